@@ -23,7 +23,11 @@ _LETTER[ord("a") : ord("z") + 1] = True
 _MARK = np.zeros(256, dtype=bool)
 _MARK[np.frombuffer(b"!?", dtype=np.uint8)] = True
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
+_PUNCTUATION = np.zeros(256, dtype=bool)
+_PUNCTUATION[33:127] = True
+_PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_punctuation")
 
 
 def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -41,7 +45,7 @@ def measure(piece: TextSlice) -> dict[str, np.ndarray]:
     points = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     out["word_chars"] = np.bincount(docs, weights=points[end] - points[start], minlength=n).astype(np.int64)
-    for name, table in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_letters", _LETTER), ("n_marks", _MARK)):
+    for name, table in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_letters", _LETTER), ("n_marks", _MARK), ("n_punctuation", _PUNCTUATION)):
         out[name] = _per_doc(table[data], offsets)
     # lines: cut at \n and at document ends; those without a word don't count
     breaks = np.flatnonzero(data == 10)
@@ -103,7 +107,8 @@ RULES = (
     Rule("lines", "n_dup_lines", "n_lines", 0.05, 0.5),
     Rule("capitals", "n_upper", "n_letters", 0.2, 0.5),
     Rule("marks", "n_marks", "n_words", 0.05, 0.3),
-    Rule("word_length", "word_chars", "n_words", 12.0, 16.0),
+    Rule("punctuation", "n_punctuation", "word_chars", 0.07, 0.1),
+    Rule("word_length", "word_chars", "n_words", 7.0, 12.0),
 )
 
 
@@ -115,22 +120,31 @@ def _votes(rules: tuple[Rule, ...]) -> list[Column]:
     return out
 
 
-def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
+#: What is known of rules before their votes are seen: P(vote | class) for bad and good documents, votes
+#: in the order bad, none, good, and its weight in shares of all documents. A rule looks for one kind of
+#: fault, and faults of different kinds seldom meet, so agreement alone can't show that its bad votes are right.
+BELIEF = np.array([[0.3, 0.1, 0.6], [0.002, 0.048, 0.95]])
+BELIEF_WEIGHT = (0.02, 4.0)
+#: Share of bad documents believed in before, with the weight of all documents.
+BAD_SHARE = 0.05
+
+
+def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, trust: float = 1.0) -> tuple[float, np.ndarray]:
     """Prior of quality and P(vote | class) of each rule by expectation-maximisation over vote patterns.
 
-    patterns: one row per distinct combination of votes. A rule looks for one kind of fault, and faults of
-    different kinds seldom meet, so EM starts where any bad vote makes a document doubtful, and finds
-    from there which rules' bad votes the rest bears out; add-one smoothing.
+    patterns: one row per distinct combination of votes. EM starts where any bad vote makes a document
+    doubtful, and its counts are joined by trust times those of BELIEF and BAD_SHARE.
     Returns the prior and an array [rule, class (bad, good), vote (bad, none, good)]."""
+    belief = BELIEF * (trust * np.array(BELIEF_WEIGHT) * counts.sum() + 1)[:, None]
     counts = counts.astype(float)
     good = np.where((patterns == BAD).any(axis=1), 0.05, np.where((patterns == GOOD).any(axis=1), 0.95, 0.5))
     prior, table = 0.5, np.zeros((patterns.shape[1], 2, 3))
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good])
-        prior = (weight[1].sum() + 1) / (counts.sum() + 2)
+        prior = (weight[1].sum() + trust * (1 - BAD_SHARE) * counts.sum() + 1) / ((1 + trust) * counts.sum() + 2)
         for j in range(patterns.shape[1]):
             for v in (BAD, ABSTAIN, GOOD):
-                table[j, :, v + 1] = (weight @ (patterns[:, j] == v)) + 1
+                table[j, :, v + 1] = (weight @ (patterns[:, j] == v)) + belief[:, v + 1]
         table /= table.sum(axis=2, keepdims=True)
         log = np.log([[1 - prior], [prior]]) + sum(np.log(table[j][:, patterns[:, j] + 1]) for j in range(patterns.shape[1]))
         after = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))

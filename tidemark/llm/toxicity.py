@@ -38,14 +38,17 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([found[0][t] for t in terms], pa.int64()), pa.array([found[1][t] for t in terms], pa.int64())], names=["term", "n0", "n1"])
 
 
-def choose_terms(examples: DataFrame, n_terms: int, min_docs: int = 3) -> list[str]:
-    """The terms of examples (text, label) with the largest chi-squared, in order of the terms; n_terms at most."""
+def choose_terms(examples: DataFrame, n_terms: int, min_docs: int = 3, min_chi: float = 40.0) -> list[str]:
+    """The terms of examples (text, label) with the largest chi-squared, in order of the terms; n_terms at most.
+
+    min_chi leaves out what chance brings up among millions of terms."""
     n0, n1 = (int(x or 0) for x in examples.agg(F.sum(1 - F.col("label")), F.sum("label")).first())
     counts = examples.select("text", F.col("label").cast("int")).mapInArrow(_term_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     with_term = F.col("n0") + F.col("n1")
     gap = F.col("n1") * F.lit(float(n0)) - F.col("n0") * F.lit(float(n1))
-    chi = gap * gap / (with_term * (F.lit(float(n0 + n1)) - with_term + 0.5))
-    best = counts.where(with_term >= min_docs).select("term", chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), "term").limit(n_terms)
+    scale = (n0 + n1) / max(1.0, float(n0) * float(n1))
+    chi = gap * gap * scale / (with_term * (F.lit(float(n0 + n1)) - with_term + 0.5))
+    best = counts.where(with_term >= min_docs).select("term", chi.alias("chi")).where(F.col("chi") >= min_chi).orderBy(F.desc("chi"), "term").limit(n_terms)
     return sorted(r.term for r in best.collect())
 
 
