@@ -1,6 +1,6 @@
 """All queries of the library, registered as their modules are imported."""
 
-from . import features, point_in_time  # noqa: F401
+from . import features, market, point_in_time  # noqa: F401
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
