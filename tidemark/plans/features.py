@@ -144,9 +144,9 @@ def error_metrics() -> dict[str, F.Column]:
     return {"mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e)), "mape": F.avg(F.when(F.abs("actual") >= 1, F.abs(e / F.nullif(F.col("actual"), F.lit(0.0))))), "coverage": F.avg(F.col("actual").between(0.9 * F.col("predicted"), 1.1 * F.col("predicted")).cast("int")), "direction": F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")), "brier": F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y")))}
 
 
-@query(f"WITH {PY} SELECT forecaster, count(*) AS n, round(avg(abs(predicted - actual)), 4) AS mae, round(sqrt(avg((predicted - actual) ** 2)), 4) AS rmse, round(avg(CASE WHEN abs(actual) >= 1 THEN abs((predicted - actual) / actual) END), 6) AS mape, round(avg((actual BETWEEN 0.9 * predicted AND 1.1 * predicted)::INT), 6) AS coverage, round(avg(((p >= 0.5) = (y = 1))::INT), 6) AS direction, round(avg((p - y) ** 2), 10) AS brier FROM p GROUP BY forecaster")
+@query(f"WITH {PY} SELECT forecaster, count(*) AS n, round(avg(abs(predicted - actual)), 8) AS mae, round(sqrt(avg((predicted - actual) ** 2)), 6) AS rmse, round(avg(CASE WHEN abs(actual) >= 1 THEN abs((predicted - actual) / actual) END), 6) AS mape, round(avg((actual BETWEEN 0.9 * predicted AND 1.1 * predicted)::INT), 6) AS coverage, round(avg(((p >= 0.5) = (y = 1))::INT), 6) AS direction, round(avg((p - y) ** 2), 10) AS brier FROM p GROUP BY forecaster")
 def agg_error_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    digits = {"mae": 4, "rmse": 4, "brier": 10}
+    digits = {"mae": 8, "brier": 10}
     return forecasts(spark, sf).groupBy("forecaster").agg(F.count("*").alias("n"), *[F.round(c, digits.get(k, 6)).alias(k) for k, c in error_metrics().items()])
 
 

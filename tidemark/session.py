@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,12 @@ def session(app: str = "tidemark", shuffle_partitions: int | None = None, **conf
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster shares (spark.checkpoint.dir); on one machine, where none is set, under a temporary one."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        known = spark.sparkContext.getCheckpointDir()
+    return f"{known}/{name}-{uuid.uuid4().hex}"

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import upsert
+from ..session import shared_folder
 
 
-def event_files(spark: SparkSession, path: str, files_per_trigger: int = 20) -> DataFrame:
-    """A stream of event Parquet files with ts as a timestamp."""
+def event_files(spark: SparkSession, folder: str, names: str = "*.parquet", files_per_trigger: int = 20) -> DataFrame:
+    """A stream of a folder's event Parquet files whose names match, with ts as a timestamp."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -62,8 +63,25 @@ def upsert_batches(path: str, keys: list[str], order: str) -> Callable[[DataFram
     return write
 
 
-def run_once(rows: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all there is and return what a memory sink holds: for tests and small results."""
-    started = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(rows: DataFrame, mode: str, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Run a stream over all there is and return the table it leaves in the shared folder.
+
+    complete overwrites with each batch, update upserts by keys, append adds."""
+    spark = rows.sparkSession
+    base = shared_folder(spark, "stream")
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        if mode == "update":
+            upsert_batches(f"{base}/out", keys, order)(batch, number)
+        elif mode == "complete":
+            batch.write.mode("overwrite").parquet(f"{base}/out/v{number}")
+        else:
+            batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        last.append(number)
+
+    started = rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     started.awaitTermination()
-    return rows.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], rows.schema)
+    return spark.read.parquet(f"{base}/out").drop("batch") if mode == "append" else spark.read.parquet(f"{base}/out/v{last[-1]}")
