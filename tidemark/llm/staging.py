@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +30,21 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df written as a Parquet table in the checkpoint folder and read again, and the table's path."""
     path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs.
+
+    It does so when the driver's JVM has collected what refers to them; left to chance they pile up over
+    the steps of one query."""
+    for _ in range(2):  # what the first collection finalises goes with the second
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that written() made and nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

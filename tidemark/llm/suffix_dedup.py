@@ -9,7 +9,9 @@ share the bytes after the trigger (the phrase's tail). The dictionary is grouped
 * a phrase whose tail is unique in the corpus holds no repeated window,
 * a phrase found twice or more is repeated with all its windows, whatever their number,
 * only tails shared by different phrases need the dictionary's suffixes: each of those distinct phrases
-  is opened once into its windows, and equal ones meet by fingerprint.
+  is copied once into the dictionary, whose suffixes are compared by tiers of TIER windows: a tier whose
+  common bytes are unique holds nothing, one all of whose bytes are found twice is repeated whole, and
+  only the rest are opened into windows, of which equal ones meet by fingerprint.
 
 Copies thus cost one row for each phrase, and only the ends of repeats are looked at byte by byte. The
 order in which suffixes meet is that of their fingerprints, not of their letters: which windows are
@@ -26,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import cut, drop_table, written
+from .staging import drop_table, written
 from .textops import RangeHash, TextSlice, column_slices, mix, signed
 
 GRAM = 16
 TAIL = 57
+TIER = 16
 #: Bytes of text for which the arrays of one step are made.
 PIECE = 2 << 20
 
@@ -49,11 +52,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(piece: TextSlice, length: int) -> tuple[np.ndarray, ...]:
-    """Document, first and last window start (within the slice), tail hash and phrase hash of each phrase."""
+    """Document, first and last window start and trigger (within the slice), tail hash and phrase hash of each phrase."""
     none = np.zeros(0, dtype=np.int64)
     span = length - TAIL + 1
     if len(piece.data) < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     hashed = RangeHash(piece.data)
     grams = hashed.fixed(GRAM)
     bits = np.uint64(max(22, len(grams).bit_length()))
@@ -70,7 +73,7 @@ def phrases(piece: TextSlice, length: int) -> tuple[np.ndarray, ...]:
     np.add.at(change, ends[has] + 1, -1)
     windows = np.flatnonzero(np.cumsum(change[:-1]) > 0)
     if not len(windows):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     own = trigger[windows]
     new = np.ones(len(windows), dtype=bool)
     new[1:] = (own[1:] != own[:-1]) | (windows[1:] != windows[:-1] + 1)
@@ -78,17 +81,19 @@ def phrases(piece: TextSlice, length: int) -> tuple[np.ndarray, ...]:
     first, last = windows[at], windows[np.append(at[1:], len(windows)) - 1]
     docs = np.searchsorted(piece.offsets, first, side="right") - 1
     tail = hashed.of(own[at], own[at] + TAIL)
-    return docs, first, last, tail, hashed.of(first, last + length)
+    return docs, first, last, own[at], tail, hashed.of(first, last + length)
 
 
 def _parse(length: int):
+    """Phrases as (row, first, shape, tail, phrase); shape packs the last window and the trigger, both from first on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for row, piece in column_slices(batch.column(1), PIECE):
-                docs, first, last, tail, phrase = phrases(piece, length)
-                base = piece.offsets[docs]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row + docs]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(signed(tail)), pa.array(signed(phrase))], names=["row", "first", "last", "tail", "phrase"])
+                docs, first, last, trigger, tail, phrase = phrases(piece, length)
+                shape = (last - first) * 65536 + (trigger - first)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row + docs]), pa.array((first - piece.offsets[docs]).astype(np.int32)), pa.array(shape.astype(np.int32)), pa.array(signed(tail)), pa.array(signed(phrase))], names=["row", "first", "shape", "tail", "phrase"])
 
     return run
 
@@ -99,25 +104,78 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
     return np.repeat(np.arange(len(column)), lengths), column.flatten()
 
 
+def _bodies(length: int):
+    """The dictionary: bytes of the phrases asked for of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index = batch.schema.get_field_index
+            at, entries = _flat(batch.column(index("opened")))
+            first, shape = (entries.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("first", "shape"))
+            for row, piece in column_slices(batch.column(index("text")), PIECE):
+                mine = np.flatnonzero((at >= row) & (at < row + piece.n_docs))
+                begin = piece.offsets[at[mine] - row] + first[mine]
+                stop = begin + (shape[mine] >> 16) + length
+                bodies = pa.array([piece.data[x:y].tobytes() for x, y in zip(begin, stop, strict=True)], pa.binary())
+                picked = entries.take(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([batch.column(index("row")).take(pa.array(at[mine]))] + [picked.field(n) for n in ("first", "shape", "tail", "single")] + [bodies], names=["row", "first", "shape", "tail", "single", "body"])
+
+    return run
+
+
+def _tier_rows(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each tier of each phrase: the phrase's index, the tier, and its least and largest distance from the trigger."""
+    near, far = (shape & 65535) - (shape >> 16), shape & 65535
+    low, high = near // TIER, far // TIER
+    n = high - low + 1
+    of = np.repeat(np.arange(len(shape)), n)
+    tier = low[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return of, tier, np.maximum(tier * TIER, near[of]), np.minimum(tier * TIER + TIER - 1, far[of])
+
+
+def _tiers(length: int):
+    """Tiers of dictionary phrases: common (hash of the bytes all its windows share) and whole (of all its bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index = batch.schema.get_field_index
+            shape, tail = (batch.column(index(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("shape", "tail"))
+            for row, piece in column_slices(batch.column(index("body")), PIECE):
+                own = slice(row, row + piece.n_docs)
+                of, tier, low, high = _tier_rows(shape[own])
+                hashed = RangeHash(piece.data)
+                trigger = (piece.offsets[:-1] + (shape[own] & 65535))[of]
+                seed = tail[own][of].view(np.uint64) * np.uint64(31) + tier.astype(np.uint64)
+                common = mix(hashed.of(trigger - tier * TIER, trigger - tier * TIER - TIER + 1 + length) * np.uint64(5) + seed)
+                whole = mix(hashed.of(trigger - high, trigger - low + length) * np.uint64(7) + seed * np.uint64(961) + (low * 1024 + high).astype(np.uint64))
+                take = pa.array(row + of)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(common)), pa.array(signed(whole))] + [batch.column(index(n)).take(take) for n in ("row", "first", "shape", "single")] + [pa.array(tier.astype(np.int32))], names=["common", "whole", "row", "first", "shape", "single", "tier"])
+
+    return run
+
+
 def _open(length: int):
-    """Windows of opened phrases, as (fingerprint with the tail, row, start, single)."""
+    """Windows of the tiers asked for of each dictionary phrase, as (fingerprint with the tail, row, start, single)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, of = batch.column(0).to_numpy(zero_copy_only=False), batch.schema.get_field_index("opened")
-            at, entries = _flat(batch.column(of))
-            first, last, tail, single = (entries.field(n).to_numpy(zero_copy_only=False) for n in ("first", "last", "tail", "single"))
-            for row, piece in column_slices(batch.column(batch.schema.get_field_index("text")), PIECE):
+            index = batch.schema.get_field_index
+            get = lambda n: batch.column(index(n)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            shape, tail, begin, rows, single = get("shape").astype(np.int64), get("tail"), get("first"), get("row"), get("single")
+            asked = batch.column(index("tiers"))
+            at, tiers = np.repeat(np.arange(batch.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False)), asked.flatten().to_numpy(zero_copy_only=False)
+            for row, piece in column_slices(batch.column(index("body")), PIECE):
                 mine = np.flatnonzero((at >= row) & (at < row + piece.n_docs))
-                if not len(mine):
-                    continue
-                sizes = last[mine] - first[mine] + 1
-                which = np.repeat(mine, sizes)
-                steps = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                start = first[which] + steps
-                place = piece.offsets[at[which] - row] + start
-                mark = mix(RangeHash(piece.data).of(place, place + length) * np.uint64(3) + tail[which].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mark)), pa.array(keys[at[which]]), pa.array(start.astype(np.int32)), pa.array(single[which])], names=["mark", "row", "start", "single"])
+                of, tier = at[mine], tiers[mine].astype(np.int64)
+                near, far = (shape[of] & 65535) - (shape[of] >> 16), shape[of] & 65535
+                low, high = np.maximum(tier * TIER, near), np.minimum(tier * TIER + TIER - 1, far)
+                n = high - low + 1
+                distance = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                of = np.repeat(of, n)
+                start = (shape[of] & 65535) - distance
+                place = piece.offsets[of - row] + start
+                mark = mix(RangeHash(piece.data).of(place, place + length) * np.uint64(3) + tail[of].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(mark)), pa.array(rows[of]), pa.array((begin[of] + start).astype(np.int32)), pa.array(single[of])], names=["mark", "row", "start", "single"])
 
     return run
 
@@ -164,23 +222,38 @@ def _digest(length: int):
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """(row, first, last): every window of length bytes that also starts elsewhere, as ranges of starts.
+    """(row, repeats): every window of length bytes that also starts elsewhere, as ranges (first, last) of starts.
 
     docs has row (naming the row's doc_id and text), doc_id and text."""
-    parse, path = written(docs.select("row", "text").mapInArrow(_parse(length), "row long, first int, last int, tail long, phrase long"))
+    spark = docs.sparkSession
+    parse, parse_path = written(docs.select("row", "text").mapInArrow(_parse(length), "row long, first int, shape int, tail long, phrase long"))
     tails = parse.groupBy("tail").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("n > 1")
     shared, shared_path = written(parse.join(tails.select("tail", (F.col("low") != F.col("high")).alias("mixed")), "tail"))
-    drop_table(docs.sparkSession, path)
-    whole = shared.where("not mixed").select("row", "first", "last")
+    drop_table(spark, parse_path)
+    last = (F.col("first") + F.shiftright("shape", 16)).alias("last")
+    whole = shared.where("not mixed").select("row", "first", last)
     mixed = shared.where("mixed")
-    dictionary = cut(mixed.groupBy("tail", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("at")))
-    copied = mixed.join(dictionary.where("n > 1").select("tail", "phrase"), ["tail", "phrase"], "left_semi").select("row", "first", "last")
-    opened = dictionary.select("at.row", F.struct("at.first", "at.last", "tail", (F.col("n") == 1).alias("single")).alias("entry")).groupBy("row").agg(F.collect_list("entry").alias("opened"))
-    texts = docs.join(opened, "row").select("row", "doc_id", "text", "opened")
-    found, _ = written(texts.mapInArrow(_open(length), "mark long, row long, start int, single boolean"))
+    phrases_, phrases_path = written(mixed.groupBy("tail", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "shape")).alias("at")))
+    copied = mixed.join(phrases_.where("n > 1").select("tail", "phrase"), ["tail", "phrase"], "left_semi").select("row", "first", last)
+    opened = phrases_.select("at.row", F.struct("at.first", "at.shape", "tail", (F.col("n") == 1).alias("single")).alias("entry")).groupBy("row").agg(F.collect_list("entry").alias("opened"))
+    texts = docs.select("row", "text").join(opened, "row")
+    dictionary, dictionary_path = written(texts.mapInArrow(_bodies(length), "row long, first int, shape int, tail long, single boolean, body binary"))
+    tiers, tiers_path = written(dictionary.mapInArrow(_tiers(length), "common long, whole long, row long, first int, shape int, single boolean, tier int"))
+    met = tiers.groupBy("common").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
+    close, close_path = written(tiers.join(met.select("common", (F.col("low") != F.col("high")).alias("mixed")), "common").drop("common", "whole"))
+    # a tier's windows start at trigger - distance; near and far are the phrase's own least and largest distance
+    trigger, near = F.col("shape").bitwiseAND(65535), F.col("shape").bitwiseAND(65535) - F.shiftright("shape", 16)
+    nearest, farthest = F.greatest(F.col("tier") * TIER, near), F.least(F.col("tier") * TIER + TIER - 1, trigger)
+    tiered = close.where("single and not mixed").select("row", (F.col("first") + trigger - farthest).alias("first"), (F.col("first") + trigger - nearest).alias("last"))
+    asked = close.where("mixed").groupBy("row", "first").agg(F.collect_set("tier").alias("tiers"))
+    found, found_path = written(dictionary.join(asked, ["row", "first"]).mapInArrow(_open(length), "mark long, row long, start int, single boolean"))
     twice = found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     ends = found.where("single").join(twice, "mark", "left_semi").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
-    return whole.unionByName(copied).unionByName(ends)
+    spans = whole.unionByName(copied).unionByName(tiered).unionByName(ends).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("repeats"))
+    spans, _ = written(spans)
+    for path in (shared_path, phrases_path, dictionary_path, tiers_path, close_path, found_path):
+        drop_table(spark, path)
+    return spans
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -194,7 +267,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     Defined cases: a null text is empty; texts shorter than length bytes stay whole; rows that repeat a
     doc_id are documents of their own, and so remove each other if their texts are long and equal."""
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    spans = repeated_windows(docs, length).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("repeats"))
+    spans = repeated_windows(docs, length)
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = docs.join(spans, "row", "left").select("row", "doc_id", "text", "repeats")
     return joined.mapInArrow(_digest(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
