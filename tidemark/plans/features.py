@@ -102,12 +102,12 @@ def agg_month_usage(spark: SparkSession, sf: str) -> DataFrame:
     return first.groupBy("organization", month.alias("month_start")).agg(F.count("*").alias("events"), F.sum("k").alias("quantity"))
 
 
-@query("""SELECT n_regionkey AS market, n_name AS language, c_mktsegment AS tier, grouping(n_regionkey)::INT * 4 + grouping(n_name)::INT * 2 + grouping(c_mktsegment)::INT AS level, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS successes, round(avg(o_totalprice), 4) AS mean_price
+@query("""SELECT n_regionkey AS market, n_name AS language, c_mktsegment AS tier, grouping(n_regionkey)::INT * 4 + grouping(n_name)::INT * 2 + grouping(c_mktsegment)::INT AS level, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS successes, round(sum(o_totalprice), 2) AS total_price
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((), (n_regionkey, n_name), (n_regionkey, n_name, c_mktsegment))""")
 def agg_grouping_sets_authority(spark: SparkSession, sf: str) -> DataFrame:
     joined = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     cube = joined.groupingSets([[], ["n_regionkey", "n_name"], ["n_regionkey", "n_name", "c_mktsegment"]], "n_regionkey", "n_name", "c_mktsegment")
-    return cube.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("successes"), F.round(F.avg("o_totalprice"), 4).alias("mean_price")).withColumnsRenamed({"n_regionkey": "market", "n_name": "language", "c_mktsegment": "tier"})
+    return cube.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("successes"), F.round(F.sum("o_totalprice"), 2).alias("total_price")).withColumnsRenamed({"n_regionkey": "market", "n_name": "language", "c_mktsegment": "tier"})
 
 
 @query("SELECT o_custkey AS forecaster, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS worst FROM orders GROUP BY 1")
