@@ -275,7 +275,7 @@ def test_toxicity(spark):
         assert out[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
     held = [(out[i].predicted, y) for i, y in labels if out[i].held_out]
     assert sum(p == y for p, y in held) / len(held) > 0.98
-    assert out[602].predicted == 1 and out[602].evidence and not out[600].predicted and not out[601].predicted
+    assert out[602].predicted == 1 and len(out[602].evidence) and not out[600].predicted and not out[601].predicted
     none = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert {r.score for r in none} == {0.5}
     assert toxicity.toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import cut
+from .textops import column_slices, shingle_sets, signed
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 4
@@ -38,12 +39,28 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([found[0][t] for t in terms], pa.int64()), pa.array([found[1][t] for t in terms], pa.int64())], names=["term", "n0", "n1"])
 
 
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least five-word shingle hash of each text: near copies mostly share theirs."""
+    for batch in batches:
+        for first, piece in column_slices(batch.column(1)):
+            sets, bounds = shingle_sets(piece, 5)
+            least = [int(signed(sets[a : a + 1])[0]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).slice(first, piece.n_docs) for i in range(3)] + [pa.array(least, pa.int64())], names=["doc_id", "text", "label", "family"])
+
+
+def one_per_family(examples: DataFrame) -> DataFrame:
+    """examples (doc_id, text, label) with one row of each family of near copies, so that a copied text's words don't pass for signs of its label."""
+    kind = examples.schema["doc_id"].dataType.simpleString()
+    marked = examples.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(_families, f"doc_id {kind}, text string, label int, family long")
+    return marked.groupBy("family").agg(F.min_by(F.struct("text", "label"), F.struct("doc_id", "label")).alias("e")).select("e.*")
+
+
 def choose_terms(examples: DataFrame, n_terms: int, min_docs: int = 3, min_chi: float = 40.0) -> list[str]:
     """The terms of examples (text, label) with the largest chi-squared, in order of the terms; n_terms at most.
 
     min_chi leaves out what chance brings up among millions of terms."""
     n0, n1 = (int(x or 0) for x in examples.agg(F.sum(1 - F.col("label")), F.sum("label")).first())
-    counts = examples.select("text", F.col("label").cast("int")).mapInArrow(_term_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = examples.select("text", "label").mapInArrow(_term_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     with_term = F.col("n0") + F.col("n1")
     gap = F.col("n1") * F.lit(float(n0)) - F.col("n0") * F.lit(float(n1))
     scale = (n0 + n1) / max(1.0, float(n0) * float(n1))
@@ -78,55 +95,63 @@ class BlockMaxIndex:
     """Labelled unit vectors as postings by term, with each term's largest weight in each block of examples.
 
     A query's products with the blocks' maxima bound every similarity in a block from above; blocks are
-    opened from the largest bound on, until the bound can't beat the k-th nearest found: the k nearest are
-    exact. Ties go to the lower example number."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int, block: int = 64) -> None:
-        self.labels, self.block, n = labels, block, len(vectors)
-        self.n, self.n_blocks = n, -(-n // block)
-        terms = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, dtype=np.int64)
-        weights = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
-        rows = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+    opened from the largest bound on, in groups that double, until the bound can't beat the k-th nearest found:
+    the k nearest are exact. Examples that share their heaviest terms stand together, which keeps the bounds
+    tight. Ties go to the example with the lower place."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int, block: int = 32) -> None:
+        self.labels, self.block, self.n = labels, block, len(vectors)
+        self.n_blocks = max(1, -(-self.n // block))
+        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
+        self.most = np.zeros((n_terms, self.n_blocks))
+        terms = np.concatenate([t for t, _ in vectors]) if self.n else np.zeros(0, dtype=np.int64)
+        weights = np.concatenate([w for _, w in vectors]) if self.n else np.zeros(0)
+        rows = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]) if self.n else np.zeros(0, dtype=np.int64)
+        np.maximum.at(self.most, (terms, rows // block), weights)
         order = np.lexsort((rows, terms))
-        self.rows, self.weights, terms = rows[order], weights[order], terms[order]
-        # where each (term, block) begins among the postings
-        self.at = np.searchsorted(terms * np.int64(self.n_blocks + 1) + self.rows // block, (np.arange(n_terms)[:, None] * np.int64(self.n_blocks + 1) + np.arange(self.n_blocks + 1)[None, :]).reshape(-1)).reshape(n_terms, self.n_blocks + 1)
-        self.most = np.zeros((n_terms, self.n_blocks), dtype=np.float64)
-        np.maximum.at(self.most, (terms, self.rows // block), self.weights)
+        rows, weights = rows[order], weights[order]
+        ends = np.searchsorted(terms[order], np.arange(n_terms + 1))
+        self.postings = [(rows[lo:hi], weights[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Similarity and number of the k nearest examples with a positive similarity, but for skip."""
+        """Similarity and place of the k nearest examples with a positive similarity, but for skip."""
         bound = weights @ self.most[terms]
-        order = np.lexsort((np.arange(self.n_blocks), -bound))
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        score, done, step = np.zeros(self.n_blocks * self.block), 0, 4
         best, ids = np.zeros(0), np.zeros(0, dtype=np.int64)
-        for b in order:
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
-                break
-            score = np.zeros(self.block)
+        while done < len(order) and (len(best) < k or bound[order[done]] >= best[-1] - 1e-12):
+            chosen = np.zeros(self.n_blocks, dtype=bool)
+            chosen[order[done : done + step]] = True
+            done, step = done + step, 2 * step
             for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.at[t, b], self.at[t, b + 1]
-                score[self.rows[lo:hi] - b * self.block] += w * self.weights[lo:hi]
-            own = np.flatnonzero(score > 0)
-            own = own[own + b * self.block != skip]
-            best, ids = np.append(best, score[own]), np.append(ids, own + b * self.block)
-            top = np.lexsort((ids, -np.round(best, 12)))[:k]
-            best, ids = best[top], ids[top]
+                rows, values = self.postings[t]
+                here = chosen[rows // self.block]
+                score[rows[here]] += w * values[here]
+            found = np.flatnonzero(score)
+            found = found[found != skip]
+            top = np.lexsort((found, -np.round(score[found], 12)))[:k]
+            ids = found[top]
+            best = score[ids]
         return best, ids
 
 
 class ToxicityModel:
     """Bounded examples, weights of terms, and the vote's calibration."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], k: int, power: float) -> None:
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], k: int, power: float, calibrated_on: int) -> None:
         self.terms, self.idf, self.k, self.power = terms, idf, k, power
         some = [(d, *self.unit(t, c), y) for d, t, c, y in examples if len(t)]
+        some.sort(key=lambda e: (e[1][np.argsort(-e[2], kind="stable")].tolist(), e[0]))  # heaviest terms first
         none = [y for _, t, _, y in examples if not len(t)]
         self.ids = [d for d, *_ in some]
         self.index = BlockMaxIndex([(t, w) for _, t, w, _ in some], np.array([y for *_, y in some], dtype=float), len(terms))
         self.base = (sum(y for *_, y in examples) + 1) / (len(examples) + 2)
         self.empty = (sum(none) + self.base) / (len(none) + 1)
-        votes = np.array([self.vote(t, w, skip=i)[0] for i, (_, t, w, _) in enumerate(some)])
-        self.edges, self.levels = self._isotonic(votes, self.index.labels)
+        every = max(1, -(-len(some) // calibrated_on))
+        left_out = range(0, len(some), every)
+        votes = np.array([self.vote(some[i][1], some[i][2], skip=i)[0] for i in left_out])
+        self.edges, self.levels = self._isotonic(votes, self.index.labels[::every])
 
     def unit(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(terms, dtype=np.int64)
@@ -186,7 +211,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, n_terms: int = 768, k: int = 15, power: float = 2.0, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, n_terms: int = 768, k: int = 15, power: float = 6.0, threshold: float = 0.3, calibrated_on: int = 2_000) -> DataFrame:
     """Score of every document with its evidence.
 
     docs has doc_id and text, labels doc_id and toxic (0, 1 or null: unlabelled). Returns doc_id, held_out,
@@ -194,16 +219,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, n_t
 
     Examples are the labelled rows that aren't held out, max_examples of them at most, taken in order of a
     hash; that bounds the index and what is broadcast. Terms are the n_terms with the largest chi-squared
-    among the examples; their document frequencies are counted over all documents. A text's vector goes to
+    among the examples, of which near copies count once; their document frequencies are counted over all documents. A text's vector goes to
     the exact k nearest examples, whose votes, weighted by similarity ** power, are calibrated by an isotonic
-    fit on left-out examples. A text without any term has the rate of label 1 among examples without.
+    fit on at most calibrated_on examples, each left out in turn. A text without any term has the rate of label 1 among examples without.
 
     Defined cases: null and empty texts have no terms; without examples every score is 0.5; rows that
     repeat score alike; a doc_id labelled twice is learnt with each label; null doc_ids aren't held out and have no label."""
     usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("label"))
     chosen = cut(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_examples))
     examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_examples rows
-    terms = choose_terms(examples.select("text", "label"), n_terms)
+    terms = choose_terms(one_per_family(examples), n_terms)
     kind = docs.schema["doc_id"].dataType.simpleString()
     vectors = cut(docs.select("doc_id", "text").mapInArrow(_vectors({t: i for i, t in enumerate(terms)}), f"doc_id {kind}, terms array<int>, counts array<int>"))
     total = vectors.count()
@@ -213,6 +238,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, n_t
     if not learnt:
         scored = vectors.select("doc_id", F.lit(0.5).alias("score"), F.array().cast("array<long>").alias("evidence"), F.array().cast("array<double>").alias("similarity"))
     else:
-        model = ToxicityModel(terms, idf, [(r.doc_id, r.terms, r.counts, r.label) for r in learnt], k, power)
+        model = ToxicityModel(terms, idf, [(r.doc_id, r.terms, r.counts, r.label) for r in learnt], k, power, calibrated_on)
         scored = vectors.mapInArrow(_scored(model), f"doc_id {kind}, score double, evidence array<long>, similarity array<double>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "similarity")
