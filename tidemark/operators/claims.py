@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ladder
 from ..functions.times import DAY
-from .pit import newest
+from .pit import asof_join
 
 # Phrases of each direction, tried in this order.
 BULLISH = ("will go up", "going up", "i would buy", r"\bbuy\b", "undervalued", r"target\s*\$", "上がる", "買う")
@@ -95,7 +95,28 @@ def early_score(claims: DataFrame, trades: DataFrame, days: int = 7) -> DataFram
     return found.withColumn("pre_move", pre).withColumn("early", F.col("ret") - F.col("pre_move")).drop("_first")
 
 
-def price_at(facts: DataFrame, claim_at: Column) -> Column:
-    """Aggregate over facts joined to a claim (kind, f_at, f_id, price): newest trade, else newest reference."""
-    trade = newest(["price"], (F.col("kind") == "trade") & (F.col("f_at") <= claim_at), ("f_at", "f_id"))["price"]
-    return F.coalesce(trade, newest(["price"], (F.col("kind") == "reference") & (F.col("f_at") <= claim_at), ("f_at", "f_id"))["price"])
+def price_at(claims: DataFrame, trades: DataFrame, references: DataFrame, key: str = "instrument") -> DataFrame:
+    """claims with price and price_source: the newest trade at or before each, else the newest reference.
+
+    A newest trade without a price falls through to the reference. Two carried as-of joins, both by key."""
+    found = asof_join(claims, trades, key, ["price"], "_trade_")
+    found = asof_join(found, references, key, ["price"], "_reference_")
+    source = F.when(F.col("_trade_price").isNotNull(), "trade").when(F.col("_reference_price").isNotNull(), "reference")
+    return found.withColumns({"price": F.coalesce("_trade_price", "_reference_price"), "price_source": source}).drop("_trade_price", "_reference_price")
+
+
+def evidence_tags(text: Column) -> Column:
+    """Names of what a text states: direction, horizon, target price, target percent, confidence."""
+    stated = {"direction": direction(text).isNotNull(), "horizon": horizon(text) != "unspecified", "target_price": target_price(text).isNotNull(), "target_percent": target_percent(text).isNotNull(), "confidence": stated_confidence(text).isNotNull()}
+    return F.array_compact(F.array(*[F.when(there, name) for name, there in stated.items()]))
+
+
+EXTRACTED = "direction string, horizon string, target_price double, confidence double"
+
+
+def validated(raw: Column) -> Column:
+    """An extracted claim in JSON as a struct, null if it is malformed or any field is out of its range."""
+    c = F.from_json(raw, EXTRACTED)
+    ok = c["direction"].isin("bullish", "bearish", "avoid", "watch") & c["horizon"].isin(*HORIZONS, "unspecified")
+    ok = ok & (c["target_price"].isNull() | (c["target_price"] > 0)) & (c["confidence"].isNull() | c["confidence"].between(0, 1))
+    return F.when(F.coalesce(ok, F.lit(False)), c)

@@ -68,3 +68,9 @@ def kernel_rows(events: DataFrame) -> dict[str, DataFrame]:
         "evidence": ids.select("organization", stable_id("evi_", F.col("observation_id")).alias("evidence_id"), "observation_id"),
         "signal": ids.select("organization", stable_id("sig_", F.col("entity_id"), F.col("observation_id")).alias("signal_id"), "entity_id", "observation_id"),
     }
+
+
+def exploded(content: DataFrame, items: str, prefix: str, keys: Sequence[str]) -> DataFrame:
+    """One row per entry of an array column with its ordinal and an id that follows from the keys and the ordinal."""
+    rows = content.select(*keys, F.posexplode(items).alias("ordinal", "item"))
+    return rows.withColumn("item_id", stable_id(prefix, *[F.col(k) for k in keys], F.col("ordinal")))

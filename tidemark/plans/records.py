@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import records
 from ..functions.times import instant, micros
+from ..operators import claims as claim_ops
 from ..operators import ingest, relational
 from ..sources import fixtures
 from ..sources.tables import claims, events, table
 from .catalog import ASOF, query
 from .features import A
+from .market import SENTENCES, _any
 
 SIGNALS = [(1, "Greninja 214/167 japanese reverse holo", ""), (2, "first edition promo P-001 English", "ja"), (3, "alt-art TG05/TG30 zh-hant", " "), (4, "plain words", None), (5, "HOLO in simplified chinese, 031", ""), (6, "normal jp", "en")]
 _SIG = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {'NULL' if e is None else repr(e)})" for i, t, e in SIGNALS) + ") v(id, text, given))"
@@ -179,3 +181,53 @@ def dashboard_latest(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderstatus AS status, count(*) AS n, epoch_us(max(o_orderdate)) AS newest FROM orders GROUP BY 1")
 def dashboard_ingest_by_status(spark: SparkSession, sf: str) -> DataFrame:
     return claims(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.max("at").alias("newest"))
+
+
+_TAG = {
+    "direction": f"NOT {_any(claim_ops.NON_CLAIM)} AND ({' OR '.join(_any(p) for p in (claim_ops.BULLISH, claim_ops.BEARISH, claim_ops.AVOID, claim_ops.WATCH))})",
+    "horizon": " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in claim_ops.HORIZONS.values()),
+    "target_price": r"regexp_matches(text, '(?i)target\s*\$?\s*[0-9]') OR regexp_matches(text, '\$\s*[0-9]')",
+    "target_percent": r"regexp_matches(text, '[0-9]\s*%')",
+    "confidence": r"coalesce(nullif(regexp_extract(text, '(?i)\b([0-9]{1,3})\s*%\s*(?:sure|confident)', 1), '')::DOUBLE <= 100, false)",
+}
+
+
+@query("SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _TAG.items()) + ") AS tags FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SENTENCES) + ") v(id, text)")
+def text_evidence_tags(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame(SENTENCES, "id int, text string")
+    return rows.select("id", F.array_join(claim_ops.evidence_tags(F.col("text")), ",").alias("tags"))
+
+
+@query("""WITH r AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'bullish' WHEN 1 THEN 'up' WHEN 2 THEN 'avoid' ELSE 'bearish' END AS d, CASE event_id % 7 WHEN 0 THEN 'soon' ELSE '30d' END AS h, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value - 100 END AS p, (props->>'$.k')::BIGINT / 80.0::DOUBLE AS c FROM events)
+SELECT id, d AS direction, p AS target_price FROM r WHERE d <> 'up' AND h <> 'soon' AND (p IS NULL OR p > 0) AND c <= 1 AND id % 11 <> 0""")
+def claim_validate_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Untrusted JSON: a claim with any field out of range, or cut off, is no claim."""
+    i = F.col("id")
+    d = F.when(i % 5 == 0, "bullish").when(i % 5 == 1, "up").when(i % 5 == 2, "avoid").otherwise("bearish")
+    body = F.to_json(F.struct(d.alias("direction"), F.when(i % 7 == 0, "soon").otherwise("30d").alias("horizon"), F.when(i % 3 != 0, F.col("price") - 100).alias("target_price"), (F.col("k") / 80.0).alias("confidence")))
+    raw = F.when(i % 11 == 0, F.substring(body, 1, 15)).otherwise(body)
+    return events(spark, sf).select("id", claim_ops.validated(raw).alias("c")).where("c is not null").select("id", "c.direction", "c.target_price")
+
+
+@query("""WITH t AS (SELECT event_id AS id, ts, user_id AS instrument, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS price FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id AS id, ts, user_id AS instrument, value AS price FROM events WHERE event_type = 'view'), c AS (SELECT event_id, ts, user_id FROM events WHERE event_type = 'click')
+SELECT c.event_id AS id, coalesce(t.price, v.price) AS price, CASE WHEN t.price IS NOT NULL THEN 'trade' WHEN v.price IS NOT NULL THEN 'reference' END AS price_source FROM c ASOF LEFT JOIN t ON c.user_id = t.instrument AND c.ts >= t.ts ASOF LEFT JOIN v ON c.user_id = v.instrument AND c.ts >= v.ts""")
+def claim_price_at(spark: SparkSession, sf: str) -> DataFrame:
+    trades = events(spark, sf, "purchase").withColumn("price", F.when(F.col("id") % 4 != 0, F.col("price")))
+    probes = events(spark, sf, "click").select("id", "at", "instrument")
+    return claim_ops.price_at(probes, trades, events(spark, sf, "view")).select("id", "price", "price_source")
+
+
+@query("""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS ordinal, role, text FROM conversations)
+SELECT conv_id, ordinal::INT AS ordinal, role, length(text)::INT AS chars, 'seg_' || substring(sha256(conv_id || '|' || ordinal), 1, 32) AS item_id FROM r""")
+def source_explode_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """A content's segments as rows with ids that follow from content and ordinal."""
+    rows = table(spark, sf, "conversations")
+    content = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("segments"))
+    return ingest.exploded(content, "segments", "seg_", ["conv_id"]).select("conv_id", "ordinal", F.col("item.role").alias("role"), F.length("item.text").alias("chars"), "item_id")
+
+
+@query("SELECT o_orderkey AS id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_mktsegment IN ('BUILDING', 'FURNITURE') AND c_acctbal > 0")
+def filter_visibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that are published, to tenants who are entitled and have the feature on."""
+    tenants = table(spark, sf, "customer").where(F.col("c_mktsegment").isin("BUILDING", "FURNITURE") & (F.col("c_acctbal") > 0)).select(F.col("c_custkey").alias("forecaster"))
+    return claims(spark, sf).where("status = 'F'").join(tenants, "forecaster", "left_semi").select("id")
