@@ -24,8 +24,9 @@ def test_asof_takes_the_newest_row_even_without_a_price(spark):
 def test_asof_join_carries_and_keeps_unmatched_probes(spark):
     facts = spark.createDataFrame([(1, 10, 1, 5.0), (2, 20, 1, None), (3, 30, 1, 9.0)], TRADE)
     probes = spark.createDataFrame([(7, 9, 1), (8, 10, 1), (9, 29, 1), (10, 99, 1), (11, 50, 2)], "id long, at long, instrument long")
-    got = {r.id: r.asof_price for r in pit.asof_join(probes, facts, "instrument", ["price"]).collect()}
-    assert got == {7: None, 8: 5.0, 9: None, 10: 9.0, 11: None}
+    for chunk in (None, 1, 7, 1000):
+        got = {r.id: r.asof_price for r in pit.asof_join(probes, facts, "instrument", ["price"], chunk=chunk).collect()}
+        assert got == {7: None, 8: 5.0, 9: None, 10: 9.0, 11: None}
     assert pit.asof_join(probes.limit(0), facts, "instrument", ["price"]).count() == 0
 
 

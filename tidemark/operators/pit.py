@@ -31,17 +31,29 @@ def latest_asof(facts: DataFrame, keys: Sequence[str], asof: Column, values: Seq
     return found.select(*keys, *[F.col(f"_row.{v}").alias(v) for v in values])
 
 
-def asof_join(probes: DataFrame, facts: DataFrame, key: str, values: Sequence[str], prefix: str = "asof_") -> DataFrame:
+def asof_join(probes: DataFrame, facts: DataFrame, key: str, values: Sequence[str], prefix: str = "asof_", chunk: int | None = None) -> DataFrame:
     """probes with the values of the newest fact of their key at or before their at.
 
     Probes and facts are sorted together and the newest fact is carried along: linear in both, where a join on
-    key and range would multiply long histories. probes need at and key; all their columns stay."""
-    row = F.struct("at", *values)
-    left = probes.select(key, "at", F.lit(1).alias("_kind"), F.lit(None).cast(facts.select(F.struct("at", *values).alias("r")).schema["r"].dataType).alias("_fact"), F.struct("*").alias("_probe"), F.lit(None).cast("long").alias("_id"))
-    right = facts.select(key, "at", F.lit(0).alias("_kind"), row.alias("_fact"), F.lit(None).cast(left.schema["_probe"].dataType).alias("_probe"), F.col("id").cast("long").alias("_id"))
-    carried = F.last("_fact", ignorenulls=True).over(W.partitionBy(key).orderBy("at", "_kind", "_id").rowsBetween(W.unboundedPreceding, 0))
-    both = left.unionByName(right).withColumn("_seen", carried).where("_kind = 1")
-    return both.select("_probe.*", *[F.col(f"_seen.{v}").alias(prefix + v) for v in values])
+    key and range would multiply long histories. probes need at and key; all their columns stay.
+
+    With chunk (microseconds) a key's rows are dealt out by time: the newest fact is carried within each
+    chunk, and into it from the chunks before by a table of one row per key and chunk. A key that holds a
+    large part of all rows then fills many tasks and no single one."""
+    fact = F.struct("at", *values)
+    kind = facts.select(fact.alias("r")).schema["r"].dataType
+    left = probes.select(key, "at", F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_fact"), F.struct("*").alias("_probe"), F.lit(None).cast("long").alias("_id"))
+    right = facts.select(key, "at", F.lit(0).alias("_kind"), fact.alias("_fact"), F.lit(None).cast(left.schema["_probe"].dataType).alias("_probe"), F.col("id").cast("long").alias("_id"))
+    both, keys = left.unionByName(right), [key]
+    if chunk:
+        both, keys = both.withColumn("_chunk", F.floor(F.col("at") / chunk)), [key, "_chunk"]
+    carried = F.last("_fact", ignorenulls=True).over(W.partitionBy(*keys).orderBy("at", "_kind", "_id").rowsBetween(W.unboundedPreceding, 0))
+    seen = both.withColumn("_seen", carried).where("_kind = 1")
+    if chunk:
+        closing = both.groupBy(*keys).agg(F.max_by("_fact", F.when(F.col("_kind") == 0, F.struct("at", "_id"))).alias("_last"))
+        before = F.last("_last", ignorenulls=True).over(W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
+        seen = seen.join(closing.select(*keys, before.alias("_before")), keys, "left").withColumn("_seen", F.coalesce("_seen", "_before"))
+    return seen.select("_probe.*", *[F.col(f"_seen.{v}").alias(prefix + v) for v in values])
 
 
 def by_preference(facts: DataFrame, keys: Sequence[str], asof: Column, kinds: Sequence[Column], value: str) -> DataFrame:

@@ -30,6 +30,14 @@ def pit_asof_join_many(spark: SparkSession, sf: str) -> DataFrame:
     return pit.asof_join(probes, trades(spark, sf), "instrument", ["price"]).select("id", "instrument", "asof_price")
 
 
+@query(f"""WITH {TRADES}, c AS (SELECT event_id, ts, user_id FROM events WHERE event_type = 'click')
+SELECT c.event_id AS id, c.user_id AS instrument, t.price AS asof_price FROM c ASOF LEFT JOIN t ON c.user_id = t.instrument AND c.ts >= t.ts""")
+def pit_asof_join_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The same join with each key's rows dealt out by day, for keys that hold a large part of all rows."""
+    probes = events(spark, sf, "click").select("id", "instrument", "at")
+    return pit.asof_join(probes, trades(spark, sf), "instrument", ["price"], chunk=DAY).select("id", "instrument", "asof_price")
+
+
 @query(f"""WITH e AS (SELECT user_id AS instrument, event_type, value, ts, event_id FROM events WHERE ts <= TIMESTAMP '2024-01-03 00:00:00'),
 p AS (SELECT instrument, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS a, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'view') AS b, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'signup') AS c FROM e GROUP BY instrument)
 SELECT u.instrument, coalesce(a, b, c) AS price, CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 END AS choice FROM (SELECT DISTINCT user_id AS instrument FROM events) u LEFT JOIN p USING (instrument)""")
