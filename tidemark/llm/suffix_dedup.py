@@ -35,7 +35,7 @@ GRAM = 16
 TAIL = 57
 TIER = 16
 #: Bytes of text for which the arrays of one step are made.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -228,8 +228,11 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     spark = docs.sparkSession
     parse, parse_path = written(docs.select("row", "text").mapInArrow(_parse(length), "row long, first int, shape int, tail long, phrase long"))
     tails = parse.groupBy("tail").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("n > 1")
-    shared, shared_path = written(parse.join(tails.select("tail", (F.col("low") != F.col("high")).alias("mixed")), "tail"))
+    # written, so that both sides of the join are plain shuffles, of which AQE may split a hot tail's
+    tails, tails_path = written(tails.select("tail", (F.col("low") != F.col("high")).alias("mixed")))
+    shared, shared_path = written(parse.join(tails, "tail"))
     drop_table(spark, parse_path)
+    drop_table(spark, tails_path)
     last = (F.col("first") + F.shiftright("shape", 16)).alias("last")
     whole = shared.where("not mixed").select("row", "first", last)
     mixed = shared.where("mixed")
@@ -240,18 +243,19 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     dictionary, dictionary_path = written(texts.mapInArrow(_bodies(length), "row long, first int, shape int, tail long, single boolean, body binary"))
     tiers, tiers_path = written(dictionary.mapInArrow(_tiers(length), "common long, whole long, row long, first int, shape int, single boolean, tier int"))
     met = tiers.groupBy("common").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
-    close, close_path = written(tiers.join(met.select("common", (F.col("low") != F.col("high")).alias("mixed")), "common").drop("common", "whole"))
+    met, met_path = written(met.select("common", (F.col("low") != F.col("high")).alias("mixed")))
+    close, close_path = written(tiers.join(met, "common").drop("common", "whole"))
     # a tier's windows start at trigger - distance; near and far are the phrase's own least and largest distance
     trigger, near = F.col("shape").bitwiseAND(65535), F.col("shape").bitwiseAND(65535) - F.shiftright("shape", 16)
     nearest, farthest = F.greatest(F.col("tier") * TIER, near), F.least(F.col("tier") * TIER + TIER - 1, trigger)
     tiered = close.where("single and not mixed").select("row", (F.col("first") + trigger - farthest).alias("first"), (F.col("first") + trigger - nearest).alias("last"))
     asked = close.where("mixed").groupBy("row", "first").agg(F.collect_set("tier").alias("tiers"))
     found, found_path = written(dictionary.join(asked, ["row", "first"]).mapInArrow(_open(length), "mark long, row long, start int, single boolean"))
-    twice = found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    twice, twice_path = written(found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
     ends = found.where("single").join(twice, "mark", "left_semi").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
     spans = whole.unionByName(copied).unionByName(tiered).unionByName(ends).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("repeats"))
     spans, _ = written(spans)
-    for path in (shared_path, phrases_path, dictionary_path, tiers_path, close_path, found_path):
+    for path in (shared_path, phrases_path, dictionary_path, tiers_path, met_path, close_path, found_path, twice_path):
         drop_table(spark, path)
     return spans
 
