@@ -15,7 +15,7 @@ from .catalog import ASOF, query
 from .features import A
 from .market import SENTENCES, _any
 
-SIGNALS = [(1, "Greninja 214/167 japanese reverse holo", ""), (2, "first edition promo P-001 English", "ja"), (3, "alt-art TG05/TG30 zh-hant", " "), (4, "plain words", None), (5, "HOLO in simplified chinese, 031", ""), (6, "normal jp", "en")]
+SIGNALS = [(1, "Falcon 214/167 japanese reverse holo", ""), (2, "first edition promo P-001 English", "ja"), (3, "alt-art TG05/TG30 zh-hant", " "), (4, "plain words", None), (5, "HOLO in simplified chinese, 031", ""), (6, "normal jp", "en")]
 _SIG = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {'NULL' if e is None else repr(e)})" for i, t, e in SIGNALS) + ") v(id, text, given))"
 
 
@@ -49,10 +49,10 @@ def record_sentiment_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select("id", name.alias("sentiment"), sure.cast("double").alias("confidence"), records.entity_type(given).alias("entity_type"))
 
 
-@query("SELECT p_partkey AS id, replace(replace(replace('<b>' || p_name || '</b> & \"x\"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;').replace('\"', '&quot;') AS html, '/intelligence/' || url_encode(p_brand) || '/' || url_encode(p_name) AS url FROM part")
+@query("SELECT p_partkey AS id, replace(replace(replace('<b>' || p_name || '</b> & \"x\"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;').replace('\"', '&quot;') AS html, '/catalog/' || url_encode(p_brand) || '/' || url_encode(p_name) AS url FROM part")
 def record_html_url(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("<b>"), "p_name", F.lit('</b> & "x"'))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), records.escape_html(text).alias("html"), F.concat(F.lit("/intelligence"), records.url_path(F.col("p_brand"), F.col("p_name"))).alias("url"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), records.escape_html(text).alias("html"), F.concat(F.lit("/catalog"), records.url_path(F.col("p_brand"), F.col("p_name"))).alias("url"))
 
 
 @query("""WITH e AS (SELECT event_id % 1500 AS event_id, user_id AS organization, ts, CASE event_id % 6 WHEN 0 THEN 'active' WHEN 1 THEN 'trialing' WHEN 2 THEN 'past_due' WHEN 3 THEN 'bogus' WHEN 4 THEN NULL ELSE 'canceled' END AS status, CASE event_id % 3 WHEN 0 THEN 'growth' ELSE 'starter' END AS plan FROM events WHERE event_type = 'error'),
