@@ -11,9 +11,9 @@ from .staging import cut
 def _closest(edges: DataFrame) -> DataFrame:
     """For each node u with its neighbours v: the smallest of them all, joined to each edge.
 
-    A grouped minimum (combined before the shuffle) and a join that AQE may split, so that a
-    node with very many neighbours fills no single task."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    A grouped minimum, combined before the shuffle and cut, and a join of two plain shuffles that AQE may
+    split, so that a node with very many neighbours fills no single task."""
+    low = cut(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     return edges.join(low, "u")
 
 

@@ -147,7 +147,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
     some = signed_docs.where("n_shingles > 0")
     nodes = cut(some.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("bands").alias("bands")))
     buckets = nodes.select("node", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # cut, so that both sides of the join are plain shuffles, of which AQE may split a hot bucket's
+    shared = cut(buckets.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     edges = buckets.join(shared, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     groups = cut(components(edges))
     sizes = groups.groupBy("component").agg(F.count("*").alias("_n"))
