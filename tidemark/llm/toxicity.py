@@ -17,6 +17,14 @@ from .textops import column_slices, shingle_sets, signed
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 4
+#: Rows of a batch that are held as Python strings at once.
+ROWS = 1000
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def text_terms(text: str) -> Counter:
@@ -30,8 +38,8 @@ def text_terms(text: str) -> Counter:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each term by label, summed over the task's rows before they are shuffled."""
-    for batch in batches:
+    """Documents with each term by label, summed over some of the task's rows before they are shuffled."""
+    for batch in _parts(batches):
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found[label].update(text_terms(text or "").keys())
@@ -73,7 +81,7 @@ def _vectors(vocabulary: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {t for t in vocabulary if t[0] != "^"}
         stems = {t[1:]: i for t, i in vocabulary.items() if t[0] == "^"}
-        for batch in batches:
+        for batch in _parts(batches):
             terms, counts = [], []
             for text in batch.column(1).to_pylist():
                 own: dict[int, int] = {}
