@@ -78,7 +78,7 @@ def outcome(claims: DataFrame, trades: DataFrame, asof: Column) -> DataFrame:
     missing = F.col("instrument").isNull() | F.col("start_price").isNull() | F.col("days").isNull()
     status = ladder([(missing, "insufficient_data"), (end > asof, "pending"), (F.col("ending_price").isNull(), "missing_market_data")], "evaluated")
     done = F.col("status") == "evaluated"
-    move = lambda c: F.when(done, (F.col(c) - F.col("start_price")) / F.col("start_price"))
+    move = lambda c: F.when(done, (F.col(c) - F.col("start_price")) / F.nullif(F.col("start_price"), F.lit(0.0)))
     sign = F.when(F.col("direction") == "bullish", 1).when(F.col("direction") == "bearish", -1)
     found = found.withColumn("status", status).withColumn("ret", move("ending_price"))
     verdict = ladder([(~done, None), (sign.isNull(), "not_applicable"), (sign * F.col("ret") > 0.005, "correct"), (sign * F.col("ret") < -0.005, "incorrect")], "flat")

@@ -43,6 +43,7 @@ MODELS = {"stats": stats_baseline, "no_change": no_change, "momentum": momentum}
 
 def evaluation(start: Column, last: Column, peak: Column, trough: Column, expected: Column, low: Column, high: Column, p_up: Column) -> dict[str, Column]:
     """Realised return and how the forecast did; null where nothing traded in the window."""
+    start = F.nullif(start, F.lit(0.0))
     actual = last / start - 1
     top, bottom = peak / start - 1, trough / start - 1
     return {

@@ -160,7 +160,7 @@ _CLAIMS_SQL = f"""{TRADES}, c0 AS (SELECT event_id AS id, ts, user_id AS instrum
 c AS (SELECT c0.*, t.price AS start_price FROM c0 ASOF LEFT JOIN t ON t.instrument = c0.instrument AND c0.ts >= t.ts),
 o0 AS (SELECT c.id, c.instrument, c.ts, c.direction, c.days, c.target_price, c.start_price, arg_max(t.price, (t.ts, t.id)) AS ending_price, max(t.price) AS hi, min(t.price) AS lo FROM c LEFT JOIN t ON t.instrument = c.instrument AND t.ts > c.ts AND t.ts <= c.ts + INTERVAL 7 DAY AND c.days IS NOT NULL GROUP BY ALL),
 o1 AS (SELECT *, CASE WHEN start_price IS NULL OR days IS NULL THEN 'insufficient_data' WHEN ts + INTERVAL 7 DAY > {A} THEN 'pending' WHEN ending_price IS NULL THEN 'missing_market_data' ELSE 'evaluated' END AS status FROM o0),
-o AS (SELECT *, CASE WHEN status = 'evaluated' THEN (ending_price - start_price) / start_price END AS ret, CASE direction WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 END AS sgn FROM o1)"""
+o AS (SELECT *, CASE WHEN status = 'evaluated' THEN (ending_price - start_price) / nullif(start_price, 0) END AS ret, CASE direction WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 END AS sgn FROM o1)"""
 
 
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +174,7 @@ def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_CLAIMS_SQL} SELECT id, status, round(ret, 6) AS ret, CASE WHEN status <> 'evaluated' THEN NULL WHEN sgn IS NULL THEN 'not_applicable' WHEN sgn * ret > 0.005 THEN 'correct' WHEN sgn * ret < -0.005 THEN 'incorrect' ELSE 'flat' END AS verdict,
-CASE WHEN status = 'evaluated' AND sgn = 1 THEN ending_price >= target_price WHEN status = 'evaluated' AND sgn = -1 THEN ending_price <= target_price END AS target_hit, round(CASE WHEN status = 'evaluated' THEN greatest((hi - start_price) / start_price, 0) END, 6) AS mfe, round(CASE WHEN status = 'evaluated' THEN least((lo - start_price) / start_price, 0) END, 6) AS mae FROM o""")
+CASE WHEN status = 'evaluated' AND sgn = 1 THEN ending_price >= target_price WHEN status = 'evaluated' AND sgn = -1 THEN ending_price <= target_price END AS target_hit, round(CASE WHEN status = 'evaluated' THEN greatest((hi - start_price) / nullif(start_price, 0), 0) END, 6) AS mfe, round(CASE WHEN status = 'evaluated' THEN least((lo - start_price) / nullif(start_price, 0), 0) END, 6) AS mae FROM o""")
 def claim_outcome(spark: SparkSession, sf: str) -> DataFrame:
     return _outcomes(spark, sf).select("id", "status", F.round("ret", 6).alias("ret"), "verdict", "target_hit", F.round("mfe", 6).alias("mfe"), F.round("mae", 6).alias("mae"))
 
