@@ -219,7 +219,7 @@ def event_features(spark: SparkSession, sf: str, **more) -> DataFrame:
 
 
 def _digits(c: str) -> int:
-    return 1 if c == "median_intersale_ms" else 5
+    return {"median_intersale_ms": 1, "sma": 9}.get(c, 5)
 
 
 @query(f"WITH {VECTOR} SELECT instrument, {', '.join(f'{c}::BIGINT AS {c}' for c in COUNTS)}, {', '.join(f'round({c}, {_digits(c)}) AS {c}' for c in NUMBERS)} FROM v")
