@@ -144,6 +144,41 @@ def test_remove_shared_passages(spark, docs, texts):
     assert chaining.remove_shared_passages(empty(spark)).count() == 0
 
 
+def placed(rng, parts):
+    """Texts of the parts between words of their own."""
+    return [" ".join([f"a{i}x{rng.random()}" for _ in range(30)] + p + [f"z{i}x{rng.random()}" for _ in range(30)]) for i, p in enumerate(parts)]
+
+
+def by_doc(spark, texts):
+    found = chaining.shared_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {d: [(r.start_word, r.end_word, r.ref_doc_id) for r in found if r.doc_id == d] for d in range(len(texts))}
+
+
+def test_shared_passages_with_a_changed_word(spark):
+    rng = random.Random(3)
+    parts = []
+    for _ in range(40):
+        p = words(rng, 55, 10**6)
+        parts += [p, [*p[:40], "changed", *p[41:]]]
+    found = by_doc(spark, placed(rng, parts))
+    assert [d for d in range(1, 80, 2) if not any(ref == d - 1 and end - start >= 50 for start, end, ref in found[d])] == []
+
+
+def test_reach_bounds_extend():
+    rng = np.random.default_rng(4)
+    for _ in range(500):
+        n, m = rng.integers(5, 120, 2)
+        a, b = (rng.integers(0, 2**63, size, dtype=np.uint64) for size in (n, m))
+        at, other = int(rng.integers(0, n - 4)), int(rng.integers(0, m - 4))
+        for i in range(-at, n - at):  # alike around the seeds, with changes
+            if 0 <= other + i < m and (0 <= i < 5 or rng.random() < 0.85):
+                b[other + i] = a[at + i]
+        contexts = [chaining._contexts(x, np.array([y]), 5, np.array([0]), np.array([len(x)])) for x, y in ((a, at), (b, other))]
+        left, right = (int(chaining._reach(x, y)[0]) for x, y in zip(*contexts, strict=True))
+        assert left >= min(chaining._extend(a[:at][::-1], b[:other][::-1]), chaining.CONTEXT)
+        assert right >= min(chaining._extend(a[at + 5 :], b[other + 5 :]), chaining.CONTEXT)
+
+
 def test_chain_prefers_collinear_anchors():
     found = np.array([[0, 20, 100], [22, 40, 5], [30, 60, 130], [65, 80, 166]])
     best = chaining.chains(found)[0]
