@@ -154,6 +154,31 @@ def by_doc(spark, texts):
     return {d: [(r.start_word, r.end_word, r.ref_doc_id) for r in found if r.doc_id == d] for d in range(len(texts))}
 
 
+def test_shared_passages_after_a_partial_quote(spark):
+    rng, parts = random.Random(1), []
+    for _ in range(3):
+        p = words(rng, 60, 10**6)
+        parts += [p[:35], p, p, p, p[20:], p]
+    found = by_doc(spark, placed(rng, parts))
+    for d in range(18):
+        assert d % 6 > 1 or not found[d]
+        assert d % 6 not in (2, 3, 5) or any(start <= 30 and end >= 90 for start, end, _ in found[d]), d
+
+
+def test_shared_passages_of_frequent_lines(spark):
+    """Every seed of the passage has a first carrier that lacks the passage, and so do the next ones."""
+    rng = random.Random(2)
+    lines = [words(rng, 24, 10**6) for _ in range(4)]
+    whole = sum(lines, [])
+    pieces = [whole[at : at + 40] for at in range(0, 60, 8)]
+    found = by_doc(spark, placed(rng, [*pieces, whole, whole, whole]))
+    n = len(pieces)
+    assert not any(found[d] for d in range(n + 1))
+    for d in (n + 1, n + 2):
+        covered = {w for start, end, _ in found[d] for w in range(start, end)}
+        assert covered >= set(range(30, 30 + len(whole))), d
+
+
 def test_shared_passages_with_a_changed_word(spark):
     rng = random.Random(3)
     parts = []
