@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import keys, stats
 from tidemark.functions.times import DAY
 from tidemark.operators import accounts, claims, features, indices, ingest, pit, relational, resolve, scoring, series
+from tidemark.plans import point_in_time
 from tidemark.streaming import ingest as streaming
 
 TRADE = "id long, at long, instrument long, price double"
@@ -153,3 +154,11 @@ def test_json_ingest(spark):
     raw = spark.createDataFrame([('{"a": 1}',), ("{",), ('{"a": "' + "x" * 70000 + '"}',)], "value string")
     got = [r.reason for r in streaming.json_events(raw, "a string").collect()]
     assert got == [None, "malformed", "too_large"]
+
+
+def test_volatility_gathers_recent_trades_only(spark):
+    asof = 100 * DAY
+    rows = [(i, i * DAY // 10, 1, float(i)) for i in range(990)] + [(i, i * DAY // 100, 2, 1.0) for i in range(2000, 2500)] + [(3000, asof + 1, 3, 1.0), (3001, 98 * DAY, 4, None)]
+    found = point_in_time._near_trades(spark.createDataFrame(rows, "id long, at long, instrument long, price double"), F.lit(asof)).collect()
+    ids = {r.instrument: [x.id for x in r.h] for r in found}
+    assert ids == {1: list(range(931, 990)), 2: list(range(2488, 2500)), 4: [3001]}

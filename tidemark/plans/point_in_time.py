@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, instant, trailing
@@ -133,6 +134,14 @@ def series_rolling_median_30d(spark: SparkSession, sf: str) -> DataFrame:
     return _month(spark, sf).groupBy("instrument").agg(F.round(F.median("price"), 6).alias("rolling_median"))
 
 
+def _near_trades(rows: DataFrame, asof: Column) -> DataFrame:
+    """Each instrument's trades of the last 7 days and its last 12, in order, as h; the rest of its history isn't gathered."""
+    rank = F.row_number().over(W.partitionBy("instrument").orderBy(F.desc("at"), F.desc("id")))
+    near = (F.col("at") > asof - 7 * DAY) | (F.col("_rank") <= 12)
+    seen = rows.where(F.col("at") <= asof).withColumn("_rank", rank)
+    return seen.groupBy("instrument").agg(F.array_sort(F.collect_list(F.when(near, F.struct("at", "id", "price")))).alias("h"))
+
+
 @query(f"""WITH {SEEN}, k AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts DESC, id DESC) AS rn, ts > TIMESTAMP '{ASOF}' - INTERVAL 7 DAY AS recent, count(*) FILTER (WHERE ts > TIMESTAMP '{ASOF}' - INTERVAL 7 DAY) OVER (PARTITION BY instrument) AS n FROM s),
 c AS (SELECT * FROM k WHERE CASE WHEN n >= 3 THEN recent ELSE rn <= 12 END),
 r AS (SELECT instrument, price / lag(price) OVER (PARTITION BY instrument ORDER BY ts, id) - 1 AS r, lag(price) OVER (PARTITION BY instrument ORDER BY ts, id) AS b FROM c),
@@ -141,8 +150,7 @@ SELECT i.instrument, round(x.mad, 6) AS volatility FROM (SELECT DISTINCT instrum
 def series_mad_volatility(spark: SparkSession, sf: str) -> DataFrame:
     """MAD of trade returns over the last 7 days, or over the last 12 trades where those hold under 3."""
     asof = instant(ASOF)
-    seen = trades(spark, sf).where(F.col("at") <= asof)
-    found = seen.groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("at", "id", "price"))).alias("h"))
+    found = _near_trades(trades(spark, sf), asof)
     recent = F.filter("h", lambda x: x["at"] > asof - 7 * DAY)
     chosen = F.transform(F.when(F.size(recent) >= 3, recent).otherwise(F.slice(F.col("h"), F.greatest(F.size("h") - 11, F.lit(1)), F.lit(12))), lambda x: x["price"])
     steps = F.filter(F.zip_with(F.slice(chosen, F.lit(2), F.greatest(F.size(chosen) - 1, F.lit(1))), F.slice(chosen, F.lit(1), F.greatest(F.size(chosen) - 1, F.lit(1))), lambda now, before: F.when(before > 0, now / before - 1)), lambda r: r.isNotNull())
