@@ -34,10 +34,33 @@ def test_asof_join_carries_and_keeps_unmatched_probes(spark):
 def test_forward_window_is_open_then_closed(spark):
     facts = spark.createDataFrame([(1, 10, 1, 5.0), (2, 20, 1, 6.0), (3, 21, 1, 7.0)], TRADE)
     claim = spark.createDataFrame([(1, 10, 1)], "id long, at long, instrument long")
-    row = pit.forward_window(claim, facts, "instrument", F.lit(10), [F.count("f_price").alias("n"), F.max("f_price").alias("m")]).first()
+    row = pit.forward_window(claim, facts, "instrument", 10, [F.count("f_price").alias("n"), F.max("f_price").alias("m")]).first()
     assert (row.n, row.m) == (1, 6.0)
 
 
+def test_equal_claims_stay_apart(spark):
+    facts = spark.createDataFrame([(1, 10, 1, 5.0), (2, 25, 1, 6.0)], TRADE)
+    claim = spark.createDataFrame([(1, 8, 1), (1, 8, 1), (2, 99, 1)], "id long, at long, instrument long")
+    rows = pit.forward_window(claim, facts, "instrument", 20, [F.count("f_price").alias("n")]).collect()
+    assert sorted((r.id, r.n) for r in rows) == [(1, 2), (1, 2), (2, 0)]
+
+
+def test_health_takes_each_branch(spark):
+    from tidemark.operators import accounts
+
+    kinds = "activated boolean, created boolean, recent int, usage int, lim int, failed boolean, endpoints int, failing int, billing string, adopted int"
+    rows = [
+        ((True, True, 0, 0, 0, False, 0, 0, "active", 4), (100, 20, 30, 80, 60, 100, 100, 70)),
+        ((False, True, 2, 5, 0, True, 2, 0, "trialing", 1), (40, 70, 70, 35, 100, 100, 25, 63)),
+        ((False, False, 9, 0, 10, False, 3, 2, "past_due", 0), (0, 100, 25, 80, 50, 30, 0, 41)),
+        ((True, True, 1, 5, 10, False, 9, 6, "canceled", 2), (100, 55, 70, 80, 0, 10, 50, 52)),
+        ((True, True, 1, 12, 10, False, 1, 1, None, 2), (100, 55, 55, 80, 75, 50, 50, 66)),
+    ]
+    frame = spark.createDataFrame([r for r, _ in rows], kinds).coalesce(1)
+    scores = accounts.health(*[F.col(c) for c in ("activated", "created", "recent", "usage", "lim", "failed", "endpoints", "failing", "billing", "adopted")])
+    assert [tuple(r) for r in frame.select(*[c.alias(k) for k, c in scores.items()]).collect()] == [want for _, want in rows]
+
+
 def test_returns_need_two_different_trades(spark):
     day = DAY
     facts = spark.createDataFrame([(1, 100 * day, 1, 10.0), (2, 107 * day, 1, 12.0), (3, 107 * day, 2, 4.0), (4, 100 * day, 3, 0.0), (5, 107 * day, 3, 1.0)], TRADE)

@@ -56,18 +56,22 @@ def activation(events: DataFrame, key: str, created: Column, first_uses: dict[st
     return found.withColumn("activated", F.col("created") & reduce(lambda a, b: a | b, [F.col(n) for n in first_uses]))
 
 
-def health(activated: Column, created: Column, recent: Column, usage: Column, limit: Column, billing: Column, failing: Column, adopted: Column) -> Column:
-    """Mean, rounded half up, of six component scores from 0 to 100."""
-    ratio = usage / F.nullif(limit.cast("double"), F.lit(0.0))
-    parts = [
-        F.when(activated, 100).when(created, 40).otherwise(0),
-        F.when(recent == 0, 20).otherwise(F.least(F.lit(100), 40 + recent * 15)),
-        F.when(limit <= 0, F.when(usage > 0, 70).otherwise(30)).when(usage == 0, 25).when(ratio >= 1, 55).otherwise(half_up(40 + 60 * ratio)),
-        F.when(billing == "active", 100).when(billing == "past_due", 30).when(billing == "canceled", 10).otherwise(50),
-        F.when(failing > 0, 40).otherwise(100),
-        clamp((adopted * 25).cast("double")),
-    ]
-    return half_up(sum((p.cast("double") for p in parts), F.lit(0.0)) / len(parts)).cast("int")
+def health(activated: Column, created: Column, recent: Column, usage: Column, limit: Column, payment_failed: Column, endpoints: Column, failing: Column, billing: Column, adopted: Column) -> dict[str, Column]:
+    """Seven component scores from 0 to 100 and overall, their mean, rounded half up.
+
+    recent counts events of 14 days, failing the endpoints with failures or disabled, adopted the features used, of four."""
+    share = usage / F.nullif(limit.cast("double"), F.lit(0.0))
+    parts = {
+        "activation": F.when(activated, 100).when(created, 40).otherwise(0),
+        "recent_activity": F.when(recent == 0, 20).otherwise(F.least(F.lit(100), 40 + recent * 15)),
+        "api_usage": F.when(F.coalesce(limit, F.lit(0)) <= 0, F.when(usage > 0, 70).otherwise(30)).when(usage == 0, 25).when(share >= 1, 55).otherwise(clamp(half_up(40 + 60 * share))),
+        "errors": F.when(payment_failed, 35).otherwise(80),
+        "webhook_health": F.when(endpoints == 0, 60).when(failing == 0, 100).otherwise(F.greatest(F.lit(0), 100 - failing * 25)),
+        "billing_health": F.when(billing.isin("active", "trialing"), 100).when(billing == "past_due", 30).when(billing == "canceled", 10).otherwise(50),
+        "feature_adoption": F.least(F.lit(100), adopted * 25),
+    }
+    parts = {k: c.cast("int") for k, c in parts.items()}
+    return parts | {"overall": half_up(sum((p.cast("double") for p in parts.values()), F.lit(0.0)) / len(parts)).cast("int")}
 
 
 def entitled(rows: DataFrame, plan_table: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ladder
 from ..functions.times import DAY
-from .pit import asof_join
+from .pit import asof_join, window_join, window_values
 
 # Phrases of each direction, tried in this order.
 BULLISH = ("will go up", "going up", "i would buy", r"\bbuy\b", "undervalued", r"target\s*\$", "上がる", "買う")
@@ -26,6 +26,12 @@ HORIZONS = {
 }
 
 
+# Patterns of the numbers that a claim states.
+DAYS, TWO_WEEKS, CODE_DAYS = r"(?i)\b(\d+)\s*days?\b", "(?i)two weeks", r"(\d+)"
+TARGET, DOLLARS = r"(?i)target\s*\$?\s*([0-9]+(?:\.[0-9]+)?)", r"\$\s*([0-9]+(?:\.[0-9]+)?)"
+PERCENT, CONFIDENCE = r"([0-9]+(?:\.[0-9]+)?)\s*%", r"(?i)\b([0-9]{1,3})\s*%\s*(?:sure|confident)"
+
+
 def any_of(phrases: tuple[str, ...]) -> str:
     return "(?i)" + "|".join(phrases)
 
@@ -43,9 +49,9 @@ def horizon(text: Column) -> Column:
 
 def horizon_days(text: Column, code: Column) -> Column:
     """Days of a horizon code; of a custom one, the number in the text, else two weeks."""
-    number = F.regexp_extract(text, r"(?i)\b(\d+)\s*days?\b", 1)
-    custom = F.when(number != "", number.cast("int")).when(text.rlike("(?i)two weeks"), 14)
-    return F.when(code == "custom", custom).when(code != "unspecified", F.regexp_extract(code, r"(\d+)", 1).try_cast("int"))
+    number = F.regexp_extract(text, DAYS, 1)
+    custom = F.when(number != "", number.cast("int")).when(text.rlike(TWO_WEEKS), 14)
+    return F.when(code == "custom", custom).when(code != "unspecified", F.regexp_extract(code, CODE_DAYS, 1).try_cast("int"))
 
 
 def _number(text: Column, pattern: str) -> Column:
@@ -54,15 +60,15 @@ def _number(text: Column, pattern: str) -> Column:
 
 
 def target_price(text: Column) -> Column:
-    return F.coalesce(_number(text, r"(?i)target\s*\$?\s*([0-9]+(?:\.[0-9]+)?)"), _number(text, r"\$\s*([0-9]+(?:\.[0-9]+)?)"))
+    return F.coalesce(_number(text, TARGET), _number(text, DOLLARS))
 
 
 def target_percent(text: Column) -> Column:
-    return _number(text, r"([0-9]+(?:\.[0-9]+)?)\s*%")
+    return _number(text, PERCENT)
 
 
 def stated_confidence(text: Column) -> Column:
-    stated = _number(text, r"(?i)\b([0-9]{1,3})\s*%\s*(?:sure|confident)") / 100
+    stated = _number(text, CONFIDENCE) / 100
     return F.when(stated <= 1, stated)
 
 
@@ -70,11 +76,10 @@ def outcome(claims: DataFrame, trades: DataFrame, asof: Column) -> DataFrame:
     """claims with status, ending_price, ret, verdict, target_hit, mfe and mae.
 
     claims: id, instrument, at, direction, start_price, days, target_price. Later trades within the horizon are
-    joined on the instrument; each claim keeps one row."""
+    joined on the instrument and month; each claim keeps its row, equal ones as well."""
     end = F.col("at") + F.col("days").cast("long") * DAY
-    facts = trades.select(F.col("instrument").alias("_k"), F.col("at").alias("f_at"), F.col("id").alias("f_id"), F.col("price").alias("f_price"))
-    inside = (F.col("instrument") == F.col("_k")) & (F.col("f_at") > F.col("at")) & (F.col("f_at") <= end)
-    found = claims.join(facts, inside, "left").groupBy(*claims.columns).agg(F.max_by("f_price", F.struct("f_at", "f_id")).alias("ending_price"), F.max("f_price").alias("_high"), F.min("f_price").alias("_low"))
+    joined = window_join(claims, trades, "instrument", F.col("at"), end, 30 * DAY)
+    found = window_values(joined, claims.columns, [F.max_by("f_price", F.struct("f_at", "f_id")).alias("ending_price"), F.max("f_price").alias("_high"), F.min("f_price").alias("_low")])
     missing = F.col("instrument").isNull() | F.col("start_price").isNull() | F.col("days").isNull()
     status = ladder([(missing, "insufficient_data"), (end > asof, "pending"), (F.col("ending_price").isNull(), "missing_market_data")], "evaluated")
     done = F.col("status") == "evaluated"
@@ -88,9 +93,9 @@ def outcome(claims: DataFrame, trades: DataFrame, asof: Column) -> DataFrame:
 
 def early_score(claims: DataFrame, trades: DataFrame, days: int = 7) -> DataFrame:
     """claims with pre_move: from the first trade of the days before the claim to its start price, and early = ret - pre_move."""
-    facts = trades.select(F.col("instrument").alias("_k"), F.col("at").alias("f_at"), F.col("id").alias("f_id"), F.col("price").alias("f_price"))
-    inside = (F.col("instrument") == F.col("_k")) & (F.col("f_at") > F.col("at") - days * DAY) & (F.col("f_at") <= F.col("at"))
-    found = claims.join(facts, inside, "left").groupBy(*claims.columns).agg(F.min_by("f_price", F.struct("f_at", "f_id")).alias("_first"))
+    joined = window_join(claims, trades, "instrument", F.col("at") - days * DAY, F.col("at"), days * DAY)
+    first = F.min_by("f_price", F.when(F.col("f_at").isNotNull(), F.struct("f_at", "f_id")))
+    found = window_values(joined, claims.columns, [first.alias("_first")])
     pre = F.when(F.col("_first") > 0, (F.col("start_price") - F.col("_first")) / F.col("_first"))
     return found.withColumn("pre_move", pre).withColumn("early", F.col("ret") - F.col("pre_move")).drop("_first")
 

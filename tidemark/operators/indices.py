@@ -26,11 +26,13 @@ def qualify(definitions: DataFrame, instruments: DataFrame, counts: DataFrame) -
 
 
 def weights(members: DataFrame, by: Sequence[str] = ("index_key",)) -> DataFrame:
-    """members with weight: equal, or by sales where the method is liquidity and there are any; 8 decimals."""
-    w = W.partitionBy(*by)
-    total = F.sum("sales").over(w)
-    equal = 1.0 / F.count("*").over(w)
-    return members.withColumn("weight", F.round(F.when((F.col("method") == "liquidity") & (total > 0), F.col("sales") / total).otherwise(equal), 8))
+    """members with weight: equal, or by sales where the method is liquidity and there are any; 8 decimals.
+
+    Totals are one row per definition and broadcast, so that no index, however large, is one task's."""
+    totals = members.groupBy(*by).agg(F.sum("sales").alias("_total"), F.count("*").alias("_members"))
+    by_sales = (F.col("method") == "liquidity") & (F.col("_total") > 0)
+    weight = F.when(by_sales, F.col("sales") / F.col("_total")).otherwise(1.0 / F.col("_members"))
+    return members.join(F.broadcast(totals), list(by)).withColumn("weight", F.round(weight, 8)).drop("_total", "_members")
 
 
 def rebalance_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -31,15 +31,15 @@ def latest_asof(facts: DataFrame, keys: Sequence[str], asof: Column, values: Seq
     return found.select(*keys, *[F.col(f"_row.{v}").alias(v) for v in values])
 
 
-def asof_join(probes: DataFrame, facts: DataFrame, key: str, values: Sequence[str], prefix: str = "asof_", chunk: int | None = None) -> DataFrame:
+def asof_join(probes: DataFrame, facts: DataFrame, key: str, values: Sequence[str], prefix: str = "asof_", chunk: int | None = 30 * DAY) -> DataFrame:
     """probes with the values of the newest fact of their key at or before their at.
 
     Probes and facts are sorted together and the newest fact is carried along: linear in both, where a join on
     key and range would multiply long histories. probes need at and key; all their columns stay.
 
-    With chunk (microseconds) a key's rows are dealt out by time: the newest fact is carried within each
+    A key's rows are dealt out by time, in chunks of so many microseconds: the newest fact is carried within each
     chunk, and into it from the chunks before by a table of one row per key and chunk. A key that holds a
-    large part of all rows then fills many tasks and no single one."""
+    large part of all rows thus fills many tasks and no single one. None leaves keys whole."""
     fact = F.struct("at", *values)
     kind = facts.select(fact.alias("r")).schema["r"].dataType
     left = probes.select(key, "at", F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_fact"), F.struct("*").alias("_probe"), F.lit(None).cast("long").alias("_id"))
@@ -94,14 +94,30 @@ def period_returns(trades: DataFrame, keys: Sequence[str], asof: Column, periods
     return found.select(*keys, "n_trades", *columns)
 
 
-def forward_window(claims: DataFrame, facts: DataFrame, key: str, horizon: Column, values: Sequence[Column]) -> DataFrame:
+def window_join(probes: DataFrame, facts: DataFrame, key: str, after: Column, until: Column, width: int) -> DataFrame:
+    """probes with the facts (f_at, f_id, f_price) of their key in (after, until]; probes without any stay, with nulls.
+
+    Both sides are dealt out by key and time, in buckets of width microseconds, and a probe goes to each bucket
+    that its window meets: facts of other times are never compared. Equal probes are joined once; _copies counts them."""
+    once = probes.groupBy(*probes.columns).agg(F.count("*").alias("_copies"))
+    buckets = F.sequence(F.floor((after + 1) / width), F.greatest(F.floor(until / width), F.floor((after + 1) / width)))
+    left = once.withColumn("_bucket", F.explode_outer(buckets))
+    right = facts.select(F.col(key).alias("_k"), F.floor(F.col("at") / width).alias("_b"), F.col("at").alias("f_at"), F.col("id").alias("f_id"), F.col("price").alias("f_price"))
+    return left.join(right, (F.col(key) == F.col("_k")) & (F.col("_bucket") == F.col("_b")) & (F.col("f_at") > after) & (F.col("f_at") <= until), "left")
+
+
+def window_values(joined: DataFrame, columns: Sequence[str], values: Sequence[Column]) -> DataFrame:
+    """One row of values for each probe of window_join, equal probes each with their own. Values see null facts."""
+    found = joined.groupBy(*columns, "_copies").agg(*values)
+    return found.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copies")
+
+
+def forward_window(claims: DataFrame, facts: DataFrame, key: str, horizon: int, values: Sequence[Column]) -> DataFrame:
     """claims with aggregates over the facts of their key in (at, at + horizon]; claims without any stay, with nulls.
 
-    Aggregates see the facts as columns f_at, f_id and f_price. claims need id, at and the key. Joined on key and
-    range: the key hash-partitions both sides, the range is checked in the join."""
-    right = facts.select(F.col(key).alias("_k"), F.col("at").alias("f_at"), F.col("id").alias("f_id"), F.col("price").alias("f_price"))
-    inside = (F.col(key) == F.col("_k")) & (F.col("f_at") > F.col("at")) & (F.col("f_at") <= F.col("at") + horizon)
-    return claims.join(right, inside, "left").groupBy(*claims.columns).agg(*values)
+    Aggregates see the facts as columns f_at, f_id and f_price. claims need at and the key."""
+    joined = window_join(claims, facts, key, F.col("at"), F.col("at") + horizon, horizon)
+    return window_values(joined, claims.columns, values)
 
 
 def valid_at(intervals: DataFrame, t: Column, start: str = "effective_from", end: str = "effective_to") -> DataFrame:

@@ -59,3 +59,71 @@ def decide(candidates: DataFrame, target: str) -> DataFrame:
     gap = F.col("top") - F.coalesce("second", F.lit(0.0))
     status = ladder([((F.col("top") >= 0.86) & (gap >= 0.05), "high_confidence"), (gap < 0.05, "ambiguous"), (F.col("top") >= 0.6, "probable")], "unresolved")
     return found.withColumn("status", status).select("id", "status", F.when(F.col("status") == "high_confidence", F.col("_t")).alias(target))
+
+
+# Points of what a mention and a catalog entry have in common, and the bounds of names alike.
+IDENTITY = ("game", "set_key", "number", "language")
+POINTS = {"external": 100, "game": 20, "set_key": 40, "number": 40, "language": 40, "name_exact": 25, "name_fuzzy": 15, "content_language": 8}
+CONFLICT = -80
+ALIKE, CLOSE, CLEAR = 0.78, 0.85, 20
+
+
+def _shape(given: Sequence[str], name: Column | None) -> Column:
+    parts = [F.coalesce(F.col(a).cast("string"), F.lit("*")) if a in given else F.lit("*") for a in IDENTITY]
+    return F.concat_ws("|", *parts, F.lit("*") if name is None else name)
+
+
+def statuses(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """mentions (each with its id) with status, target, points (of the best entry) and pool (entries in question).
+
+    mentions: id, name, external, content_language and the IDENTITY attributes, all but id nullable. catalog: target,
+    concept, names (aliases among them), external and the attributes. A mention's pool are the entries equal in
+    every attribute given, met by a key of those attributes; one that gives neither set_key nor number meets
+    entries of its very name only, as anything else would pair it with much of the catalog. An external id
+    names an entry outright: conflict if an attribute given contradicts it, else exact. Names alike narrow
+    the pool. Only exact and high_confidence bind a target; mentions without any entry are unresolved."""
+    anchors = ("set_key", "number")
+    subsets = [tuple(a for i, a in enumerate(IDENTITY) if bits >> i & 1) for bits in range(1 << len(IDENTITY))]
+    by_attributes = F.array(*[_shape(s, None) for s in subsets if set(s) & set(anchors)])
+    by_name = F.flatten(F.transform("names", lambda n: F.array(*[_shape(s, n) for s in subsets if not set(s) & set(anchors)])))
+    entries = catalog.select("target", F.struct("target", "concept", "names", *IDENTITY).alias("_entry"), F.explode(F.array_union(by_attributes, by_name)).alias("_shape"))
+    anchored = F.col("set_key").isNotNull() | F.col("number").isNotNull()
+    keyed = mentions.withColumn("_shape", F.when(anchored, _shape(IDENTITY, None)).otherwise(_shape(IDENTITY, F.col("name"))))
+    pooled = keyed.join(entries.drop("target"), "_shape").drop("_shape").withColumn("_external", F.lit(False))
+    named = mentions.join(catalog.select("external", F.struct("target", "concept", "names", *IDENTITY).alias("_entry")), "external")
+    both = pooled.unionByName(named.withColumn("_external", F.lit(True))).withColumns({"_target": F.col("_entry.target"), "_concept": F.col("_entry.concept"), "_language": F.col("_entry.language")})
+    alike = F.array_max(F.transform("_entry.names", lambda n: F.when(n == F.col("name"), 1.0).otherwise(name_similarity(n, F.col("name")))))
+    conflicts = sum((F.coalesce((F.col(a) != F.col(f"_entry.{a}")).cast("int"), F.lit(0)) for a in IDENTITY), F.lit(0))
+    points = sum((F.when(F.col(a) == F.col(f"_entry.{a}"), POINTS[a]).when(F.col(a) != F.col(f"_entry.{a}"), CONFLICT).otherwise(0) for a in IDENTITY), F.lit(0))
+    scored = both.withColumns({"_sim": F.coalesce(alike, F.lit(0.0)), "_conflicts": conflicts})
+    name_points = F.when(F.col("_sim") == 1, float(POINTS["name_exact"])).when(F.col("_sim") >= ALIKE, POINTS["name_fuzzy"] * F.col("_sim")).otherwise(0.0)
+    hint = F.when(F.col("content_language") == F.col("_language"), POINTS["content_language"]).otherwise(0)
+    scored = scored.withColumn("_base", points + name_points + hint)
+    # an entry met both ways counts once, as named outright
+    once = scored.groupBy("id", "_target").agg(F.bool_or("_external").alias("_external"), *[F.first(c).alias(c) for c in ("_concept", "_language", "_sim", "_conflicts", "_base")])
+    once = once.withColumn("_points", F.col("_base") + F.when(F.col("_external") & (F.col("_conflicts") == 0), POINTS["external"]).otherwise(0))
+    is_alike = (F.col("_sim") >= ALIKE).cast("int")
+    narrowed = F.max(F.when(F.col("_conflicts") == 0, is_alike).otherwise(0)).over(W.partitionBy("id"))
+    ranked = once.withColumn("_pooled", (F.col("_conflicts") == 0) & (narrowed == is_alike))
+    ranked = ranked.withColumn("_rank", F.row_number().over(W.partitionBy("id", "_pooled").orderBy(F.desc("_points"), "_target")))
+    inside = lambda c, more=None: F.max(F.when(F.col("_pooled") if more is None else F.col("_pooled") & more, F.col(c)))
+    least = lambda c: F.min(F.when(F.col("_pooled"), F.col(c)))
+    first, next_ = F.col("_rank") == 1, F.col("_rank") == 2
+    found = ranked.groupBy("id").agg(
+        F.bool_or(F.col("_external") & (F.col("_conflicts") > 0)).alias("_clash"), F.bool_or(F.col("_external") & (F.col("_conflicts") == 0)).alias("_found"), F.max(F.when(F.col("_external"), F.col("_target"))).alias("_named"), F.count_if("_pooled").alias("pool"),
+        (least("_concept") == inside("_concept")).alias("_one"), (least("_language") != inside("_language")).alias("_languages"), inside("_sim").alias("_best"), inside("_sim", first).alias("_sim"), inside("_target", first).alias("_target"), inside("_points", first).alias("points"), inside("_points", next_).alias("_second"),
+    )
+    out, c = mentions.join(found, "id", "left").withColumn("pool", F.coalesce("pool", F.lit(0))), F.col
+    unanchored = ~anchored & c("language").isNull() & c("external").isNull()
+    whole = c("game").isNotNull() & c("set_key").isNotNull() & c("number").isNotNull() & c("language").isNotNull()
+    fuzzy = c("name").isNotNull() & (c("_sim") < 1) & (c("_sim") >= CLOSE)
+    clear = c("points") - F.coalesce("_second", F.lit(0)) >= CLEAR
+    status = ladder(
+        [
+            (c("_clash"), "conflict"), (c("_found"), "exact"), (c("pool") == 0, "unresolved"), (unanchored & c("_one") & (c("_best") < 1) & (c("_best") >= ALIKE), "probable"), (unanchored & c("_one"), "ambiguous"), (c("language").isNull() & c("_languages"), "ambiguous"), ((c("pool") == 1) & whole, "exact"), ((c("pool") == 1) & fuzzy, "high_confidence"),
+            (c("pool") == 1, "exact"), (fuzzy & clear & c("language").isNotNull() & ~whole, "high_confidence"), ((c("_sim") >= ALIKE) & (c("_sim") < 1) & c("set_key").isNull(), "probable"),
+        ],
+        "ambiguous",
+    )
+    out = out.withColumn("status", status)
+    return out.withColumn("target", F.when(c("status").isin("exact", "high_confidence"), F.when(c("_found"), c("_named")).otherwise(c("_target")))).select(*mentions.columns, "status", "target", "points", "pool")

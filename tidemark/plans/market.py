@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import authority_score, authority_weight, beta_mean, shrink, trust_state, wilson_high, wilson_low
-from ..functions.times import DAY, instant
+from ..functions.stats import authority_score, authority_weight, beta_mean, price_tier, shrink, trust_state, wilson_high, wilson_low
+from ..functions.times import DAY, instant, micros
 from ..operators import claims as claim_ops
-from ..operators import forecast, indices, pit, scoring, series
+from ..operators import authority, forecast, indices, pit, scoring, series
 from ..sources.tables import claims, daily_trades, events, quotes, table, trades
 from .catalog import ASOF, DAILY, LONG_ASOF, QUOTES, TRADES, query
 from .features import A, VECTOR, _in, event_features
@@ -127,31 +127,33 @@ SENTENCES = [
     (1, "I would buy this now, target $100 in 30 days"), (2, "overpriced, sell now"), (3, "stay away from it for a week"), (4, "keep an eye on it"), (5, "i pulled a great one, buy"), (6, "price is $40 today"),
     (7, "Undervalued! 25% upside within 6 months, 80% sure"), (8, "going down 10 % in two weeks"), (9, "nothing to say"), (10, "buy, hold 45 days"), (11, "TARGET 55.5 within a year, 120% confident"), (12, "will drop; watch it"), (13, ""), (14, "just a pull"), (15, "upbuying and reselling words are no calls"), (16, "avoid. 1 month"), (17, "これは上がる 90d"), (18, "売る $12"),
 ]
-_SENTENCES_SQL = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SENTENCES) + ") v(id, text))"
+SENTENCES_SQL = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SENTENCES) + ") v(id, text) UNION ALL SELECT 1000 + 100 * conv_id + turn, text FROM conversations)"
 
 
 def _any(phrases: tuple[str, ...]) -> str:
     return f"regexp_matches(text, '{claim_ops.any_of(phrases)}')"
 
 
-def _sentences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SENTENCES, "id int, text string")
+def sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of all conversations, and some sentences that state claims."""
+    said = table(spark, sf, "conversations").select((1000 + 100 * F.col("conv_id") + F.col("turn")).alias("id"), "text")
+    return spark.createDataFrame(SENTENCES, "id long, text string").unionByName(said)
 
 
-@query(f"WITH {_SENTENCES_SQL} SELECT id, CASE WHEN {_any(claim_ops.NON_CLAIM)} THEN NULL WHEN {_any(claim_ops.BULLISH)} THEN 'bullish' WHEN {_any(claim_ops.BEARISH)} THEN 'bearish' WHEN {_any(claim_ops.AVOID)} THEN 'avoid' WHEN {_any(claim_ops.WATCH)} THEN 'watch' END AS direction FROM s")
+@query(f"WITH {SENTENCES_SQL} SELECT id, CASE WHEN {_any(claim_ops.NON_CLAIM)} THEN NULL WHEN {_any(claim_ops.BULLISH)} THEN 'bullish' WHEN {_any(claim_ops.BEARISH)} THEN 'bearish' WHEN {_any(claim_ops.AVOID)} THEN 'avoid' WHEN {_any(claim_ops.WATCH)} THEN 'watch' END AS direction FROM s")
 def claim_extract_direction(spark: SparkSession, sf: str) -> DataFrame:
-    return _sentences(spark).select("id", claim_ops.direction(F.col("text")).alias("direction"))
+    return sentences(spark, sf).select("id", claim_ops.direction(F.col("text")).alias("direction"))
 
 
 _HORIZON = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{c}'" for c, p in claim_ops.HORIZONS.items()) + " ELSE 'unspecified' END"
 
 
-@query(rf"""WITH {_SENTENCES_SQL}, h AS (SELECT *, {_HORIZON} AS horizon FROM s)
+@query(rf"""WITH {SENTENCES_SQL}, h AS (SELECT *, {_HORIZON} AS horizon FROM s)
 SELECT id, horizon, CASE WHEN horizon = 'custom' THEN coalesce(nullif(regexp_extract(text, '(?i)\b(\d+)\s*days?\b', 1), '')::INT, CASE WHEN regexp_matches(text, '(?i)two weeks') THEN 14 END) WHEN horizon <> 'unspecified' THEN regexp_extract(horizon, '(\d+)', 1)::INT END AS days,
 coalesce(nullif(regexp_extract(text, '(?i)target\s*\$?\s*([0-9]+(?:\.[0-9]+)?)', 1), '')::DOUBLE, nullif(regexp_extract(text, '\$\s*([0-9]+(?:\.[0-9]+)?)', 1), '')::DOUBLE) AS target_price, nullif(regexp_extract(text, '([0-9]+(?:\.[0-9]+)?)\s*%', 1), '')::DOUBLE AS target_percent,
 CASE WHEN nullif(regexp_extract(text, '(?i)\b([0-9]{{1,3}})\s*%\s*(?:sure|confident)', 1), '')::DOUBLE / 100 <= 1 THEN nullif(regexp_extract(text, '(?i)\b([0-9]{{1,3}})\s*%\s*(?:sure|confident)', 1), '')::DOUBLE / 100 END AS confidence FROM h""")
 def claim_extract_horizon_target(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _sentences(spark).withColumn("horizon", claim_ops.horizon(F.col("text")))
+    rows = sentences(spark, sf).withColumn("horizon", claim_ops.horizon(F.col("text")))
     text = F.col("text")
     return rows.select("id", "horizon", claim_ops.horizon_days(text, F.col("horizon")).alias("days"), claim_ops.target_price(text).alias("target_price"), claim_ops.target_percent(text).alias("target_percent"), claim_ops.stated_confidence(text).alias("confidence"))
 
@@ -187,8 +189,8 @@ def claim_alpha(spark: SparkSession, sf: str) -> DataFrame:
     group = (F.col("instrument") % 2).cast("long")
     levels = indices.market_levels(trades(spark, sf), group).withColumnRenamed("index_key", "g")
     rows = _outcomes(spark, sf).withColumn("g", group)
-    at_claim = pit.asof_join(rows, levels, "g", ["level"], "start_")
-    at_end = pit.asof_join(at_claim.withColumn("at", F.col("at") + 7 * DAY), levels, "g", ["level"], "end_")
+    at_claim = pit.asof_join(rows, levels, "g", ["level"], "start_", chunk=DAY)
+    at_end = pit.asof_join(at_claim.withColumn("at", F.col("at") + 7 * DAY), levels, "g", ["level"], "end_", chunk=DAY)
     bench = indices.simple_return(F.col("start_level"), F.col("end_level"))
     status = F.when(F.col("status") != "evaluated", "insufficient_outcome").when(bench.isNull(), "insufficient_benchmark").otherwise("ok")
     return at_end.select("id", status.alias("alpha_status"), F.round(F.when(F.col("status") == "evaluated", F.col("ret") - bench), 6).alias("alpha"))
@@ -225,6 +227,39 @@ def authority_trust_weight(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("forecaster", "state", F.round(authority_score(F.col("n"), F.col("low"), F.col("mean_return")), 4).alias("score"), F.round(authority_weight(F.col("n"), F.col("low"), F.col("state")), 6).alias("weight"))
 
 
+_AUTHORITY = ("calls", "n", "k", "state")
+_AUTHORITY_ROUNDED = ("mean_return", "mean_relative", "recency_accuracy", "calibration", "accuracy", "wilson_low", "wilson_high", "bayes_mean", "score", "weight")
+_Z2 = "1.96 * 1.96"
+
+
+def _wilson_sql(sign: str, none: int) -> str:
+    return f"CASE WHEN n > 0 THEN greatest(least((k / n + {_Z2} / (2.0 * n) {sign} 1.96 * sqrt(k / n * (1 - k / n) / n + {_Z2} / (4.0 * n * n))) / (1 + {_Z2} / n), 1), 0) ELSE {none} END"
+
+
+@query(f"""WITH c AS (SELECT o_custkey AS forecaster, o_orderdate AS ts, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE substr(o_orderpriority, 1, 1) END AS game, CASE WHEN o_orderkey % 2 = 0 THEN 'en' ELSE 'ja' END AS language, (o_orderkey % 3)::VARCHAR AS set_key, CASE WHEN o_totalprice < 25000 THEN 'lt_25' WHEN o_totalprice < 100000 THEN '25_100' WHEN o_totalprice < 500000 THEN '100_500' ELSE 'gte_500' END AS tier, CASE WHEN o_orderkey % 4 < 2 THEN '7d' ELSE '30d' END AS horizon,
+ o_orderstatus = 'F' AS hit, o_orderstatus IN ('F', 'O') AS directional, (o_totalprice - 250000) / 500000 AS ret, CASE WHEN o_orderkey % 3 = 0 THEN (o_totalprice - 250000) / 500000 - 0.05 END AS relative, CASE WHEN o_orderkey % 5 = 0 THEN (o_orderkey % 100) / 100.0::DOUBLE END AS confidence FROM orders),
+x AS (SELECT * FROM c UNION ALL SELECT * REPLACE ('*' AS set_key, '*' AS tier, '*' AS horizon) FROM c UNION ALL SELECT * REPLACE ('*' AS game, '*' AS language, '*' AS set_key, '*' AS tier, '*' AS horizon) FROM c),
+y AS (SELECT *, pow(0.5::DOUBLE, epoch(TIMESTAMP '{LONG_ASOF}' - ts) / 86400.0 / 180.0) AS w FROM x),
+a AS (SELECT forecaster, game, language, set_key, tier, horizon, count(*) AS calls, count(*) FILTER (WHERE directional) AS n, count(*) FILTER (WHERE hit) AS k, avg(ret) AS mean_return, avg(relative) AS mean_relative, sum(w * hit::INT) FILTER (WHERE directional) / sum(w) FILTER (WHERE directional) AS recency_accuracy, avg((confidence - hit::INT) ** 2) FILTER (WHERE directional AND confidence IS NOT NULL) AS calibration FROM y GROUP BY ALL),
+t AS (SELECT user_id AS forecaster, arg_max((props->>'$.k')::BIGINT % 10 = 0, (ts, event_id)) AS excluded FROM events WHERE event_type = 'error' GROUP BY 1),
+l AS (SELECT a.*, {_wilson_sql('-', 0)} AS low, {_wilson_sql('+', 1)} AS high, coalesce(excluded, false) AS excluded FROM a LEFT JOIN t ON t.forecaster = a.forecaster),
+s AS (SELECT *, CASE WHEN excluded THEN 'excluded' WHEN n < 5 THEN 'low_confidence' WHEN low < 0.35 AND n >= 8 THEN 'unreliable' WHEN n < 20 THEN 'developing' WHEN n >= 50 AND low >= 0.62 THEN 'trusted' WHEN low >= 0.5 THEN 'reliable' ELSE 'developing' END AS state,
+ CASE WHEN n > 0 THEN k / n END AS accuracy, CASE WHEN n > 0 THEN low END AS wilson_low, CASE WHEN n > 0 THEN high END AS wilson_high, CASE WHEN n > 0 THEN (k + 8) / (n + 16) END AS bayes_mean, least(greatest(100 * (0.85 * low + 0.15 * (0.5 + coalesce(least(greatest(mean_return, -0.5), 0.5), 0))) * n / (n + 20), 0), 100) AS score FROM l),
+w AS (SELECT *, CASE state WHEN 'excluded' THEN 0 WHEN 'unreliable' THEN 0.05 * n / (n + 20) ELSE n / (n + 20) * CASE state WHEN 'trusted' THEN 1 WHEN 'reliable' THEN 0.8 WHEN 'developing' THEN 0.45 ELSE 0.2 END * low END AS weight FROM s)
+SELECT forecaster, game, language, set_key, tier, horizon, {', '.join(_AUTHORITY)}, {', '.join(f'round({c} + 1e-9, 5) + 0.0 AS {c}' for c in _AUTHORITY_ROUNDED)} FROM w""")
+def authority_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as calls of customers; error events of the same number as trust events."""
+    i, price, c = F.col("o_orderkey"), F.col("o_totalprice"), F.col
+    ret = (price - 250000) / 500000
+    calls = table(spark, sf, "orders").select(
+        c("o_custkey").alias("forecaster"), micros(c("o_orderdate")).alias("at"), F.when(i % 11 != 0, F.substring("o_orderpriority", 1, 1)).alias("game"), F.when(i % 2 == 0, "en").otherwise("ja").alias("language"), (i % 3).alias("set_key"), price_tier(price / 1000).alias("tier"), F.when(i % 4 < 2, "7d").otherwise("30d").alias("horizon"),
+        F.when(c("o_orderstatus") == "F", "correct").when(c("o_orderstatus") == "O", "incorrect").otherwise("flat").alias("verdict"), ret.alias("ret"), F.when(i % 3 == 0, ret - 0.05).alias("relative"), F.when(i % 5 == 0, (i % 100) / 100).alias("confidence"),
+    )
+    stated = events(spark, sf, "error").select(c("instrument").alias("forecaster"), "at", "id", F.when(c("k") % 10 == 0, "excluded").otherwise("restored").alias("state"))
+    found = authority.slices(calls, authority.latest_trust(stated, "forecaster"), "forecaster", instant(LONG_ASOF))
+    return found.select("forecaster", *authority.SLICE, *_AUTHORITY, *[(F.round(F.col(x) + 1e-9, 5) + 0.0).alias(x) for x in _AUTHORITY_ROUNDED])
+
+
 # scores ----------------------------------------------------------------------------------------------
 
 
@@ -373,7 +408,7 @@ def _evaluate(forecasts: DataFrame, spark: SparkSession, sf: str, days: int) ->
     """Forecasts (instrument, at, last_price, ...) against the unflagged trades of the days after their issue."""
     clean = series.outlier_flags(trades(spark, sf)).where("not outlier")
     keyed = forecasts.withColumn("id", F.xxhash64("instrument", "at"))
-    found = pit.forward_window(keyed, clean, "instrument", F.lit(days * DAY), [F.max_by("f_price", F.struct("f_at", "f_id")).alias("_last"), F.max("f_price").alias("_peak"), F.min("f_price").alias("_low")])
+    found = pit.forward_window(keyed, clean, "instrument", days * DAY, [F.max_by("f_price", F.struct("f_at", "f_id")).alias("_last"), F.max("f_price").alias("_peak"), F.min("f_price").alias("_low")])
     c = F.col
     return found.withColumns(forecast.evaluation(c("last_price"), c("_last"), c("_peak"), c("_low"), c("expected"), c("low"), c("high"), c("p_up")))
 

@@ -76,6 +76,38 @@ def resolve_decide(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.decide(_fuzzy(spark, sf), "target")
 
 
+_CATALOG = "c AS (SELECT p_partkey AS target, p_name AS concept, CASE WHEN p_partkey % 4 = 0 THEN [p_name, p_name || ' xl'] ELSE [p_name] END AS names, p_type AS game, p_brand AS set_key, p_size AS number, CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'ja' END AS language, 'x' || p_partkey AS external FROM part)"
+_MENTIONS = """m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 19 <> 0 THEN CASE WHEN p_partkey % 8 = 0 THEN p_name || ' xl' ELSE replace(p_name, 'e', CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE 'e' END) END END AS name, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS game, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS set_key,
+ CASE WHEN p_partkey % 17 = 0 THEN -1 WHEN p_partkey % 4 <> 0 THEN p_size END AS number, CASE WHEN p_partkey % 6 >= 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'ja' END END AS language, CASE p_partkey % 13 WHEN 0 THEN 'x' || p_partkey WHEN 1 THEN 'x' || (p_partkey + 1) END AS external, CASE WHEN p_partkey % 7 = 0 THEN 'ja' END AS content_language FROM part)"""
+_SAME = " AND ".join(f"(m.{a} IS NULL OR m.{a} = c.{a})" for a in resolve.IDENTITY)
+_UNLIKE = " + ".join(f"coalesce((m.{a} <> c.{a})::INT, 0)" for a in resolve.IDENTITY)
+_ATTRIBUTE_POINTS = " + ".join(f"CASE WHEN m.{a} = c.{a} THEN {resolve.POINTS[a]} WHEN m.{a} <> c.{a} THEN {resolve.CONFLICT} ELSE 0 END" for a in resolve.IDENTITY)
+_NAME_SQL = "list_max(list_transform(c.names, lambda n: CASE WHEN n = m.name THEN 1.0::DOUBLE ELSE greatest(1 - levenshtein(n, m.name) / greatest(length(n), length(m.name)), 2.0::DOUBLE * len(list_intersect(list_distinct(string_split(n, ' ')), list_distinct(string_split(m.name, ' ')))) / (len(list_distinct(string_split(n, ' '))) + len(list_distinct(string_split(m.name, ' '))))) END))"
+
+
+@query(f"""WITH {_CATALOG}, {_MENTIONS}, x AS (SELECT m.id, m.external IS NOT NULL AND m.external = c.external AS by_external, {_UNLIKE} AS conflicts, c.target, c.concept, c.language AS lang, coalesce({_NAME_SQL}, 0) AS sim, {_ATTRIBUTE_POINTS} AS attributes, coalesce(m.content_language = c.language, false) AS hinted
+ FROM m JOIN c ON ({_SAME} AND (m.set_key IS NOT NULL OR m.number IS NOT NULL OR list_contains(c.names, m.name))) OR m.external = c.external),
+y AS (SELECT *, attributes + CASE WHEN sim = 1 THEN 25 WHEN sim >= 0.78 THEN 15 * sim ELSE 0 END + CASE WHEN hinted THEN 8 ELSE 0 END + CASE WHEN by_external AND conflicts = 0 THEN 100 ELSE 0 END AS points, conflicts = 0 AND max((sim >= 0.78 AND conflicts = 0)::INT) OVER (PARTITION BY id) = (sim >= 0.78)::INT AS pooled FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, pooled ORDER BY points DESC, target) AS rank FROM y),
+g AS (SELECT id, bool_or(by_external AND conflicts > 0) AS clash, bool_or(by_external AND conflicts = 0) AS found, max(target) FILTER (WHERE by_external) AS external_target, count(*) FILTER (WHERE pooled) AS n, min(concept) FILTER (WHERE pooled) = max(concept) FILTER (WHERE pooled) AS one_concept, min(lang) FILTER (WHERE pooled) <> max(lang) FILTER (WHERE pooled) AS languages,
+ max(sim) FILTER (WHERE pooled) AS best_name, max(sim) FILTER (WHERE pooled AND rank = 1) AS sim, max(target) FILTER (WHERE pooled AND rank = 1) AS target, max(points) FILTER (WHERE pooled AND rank = 1) AS points, max(points) FILTER (WHERE pooled AND rank = 2) AS second FROM r GROUP BY id),
+s AS (SELECT m.id, g.*, CASE WHEN clash THEN 'conflict' WHEN found THEN 'exact' WHEN coalesce(n, 0) = 0 THEN 'unresolved' WHEN m.set_key IS NULL AND m.number IS NULL AND m.language IS NULL AND m.external IS NULL AND one_concept AND best_name < 1 AND best_name >= 0.78 THEN 'probable' WHEN m.set_key IS NULL AND m.number IS NULL AND m.language IS NULL AND m.external IS NULL AND one_concept THEN 'ambiguous'
+ WHEN m.language IS NULL AND languages THEN 'ambiguous' WHEN n = 1 AND m.game IS NOT NULL AND m.set_key IS NOT NULL AND m.number IS NOT NULL AND m.language IS NOT NULL THEN 'exact' WHEN n = 1 AND m.name IS NOT NULL AND sim < 1 AND sim >= 0.85 THEN 'high_confidence' WHEN n = 1 THEN 'exact'
+ WHEN m.name IS NOT NULL AND sim < 1 AND sim >= 0.85 AND points - coalesce(second, 0) >= 20 AND m.language IS NOT NULL AND NOT (m.game IS NOT NULL AND m.set_key IS NOT NULL AND m.number IS NOT NULL) THEN 'high_confidence' WHEN sim >= 0.78 AND sim < 1 AND m.set_key IS NULL THEN 'probable' ELSE 'ambiguous' END AS status FROM m LEFT JOIN g ON g.id = m.id)
+SELECT id, status, CASE WHEN status IN ('exact', 'high_confidence') THEN CASE WHEN found THEN external_target ELSE target END END AS target, round(points, 4) AS points, coalesce(n, 0) AS pool FROM s""")
+def resolve_entity_status(spark: SparkSession, sf: str) -> DataFrame:
+    parts, k, name = table(spark, sf, "part"), F.col("p_partkey"), F.col("p_name")
+    language = F.when(k % 2 == 0, "en").otherwise("ja")
+    other = F.concat(name, F.lit(" xl"))
+    catalog = parts.select(k.alias("target"), name.alias("concept"), F.when(k % 4 == 0, F.array(name, other)).otherwise(F.array(name)).alias("names"), F.col("p_type").alias("game"), F.col("p_brand").alias("set_key"), F.col("p_size").alias("number"), language.alias("language"), F.concat(F.lit("x"), k).alias("external"))
+    wrong = F.when(k % 8 == 0, other).otherwise(F.replace(name, F.lit("e"), F.when(k % 3 == 0, "a").otherwise("e")))
+    mentions = parts.select(
+        k.alias("id"), F.when(k % 19 != 0, wrong).alias("name"), F.when(k % 3 != 0, F.col("p_type")).alias("game"), F.when(k % 5 != 0, F.col("p_brand")).alias("set_key"), F.when(k % 17 == 0, -1).when(k % 4 != 0, F.col("p_size")).alias("number"),
+        F.when(k % 6 >= 2, language).alias("language"), F.when(k % 13 == 0, F.concat(F.lit("x"), k)).when(k % 13 == 1, F.concat(F.lit("x"), k + 1)).alias("external"), F.when(k % 7 == 0, "ja").alias("content_language"),
+    )
+    return resolve.statuses(mentions, catalog).select("id", "status", "target", F.round("points", 4).alias("points"), "pool")
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, metric_key, value, unit FROM (
 SELECT l_orderkey, l_linenumber, l_partkey, 'price' AS metric_key, l_extendedprice / l_quantity AS value, 'USD' AS unit FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 0
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'quantity', l_quantity, 'units' FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'discount', l_discount, 'ratio' FROM lineitem WHERE l_discount > 0.05)""")
@@ -154,18 +186,31 @@ def crm_activation(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(first, "organization", "left")
 
 
-_BILLING = "CASE organization % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'past_due' WHEN 2 THEN 'canceled' ELSE 'none' END"
+_BILLING = "CASE organization % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'past_due' WHEN 2 THEN 'canceled' WHEN 3 THEN 'trialing' ELSE 'none' END"
+HEALTH = ("activation", "recent_activity", "api_usage", "errors", "webhook_health", "billing_health", "feature_adoption", "overall")
 
 
-@query(f"""WITH e AS (SELECT user_id AS organization, bool_or(event_type = 'signup') AS created, bool_or(event_type = 'purchase') AND bool_or(event_type = 'signup') AS activated, count(*) FILTER (WHERE ts >= {A} - INTERVAL 14 DAY AND ts <= {A}) AS recent, coalesce(sum((props->>'$.k')::BIGINT) FILTER (WHERE event_type = 'signup'), 0)::BIGINT AS used, count(*) FILTER (WHERE event_type = 'error') AS failing, count(DISTINCT event_type) AS adopted FROM events GROUP BY 1),
-h AS (SELECT organization, CASE WHEN activated THEN 100 WHEN created THEN 40 ELSE 0 END AS a, CASE WHEN recent = 0 THEN 20 ELSE least(100, 40 + recent * 15) END AS b, CASE WHEN used = 0 THEN 25 WHEN used / 1000.0 >= 1 THEN 55 ELSE floor(40 + 60 * (used / 1000.0::DOUBLE) + 0.5) END AS c, CASE {_BILLING} WHEN 'active' THEN 100 WHEN 'past_due' THEN 30 WHEN 'canceled' THEN 10 ELSE 50 END AS d, CASE WHEN failing > 10 THEN 40 ELSE 100 END AS f, least(adopted * 25, 100) AS g FROM e)
-SELECT organization, floor((a + b + c + d + f + g) / 6.0 + 0.5)::INT AS health FROM h""")
+@query(f"""WITH e AS (SELECT user_id AS organization, bool_or(event_type = 'signup') AS created, bool_or(event_type = 'purchase') AND bool_or(event_type = 'signup') AS activated, count(*) FILTER (WHERE ts >= {A} - INTERVAL 14 DAY AND ts <= {A} AND event_type <> 'view') AS recent, coalesce(sum((props->>'$.k')::BIGINT) FILTER (WHERE event_type = 'signup'), 0)::BIGINT AS used,
+ bool_or(event_type = 'error' AND (props->>'$.k')::BIGINT > 97) AS payment_failed, count(DISTINCT event_type) FILTER (WHERE event_type <> 'error' AND value > 150) AS adopted, CASE WHEN user_id % 7 = 0 THEN 0 ELSE 1000 END AS lim FROM events GROUP BY user_id),
+w AS (SELECT o_custkey AS organization, count(*) AS endpoints, count(*) FILTER (WHERE o_orderstatus = 'F') AS failing FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1),
+h AS (SELECT e.organization, CASE WHEN activated THEN 100 WHEN created THEN 40 ELSE 0 END AS activation, CASE WHEN recent = 0 THEN 20 ELSE least(100, 40 + recent * 15) END AS recent_activity, CASE WHEN lim <= 0 THEN CASE WHEN used > 0 THEN 70 ELSE 30 END WHEN used = 0 THEN 25 WHEN used >= lim THEN 55 ELSE floor(40 + 60 * (used / lim) + 0.5) END AS api_usage,
+ CASE WHEN payment_failed THEN 35 ELSE 80 END AS errors, CASE WHEN coalesce(endpoints, 0) = 0 THEN 60 WHEN failing = 0 THEN 100 ELSE greatest(0, 100 - failing * 25) END AS webhook_health, CASE {_BILLING.replace("organization", "e.organization")} WHEN 'active' THEN 100 WHEN 'trialing' THEN 100 WHEN 'past_due' THEN 30 WHEN 'canceled' THEN 10 ELSE 50 END AS billing_health, least(100, adopted * 25) AS feature_adoption FROM e LEFT JOIN w ON w.organization = e.organization)
+SELECT organization, {', '.join(f"{c}::INT AS {c}" for c in HEALTH[:-1])}, floor((activation + recent_activity + api_usage + errors + webhook_health + billing_health + feature_adoption) / 7.0::DOUBLE + 0.5)::INT AS overall FROM h""")
 def crm_health(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.col("event_type")
-    found = events(spark, sf).groupBy(F.col("instrument").alias("organization")).agg(F.bool_or(kind == "signup").alias("created"), (F.bool_or(kind == "purchase") & F.bool_or(kind == "signup")).alias("activated"), F.count_if((F.col("at") >= instant(ASOF) - 14 * DAY) & (F.col("at") <= instant(ASOF))).alias("recent"), F.coalesce(F.sum(F.when(kind == "signup", F.col("k"))), F.lit(0)).alias("used"), F.count_if(kind == "error").alias("errors"), F.countDistinct("event_type").alias("adopted"))
-    c, i = F.col, F.col("organization") % 4
-    billing = F.when(i == 0, "active").when(i == 1, "past_due").when(i == 2, "canceled").otherwise("none")
-    return found.select("organization", accounts.health(c("activated"), c("created"), c("recent"), c("used"), F.lit(1000), billing, (c("errors") > 10).cast("int"), c("adopted")).alias("health"))
+    """Organisations are users of events, their webhook endpoints a fifth of their orders."""
+    kind, c = F.col("event_type"), F.col
+    recent = (c("at") >= instant(ASOF) - 14 * DAY) & (c("at") <= instant(ASOF)) & (kind != "view")
+    found = events(spark, sf).groupBy(c("instrument").alias("organization")).agg(
+        F.bool_or(kind == "signup").alias("created"), (F.bool_or(kind == "purchase") & F.bool_or(kind == "signup")).alias("activated"), F.count_if(recent).alias("recent"), F.coalesce(F.sum(F.when(kind == "signup", c("k"))), F.lit(0)).alias("used"),
+        F.bool_or((kind == "error") & (c("k") > 97)).alias("payment_failed"), F.countDistinct(F.when((kind != "error") & (c("price") > 150), kind)).alias("adopted"),
+    )
+    hooks = claims(spark, sf).where("id % 5 = 0").groupBy(c("forecaster").alias("organization")).agg(F.count("*").alias("endpoints"), F.count_if(c("status") == "F").alias("failing"))
+    rows = found.join(hooks, "organization", "left").fillna(0, ["endpoints", "failing"])
+    i = c("organization") % 5
+    billing = F.when(i == 0, "active").when(i == 1, "past_due").when(i == 2, "canceled").when(i == 3, "trialing").otherwise("none")
+    limit = F.when(c("organization") % 7 == 0, 0).otherwise(1000)
+    scores = accounts.health(c("activated"), c("created"), c("recent"), c("used"), limit, c("payment_failed"), c("endpoints"), c("failing"), billing, c("adopted"))
+    return rows.select("organization", *[x.alias(k) for k, x in scores.items()])
 
 
 SEGMENTS = {"builders": [("c_mktsegment", "eq", "BUILDING"), ("c_nationkey", "neq", 3)], "not_autos": [("c_mktsegment", "neq", "AUTOMOBILE")], "none": [], "broken": [("c_mktsegment", "like", "A%")]}
@@ -226,10 +271,10 @@ def content_thin_evidence_gate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(key.alias("id"), thin.alias("thin"))
 
 
-@query("""WITH p AS (SELECT c_custkey AS user_id, category, channel FROM customer, (VALUES ('account'), ('billing'), ('usage'), ('security'), ('product'), ('marketing')) a(category), (VALUES ('email'), ('in_app'), ('webhook')) b(channel) WHERE c_custkey < 200)
+@query("""WITH p AS (SELECT c_custkey AS user_id, category, channel FROM customer, (VALUES ('account'), ('billing'), ('usage'), ('security'), ('product'), ('marketing')) a(category), (VALUES ('email'), ('in_app'), ('webhook')) b(channel))
 SELECT user_id AS "user", category, channel, CASE WHEN category IN ('account', 'security') AND channel <> 'webhook' THEN true WHEN user_id % 3 = 0 AND category = 'usage' THEN channel = 'webhook' WHEN category = 'marketing' THEN false WHEN category IN ('account', 'security', 'billing', 'usage') THEN channel <> 'webhook' ELSE channel = 'in_app' END AS opted_in FROM p""")
 def prefs_default_cross_product(spark: SparkSession, sf: str) -> DataFrame:
-    users = table(spark, sf, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("user"))
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user"))
     channels = F.array(*[F.lit(c) for c in accounts.CHANNELS])
     stored = users.where("user % 3 = 0").select("user", F.lit("usage").alias("category"), F.explode(channels).alias("channel")).withColumn("opted_in", F.col("channel") == "webhook")
     return accounts.preferences(users, stored)

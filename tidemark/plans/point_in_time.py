@@ -83,7 +83,7 @@ SELECT id, instrument, count(price) AS n, round(arg_max(r, (ts, tid)), 6) AS ret
 def pit_forward_window_mfe_mae(spark: SparkSession, sf: str) -> DataFrame:
     probes = events(spark, sf, "click").where(F.col("at") <= instant("2024-01-20 00:00:00")).select("id", "instrument", "at", F.col("price").alias("start_price"))
     r = F.col("f_price") / F.nullif(F.col("start_price"), F.lit(0.0)) - 1
-    found = pit.forward_window(probes, trades(spark, sf), "instrument", F.lit(7 * DAY), [F.count("f_price").alias("n"), F.max_by(r, F.struct("f_at", "f_id")).alias("ret"), F.max(r).alias("high"), F.min(r).alias("low")])
+    found = pit.forward_window(probes, trades(spark, sf), "instrument", 7 * DAY, [F.count("f_price").alias("n"), F.max_by(r, F.struct("f_at", "f_id")).alias("ret"), F.max(r).alias("high"), F.min(r).alias("low")])
     zero = lambda f, c: F.when(F.col(c).isNotNull(), f(F.col(c), F.lit(0.0))).otherwise(F.lit(0.0))
     return found.select("id", "instrument", "n", r6("ret"), F.round(zero(F.greatest, "high"), 6).alias("mfe"), F.round(zero(F.least, "low"), 6).alias("mae"))
 

@@ -13,10 +13,10 @@ from ..sources import fixtures
 from ..sources.tables import claims, events, table
 from .catalog import ASOF, query
 from .features import A
-from .market import SENTENCES, _any
+from .market import SENTENCES_SQL, _any, sentences
 
 SIGNALS = [(1, "Falcon 214/167 japanese reverse holo", ""), (2, "first edition promo P-001 English", "ja"), (3, "alt-art TG05/TG30 zh-hant", " "), (4, "plain words", None), (5, "HOLO in simplified chinese, 031", ""), (6, "normal jp", "en")]
-_SIG = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {'NULL' if e is None else repr(e)})" for i, t, e in SIGNALS) + ") v(id, text, given))"
+_SIG = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {'NULL' if e is None else repr(e)})" for i, t, e in SIGNALS) + ") v(id, text, given) UNION ALL SELECT 1000 + 100 * conv_id + turn, text, role FROM conversations WHERE role IS NULL OR role <> 'system')"
 
 
 def _case(tokens: tuple[tuple[str, str], ...]) -> str:
@@ -25,7 +25,8 @@ def _case(tokens: tuple[tuple[str, str], ...]) -> str:
 
 @query(rf"WITH {_SIG} SELECT id, coalesce(nullif(trim(given), ''), {_case(records.LANGUAGE_TOKENS)}) AS language, {_case(records.VARIANT_TOKENS)} AS variant, nullif(regexp_extract(text, '{records.COLLECTOR}', 1), '') AS collector FROM s")
 def text_infer_signals(spark: SparkSession, sf: str) -> DataFrame:
-    rows, text = spark.createDataFrame(SIGNALS, "id int, text string, given string"), F.col("text")
+    said = table(spark, sf, "conversations").where("role IS NULL OR role <> 'system'").select((1000 + 100 * F.col("conv_id") + F.col("turn")).alias("id"), "text", F.col("role").alias("given"))
+    rows, text = spark.createDataFrame(SIGNALS, "id long, text string, given string").unionByName(said), F.col("text")
     return rows.select("id", records.explicit_or(F.col("given"), records.language(text)).alias("language"), records.variant(text).alias("variant"), records.collector_number(text).alias("collector"))
 
 
@@ -192,10 +193,9 @@ _TAG = {
 }
 
 
-@query("SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _TAG.items()) + ") AS tags FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SENTENCES) + ") v(id, text)")
+@query(f"WITH {SENTENCES_SQL} SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _TAG.items()) + ") AS tags FROM s")
 def text_evidence_tags(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(SENTENCES, "id int, text string")
-    return rows.select("id", F.array_join(claim_ops.evidence_tags(F.col("text")), ",").alias("tags"))
+    return sentences(spark, sf).select("id", F.array_join(claim_ops.evidence_tags(F.col("text")), ",").alias("tags"))
 
 
 @query("""WITH r AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'bullish' WHEN 1 THEN 'up' WHEN 2 THEN 'avoid' ELSE 'bearish' END AS d, CASE event_id % 7 WHEN 0 THEN 'soon' ELSE '30d' END AS h, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value - 100 END AS p, (props->>'$.k')::BIGINT / 80.0::DOUBLE AS c FROM events)

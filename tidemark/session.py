@@ -24,9 +24,11 @@ def session(app: str = "tidemark", shuffle_partitions: int | None = None, **conf
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster shares (spark.checkpoint.dir); on one machine, where none is set, under a temporary one."""
+    """A new folder under the one that the cluster shares (spark.checkpoint.dir); where none is set and Spark runs on this machine alone, under a temporary one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         known = spark.sparkContext.getCheckpointDir()
     return f"{known}/{name}-{uuid.uuid4().hex}"
