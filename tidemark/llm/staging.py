@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where none is set, as in tests on one machine, one is made."""
+    """The folder in ``spark.checkpoint.dir``; only where none is set and Spark runs on this machine alone, as in tests, one is made."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         known = spark.sparkContext.getCheckpointDir()
     return known
@@ -42,7 +43,6 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):  # what the first collection finalises goes with the second
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.1)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:

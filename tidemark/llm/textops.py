@@ -1,9 +1,7 @@
 """Vectorised text primitives used inside Arrow tasks.
 
 A slice of an Arrow string column is one byte array plus document offsets; words, hashes and
-windows are computed over the whole slice at once, so Python touches no single word. Word hashes
-come from prefix sums of a byte polynomial modulo 2**64: the hash of any byte range is
-``(P[end] - P[start]) * B**-start``, which makes it independent of where the range stands.
+windows are computed over the whole slice at once, so Python touches no single word.
 """
 
 from __future__ import annotations
@@ -12,12 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Text bytes handled at once; a longer single document is handled alone.
 SLICE_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -31,46 +28,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of the sequence a, b of hashes."""
+    return mix(a * np.uint64(0xC2B2AE3D27D4EB4F) + b)
 
 
-class _PowerTable:
-    """Powers of the polynomial's base and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.zeros(0, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, SLICE_BYTES + 4096)
-            self.up, self.down = _powers(_BASE, size), _powers(_INVERSE, size)
-        return self.up[:n], self.down[:n]
-
-
-_TABLE = _PowerTable()
-_BYTE_CODES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)]
+#: Longer byte ranges are hashed one by one.
+LONG = 512
 
 
 class RangeHash:
-    """Hashes of byte ranges of one slice; ``which`` selects one of two independent hashes."""
+    """Hashes of byte ranges of one slice: eight bytes at a time, each step mixed so that no algebra of texts makes equal hashes."""
 
-    def __init__(self, data: np.ndarray, which: int = 0) -> None:
-        up, self._down = _TABLE.upto(len(data) + 1)
-        self._sum = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODES[which][data] * up[: len(data)], out=self._sum[1:])
+    def __init__(self, data: np.ndarray) -> None:
+        self._data = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
+        # the eight bytes from every place on
+        self._at = np.ndarray((len(data) + 9,), dtype="<u8", buffer=self._data, strides=(1,))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self._sum[end] - self._sum[start]) * self._down[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        size = end - start
+        out = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+        while len(live):
+            rest = size[live] - at
+            chunk = self._at[start[live] + at]
+            short = np.flatnonzero(rest < 8)
+            chunk[short] &= (np.uint64(1) << (8 * rest[short]).astype(np.uint64)) - np.uint64(1)
+            out[live] = mix(out[live] * np.uint64(0x9E3779B97F4A7C15) ^ chunk)
+            live, at = live[rest > 8], at + 8
+        for i in np.flatnonzero(size > LONG):
+            out[i] = xxhash.xxh3_64_intdigest(self._data[start[i] : end[i]])
+        return out
 
     def fixed(self, size: int) -> np.ndarray:
-        """Hashes of all ranges of ``size`` bytes, by start."""
-        n = len(self._sum) - size
-        return mix((self._sum[size:] - self._sum[:n]) * self._down[:n]) if n > 0 else np.zeros(0, dtype=np.uint64)
+        """Hashes of all ranges of ``size`` bytes, a multiple of 8, by start."""
+        n = len(self._data) - 16 - size + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.uint64)
+        out = np.full(n, size, dtype=np.uint64)
+        for at in range(0, size, 8):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ self._at[at : at + n])
+        return out
 
 
 class TextSlice:
@@ -127,11 +125,21 @@ def gram_hashes(words: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    total = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        total = total * np.uint64(0xC2B2AE3D27D4EB4F) + words[j : j + n]
     at = np.flatnonzero(docs[:n] == docs[k - 1 :])
-    return mix(total[at]), at
+    return _runs(words, k)[at], at
+
+
+def _runs(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, joined from runs whose lengths are powers of two."""
+    n = len(words) - k + 1
+    out, done, power, size = None, 0, words, 1
+    while True:
+        if k & size:
+            out = power[:n] if out is None else combine(out, power[done : done + n])
+            done += size
+        if 2 * size > k:
+            return out if out is not words else words[:n]
+        power, size = combine(power[: len(power) - size], power[size:]), 2 * size
 
 
 def doc_bounds(docs: np.ndarray, n_docs: int) -> np.ndarray:
@@ -139,6 +147,12 @@ def doc_bounds(docs: np.ndarray, n_docs: int) -> np.ndarray:
     return np.searchsorted(docs, np.arange(n_docs + 1))
 
 
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row index of each list entry and the entries of a column of lists."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), lengths), column.flatten()
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return x.view(np.int64)
@@ -157,9 +171,7 @@ def shingle_sets(piece: TextSlice, k: int) -> tuple[np.ndarray, np.ndarray]:
     for d in range(piece.n_docs):
         own = grams[bounds[d] : bounds[d + 1]]
         if not len(own) and wb[d + 1] > wb[d]:
-            own = np.zeros(1, dtype=np.uint64)
-            for at in range(wb[d], wb[d + 1]):
-                own = mix(own * np.uint64(31) + hashes[at : at + 1])
+            own = _runs(hashes[wb[d] : wb[d + 1]], int(wb[d + 1] - wb[d]))
         own = np.unique(own)
         out.append(own)
         lens[d + 1] = len(own)
