@@ -9,13 +9,13 @@ share the bytes after the trigger (the phrase's tail). The dictionary is grouped
 * a phrase whose tail is unique in the corpus holds no repeated window,
 * a phrase found twice or more is repeated with all its windows, whatever their number,
 * only tails shared by different phrases need the dictionary's suffixes: each of those distinct phrases
-  is copied once into the dictionary, whose suffixes are compared by tiers of TIER windows: a tier whose
-  common bytes are unique holds nothing, one all of whose bytes are found twice is repeated whole, and
-  only the rest are opened into windows, of which equal ones meet by fingerprint.
+  is copied once into the dictionary, whose suffixes are first sifted by tiers of TIER windows: a tier whose
+  common bytes are unique holds nothing, one all of whose bytes are found twice is repeated whole. The
+  suffixes that begin in the rest are put in order, by their first ``length`` bytes, over range partitions with
+  sampled bounds; there equal windows are neighbours, which are compared byte by byte.
 
-Copies thus cost one row for each phrase, and only the ends of repeats are looked at byte by byte. The
-order in which suffixes meet is that of their fingerprints, not of their letters: which windows are
-equal is all that removal asks for, and it needs no task that sees the whole dictionary.
+Copies thus cost one row for each phrase, and only the ends of repeats are sorted. A suffix array of the whole
+parse isn't built: which windows are equal is all that removal asks for, and phrases that are equal whole show it.
 """
 
 from __future__ import annotations
@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import drop_table, written
-from .textops import RangeHash, TextSlice, column_slices, mix, signed
+from .textops import RangeHash, TextSlice, column_slices, flat_lists, mix, signed
 
 GRAM = 16
 TAIL = 57
@@ -84,33 +85,41 @@ def phrases(piece: TextSlice, length: int) -> tuple[np.ndarray, ...]:
     return docs, first, last, own[at], tail, hashed.of(first, last + length)
 
 
+def _overlapping(column: pa.Array, length: int) -> Iterator[tuple[int, int, TextSlice]]:
+    """Slices of a string column, of which each window is in one; a long text comes in pieces, with the place where each begins.
+
+    A phrase that a piece cuts is two phrases, whose windows meet others' through the dictionary."""
+    for row, piece in column_slices(column, PIECE):
+        n = len(piece.data)
+        if n <= 2 * PIECE:
+            yield row, 0, piece
+        else:
+            for at in range(0, n - length + 1, PIECE):
+                own = piece.data[at : at + PIECE + length - 1]
+                yield row, at, TextSlice(own, np.array([0, len(own)]))
+
+
 def _parse(length: int):
     """Phrases as (row, first, shape, tail, phrase); shape packs the last window and the trigger, both from first on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, piece in column_slices(batch.column(1), PIECE):
+            for row, at, piece in _overlapping(batch.column(1), length):
                 docs, first, last, trigger, tail, phrase = phrases(piece, length)
                 shape = (last - first) * 65536 + (trigger - first)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row + docs]), pa.array((first - piece.offsets[docs]).astype(np.int32)), pa.array(shape.astype(np.int32)), pa.array(signed(tail)), pa.array(signed(phrase))], names=["row", "first", "shape", "tail", "phrase"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row + docs]), pa.array((first - piece.offsets[docs] + at).astype(np.int32)), pa.array(shape.astype(np.int32)), pa.array(signed(tail)), pa.array(signed(phrase))], names=["row", "first", "shape", "tail", "phrase"])
 
     return run
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
-    """Row index of each list entry and the entries of a column of lists of structs."""
-    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(column)), lengths), column.flatten()
-
-
 def _bodies(length: int):
     """The dictionary: bytes of the phrases asked for of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index = batch.schema.get_field_index
-            at, entries = _flat(batch.column(index("opened")))
+            at, entries = flat_lists(batch.column(index("opened")))
             first, shape = (entries.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("first", "shape"))
             for row, piece in column_slices(batch.column(index("text")), PIECE):
                 mine = np.flatnonzero((at >= row) & (at < row + piece.n_docs))
@@ -155,16 +164,16 @@ def _tiers(length: int):
 
 
 def _open(length: int):
-    """Windows of the tiers asked for of each dictionary phrase, as (fingerprint with the tail, row, start, single)."""
+    """The first bytes of the suffixes that begin in the tiers asked for of each dictionary phrase, as (suffix, row, start, single)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index = batch.schema.get_field_index
             get = lambda n: batch.column(index(n)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            shape, tail, begin, rows, single = get("shape").astype(np.int64), get("tail"), get("first"), get("row"), get("single")
-            asked = batch.column(index("tiers"))
-            at, tiers = np.repeat(np.arange(batch.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False)), asked.flatten().to_numpy(zero_copy_only=False)
-            for row, piece in column_slices(batch.column(index("body")), PIECE):
+            shape, begin, rows, single = get("shape").astype(np.int64), get("first"), get("row"), get("single")
+            at, tiers = flat_lists(batch.column(index("tiers")))
+            tiers = tiers.to_numpy(zero_copy_only=False)
+            for row, piece in column_slices(batch.column(index("body")), PIECE // 16):
                 mine = np.flatnonzero((at >= row) & (at < row + piece.n_docs))
                 of, tier = at[mine], tiers[mine].astype(np.int64)
                 near, far = (shape[of] & 65535) - (shape[of] >> 16), shape[of] & 65535
@@ -173,9 +182,45 @@ def _open(length: int):
                 distance = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 of = np.repeat(of, n)
                 start = (shape[of] & 65535) - distance
-                place = piece.offsets[of - row] + start
-                mark = mix(RangeHash(piece.data).of(place, place + length) * np.uint64(3) + tail[of].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mark)), pa.array(rows[of]), pa.array((begin[of] + start).astype(np.int32)), pa.array(single[of])], names=["mark", "row", "start", "single"])
+                if not len(of):
+                    continue
+                windows = np.lib.stride_tricks.sliding_window_view(piece.data, length)[piece.offsets[of - row] + start]
+                suffixes = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.arange(len(of) + 1, dtype=np.int32) * length), pa.py_buffer(np.ascontiguousarray(windows))])
+                yield pa.RecordBatch.from_arrays([suffixes, pa.array(rows[of]), pa.array((begin[of] + start).astype(np.int32)), pa.array(single[of])], names=["suffix", "row", "start", "single"])
+
+    return run
+
+
+def _neighbours(length: int):
+    """Sorted suffixes with repeated: whether one beside it in the partition has the same bytes. The partition's first and last keep theirs in edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, equal, is_first = None, False, True
+
+        def rows(table: pa.RecordBatch, repeated: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+            kept = np.flatnonzero(edges | (repeated & table.column(2).to_numpy(zero_copy_only=False)))
+            edge = pc.if_else(pa.array(edges[kept]), table.column(3).take(pa.array(kept)), pa.scalar(None, pa.binary()))
+            return pa.RecordBatch.from_arrays([table.column(i).take(pa.array(kept)) for i in range(3)] + [pa.array(repeated[kept]), edge], names=["row", "start", "single", "repeated", "edge"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            column = table.column(3)
+            _, offsets, data = column.buffers()
+            at = np.frombuffer(offsets, dtype=np.int32)[column.offset]
+            windows = np.frombuffer(data, dtype=np.uint8)[at : at + len(column) * length].reshape(-1, length)
+            same = (windows[1:] == windows[:-1]).all(axis=1)
+            repeated = np.concatenate([[equal], same]) | np.append(same, False)
+            edges = np.zeros(len(repeated), dtype=bool)
+            edges[0] = is_first
+            n = table.num_rows - 1
+            if n:
+                yield rows(table.slice(0, n), repeated[:n], edges[:n])
+                is_first, equal = False, bool(same[-1])
+            held = table.slice(n)
+        if held is not None:
+            yield rows(held, np.array([equal]), np.array([True]))
 
     return run
 
@@ -199,7 +244,7 @@ def _digest(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index = batch.schema.get_field_index
-            at, entries = _flat(batch.column(index("repeats")))
+            at, entries = flat_lists(batch.column(index("repeats")))
             first, last = (entries.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("first", "last"))
             bounds = np.searchsorted(at, np.arange(batch.num_rows + 1))
             out: list[tuple] = []
@@ -250,12 +295,17 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     nearest, farthest = F.greatest(F.col("tier") * TIER, near), F.least(F.col("tier") * TIER + TIER - 1, trigger)
     tiered = close.where("single and not mixed").select("row", (F.col("first") + trigger - farthest).alias("first"), (F.col("first") + trigger - nearest).alias("last"))
     asked = close.where("mixed").groupBy("row", "first").agg(F.collect_set("tier").alias("tiers"))
-    found, found_path = written(dictionary.join(asked, ["row", "first"]).mapInArrow(_open(length), "mark long, row long, start int, single boolean"))
-    twice, twice_path = written(found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
-    ends = found.where("single").join(twice, "mark", "left_semi").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
+    suffixes = dictionary.join(asked, ["row", "first"]).mapInArrow(_open(length), "suffix binary, row long, start int, single boolean")
+    # by row and start as well, so that equal suffixes, however many, may lie in several partitions
+    ordered = suffixes.repartitionByRange("suffix", "row", "start").sortWithinPartitions("suffix").select("row", "start", "single", "suffix")
+    found, found_path = written(ordered.mapInArrow(_neighbours(length), "row long, start int, single boolean, repeated boolean, edge binary"))
+    # where one partition ends and the next begins: two rows a partition
+    across = found.where("edge is not null").groupBy("edge").agg(F.count("*").alias("n")).where("n > 1").select("edge")
+    at_edges = found.where("single and not repeated and edge is not null").join(across, "edge", "left_semi")
+    ends = found.where("single and repeated").unionByName(at_edges).select("row", F.col("start").alias("first"), F.col("start").alias("last"))
     spans = whole.unionByName(copied).unionByName(tiered).unionByName(ends).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("repeats"))
     spans, _ = written(spans)
-    for path in (shared_path, phrases_path, dictionary_path, tiers_path, met_path, close_path, found_path, twice_path):
+    for path in (shared_path, phrases_path, dictionary_path, tiers_path, met_path, close_path, found_path):
         drop_table(spark, path)
     return spans
 
