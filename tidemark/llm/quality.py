@@ -27,7 +27,14 @@ _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[33:127] = True
 _PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_punctuation")
+_END = np.zeros(256, dtype=bool)
+_END[np.frombuffer(b".!?", dtype=np.uint8)] = True
+_LOWER = _LETTER & ~_UPPER
+#: Letters, and all that isn't ASCII.
+_WORDLIKE = _LETTER.copy()
+_WORDLIKE[128:] = True
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_punctuation", "n_plain", "n_capital", "n_short", "n_ends", "n_distinct")
 
 
 def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -36,6 +43,22 @@ def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _later_lines(data: np.ndarray, begin: np.ndarray, stop: np.ndarray, docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Lines equal, byte by byte, to an earlier line of their document."""
+    order = np.lexsort((begin, hashes, docs))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (docs[order][1:] != docs[order][:-1])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    later = np.zeros(len(begin), dtype=bool)
+    seen: dict[int, set[bytes]] = {}
+    for i, j in zip(order[~new].tolist(), first[~new].tolist(), strict=True):
+        known = seen.setdefault(j, {data[begin[j] : stop[j]].tobytes()})
+        line = data[begin[i] : stop[i]].tobytes()
+        later[i] = line in known
+        known.add(line)
+    return later
+
+
 def measure(piece: TextSlice) -> dict[str, np.ndarray]:
     """The measures of each document of a slice, over its whole text."""
     data, offsets, n = piece.data, piece.offsets, piece.n_docs
@@ -57,11 +80,18 @@ def measure(piece: TextSlice) -> dict[str, np.ndarray]:
     wordy = np.searchsorted(start, stop, side="left") > np.searchsorted(start, begin, side="left")
     begin, stop = begin[wordy], stop[wordy]
     line_docs = np.searchsorted(offsets, begin, side="right") - 1
-    keys = mix(hashed.of(begin, stop) + mix(line_docs.astype(np.uint64) + np.uint64(1)))
-    _, first = np.unique(keys, return_index=True)
     out["n_lines"] = np.bincount(line_docs, minlength=n)
-    out["n_dup_lines"] = out["n_lines"] - np.bincount(line_docs[first], minlength=n)
+    out["n_dup_lines"] = np.bincount(line_docs[_later_lines(data, begin, stop, line_docs, hashed.of(begin, stop))], minlength=n)
+    count = lambda flags: np.bincount(docs, weights=flags, minlength=n)
+    held = {}
+    for name, table in (("wordlike", _WORDLIKE), ("upper", _UPPER), ("lower", _LOWER)):
+        total = np.concatenate([[0], np.cumsum(table[data], dtype=np.int32)])
+        held[name] = total[end] - total[start]
+    long = points[end] - points[start]
+    out |= {"n_plain": count(held["wordlike"] == 0), "n_capital": count((held["upper"] > 1) & (held["lower"] == 0)), "n_short": count(long <= 3), "n_ends": count(_END[data[end - 1]])}
     words = hashed.of(start, end)
+    _, one = np.unique(mix(words + mix(docs.astype(np.uint64) + np.uint64(1))), return_index=True)
+    out["n_distinct"] = np.bincount(docs[one], minlength=n)
     grams, at = gram_hashes(words, docs, 3)
     keys = mix(grams + mix(docs[at].astype(np.uint64) + np.uint64(1)))
     order = np.argsort(keys)
@@ -91,7 +121,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A vote: bad where a share of something is above one bound, good where it is below another, else none."""
+    """A vote on a share (part / whole): good up to one bound, bad beyond another, none between; where the good bound is the larger, small shares are bad."""
 
     name: str
     part: str
@@ -100,15 +130,20 @@ class Rule:
     bad: float
 
 
-#: Shares (part / whole) up to good vote good, those over bad vote bad.
+#: Several rules look at each fault from different sides, so that their agreement tells which of them to believe.
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", 0.05, 0.3),
-    Rule("repeats", "n_repeat_words", "n_words", 0.1, 0.3),
-    Rule("lines", "n_dup_lines", "n_lines", 0.05, 0.5),
-    Rule("capitals", "n_upper", "n_letters", 0.2, 0.5),
-    Rule("marks", "n_marks", "n_words", 0.05, 0.3),
-    Rule("punctuation", "n_punctuation", "word_chars", 0.07, 0.1),
-    Rule("word_length", "word_chars", "n_words", 7.0, 12.0),
+    Rule("symbols", "n_symbols", "n_words", 0.02, 0.2),
+    Rule("punctuation", "n_punctuation", "word_chars", 0.06, 0.09),
+    Rule("letterless", "n_plain", "n_words", 0.05, 0.3),
+    Rule("repeats", "n_repeat_words", "n_words", 0.05, 0.2),
+    Rule("distinct", "n_distinct", "n_words", 0.6, 0.5),
+    Rule("lines", "n_dup_lines", "n_lines", 0.05, 0.3),
+    Rule("capitals", "n_upper", "n_letters", 0.1, 0.3),
+    Rule("capital_words", "n_capital", "n_words", 0.05, 0.3),
+    Rule("marks", "n_marks", "n_words", 0.02, 0.2),
+    Rule("word_length", "word_chars", "n_words", 6.0, 7.0),
+    Rule("short_words", "n_short", "n_words", 0.25, 0.12),
+    Rule("sentences", "n_ends", "n_words", 0.05, 0.02),
 )
 
 
@@ -116,38 +151,37 @@ def _votes(rules: tuple[Rule, ...]) -> list[Column]:
     out = []
     for r in rules:
         share = F.when(F.col(r.whole) > 0, F.col(r.part) / F.col(r.whole))
-        out.append(F.when(share <= r.good, GOOD).when(share > r.bad, BAD).otherwise(ABSTAIN).cast("int").alias(f"vote_{r.name}"))
+        good, bad = (share <= r.good, share > r.bad) if r.good <= r.bad else (share >= r.good, share < r.bad)
+        out.append(F.when(good, GOOD).when(bad, BAD).otherwise(ABSTAIN).cast("int").alias(f"vote_{r.name}"))
     return out
 
 
-#: What is known of rules before their votes are seen: P(vote | class) for bad and good documents, votes
-#: in the order bad, none, good, and its weight in shares of all documents. A rule looks for one kind of
-#: fault, and faults of different kinds seldom meet, so agreement alone can't show that its bad votes are right.
-BELIEF = np.array([[0.3, 0.1, 0.6], [0.002, 0.048, 0.95]])
-BELIEF_WEIGHT = (0.02, 4.0)
-#: Share of bad documents believed in before, with the weight of all documents.
-BAD_SHARE = 0.05
+def gains(table: np.ndarray) -> np.ndarray:
+    """What each rule's votes (bad, none, good) add to the log odds of quality: an abstention nothing, and a vote never against its own sense."""
+    ratio = np.log(table[:, 1]) - np.log(table[:, 0])
+    return np.stack([np.minimum(ratio[:, 0], 0), np.zeros(len(ratio)), np.maximum(ratio[:, 2], 0)], axis=1)
 
 
-def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, trust: float = 1.0) -> tuple[float, np.ndarray]:
+def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray]:
     """Prior of quality and P(vote | class) of each rule by expectation-maximisation over vote patterns.
 
-    patterns: one row per distinct combination of votes. EM starts where any bad vote makes a document
-    doubtful, and its counts are joined by trust times those of BELIEF and BAD_SHARE.
+    patterns: one row per distinct combination of votes. EM starts where two bad votes make a document bad and
+    one makes it doubtful; each class and vote counts one document more than were seen, so that nothing is
+    impossible, and nothing else is believed beforehand.
     Returns the prior and an array [rule, class (bad, good), vote (bad, none, good)]."""
-    belief = BELIEF * (trust * np.array(BELIEF_WEIGHT) * counts.sum() + 1)[:, None]
     counts = counts.astype(float)
-    good = np.where((patterns == BAD).any(axis=1), 0.05, np.where((patterns == GOOD).any(axis=1), 0.95, 0.5))
+    n_bad = (patterns == BAD).sum(axis=1)
+    good = np.where(n_bad > 1, 0.05, np.where(n_bad == 1, 0.5, 0.95))
     prior, table = 0.5, np.zeros((patterns.shape[1], 2, 3))
+    places = np.arange(patterns.shape[1])
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good])
-        prior = (weight[1].sum() + trust * (1 - BAD_SHARE) * counts.sum() + 1) / ((1 + trust) * counts.sum() + 2)
-        for j in range(patterns.shape[1]):
-            for v in (BAD, ABSTAIN, GOOD):
-                table[j, :, v + 1] = (weight @ (patterns[:, j] == v)) + belief[:, v + 1]
+        prior = (weight[1].sum() + 1) / (counts.sum() + 2)
+        for v in (BAD, ABSTAIN, GOOD):
+            table[:, :, v + 1] = (weight @ (patterns == v)).T + 1
         table /= table.sum(axis=2, keepdims=True)
-        log = np.log([[1 - prior], [prior]]) + sum(np.log(table[j][:, patterns[:, j] + 1]) for j in range(patterns.shape[1]))
-        after = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+        log_odds = np.log(prior / (1 - prior)) + gains(table)[places, patterns + 1].sum(axis=1)
+        after = 1 / (1 + np.exp(np.clip(-log_odds, -700, 700)))
         done, good = np.abs(after - good).max(initial=0) < 1e-9, after
         if done:
             break
@@ -172,8 +206,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
         return rows.drop(*names).withColumns({"quality": F.lit(None).cast("double"), "kept": F.lit(False)})
     prior, table = fit_accuracies(np.array([r[:-1] for r in seen]), np.array([r[-1] for r in seen]))
     log_odds = F.lit(float(np.log(prior / (1 - prior))))
-    for j, name in enumerate(names):
-        gain = np.log(table[j, 1] / table[j, 0])
-        log_odds = log_odds + F.when(F.col(name) == BAD, float(gain[0])).when(F.col(name) == GOOD, float(gain[2])).otherwise(float(gain[1]))
+    for name, gain in zip(names, gains(table).tolist(), strict=True):
+        log_odds = log_odds + F.when(F.col(name) == BAD, gain[0]).when(F.col(name) == GOOD, gain[2]).otherwise(0.0)
     posterior = 1 / (1 + F.exp(-log_odds))
     return rows.withColumn("quality", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop(*names)
