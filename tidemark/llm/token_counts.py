@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import base64
+import random
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import written
+
 #: Pre-tokens in a leaf; a leaf splits at twice as many.
 LEAF = 64
 #: Pre-tokens before an edit that are cut anew: one whose text changed, one whose end looks at what follows.
@@ -44,92 +48,179 @@ def pre_tokens(ranks_path: str, pattern: str) -> PreTokens:
     return PreTokens(ranks_path, pattern)
 
 
+class Leaf:
+    """Some consecutive pre-tokens with their token counts; read from a stored tree, they are unpacked when first looked at."""
+
+    __slots__ = ("_counts", "_pieces", "_stored", "chars", "tokens")
+
+    def __init__(self, pieces: list[str] | None, counts: list[int] | None, chars: int, tokens: int, stored: tuple[pa.StructArray, int] | None = None) -> None:
+        self._pieces, self._counts, self.chars, self.tokens, self._stored = pieces, counts, chars, tokens, stored
+
+    def _open(self) -> None:
+        if self._pieces is None:
+            leaves, i = self._stored
+            text, at = leaves.field("text")[i].as_py(), 0
+            self._pieces, self._counts = [], leaves.field("counts")[i].as_py()
+            for n in leaves.field("sizes")[i].as_py():
+                self._pieces.append(text[at : at + n])
+                at += n
+
+    @property
+    def pieces(self) -> list[str]:
+        self._open()
+        return self._pieces
+
+    @property
+    def counts(self) -> list[int]:
+        self._open()
+        return self._counts
+
+
+class Node:
+    """A leaf with the subtrees before and after it, and the subtree's leaves, characters and tokens."""
+
+    __slots__ = ("chars", "leaf", "left", "n", "right", "tokens")
+
+    def __init__(self, leaf: Leaf, left: Node | None = None, right: Node | None = None) -> None:
+        self.leaf, self.left, self.right = leaf, left, right
+        self.update()
+
+    def update(self) -> Node:
+        self.n, self.chars, self.tokens = 1, self.leaf.chars, self.leaf.tokens
+        for side in (self.left, self.right):
+            if side:
+                self.n += side.n
+                self.chars += side.chars
+                self.tokens += side.tokens
+        return self
+
+
+def balanced(leaves: list[Leaf]) -> Node | None:
+    if not leaves:
+        return None
+    i = len(leaves) // 2
+    return Node(leaves[i], balanced(leaves[:i]), balanced(leaves[i + 1 :]))
+
+
+def split(tree: Node | None, n: int) -> tuple[Node | None, Node | None]:
+    """The tree's first n leaves and the rest."""
+    if tree is None:
+        return None, None
+    before = tree.left.n if tree.left else 0
+    if n <= before:
+        first, tree.left = split(tree.left, n)
+        return first, tree.update()
+    tree.right, rest = split(tree.right, n - before - 1)
+    return tree.update(), rest
+
+
+def merge(a: Node | None, b: Node | None, rng: random.Random) -> Node | None:
+    """Both trees' leaves, a's first; the root is drawn by the trees' sizes, which keeps the depth logarithmic."""
+    if a is None or b is None:
+        return a or b
+    if rng.random() * (a.n + b.n) < a.n:
+        a.right = merge(a.right, b, rng)
+        return a.update()
+    b.left = merge(a, b.left, rng)
+    return b.update()
+
+
 class CountTree:
-    """A document's pre-tokens in leaves, under a tree of character and token sums.
+    """A document's pre-tokens in the leaves of a balanced tree of character and token sums.
 
-    An edit finds its place by descending the sums, cuts and counts the pre-tokens from CONTEXT before it
-    until the new cuts meet the old ones again, and updates the sums above the leaves it touched."""
+    An edit finds its place by descending the sums, cuts the pre-tokens from CONTEXT before it until the new
+    cuts meet the old ones again, counts the new ones alone, and puts leaves of at most 2 * LEAF pre-tokens in
+    the place of those it touched; only sums above them change."""
 
-    def __init__(self, text: str, source: PreTokens) -> None:
-        self.source, self.counted = source, 0
+    def __init__(self, leaves: list[Leaf], source: PreTokens) -> None:
+        self.source, self.counted, self.touched, self.rng = source, 0, 0, random.Random(0)
+        self.root = balanced(leaves) or Node(Leaf([], [], 0, 0))
+
+    @classmethod
+    def of_text(cls, text: str, source: PreTokens) -> CountTree:
         pieces = source.pattern.findall(text)
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self._build()
-
-    def _sums(self, leaf: list[str]) -> tuple[int, int]:
-        count = self.source.count
-        return sum(map(len, leaf)), sum(map(count, leaf))
-
-    def _build(self) -> None:
-        n = 1
-        while n < len(self.leaves):
-            n *= 2
-        self.width = n
-        self.chars, self.tokens = [0] * (2 * n), [0] * (2 * n)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[n + i], self.tokens[n + i] = self._sums(leaf)
-        for i in range(n - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+        return cls(_leaves(pieces, list(map(source.count, pieces))), source)
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens
 
     @property
     def length(self) -> int:
-        return self.chars[1]
+        return self.root.chars
+
+    def leaves(self) -> Iterator[Leaf]:
+        stack, node = [], self.root
+        while stack or node:
+            while node:
+                stack.append(node)
+                node = node.left
+            node = stack.pop()
+            yield node.leaf
+            node = node.right
 
     def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p in leaf)
+        return "".join(p for leaf in self.leaves() for p in leaf.pieces)
+
+    def _leaf(self, i: int) -> Leaf:
+        node = self.root
+        while True:
+            before = node.left.n if node.left else 0
+            if i == before:
+                return node.leaf
+            node, i = (node.left, i) if i < before else (node.right, i - before - 1)
 
     def _leaf_of(self, at: int) -> tuple[int, int]:
-        """The leaf that holds character at, and where that leaf begins."""
-        i, begin = 1, 0
-        while i < self.width:
-            i *= 2
-            if at - begin >= self.chars[i] and self.chars[i + 1]:
-                begin += self.chars[i]
-                i += 1
-        return i - self.width, begin
+        """The leaf that holds character at, or the last, and where that leaf begins."""
+        node, i, begin = self.root, 0, 0
+        while True:
+            n, chars = (node.left.n, node.left.chars) if node.left else (0, 0)
+            if at < begin + chars:
+                node = node.left
+            elif at < begin + chars + node.leaf.chars or not node.right:
+                return i + n, begin + chars
+            else:
+                i, begin, node = i + n + 1, begin + chars + node.leaf.chars, node.right
 
     def edit(self, at: int, delete: int, insert: str) -> int:
         """Replace delete characters from at by insert; the number of pre-tokens counted again."""
         at = max(0, min(at, self.length))
         delete = max(0, min(delete, self.length - at))
-        first, begin = self._leaf_of(at)
-        # CONTEXT pre-tokens before the one that holds at, which may lie in earlier leaves
-        own, here = 0, begin
-        leaf = self.leaves[first]
-        while own < len(leaf) and here + len(leaf[own]) < at:
-            here += len(leaf[own])
+        first, here = self._leaf_of(at)
+        leaf, own = self._leaf(first), 0
+        while own < len(leaf.pieces) and here + len(leaf.pieces[own]) < at:
+            here += len(leaf.pieces[own])
             own += 1
         back = CONTEXT
         while back and (own or first):
             if not own:
                 first -= 1
-                leaf = self.leaves[first]
-                begin -= sum(map(len, leaf))
-                own = len(leaf)
+                leaf = self._leaf(first)
+                own = len(leaf.pieces)
                 continue
             own -= 1
-            here -= len(leaf[own])
+            here -= len(leaf.pieces[own])
             back -= 1
+        kept, kept_counts = leaf.pieces[:own], leaf.counts[:own]
         # characters from here to the edit stay; take in leaves until the cuts meet
-        last, old = first, list(leaf[own:])
+        last, old, old_counts = first, leaf.pieces[own:], leaf.counts[own:]
         end = at + delete
         while True:
             whole = "".join(old)
-            if here + len(whole) >= end or last + 1 >= len(self.leaves):
+            is_last = last + 1 >= self.root.n
+            if here + len(whole) >= end or is_last:
                 changed = whole[: at - here] + insert + whole[end - here :]
-                fresh, met = self._cut(changed, at - here + len(insert), old, end - here, len(insert) - delete, last + 1 >= len(self.leaves))
+                fresh, met = self._cut(changed, at - here + len(insert), old, end - here, len(insert) - delete, is_last)
                 if met is not None:
                     break
             last += 1
-            old += self.leaves[last]
-        kept = self.leaves[first][:own]
-        self._replace(first, last, kept + fresh + old[met:])
+            old, old_counts = old + self._leaf(last).pieces, old_counts + self._leaf(last).counts
+        new = _leaves(kept + fresh + old[met:], kept_counts + list(map(self.source.count, fresh)) + old_counts[met:])
+        before, rest = split(self.root, first)
+        _, after = split(rest, last + 1 - first)
+        self.root = merge(merge(before, balanced(new), self.rng), after, self.rng) or Node(Leaf([], [], 0, 0))
         self.counted += len(fresh)
+        self.touched += last + 1 - first
         return len(fresh)
 
     def _cut(self, text: str, changed_end: int, old: list[str], old_end: int, shift: int, is_last: bool) -> tuple[list[str], int | None]:
@@ -146,56 +237,99 @@ class CountTree:
             fresh.append(m.group())
         return fresh, (len(old) if is_last else None)
 
-    def _replace(self, first: int, last: int, pieces: list[str]) -> None:
-        if first == last and len(pieces) <= 2 * LEAF:
-            self.leaves[first] = pieces
-            i = self.width + first
-            self.chars[i], self.tokens[i] = self._sums(pieces)
-            while i > 1:
-                i //= 2
-                self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-                self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-            return
-        self.leaves[first : last + 1] = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or ([[]] if len(self.leaves) == last - first + 1 else [])
-        self._build()
 
+def _leaves(pieces: list[str], counts: list[int]) -> list[Leaf]:
+    """Leaves of LEAF pre-tokens; 2 * LEAF at most stay in one."""
+    size = LEAF if len(pieces) > 2 * LEAF else 2 * LEAF
+    cut = [(pieces[i : i + size], counts[i : i + size]) for i in range(0, len(pieces), size)]
+    return [Leaf(p, c, sum(map(len, p)), sum(c)) for p, c in cut]
+
+
+LEAVES = "array<struct<text:string,sizes:array<int>,counts:array<int>,chars:int,tokens:int>>"
+FIELDS = "tokens_before long, tokens_after long, chars_after long, pretokens_recounted long, leaves_touched long"
+_STORED = pa.list_(pa.struct([("text", pa.string()), ("sizes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("chars", pa.int32()), ("tokens", pa.int32())]))
+
+
+def _stored(trees: list[list[Leaf]]) -> pa.Array:
+    return pa.array([[{"text": "".join(x.pieces), "sizes": list(map(len, x.pieces)), "counts": x.counts, "chars": x.chars, "tokens": x.tokens} for x in leaves] for leaves in trees], _STORED)
 
-FIELDS = "tokens_before long, tokens_after long, chars_after long, pretokens_recounted long"
 
+#: Rows of a batch whose trees are held at once.
+ROWS = 256
 
-def _counted(ranks_path: str, pattern: str):
+
+def _built(ranks_path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = pre_tokens(ranks_path, pattern)
-        for batch in batches:
-            out = []
-            edits = batch.column(2)
-            for i in range(batch.num_rows):
-                tree = CountTree(batch.column(1)[i].as_py() or "", source)
-                before = tree.total
-                for e in edits[i].as_py() or ():
-                    tree.edit(e["at"] or 0, e["delete"] or 0, e["insert"] or "")
-                out.append((before, tree.total, tree.length, tree.counted))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "tokens_before", "tokens_after", "chars_after", "pretokens_recounted"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                trees = []
+                for text in batch.column(1).to_pylist():
+                    pieces = source.pattern.findall(text or "")
+                    trees.append(_leaves(pieces, list(map(source.count, pieces))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _stored(trees)], names=["doc_id", "edits", "leaves"])
 
     return run
 
 
-def edited_counts(docs: DataFrame, edits: Column, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Token counts of each document before and after its edits, without encoding the rest again.
+def _edited(ranks_path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source = pre_tokens(ranks_path, pattern)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                bounds = np.cumsum([0, *batch.column(2).value_lengths().to_pylist()])
+                leaves = batch.column(2).flatten()
+                chars, tokens = leaves.field("chars").to_pylist(), leaves.field("tokens").to_pylist()
+                out, trees = [], []
+                for i, edits in enumerate(batch.column(1).to_pylist()):
+                    tree = CountTree([Leaf(None, None, chars[j], tokens[j], (leaves, j)) for j in range(bounds[i], bounds[i + 1])], source)
+                    before = tree.total
+                    for e in edits or ():
+                        tree.edit(e["at"] or 0, e["delete"] or 0, e["insert"] or "")
+                    out.append((before, tree.total, tree.length, tree.counted, tree.touched))
+                    trees.append(tree)
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                after = _stored([list(t.leaves()) for t in trees])
+                yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.int64()) for c in columns] + [after], names=["doc_id", "tokens_before", "tokens_after", "chars_after", "pretokens_recounted", "leaves_touched", "leaves"])
+
+    return run
 
-    docs has doc_id and text; edits is an array of structs (at, delete, insert) in the order in which they
-    apply, positions in characters of the text as edited so far. Returns doc_id, tokens_before,
-    tokens_after, chars_after and pretokens_recounted.
 
-    Defined cases: a null text is empty, null edits are none, null fields are 0 or empty; positions and
-    lengths beyond the text are cut to it; rows that repeat a doc_id count each; special tokens' strings
-    are ordinary text."""
+def _tokenizer(ranks_path: str | None, pattern: str | None) -> tuple[str, str]:
     import public_tokenizers as public
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    return ranks_path or public.path("byte_bpe_50k.tiktoken"), pattern or public.PATTERN
+
+
+def build_trees(docs: DataFrame, edits: Column | None = None, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The count tree of each document as a row: doc_id, edits (as given, for apply_edits) and leaves, to be stored.
+
+    docs has doc_id and text; edits is an array of structs (at, delete, insert). A null text is empty."""
+    edits = F.lit(None).cast("array<struct<at:bigint,delete:bigint,insert:string>>") if edits is None else edits
     plain = F.transform(edits, lambda e: F.struct(e["at"].cast("long").alias("at"), e["delete"].cast("long").alias("delete"), e["insert"].cast("string").alias("insert")))
-    return docs.select("doc_id", "text", plain.alias("edits")).mapInArrow(_counted(ranks_path or public.path("byte_bpe_50k.tiktoken"), pattern or public.PATTERN), f"doc_id {kind}, {FIELDS}")
+    rows = docs.select("doc_id", "text", plain.alias("edits"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_built(*_tokenizer(ranks_path, pattern)), f"doc_id {kind}, edits {rows.schema['edits'].dataType.simpleString()}, leaves {LEAVES}")
+
+
+def apply_edits(trees: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Stored trees (doc_id, edits, leaves) after their edits, without encoding the rest again.
+
+    Edits apply in order, positions in characters of the text as edited so far. Returns doc_id, tokens_before,
+    tokens_after, chars_after, pretokens_recounted, leaves_touched and the new leaves, to be stored in turn.
+
+    Defined cases: null edits are none, null fields are 0 or empty; positions and lengths beyond the text are
+    cut to it; rows that repeat a doc_id count each; special tokens' strings are ordinary text."""
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    return trees.select("doc_id", "edits", "leaves").mapInArrow(_edited(*_tokenizer(ranks_path, pattern)), f"doc_id {kind}, {FIELDS}, leaves {LEAVES}")
+
+
+def edited_counts(docs: DataFrame, edits: Column, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Token counts of each document before and after its edits, by build_trees, stored, and apply_edits."""
+    trees, _ = written(build_trees(docs, edits, ranks_path, pattern))
+    return apply_edits(trees, ranks_path, pattern).drop("leaves")
 
 
 def sample_edits(n: int = 4) -> Column:
