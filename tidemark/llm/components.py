@@ -47,11 +47,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 def tile_pairs(members: DataFrame, group: list[str], tile_rows: int, key: str, sizes: DataFrame | None = None) -> DataFrame:
     """Deal each group's rows to tiles of about tile_rows and copy each row to every pair of tiles it is in.
 
-    Adds tile (the row's own), low and high (the pair). A group of n rows gives n * n / tile_rows
+    Adds tile (the row's own), low and high (the pair). sizes, if given, has each group's number of tiles as _tiles. A group of n rows gives n * n / tile_rows
     rows spread over (n / tile_rows)**2 / 2 tasks, never the pairs of rows themselves."""
     if sizes is None:
-        sizes = members.groupBy(*group).agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_tiles", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int"))
+        sizes = members.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("_tiles"))
     dealt = members.join(sizes, group).withColumn("tile", F.pmod(F.xxhash64(key), F.col("_tiles").cast("long")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    return dealt.withColumn("low", F.least("tile", "_other")).withColumn("high", F.greatest("tile", "_other")).drop("_other", "_tiles", "_n")
+    return dealt.withColumn("low", F.least("tile", "_other")).withColumn("high", F.greatest("tile", "_other")).drop("_other", "_tiles")

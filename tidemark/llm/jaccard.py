@@ -124,18 +124,19 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.999, rows: int = 6, tile_rows: int = 512, seed: int = 7) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.999, rows: int = 6, tile_rows: int = 512, tile_shingles: int = 1_000_000, seed: int = 7) -> DataFrame:
     """Near-duplicate classes of documents: shingle sets of k words with Jaccard similarity of percent/100 or more.
 
     Takes columns doc_id and text (others are ignored); returns one row per row of docs with
-    doc_id, n_shingles, n_links (other rows linked directly), class_id (least doc_id of all rows
-    reachable by links) and kept (doc_id = class_id).
+    doc_id, row (a key of doc_id and text), n_shingles, n_links (other rows linked directly), class_id
+    (least doc_id of all rows reachable by links), class_row (the row of the class's first document, by doc_id
+    and row) and kept (doc_id = class_id).
 
     Rows with equal shingle sets are one node. Nodes that share a band hash of their MinHash
     signature are star-linked to the bucket's least node, which makes candidate groups; within a
     group all pairs are verified on their full shingle sets in tiles, of which only link counts and
     a spanning forest leave the task. The bands' count follows from the target recall, and pairs
-    of a group that share no band are verified too.
+    of a group that share no band are verified too. Tiles hold tile_rows nodes or tile_shingles shingles on average.
 
     Defined cases: a text of 1 to k-1 words has one shingle, its whole word sequence; a null, empty
     or blank text has none and links with nothing (class_id = doc_id). Null doc_ids take part; a class
@@ -143,26 +144,28 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
     are kept or dropped together."""
     bands = choose_bands(percent / 100, recall, rows)
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    signed_docs = cut(docs.mapInArrow(_signatures(k, bands, rows, seed), "doc_id long, row long, f1 long, f2 long, n_shingles long, bands array<long>").withColumn("node", F.xxhash64("f1", "f2", "n_shingles")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed_docs = cut(docs.mapInArrow(_signatures(k, bands, rows, seed), f"doc_id {kind}, row long, f1 long, f2 long, n_shingles long, bands array<long>").withColumn("node", F.xxhash64("f1", "f2", "n_shingles")))
     some = signed_docs.where("n_shingles > 0")
-    nodes = cut(some.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("bands").alias("bands")))
+    nodes = cut(some.groupBy("node").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least"), F.min("row").alias("row"), F.first("bands").alias("bands")))
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     # cut, so that both sides of the join are plain shuffles, of which AQE may split a hot bucket's
     shared = cut(buckets.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     edges = buckets.join(shared, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     groups = cut(components(edges))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("_n"))
-    chosen = nodes.join(groups, "node").select("node", "component", "copies", "row")
+    chosen = cut(nodes.join(groups, "node").select("node", "component", "copies", "row", "n_shingles"))
+    tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile_rows)), F.ceil(F.sum("n_shingles") / F.lit(tile_shingles)))
+    sizes = chosen.groupBy("component").agg(tiles.cast("int").alias("_tiles"))
     # the text of one row per node: rows of a node have equal sets, so any of them will do
     texts = docs.join(chosen.select("node", "row"), "row").select("node", "text")
-    members = chosen.join(texts.mapInArrow(_shingles(k), "node long, shingles array<long>").dropDuplicates(["node"]), "node")
+    members = chosen.drop("n_shingles").join(texts.mapInArrow(_shingles(k), "node long, shingles array<long>").dropDuplicates(["node"]), "node")
     dealt = tile_pairs(members, ["component"], tile_rows, "node", sizes)
     found = cut(dealt.groupBy("component", "low", "high").applyInPandas(_verify(percent), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("linked"))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    resolved = nodes.select("node", "copies", "least_id").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = resolved.join(resolved.groupBy("component").agg(F.min("least_id").alias("class_id")), "component").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "class_id")
-    out = signed_docs.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    resolved = nodes.select("node", "copies", "least").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = resolved.join(resolved.groupBy("component").agg(F.min("least").alias("first")), "component").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row"))
+    out = signed_docs.select("doc_id", "row", "n_shingles", "node").join(named, "node", "left")
     blank = F.col("n_shingles") == 0
-    out = out.select("doc_id", "n_shingles", F.when(blank, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    out = out.select("doc_id", "row", "n_shingles", F.when(blank, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(blank, F.col("row")).otherwise(F.col("class_row")).alias("class_row"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
