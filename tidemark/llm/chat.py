@@ -79,7 +79,8 @@ def canonical_turns(records: DataFrame, column: str = "record", layouts: tuple[L
     """records with layout (the name of the mapping selected) and turns (role and text, in order).
 
     column holds one JSON record per row. Defined cases: a record that is null, no JSON, or of an unknown
-    fingerprint has layout null and turns null; null roles and texts are empty strings; other columns stay."""
+    fingerprint has layout null and turns null; null roles and texts are empty strings; other columns stay, but
+    for any called layout or turns, which give way."""
     prints = _prints(records.sparkSession, layouts)
     record = F.try_parse_json(column)
     mark = fingerprint(record)
@@ -109,10 +110,13 @@ def _header(role: Column) -> Column:
 
 
 def render(turns: DataFrame, learn: str = "assistant") -> DataFrame:
-    """turns with formatted (one string) and loss_spans: start (0-based) and length, in code points, of each learnt text."""
+    """turns with formatted (one string) and loss_spans: start (0-based) and length, in code points, of each learnt text.
+
+    Columns of these names give way. A conversation is one string, and so one task's work, up to Spark's 2 GB a value."""
     parts = F.transform("turns", lambda t: F.struct(_header(t.role).alias("head"), escape(t.text).alias("body"), (t.role == learn).alias("learnt")))
-    made = turns.withColumn("_parts", parts)
-    formatted = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    made_parts = "_".join(["parts", *turns.columns])  # no column's name
+    made = turns.withColumn(made_parts, parts)
+    formatted = F.array_join(F.transform(made_parts, lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
     none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -121,7 +125,7 @@ def render(turns: DataFrame, learn: str = "assistant") -> DataFrame:
         span = F.array(F.struct(start.alias("start"), length.alias("length")))
         return F.struct((start + length + len(END)).alias("at"), F.when(p["learnt"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return made.withColumns({"formatted": formatted, "loss_spans": F.aggregate("_parts", none, step, lambda acc: acc["spans"])}).drop("_parts")
+    return made.withColumns({"formatted": formatted, "loss_spans": F.aggregate(made_parts, none, step, lambda acc: acc["spans"])}).drop(made_parts)
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -137,14 +141,35 @@ def read_back(rendered: DataFrame) -> DataFrame:
     return rendered.withColumns({"read_turns": F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), turn), "loss_text": F.array_join(spans, "")})
 
 
+def _conversations(rows: DataFrame) -> DataFrame:
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
+    return grouped.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content"))).alias("messages"))
+
+
 def conversation_records(rows: DataFrame) -> DataFrame:
     """One JSON record of the messages layout per conversation, from rows of one turn each.
 
     Turns are in order of turn, then role and text where turns tie; null roles and texts are empty."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
-    messages = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return _conversations(rows).select("conv_id", F.to_json(F.struct("messages")).alias("record"))
+
+
+def varied_records(rows: DataFrame) -> DataFrame:
+    """Like conversation_records, in several of the LAYOUTS by conv_id, as a corpus of many origins has them.
+
+    A conversation takes another layout only if that one can tell all of it: prompt and response of one user's and
+    one assistant's text that aren't empty, shared of roles that aren't that layout's own names."""
+    names = {"user": "human", "assistant": "gpt"}
+    renamed = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    shared = F.transform("messages", lambda m: F.struct(F.coalesce(renamed[m["role"]], m["role"]).alias("from"), m["content"].alias("value")))
+    is_pair = (F.size("messages") == 2) & F.forall("messages", lambda m: m["content"] != "")
+    said = lambda i: F.get("messages", F.lit(i))
+    is_pair &= (said(0)["role"] == "user") & (said(1)["role"] == "assistant")
+    is_plain = F.forall("messages", lambda m: ~m["role"].isin(*names.values()))
+    draw = F.pmod(F.xxhash64("conv_id"), F.lit(3))
+    pair = F.to_json(F.struct(said(0)["content"].alias("prompt"), said(1)["content"].alias("response")))
+    record = F.when((draw == 0) & is_pair, pair).when((draw < 2) & is_plain, F.to_json(F.struct(shared.alias("conversations")))).otherwise(F.to_json(F.struct("messages")))
+    return _conversations(rows).select("conv_id", record.alias("record"))
 
 
 def format_chats(records: DataFrame, column: str = "record") -> DataFrame:
