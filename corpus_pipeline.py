@@ -13,16 +13,23 @@ from tidemark.llm.staging import table, written
 from tidemark.llm.toxicity import toxicity
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """docs as doc, with the operators' key of a row."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that toxicity predicts as toxic. Rows without a doc_id stay."""
-    rejected = toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """docs without the rows that toxicity predicts as toxic; rows that share a doc_id are judged by their own texts."""
+    rejected = toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("row").distinct()
+    return _with_row(docs).join(rejected, "row", "left_anti").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the least doc_id of each class of near duplicates; rows that repeat its doc_id stay with it."""
-    rejected = jaccard_join(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """docs with one row of each class of near duplicates, that of the least doc_id; of repeated rows one stays."""
+    found = jaccard_join(docs).groupBy("row").agg(F.count("*").alias("n"), F.first("class_row").alias("class_row"))
+    firsts = _with_row(docs).join(found.where("row = class_row").select("row", "n"), "row")
+    again = firsts.where("n > 1").dropDuplicates(["row"])
+    return firsts.where("n = 1").unionByName(again).select("doc.*")
 
 
 def drop_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
