@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import pytest
 from pyspark.sql import functions as F
@@ -189,19 +190,116 @@ def test_shared_passages_with_a_changed_word(spark):
     assert [d for d in range(1, 80, 2) if not any(ref == d - 1 and end - start >= 50 for start, end, ref in found[d])] == []
 
 
-def test_reach_bounds_extend():
+def extended(a, b, drop=6):
+    """How far word sequences stay alike along their diagonal."""
+    score = best = at = 0
+    for i, (x, y) in enumerate(zip(a, b)):
+        score += 1 if x == y else -2
+        if score > best:
+            best, at = score, i + 1
+        elif score < best - drop:
+            break
+    return at
+
+
+def test_reach_bounds_likeness():
     rng = np.random.default_rng(4)
-    for _ in range(500):
+    for case in range(600):
         n, m = rng.integers(5, 120, 2)
         a, b = (rng.integers(0, 2**63, size, dtype=np.uint64) for size in (n, m))
         at, other = int(rng.integers(0, n - 4)), int(rng.integers(0, m - 4))
         for i in range(-at, n - at):  # alike around the seeds, with changes
             if 0 <= other + i < m and (0 <= i < 5 or rng.random() < 0.85):
                 b[other + i] = a[at + i]
+        if case % 3 == 0 and other + 25 < m:  # a word put in
+            b = np.insert(b, other + 5 + int(rng.integers(0, 15)), 7)
         contexts = [chaining._contexts(x, np.array([y]), 5, np.array([0]), np.array([len(x)])) for x, y in ((a, at), (b, other))]
         left, right = (int(chaining._reach(x, y)[0]) for x, y in zip(*contexts, strict=True))
-        assert left >= min(chaining._extend(a[:at][::-1], b[:other][::-1]), chaining.CONTEXT)
-        assert right >= min(chaining._extend(a[at + 5 :], b[other + 5 :]), chaining.CONTEXT)
+        assert left >= min(extended(a[:at][::-1], b[:other][::-1]), chaining.CONTEXT)
+        assert right >= min(extended(a[at + 5 :], b[other + 5 :]), chaining.CONTEXT)
+
+
+def alike_words(a, b, k=5, n=50, percent=80):
+    """Words of a in windows of n words that begin and end with k words of b's window of n words and share enough k-grams with it."""
+    grams = [np.array([hash(tuple(w[i : i + k])) for i in range(len(w) - k + 1)]) for w in (a, b)]
+    size = n - k + 1
+    if min(map(len, grams)) < size:
+        return set()
+    same = grams[0][:, None] == grams[1][None, :]
+    total = np.zeros((same.shape[0] + 1, same.shape[1] + 1), dtype=int)
+    total[1:, 1:] = same.cumsum(axis=0).cumsum(axis=1)
+    both = total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]
+    ends = same[: -size + 1 or None, : -size + 1 or None] & same[size - 1 :, size - 1 :]
+    hits = np.flatnonzero((ends & (100 * both >= percent * (2 * size - both))).any(axis=1))
+    return {w for i in hits for w in range(i, i + n)}
+
+
+def edited(rng, passage, every):
+    """passage with about one word in every changed, put in or left out."""
+    out = []
+    for i, w in enumerate(passage):
+        kind = rng.randrange(3) if i % every == every // 2 else 3
+        out += [[f"e{rng.random()}"], [w, f"e{rng.random()}"], [], [w]][kind]
+    return out
+
+
+def test_shared_passages_against_brute_force(spark):
+    """All windows of all pairs of documents: partial quotes, edited copies of several kinds, recombined lines."""
+    rng, parts = random.Random(6), []
+    for n, every in itertools.product((55, 70, 100, 160), (30, 50, 70, 1000)):
+        p = words(rng, n, 10**6)
+        parts += [p[: n * 3 // 5], edited(rng, p, 15), edited(rng, p, every), p, edited(rng, p, every), p[n // 3 :], edited(rng, p, every), p]
+    lines = [words(rng, 20, 10**6) for _ in range(12)]
+    parts += [sum(rng.sample(lines, 4), []) for _ in range(24)]
+    texts = placed(rng, parts)
+    rows = chaining.shared_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    split = [t.split() for t in texts]
+    for r in rows:
+        a, b = split[r.doc_id][r.start_word : r.end_word], split[r.ref_doc_id][r.ref_start_word : r.ref_end_word]
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        assert min(len(a), len(b)) >= 50 and a[:5] == b[:5] and a[-5:] == b[-5:] and 5 * len(x & y) >= 4 * len(x | y)
+    wanted = got = 0
+    for d in range(len(texts)):
+        want = set()
+        for e in range(d):
+            want |= alike_words(split[d], split[e])
+        have = {w for r in rows if r.doc_id == d for w in range(r.start_word, r.end_word)}
+        wanted, got = wanted + len(want), got + len(want & have)
+    print("recall of words", got, wanted, got / wanted)
+    assert wanted > 5000 and got >= 0.97 * wanted
+
+
+def test_masked_copies(spark):
+    """An earlier document holds a copy too edited to count; of two verbatim ones the later is found."""
+    rng, parts = random.Random(9), []
+    for n, every in ((60, 15), (100, 15), (100, 20)):
+        for _ in range(40):
+            p = words(rng, n, 10**6)
+            parts += [[w if i % every else f"m{rng.random()}" for i, w in enumerate(p, 1)], p, p]
+    found = by_doc(spark, placed(rng, parts))
+    hits = [any(ref == d - 1 and start <= 30 and end >= 30 + len(parts[d]) for start, end, ref in found[d]) for d in range(2, len(parts), 3)]
+    assert sum(hits) >= 0.95 * len(hits)
+
+
+def test_alignment_of_long_documents():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**62, 100_000)
+    b = a.copy()
+    b[25::50] = rng.integers(0, 2**62, len(b[25::50]))
+    b = np.delete(b, np.arange(500, 90_000, 2_000))
+    out = chaining.align(a, b, np.array([[0, 25, 0]]), 5, 50, 80)
+    assert sum(end - start for start, end, *_ in out) > 95_000
+    assert all(like >= 0.8 for *_, like in out)
+    assert chaining.align(a, rng.integers(0, 2**62, 100_000), np.array([[0, 5, 0]]), 5, 50, 80) == []
+
+
+def test_shared_passages_with_string_and_null_ids(spark):
+    rng = random.Random(12)
+    p = words(rng, 80, 10**6)
+    texts = placed(rng, [p, p, p])
+    rows = list(zip([None, "b", "a"], texts))
+    found = chaining.shared_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in found} == {("a", None), ("b", None)}
 
 
 def test_chain_prefers_collinear_anchors():
@@ -312,9 +410,41 @@ def test_accuracies_from_votes():
     truth = rng.random(20000) < 0.8
     votes = np.stack([np.where(rng.random(20000) < 0.4, 0, np.where(rng.random(20000) < p, 1, -1) * np.where(truth, 1, -1)) for p in (0.95, 0.9, 0.9, 0.85)], axis=1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    prior, table = quality.fit_accuracies(patterns, counts, trust=0)
+    prior, table = quality.fit_accuracies(patterns, counts)
     assert prior == pytest.approx(0.8, abs=0.04)
     assert table[0, 1, 2] / (table[0, 1, 0] + table[0, 1, 2]) == pytest.approx(0.95, abs=0.03)
+    only_good = np.array([[1, 1, 1, 1], [1, 0, 1, 1], [0, 1, 1, 0]])
+    prior, table = quality.fit_accuracies(only_good, np.array([900, 80, 20]))
+    assert prior > 0.5 and (quality.gains(table)[:, 2] >= 0).all()
+
+
+def test_equal_hashes_are_not_equal_lines():
+    """Texts that collide in any polynomial hash modulo a power of two."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    (_, piece), *_ = quality.column_slices(pa.array([f"{a}\n{b}\n{a}", f"{a} {b} {b} {a} {b} {b}"]))
+    m = quality.measure(piece)
+    assert m["n_dup_lines"].tolist() == [1, 0] and m["n_distinct"].tolist() == [2, 2] and m["n_repeat_words"].tolist() == [0, 6]
+    same = np.zeros(3, dtype=np.uint64)
+    data = np.frombuffer(b"aabbaa", dtype=np.uint8)
+    assert quality._later_lines(data, np.array([0, 2, 4]), np.array([2, 4, 6]), np.zeros(3, dtype=int), same).tolist() == [False, False, True]
+
+
+def test_quality_agrees_with_labels(spark):
+    """The posterior is nearer to labels no rule has seen than a majority of the votes, and no further than any bad vote."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null")
+    rows = quality.quality(docs).where("not base_failed").withColumns({r.name: v for r, v in zip(quality.RULES, quality._votes(quality.RULES))}).join(labels, "doc_id").collect()
+    right = collections.Counter()
+    for r in rows:
+        votes = [r[x.name] for x in quality.RULES]
+        n_bad, n_good = votes.count(-1), votes.count(1)
+        for name, kept in (("posterior", r.kept), ("any", not n_bad), ("majority", n_good >= n_bad)):
+            right[name] += kept == bool(r.quality)
+    print(len(rows), dict(right))
+    assert right["posterior"] > right["majority"] and right["posterior"] >= right["any"] and right["posterior"] >= 0.99 * len(rows)
 
 
 def test_toxicity(spark):
@@ -337,10 +467,47 @@ def test_toxicity(spark):
     assert sum(p == y for p, y in held) / len(held) > 0.98
     assert out[602].predicted == 1 and len(out[602].evidence) and not out[600].predicted and not out[601].predicted
     none = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
-    assert {r.score for r in none} == {0.5}
+    assert len(none) == len(rows) and {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert toxicity.toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    """Each text's nearest examples by the cosine of all terms' weights, computed densely; string and null ids, repeated rows, ties."""
+    rng, k, belief = random.Random(5), 15, 4.0
+    rows, labels = [], []
+    for i in range(260):
+        w = words(rng, rng.choice([12, 40, 90]), 600)
+        if i % 4 == 0:
+            w[2], w[7] = rng.choice(["vile", "nasty"]), rng.choice(["vile", "awful"])
+        rows.append((f"d{i}", " ".join(w)))
+        labels.append((f"d{i}", int(i % 4 == 0)))
+    rows += [("x1", None), ("x2", ""), (None, "vile nasty"), ("x3", "vile w1 w2"), ("x3", "vile w1 w2"), ("d5", rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = collections.defaultdict(list)
+    for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id string, toxic int")).collect():
+        got[r.doc_id].append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    assert all(a == b for own in got.values() for a, b in itertools.pairwise(own))
+    examples = [(d, t, y) for (d, t), (_, y) in zip(rows, labels) if zlib.crc32(d.encode()) % 4 != 2]
+    counts = {t: collections.Counter(re.findall("[a-z]+", t or "")) for _, t in rows}
+    total, frequency = len(rows), collections.Counter(w for _, t in rows for w in counts[t])
+    n1, n = (collections.Counter(w for _, t, y in examples if y or every for w in counts[t]) for every in (0, 1))
+    base = (sum(y for *_, y in examples) + 1) / (len(examples) + 2)
+    logit = lambda p: math.log(p / (1 - p))
+
+    def vector(t):
+        out = {w: (1 + math.log(c)) * (math.log((1 + total) / (1 + frequency[w])) + 1) * abs(logit((n1[w] + belief * base) / (n[w] + belief)) - logit(base)) for w, c in counts[t].items() if n[w]}
+        norm = math.sqrt(sum(v * v for v in out.values()))
+        return {w: v / norm for w, v in out.items()} if norm else {}
+
+    vectors = [(d, vector(t)) for d, t, _ in examples]
+    for d, t in rows:
+        own = vector(t)
+        near = sorted((round(sum(v * e.get(w, 0) for w, v in own.items()), 6) for _, e in vectors), reverse=True)[:3]
+        assert got[d][0].similarity == pytest.approx([x for x in near if x > 0], abs=1e-5), d
+    assert not got["x1"][0].predicted and got[None][0].predicted and got["x3"][0].predicted
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(4)
     vectors = []
@@ -409,23 +576,65 @@ def test_edited_counts(spark, docs, all_rows):
     assert token_counts.edited_counts(empty(spark), F.lit(None).cast("array<struct<at:long,delete:long,insert:string>>")).count() == 0
 
 
+def depth(node):
+    return 1 + max(depth(node.left), depth(node.right)) if node else 0
+
+
 def test_count_tree_equals_full_count():
     source = token_counts.pre_tokens(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
     rng = random.Random(8)
     alphabet = ["a", "b", "'", "s", "l", " ", " ", "\n", "1", "!", "é", "word", "   ", "'ll"]
     for case in range(120):
         text = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 3, 40, 900])))
-        tree = token_counts.CountTree(text, source)
+        tree = token_counts.CountTree.of_text(text, source)
         for _ in range(12):
-            at, cut, new = rng.randrange(len(text) + 2), rng.choice([0, 1, 5, 60]), "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 30])))
+            at, cut, new = rng.randrange(len(text) + 2), rng.choice([0, 1, 5, 60]), "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 30, 400])))
             tree.edit(at, cut, new)
             at = min(at, len(text))
             text = text[:at] + new + text[at + cut :]
             pieces = source.pattern.findall(text)
-            assert tree.text() == text and [p for leaf in tree.leaves for p in leaf] == pieces
+            assert tree.text() == text and [p for leaf in tree.leaves() for p in leaf.pieces] == pieces
+            assert [n for leaf in tree.leaves() for n in leaf.counts] == list(map(source.count, pieces))
             assert tree.total == sum(map(source.count, pieces)) and tree.length == len(text)
 
 
+def test_edits_count_what_they_touch(monkeypatch):
+    """A long text: the encoder sees the pre-tokens of the edits alone, the leaves stay small and the tree flat."""
+    source = token_counts.pre_tokens(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    rng = random.Random(3)
+    text = " ".join(words(rng, 60_000, 10**6))
+    tree = token_counts.CountTree.of_text(text, source)
+    calls = []
+    count = token_counts.PreTokens.count
+    monkeypatch.setattr(token_counts.PreTokens, "count", lambda self, piece: calls.append(piece) or count(self, piece))
+    for i in range(400):
+        at, cut, new = rng.randrange(tree.length), rng.choice([0, 4, 900]), " ".join(words(rng, rng.choice([1, 3, 300])))
+        at = 5000 if i % 2 else at
+        seen = len(calls)
+        recounted = tree.edit(at, cut, new)
+        assert len(calls) - seen == recounted <= 3 * len(new.split()) + 20
+        text = text[:at] + new + text[at + cut :]
+    assert tree.text() == text and tree.touched < 400 * 12
+    assert max(len(leaf.pieces) for leaf in tree.leaves()) <= 2 * token_counts.LEAF
+    assert depth(tree.root) < 5 * math.log2(tree.root.n)
+
+
+def test_stored_trees(spark, docs):
+    """Trees that are stored, edited, stored and edited again count like the texts."""
+    edits = F.array(F.struct(F.lit(3).alias("at"), F.lit(2).alias("delete"), F.lit(" new words").alias("insert")))
+    once = token_counts.apply_edits(token_counts.build_trees(docs, edits).cache())
+    twice = token_counts.apply_edits(once.select("doc_id", once.tokens_after.alias("was"), edits.alias("edits"), "leaves").cache()).collect()
+    source = token_counts.pre_tokens(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    want = []
+    for r in docs.collect():
+        text = r.text or ""
+        for _ in range(2):
+            before, text = text, text[:3] + " new words" + text[5:]
+        want.append((str(r.doc_id), *(sum(map(source.count, source.pattern.findall(t))) for t in (before, text)), text))
+    got = [(str(r.doc_id), r.tokens_before, r.tokens_after, "".join(leaf.text for leaf in r.leaves)) for r in twice]
+    assert sorted(got) == sorted(want)
+
+
 RECORDS = [
     '{"messages":[{"role":"user","content":"hi <|turn|> & [INST]"},{"role":"assistant","content":"&lt; ok\\n<|end|>\\n"}]}',
     '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"},{"from":"odd","value":""}]}',

@@ -59,3 +59,20 @@ def test_empty_documents(spark, corpus, tmp_path):
     spark.read.parquet(f"{corpus}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{corpus}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_are_judged_by_themselves(spark, corpus, tmp_path):
+    """Rows that share a doc_id or lack one, repeated rows, and columns of their own."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    clean = " ".join(f"c{i}" for i in range(80))
+    again = " ".join(f"d{i}" for i in range(80))
+    more = spark.createDataFrame([(7000, "vile awful vile", "en", "s1", 1), (7000, clean, "en", "s1", 1), (None, "vile vile awful", "en", "s1", 1), (None, clean + " end", "en", "s1", 1), (7001, again, "en", "s1", 1), (7001, again, "en", "s1", 1)], docs.schema)
+    rows = docs.unionByName(more).withColumn("row", F.lit(3))
+    out = corpus_pipeline.drop_toxic(spark, rows, corpus)
+    assert out.columns == rows.columns
+    kept = [(r.doc_id, r.text) for r in out.collect() if r.doc_id is None or r.doc_id >= 7000]
+    assert sorted(kept, key=str) == sorted([(7000, clean), (None, clean + " end"), (7001, again), (7001, again)], key=str)
+    near = corpus_pipeline.drop_near_duplicates(spark, out, corpus)
+    assert near.columns == rows.columns
+    kept = [(r.doc_id, r.text) for r in near.collect() if r.doc_id is None or r.doc_id >= 7000]
+    assert kept in ([(7000, clean), (7001, again)], [(7001, again), (7000, clean)])
