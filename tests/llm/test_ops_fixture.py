@@ -435,14 +435,14 @@ def test_quality_agrees_with_labels(spark):
     """The posterior is nearer to labels no rule has seen than a majority of the votes, and no further than any bad vote."""
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null").select("doc_id", F.col("quality").alias("label"))
     rows = quality.quality(docs).where("not base_failed").withColumns({r.name: v for r, v in zip(quality.RULES, quality._votes(quality.RULES))}).join(labels, "doc_id").collect()
     right = collections.Counter()
     for r in rows:
         votes = [r[x.name] for x in quality.RULES]
         n_bad, n_good = votes.count(-1), votes.count(1)
         for name, kept in (("posterior", r.kept), ("any", not n_bad), ("majority", n_good >= n_bad)):
-            right[name] += kept == bool(r.quality)
+            right[name] += kept == bool(r.label)
     print(len(rows), dict(right))
     assert right["posterior"] > right["majority"] and right["posterior"] >= right["any"] and right["posterior"] >= 0.99 * len(rows)
 
