@@ -36,8 +36,9 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def normalized_name(text: Column) -> Column:
-    """NFKC form of a name, squeezed. Spark has no NFKC; ASCII names, which it leaves alone, are squeezed all the same."""
-    return squeezed(_nfkc(text))
+    """NFKC form of a name, squeezed. Spark has no NFKC; ASCII names, which it leaves alone, go to Python as nulls."""
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    return squeezed(F.when(plain, text).otherwise(_nfkc(F.when(~plain, text))))
 
 
 def cursor(key: Column) -> Column:

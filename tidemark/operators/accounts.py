@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import clamp, half_up
+from ..functions.stats import clamp, half_up, ladder
 
 # The customer lifecycle's edges.
 LIFECYCLE = {
@@ -56,6 +56,16 @@ def activation(events: DataFrame, key: str, created: Column, first_uses: dict[st
     return found.withColumn("activated", F.col("created") & reduce(lambda a, b: a | b, [F.col(n) for n in first_uses]))
 
 
+def suggested_stage(stage: Column, billing: Column, plan: Column, activated: Column, at_risk: Column) -> Column:
+    """The lifecycle stage that billing, activation and risk point to; the current one where nothing does."""
+    paying = billing.isin("active", "trialing")
+    steps = [
+        ((billing == "canceled") & (stage == "churned"), F.lit("churned")), (billing == "canceled", F.lit("canceled")), (billing.isin("past_due", "unpaid"), F.lit("past_due")), (at_risk & paying, F.lit("at_risk")),
+        ((billing == "active") & (plan != "free"), F.lit("customer")), (billing == "trialing", F.lit("trial")), (activated, F.lit("activated")), (stage == "lead", F.lit("signup")), (stage == "signup", F.lit("onboarding")),
+    ]
+    return ladder(steps, stage)
+
+
 def health(activated: Column, created: Column, recent: Column, usage: Column, limit: Column, payment_failed: Column, endpoints: Column, failing: Column, billing: Column, adopted: Column) -> dict[str, Column]:
     """Seven component scores from 0 to 100 and overall, their mean, rounded half up.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,27 @@ def dedup_conflicts(rows: DataFrame, key: Sequence[str], fingerprint: str, order
     return joined.withColumn("verdict", F.when(own == F.col("_first"), "new").when(F.col(fingerprint) == F.col(f"_first.{fingerprint}"), "duplicate").otherwise("conflict")).drop("_first")
 
 
+def record_states(records: DataFrame, catalog: DataFrame, key: Sequence[str], fingerprint: str, order: Sequence[str], attributes: Sequence[str], needed: Sequence[str]) -> DataFrame:
+    """records with state, reason and target, as a provider's feed is taken in.
+
+    A key seen before is a duplicate if its fingerprint is the same and a revision, never applied, if not. New
+    records are quarantined where they name no external id and lack one of the needed attributes (concept_only),
+    or meet no entry (not_found) or several (ambiguous) of the catalog; the rest are processed with their target.
+    catalog has target, external and the attributes, and is counted by them first, so that no record meets many entries."""
+    seen = dedup_conflicts(records, key, fingerprint, order)
+    named = catalog.groupBy("external").agg(F.count("*").alias("_n_named"), F.min("target").alias("_named"))
+    alike = catalog.groupBy(*attributes).agg(F.count("*").alias("_n_alike"), F.min("target").alias("_alike"))
+    met = seen.join(named, "external", "left").join(alike, list(attributes), "left")
+    has_id = F.col("external").isNotNull()
+    n = F.coalesce(F.when(has_id, F.col("_n_named")).otherwise(F.col("_n_alike")), F.lit(0))
+    lacking = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in needed])
+    reason = F.when(F.col("verdict") != "new", None).when(~has_id & lacking, "concept_only").when(n == 0, "not_found").when(n > 1, "ambiguous")
+    met = met.withColumn("reason", reason)
+    state = F.when(F.col("verdict") == "conflict", "revision").when(F.col("verdict") == "duplicate", "duplicate").when(F.col("reason").isNull(), "processed").otherwise("quarantined")
+    met = met.withColumn("state", state)
+    return met.withColumn("target", F.when(F.col("state") == "processed", F.when(has_id, F.col("_named")).otherwise(F.col("_alike")))).select(*records.columns, "state", "reason", "target")
+
+
 def unpivot_metrics(rows: DataFrame, keys: Sequence[str], metrics: Sequence[tuple[str, Column, str, Column]]) -> DataFrame:
     """0 to n rows (keys, metric_key, value, unit) of each row: those metrics whose condition holds and whose value is there."""
     each = F.array(*[F.when(when & value.isNotNull(), F.struct(F.lit(name).alias("metric_key"), value.cast("double").alias("value"), F.lit(unit).alias("unit"))) for name, value, unit, when in metrics])

@@ -228,7 +228,7 @@ def authority_trust_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _AUTHORITY = ("calls", "n", "k", "state")
-_AUTHORITY_ROUNDED = ("mean_return", "mean_relative", "recency_accuracy", "calibration", "accuracy", "wilson_low", "wilson_high", "bayes_mean", "score", "weight")
+_AUTHORITY_ROUNDED = ("mean_return", "mean_relative", "recency_accuracy", "calibration", "accuracy", "wilson_low", "wilson_high", "bayes_mean", "score")
 _Z2 = "1.96 * 1.96"
 
 
@@ -246,7 +246,7 @@ l AS (SELECT a.*, {_wilson_sql('-', 0)} AS low, {_wilson_sql('+', 1)} AS high, c
 s AS (SELECT *, CASE WHEN excluded THEN 'excluded' WHEN n < 5 THEN 'low_confidence' WHEN low < 0.35 AND n >= 8 THEN 'unreliable' WHEN n < 20 THEN 'developing' WHEN n >= 50 AND low >= 0.62 THEN 'trusted' WHEN low >= 0.5 THEN 'reliable' ELSE 'developing' END AS state,
  CASE WHEN n > 0 THEN k / n END AS accuracy, CASE WHEN n > 0 THEN low END AS wilson_low, CASE WHEN n > 0 THEN high END AS wilson_high, CASE WHEN n > 0 THEN (k + 8) / (n + 16) END AS bayes_mean, least(greatest(100 * (0.85 * low + 0.15 * (0.5 + coalesce(least(greatest(mean_return, -0.5), 0.5), 0))) * n / (n + 20), 0), 100) AS score FROM l),
 w AS (SELECT *, CASE state WHEN 'excluded' THEN 0 WHEN 'unreliable' THEN 0.05 * n / (n + 20) ELSE n / (n + 20) * CASE state WHEN 'trusted' THEN 1 WHEN 'reliable' THEN 0.8 WHEN 'developing' THEN 0.45 ELSE 0.2 END * low END AS weight FROM s)
-SELECT forecaster, game, language, set_key, tier, horizon, {', '.join(_AUTHORITY)}, {', '.join(f'round({c} + 1e-9, 5) + 0.0 AS {c}' for c in _AUTHORITY_ROUNDED)} FROM w""")
+SELECT forecaster, game, language, set_key, tier, horizon, {', '.join(_AUTHORITY)}, {', '.join(f'round({c} + 1e-9, 5) + 0.0 AS {c}' for c in _AUTHORITY_ROUNDED)}, round(weight, 6) AS weight FROM w""")
 def authority_slices(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as calls of customers; error events of the same number as trust events."""
     i, price, c = F.col("o_orderkey"), F.col("o_totalprice"), F.col
@@ -257,7 +257,7 @@ def authority_slices(spark: SparkSession, sf: str) -> DataFrame:
     )
     stated = events(spark, sf, "error").select(c("instrument").alias("forecaster"), "at", "id", F.when(c("k") % 10 == 0, "excluded").otherwise("restored").alias("state"))
     found = authority.slices(calls, authority.latest_trust(stated, "forecaster"), "forecaster", instant(LONG_ASOF))
-    return found.select("forecaster", *authority.SLICE, *_AUTHORITY, *[(F.round(F.col(x) + 1e-9, 5) + 0.0).alias(x) for x in _AUTHORITY_ROUNDED])
+    return found.select("forecaster", *authority.SLICE, *_AUTHORITY, *[(F.round(F.col(x) + 1e-9, 5) + 0.0).alias(x) for x in _AUTHORITY_ROUNDED], F.round("weight", 6).alias("weight"))
 
 
 # scores ----------------------------------------------------------------------------------------------
