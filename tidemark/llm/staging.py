@@ -27,10 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
+def written(df: DataFrame, compression: str | None = None) -> tuple[DataFrame, str]:
     """df written as a Parquet table in the checkpoint folder and read again, and the table's path."""
     path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -65,6 +65,11 @@ class Leaf:
                 self._pieces.append(text[at : at + n])
                 at += n
 
+    @property
+    def stored_at(self) -> int | None:
+        """The place of a stored leaf among its batch's, if it has one."""
+        return self._stored[1] if self._stored else None
+
     @property
     def pieces(self) -> list[str]:
         self._open()
@@ -247,11 +252,16 @@ def _leaves(pieces: list[str], counts: list[int]) -> list[Leaf]:
 
 LEAVES = "array<struct<text:string,sizes:array<int>,counts:array<int>,chars:int,tokens:int>>"
 FIELDS = "tokens_before long, tokens_after long, chars_after long, pretokens_recounted long, leaves_touched long"
-_STORED = pa.list_(pa.struct([("text", pa.string()), ("sizes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("chars", pa.int32()), ("tokens", pa.int32())]))
+_LEAF = pa.struct([("text", pa.string()), ("sizes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("chars", pa.int32()), ("tokens", pa.int32())])
 
 
-def _stored(trees: list[list[Leaf]]) -> pa.Array:
-    return pa.array([[{"text": "".join(x.pieces), "sizes": list(map(len, x.pieces)), "counts": x.counts, "chars": x.chars, "tokens": x.tokens} for x in leaves] for leaves in trees], _STORED)
+def _stored(texts: list[str], sizes: list[int], counts: list[int], bounds: list[int]) -> pa.StructArray:
+    """Leaves of the texts given; sizes and counts of all their pre-tokens, of which a leaf's begin at its bound."""
+    ends = pa.array(np.asarray(bounds, dtype=np.int32))
+    flat = [np.asarray(x, dtype=np.int32) for x in (sizes, counts)]
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat]
+    sums = [np.concatenate([[0], np.cumsum(x)])[bounds] for x in flat]
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), *lists, *[pa.array(np.diff(x).astype(np.int32)) for x in sums]], fields=list(_LEAF))
 
 
 #: Rows of a batch whose trees are held at once.
@@ -264,11 +274,21 @@ def _built(ranks_path: str, pattern: str):
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                trees = []
+                texts, sizes, counts, bounds, rows = [], [], [], [0], [0]
                 for text in batch.column(1).to_pylist():
                     pieces = source.pattern.findall(text or "")
-                    trees.append(_leaves(pieces, list(map(source.count, pieces))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _stored(trees)], names=["doc_id", "edits", "leaves"])
+                    sizes += map(len, pieces)
+                    counts += map(source.count, pieces)
+                    step = LEAF if len(pieces) > 2 * LEAF else 2 * LEAF
+                    here = 0
+                    for i in range(0, len(pieces), step):
+                        there = here + sum(sizes[bounds[-1] : bounds[-1] + min(step, len(pieces) - i)])
+                        texts.append(text[here:there])
+                        bounds.append(bounds[-1] + min(step, len(pieces) - i))
+                        here = there
+                    rows.append(len(texts))
+                leaves = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), _stored(texts, sizes, counts, bounds))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), leaves], names=["doc_id", "edits", "leaves"])
 
     return run
 
@@ -282,16 +302,27 @@ def _edited(ranks_path: str, pattern: str):
                 bounds = np.cumsum([0, *batch.column(2).value_lengths().to_pylist()])
                 leaves = batch.column(2).flatten()
                 chars, tokens = leaves.field("chars").to_pylist(), leaves.field("tokens").to_pylist()
-                out, trees = [], []
+                out, places, rows = [], [], [0]
+                texts, sizes, counts, ends = [], [], [], [0]
                 for i, edits in enumerate(batch.column(1).to_pylist()):
                     tree = CountTree([Leaf(None, None, chars[j], tokens[j], (leaves, j)) for j in range(bounds[i], bounds[i + 1])], source)
                     before = tree.total
                     for e in edits or ():
                         tree.edit(e["at"] or 0, e["delete"] or 0, e["insert"] or "")
                     out.append((before, tree.total, tree.length, tree.counted, tree.touched))
-                    trees.append(tree)
+                    for leaf in tree.leaves():
+                        if leaf.stored_at is not None:  # as it was
+                            places.append(leaf.stored_at)
+                            continue
+                        places.append(len(leaves) + len(texts))
+                        texts.append("".join(leaf.pieces))
+                        sizes += map(len, leaf.pieces)
+                        counts += leaf.counts
+                        ends.append(len(sizes))
+                    rows.append(len(places))
                 columns = list(zip(*out, strict=True)) or [()] * 5
-                after = _stored([list(t.leaves()) for t in trees])
+                pool = pa.concat_arrays([leaves.cast(_LEAF), _stored(texts, sizes, counts, ends)])
+                after = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pool.take(pa.array(places, pa.int64())))
                 yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.int64()) for c in columns] + [after], names=["doc_id", "tokens_before", "tokens_after", "chars_after", "pretokens_recounted", "leaves_touched", "leaves"])
 
     return run
@@ -328,7 +359,7 @@ def apply_edits(trees: DataFrame, ranks_path: str | None = None, pattern: str |
 
 def edited_counts(docs: DataFrame, edits: Column, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Token counts of each document before and after its edits, by build_trees, stored, and apply_edits."""
-    trees, _ = written(build_trees(docs, edits, ranks_path, pattern))
+    trees, _ = written(build_trees(docs, edits, ranks_path, pattern), compression="zstd")
     return apply_edits(trees, ranks_path, pattern).drop("leaves")
 
 
