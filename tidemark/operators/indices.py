@@ -18,11 +18,11 @@ def qualify(definitions: DataFrame, instruments: DataFrame, counts: DataFrame) -
 
     A null in a definition's kind or brand matches anything; a definition without a kind has no members
     unless it is mixed. definitions is a catalog of some tens of rows and is broadcast; counts has
-    instrument, sales (in the window) and history."""
+    instrument, sales (in the window) and history, and may have step, which stays."""
     wild = lambda c: F.col(f"d.{c}").isNull() | (F.col(f"d.{c}") == F.col(f"i.{c}"))
     counted = instruments.join(counts, "instrument")
     found = counted.alias("i").join(F.broadcast(definitions).alias("d"), wild("kind") & wild("brand") & (F.col("d.kind").isNotNull() | F.col("d.mixed")))
-    return found.where("sales >= min_sales and history >= min_history").select("index_key", "instrument", "sales", "method")
+    return found.where("sales >= min_sales and history >= min_history").select("index_key", "instrument", "sales", "method", *[c for c in ("step",) if c in counts.columns])
 
 
 def weights(members: DataFrame, by: Sequence[str] = ("index_key",)) -> DataFrame:

@@ -16,8 +16,8 @@ def exact(mentions: DataFrame, catalog: DataFrame, keys: Sequence[str], target:
 
     A mention that lacks a key is incomplete. mentions need id."""
     complete = [F.col(k).isNotNull() for k in keys]
-    found = mentions.join(catalog.select(*keys, F.col(target).alias("_t")), list(keys), "left").groupBy("id").agg(F.countDistinct("_t").alias("matches"), F.min("_t").alias("_t"))
-    out = mentions.join(found, "id")
+    counted = catalog.groupBy(*keys).agg(F.countDistinct(target).alias("_n"), F.min(target).alias("_t"))  # before the join, so that none multiplies
+    out = mentions.join(counted, list(keys), "left").select(*mentions.columns, F.coalesce("_n", F.lit(0)).alias("matches"), "_t")
     whole = complete[0]
     for c in complete[1:]:
         whole = whole & c

@@ -9,6 +9,7 @@ from ..functions.stats import authority_score, authority_weight, beta_mean, pric
 from ..functions.times import DAY, instant, micros
 from ..operators import claims as claim_ops
 from ..operators import authority, forecast, indices, pit, scoring, series
+from ..session import materialised
 from ..sources.tables import claims, daily_trades, events, quotes, table, trades
 from .catalog import ASOF, DAILY, LONG_ASOF, QUOTES, TRADES, query
 from .features import A, VECTOR, _in, event_features
@@ -38,11 +39,14 @@ def _definitions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEFINITIONS, indices.DEFINITION)
 
 
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("instrument"), F.col("p_type").alias("kind"), F.col("p_brand").alias("brand"))
+
+
 def _members(spark: SparkSession, sf: str, asof: str) -> DataFrame:
     at = instant(asof)
     counts = daily_trades(spark, sf).where(F.col("at") <= at).groupBy("instrument").agg(F.count_if(F.col("at") > at - WINDOW_DAYS * DAY).alias("sales"), F.count("*").alias("history"))
-    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("instrument"), F.col("p_type").alias("kind"), F.col("p_brand").alias("brand"))
-    return indices.qualify(_definitions(spark), parts, counts)
+    return indices.qualify(_definitions(spark), _parts(spark, sf), counts)
 
 
 @query(f"WITH {DAILY}, {DEFS_SQL}, {_members_sql(LONG_ASOF, 'a')} SELECT index_key, instrument, sales FROM m_a")
@@ -72,10 +76,12 @@ timeline AS (SELECT index_key, instrument, weight, f, dt.d AS e FROM iv LEFT JOI
 
 
 def _timeline(spark: SparkSession, sf: str) -> DataFrame:
-    dated = None
-    for i, d in enumerate(STEPS):
-        rows = indices.weights(_members(spark, sf, d)).select("index_key", "instrument", "weight", F.lit(i).alias("step"))
-        dated = rows if dated is None else dated.unionByName(rows)
+    """Memberships over all rebalance dates, which one pass over the trades counts together."""
+    at = F.col("at")
+    each = [F.struct(F.lit(i).alias("step"), F.count_if((at <= instant(d)) & (at > instant(d) - WINDOW_DAYS * DAY)).alias("sales"), F.count_if(at <= instant(d)).alias("history")) for i, d in enumerate(STEPS)]
+    counts = daily_trades(spark, sf).groupBy("instrument").agg(F.array(*each).alias("_steps")).select("instrument", F.explode("_steps").alias("_s")).select("instrument", "_s.*").where("history > 0")
+    members = indices.qualify(_definitions(spark), _parts(spark, sf), counts)
+    dated = indices.weights(members, ("index_key", "step")).select("index_key", "instrument", "weight", "step")
     dates = spark.createDataFrame([(i, d) for i, d in enumerate(STEPS)], "step int, d string").select("step", F.unix_micros(F.col("d").cast("timestamp")).alias("at"))
     return indices.timeline(dated, dates)
 
@@ -90,8 +96,8 @@ def _level_sql(asof: str, n: str) -> str:
 lv_{n} AS (SELECT index_key, count(*) AS members, count(*) FILTER (WHERE base > 0 AND cur IS NOT NULL) AS priced, coalesce(100 * sum(weight * cur / base) FILTER (WHERE base > 0 AND cur IS NOT NULL) / sum(weight) FILTER (WHERE base > 0 AND cur IS NOT NULL), 100) AS level FROM lm_{n} GROUP BY 1)"""
 
 
-def _levels(spark: SparkSession, sf: str, asof: str) -> DataFrame:
-    active = pit.valid_at(_timeline(spark, sf), instant(asof))
+def _levels(spark: SparkSession, sf: str, asof: str, memberships: DataFrame) -> DataFrame:
+    active = pit.valid_at(memberships, instant(asof))
     daily = daily_trades(spark, sf).withColumn("id", F.col("at"))
     based = pit.asof_join(active.withColumn("at", F.col("effective_from")), daily, "instrument", ["price"]).withColumnRenamed("asof_price", "base")
     current = pit.latest_asof(daily, ["instrument"], instant(asof), ["price"]).withColumnRenamed("price", "current")
@@ -100,13 +106,14 @@ def _levels(spark: SparkSession, sf: str, asof: str) -> DataFrame:
 
 @query(f"{_TIMELINE_SQL}, {_level_sql('2000-09-30', 'a')} SELECT index_key, members, priced, round(level, 6) AS level, round(priced / members, 6) AS coverage, CASE WHEN priced = 0 THEN 'insufficient_data' WHEN priced / members >= 0.8 THEN 'complete' ELSE 'partial' END AS quality FROM lv_a")
 def index_level_base100(spark: SparkSession, sf: str) -> DataFrame:
-    return _levels(spark, sf, "2000-09-30 00:00:00").withColumns({"level": F.round("level", 6), "coverage": F.round("coverage", 6)})
+    return _levels(spark, sf, "2000-09-30 00:00:00", _timeline(spark, sf)).withColumns({"level": F.round("level", 6), "coverage": F.round("coverage", 6)})
 
 
 @query(f"{_TIMELINE_SQL}, {_level_sql('2000-03-31', 'a')}, {_level_sql('2000-09-30', 'b')} SELECT index_key, round(b.level / a.level - 1, 6) AS index_return FROM lv_a a JOIN lv_b b USING (index_key)")
 def index_return(spark: SparkSession, sf: str) -> DataFrame:
-    a = _levels(spark, sf, "2000-03-31 00:00:00").select("index_key", F.col("level").alias("start"))
-    b = _levels(spark, sf, "2000-09-30 00:00:00").select("index_key", F.col("level").alias("end"))
+    memberships = materialised(_timeline(spark, sf))
+    a = _levels(spark, sf, "2000-03-31 00:00:00", memberships).select("index_key", F.col("level").alias("start"))
+    b = _levels(spark, sf, "2000-09-30 00:00:00", memberships).select("index_key", F.col("level").alias("end"))
     return a.join(b, "index_key").select("index_key", F.round(indices.simple_return(F.col("start"), F.col("end")), 6).alias("index_return"))
 
 
@@ -334,7 +341,7 @@ scored AS (SELECT instrument, opportunity, risk, confidence, liquidity, CASE WHE
 
 def score_inputs(spark: SparkSession, sf: str) -> DataFrame:
     asof = instant(ASOF)
-    vector = event_features(spark, sf)
+    vector = materialised(event_features(spark, sf))  # one row an instrument, for the benchmark and the scores
     bench = vector.agg(F.avg("ret_7d").alias("_bench"))
     newest = lambda df, c, n: df.where(F.col("at") <= asof).groupBy("instrument").agg(F.max_by(c, F.struct("at", "id")).alias(n))
     rows = vector.join(F.broadcast(bench), how="cross")  # one row

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidemark", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -23,6 +23,13 @@ def session(app: str = "tidemark", shuffle_partitions: int | None = None, **conf
     return builder.config(map=settings).getOrCreate()
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """df written as a table of the shared folder and read again: for what several branches of a plan need."""
+    path = shared_folder(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the one that the cluster shares (spark.checkpoint.dir); where none is set and Spark runs on this machine alone, under a temporary one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
