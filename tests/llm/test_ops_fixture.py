@@ -673,6 +673,38 @@ def test_chat_rows(spark):
     assert chat.conversation_records(frame.limit(0)).count() == 0
 
 
+def test_varied_layouts_read_back(spark):
+    """Every layout is used, and what is read back is what was said, roles that look like a layout's own included."""
+    said = [("user", "q <|turn|>"), ("assistant", "a & b")]
+    rows = [(i, t, role, text) for i in range(60) for t, (role, text) in enumerate(said)]
+    rows += [(100 + i, 0, role, "x") for i, role in enumerate(["human", "gpt", None, "user"] * 5)]
+    rows += [(200 + i, t, role, "") for i in range(9) for t, role in enumerate(["user", "assistant"])]
+    out = chat.format_chats(chat.varied_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert {"messages", "shared", "prompt"} <= {r.layout for r in out} and len(out) == 89
+    want = collections.defaultdict(list)
+    for i, _, role, text in rows:
+        want[i].append((role or "", text))
+    assert all([tuple(t) for t in r.read_turns] == want[r.conv_id] for r in out)
+
+
+def test_chat_names_may_clash(spark):
+    frame = spark.createDataFrame([(1, RECORDS[0], "mine", "mine", "mine", "kept")], "id int, record string, layout string, formatted string, loss_spans string, parts string")
+    row = chat.format_chats(frame).first()
+    assert row.parts == "kept" and row.layout == "messages" and row.read_turns[0].role == "user"
+    assert chat.format_chats(frame.limit(0)).count() == 0
+
+
+def test_jaccard_join_of_other_ids(spark):
+    """String ids, nulls among them, repeated rows, texts that differ in hashes modulo powers of two alone."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [("k", "one two three four five six"), (None, "one two three four five six"), ("j", "one two three four five six"), ("j", "one two three four five six"), ("m", a), ("n", b), (None, None), (None, "alone here")]
+    out = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.n_links, r.class_id or "", r.kept) for r in out) == sorted([("k", 3, "j", False), ("", 3, "j", False), ("j", 3, "j", True), ("j", 3, "j", True), ("m", 0, "m", True), ("n", 0, "n", True), ("", 0, "", True), ("", 0, "", True)])
+    assert len({r.class_row for r in out}) == 5
+
+
 def test_components_of_stars_and_paths(spark):
     from tidemark.llm.components import components
 
