@@ -66,4 +66,33 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op1_mix_sources": _OP1, "op7_embedding_dedup": _OP7, "op8_jaccard_join": _OP8, "op10_chat_format": _OP10}
+_ENC = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_ENC.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+# crc32 of the ASCII digits of doc_id, bit by bit
+_CRC = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END))"""
+
+_OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_LEAF.replace("{n}", "n_chars")} AS leaf, {_LEAF.replace("{n}", "(n_chars::HUGEINT + 1)")} AS other,
+    xor({_CRC}, 4294967295::UBIGINT) % 7 = 0 AS tampered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+up AS (SELECT lang, 0 AS level, list(leaf ORDER BY i) AS nodes FROM p GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], ''))) FROM up WHERE len(nodes) > 1),
+sub AS (SELECT lang, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM up WHERE len(nodes) = 1),
+top AS (SELECT 0 AS level, list(subroot ORDER BY g) AS nodes FROM sub
+  UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], ''))) FROM top WHERE len(nodes) > 1),
+-- the sibling of each row at each level, '' where its run has no other
+sib AS (SELECT p.lang, p.i, up.level, ((p.i >> up.level) % 2) AS slot, coalesce(up.nodes[xor((p.i >> up.level), 1) + 1], '') AS s
+    FROM p JOIN up ON up.lang IS NOT DISTINCT FROM p.lang WHERE len(up.nodes) > 1
+  UNION ALL SELECT p.lang, p.i, sub.height + top.level, (g >> top.level) % 2, coalesce(top.nodes[xor((g >> top.level), 1) + 1], '')
+    FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang CROSS JOIN top WHERE len(top.nodes) > 1),
+path AS (SELECT lang, i, list({{'s': s, 'slot': slot}} ORDER BY level) AS path FROM sib GROUP BY lang, i),
+fold AS (SELECT p.doc_id, p.lang, p.i, 0 AS k, CASE WHEN tampered THEN other ELSE leaf END AS node, coalesce(path, []) AS path FROM p LEFT JOIN path q ON q.lang IS NOT DISTINCT FROM p.lang AND q.i = p.i
+  UNION ALL SELECT doc_id, lang, i, k + 1, CASE WHEN path[k + 1].slot = 0 THEN sha256(node || path[k + 1].s) ELSE sha256(path[k + 1].s || node) END, path FROM fold WHERE k < len(path))
+SELECT p.doc_id, p.leaf, sub.subroot, r.nodes[1] AS root, sha256(list_aggregate(list_transform(f.path, lambda x: x.s), 'string_agg', '')) AS proof_sha256,
+  f.node AS folded_root, f.node = r.nodes[1] AS verified
+FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN fold f ON f.lang IS NOT DISTINCT FROM p.lang AND f.i = p.i AND f.k = len(f.path)
+CROSS JOIN (SELECT nodes FROM top WHERE len(nodes) = 1) r
+"""
+
+ORACLE: dict[str, str] = {"op1_mix_sources": _OP1, "op7_embedding_dedup": _OP7, "op8_jaccard_join": _OP8, "op10_chat_format": _OP10, "op12_merkle_manifest": _OP12}

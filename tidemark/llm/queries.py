@@ -11,6 +11,7 @@ from .chaining import shared_passages
 from .chat import format_chats, varied_records
 from .embeddings import embedding_near_duplicates
 from .jaccard import jaccard_join
+from .merkle import fold, merkle_proofs, siblings
 from .mixing import mix_plan
 from .packing import pack
 from .quality import quality
@@ -75,4 +76,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_substring_dedup, op4_pack, op5_quality_rules, op6_toxicity, op7_embedding_dedup, op8_jaccard_join, op9_token_counts, op10_chat_format)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    changed = F.when(tampered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars").cast("decimal(20,0)"))
+    out = merkle_proofs(table(spark, sf_dir, "documents"), altered={"n_chars": changed})
+    folded = out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(siblings(F.col("path")), ""), 256).alias("proof_sha256"), fold(F.col("altered_leaf"), F.col("path")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_substring_dedup, op4_pack, op5_quality_rules, op6_toxicity, op7_embedding_dedup, op8_jaccard_join, op9_token_counts, op10_chat_format, op12_merkle_manifest)}
