@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import ranked
 from .staging import written
 
 #: What a leaf is made of, in this order.
@@ -26,22 +26,6 @@ def leaf_digest(values: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*[encoded(v) for v in values]), 256)
 
 
-def _ranked(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """rows (with _g, not null) with _pos, their place in their group by order, nulls first, and _n, the group's rows.
-
-    Places come from range partitions and the counts before them, so a group fills as many tasks as its rows need;
-    rows equal in order stand as they were read, so that they too can be dealt out."""
-    keys = [F.col(c).asc_nulls_first() for c in (*order, "_row")]
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    parts, _ = written(rows.repartitionByRange(F.col("_g"), *keys).withColumn("_part", F.spark_partition_id()))
-    counts = parts.groupBy("_g", "_part").agg(F.count("*").alias("_own"))
-    whole = W.partitionBy("_g")
-    before = F.coalesce(F.sum("_own").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_g", "_part", before.alias("_before"), F.sum("_own").over(whole).alias("_n"))
-    place = F.row_number().over(W.partitionBy("_g", "_part").orderBy(*keys))
-    return parts.withColumn("_place", place).join(counts, ["_g", "_part"]).withColumn("_pos", F.col("_before") + F.col("_place") - 1).drop("_part", "_row", "_place", "_before")
-
-
 def _blocks(nodes: DataFrame, arity: int, height: int, more: Sequence[str] = ()) -> DataFrame:
     """The blocks of arity ** height consecutive nodes of a group: their parents' preimages by level, and their top.
 
@@ -126,10 +110,10 @@ def merkle_proofs(docs: DataFrame, fields: Sequence[str] = FIELDS, group: str =
     other = leaf_digest([(altered or {}).get(c, values[c]) for c in fields]) if altered else F.lit(None).cast("string")
     text = values[group].cast("string")
     leaves = docs.select(F.when(text.isNull(), "0").otherwise(F.concat(F.lit("1"), text)).alias("_g"), values[order].alias("_order"), leaf.alias("_node"), other.alias("_other"))
-    tiers = _tree(_ranked(leaves, ["_order", "_node"]), arity, height, ("_order", "_other"))
+    tiers = _tree(ranked(leaves, [F.col("_order").asc_nulls_first(), F.col("_node").asc()]), arity, height, ("_order", "_other"))
     # one node for each group is left; they make a tree of their own
     subroots = tiers[-1].select(F.lit("").alias("_g"), F.col("_g").alias("_of"), "_node")
-    top = _tree(_ranked(subroots, ["_of"]), arity, height, ("_of",))
+    top = _tree(ranked(subroots, [F.col("_of").asc()]), arity, height, ("_of",))
     root = top[-1].select("_g", F.lit(0).cast("bigint").alias("_pos"), F.array().cast("array<struct<preimage string, slot int>>").alias("_path"), F.col("_node").alias("root"))
     groups = _paths(top, root, arity, height, ["root"])
     groups = groups.select(F.col("_e._of").alias("_g"), F.lit(0).cast("bigint").alias("_pos"), "_path", "root", F.col("_e.node").alias("subroot"))

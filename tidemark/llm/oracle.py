@@ -95,4 +95,20 @@ FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN fold f ON f.lang IS
 CROSS JOIN (SELECT nodes FROM top WHERE len(nodes) = 1) r
 """
 
-ORACLE: dict[str, str] = {"op1_mix_sources": _OP1, "op7_embedding_dedup": _OP7, "op8_jaccard_join": _OP8, "op10_chat_format": _OP10, "op12_merkle_manifest": _OP12}
+_OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS w FROM p, range(1, 4) r(m)),
+f AS (SELECT lang, m, array_to_string(w, ' ') AS phrase, w, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= 10),
+x AS (SELECT lang, max(f) AS longer, array_to_string(s, ' ') AS phrase FROM (SELECT lang, f, unnest([w[1:2], w[2:3]]) AS s FROM c WHERE m = 3) GROUP BY lang, s),
+k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c LEFT JOIN x USING (lang, phrase) WHERE x.longer IS NULL OR 100 * x.longer < 50 * c.f),
+s AS (SELECT k.lang, k.phrase, k.f AS a, k.k, l.f AS l, r.f AS r, (1000000::HUGEINT * k.f * k.f // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:k.m], ' ')),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang)
+QUALIFY rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op1_mix_sources": _OP1, "op7_embedding_dedup": _OP7, "op8_jaccard_join": _OP8, "op10_chat_format": _OP10, "op12_merkle_manifest": _OP12, "op13_collocations": _OP13}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chaining import shared_passages
 from .chat import format_chats, varied_records
+from .collocations import collocations
 from .embeddings import embedding_near_duplicates
 from .jaccard import jaccard_join
 from .merkle import fold, merkle_proofs, siblings
@@ -84,4 +85,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_substring_dedup, op4_pack, op5_quality_rules, op6_toxicity, op7_embedding_dedup, op8_jaccard_join, op9_token_counts, op10_chat_format, op12_merkle_manifest)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_substring_dedup, op4_pack, op5_quality_rules, op6_toxicity, op7_embedding_dedup, op8_jaccard_join, op9_token_counts, op10_chat_format, op12_merkle_manifest, op13_collocations)}
