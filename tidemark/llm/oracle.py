@@ -95,6 +95,15 @@ FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN fold f ON f.lang IS
 CROSS JOIN (SELECT nodes FROM top WHERE len(nodes) = 1) r
 """
 
+# These pages mark their article, with headings, paragraphs, bold text and line breaks inside, and refer to two characters.
+_OP11 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+b AS (SELECT *, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+    regexp_replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
 _OP13 = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
@@ -111,4 +120,4 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
 QUALIFY rank <= 2000
 """
 
-ORACLE: dict[str, str] = {"op1_mix_sources": _OP1, "op7_embedding_dedup": _OP7, "op8_jaccard_join": _OP8, "op10_chat_format": _OP10, "op12_merkle_manifest": _OP12, "op13_collocations": _OP13}
+ORACLE: dict[str, str] = {"op1_mix_sources": _OP1, "op7_embedding_dedup": _OP7, "op8_jaccard_join": _OP8, "op10_chat_format": _OP10, "op11_html_extract": _OP11, "op12_merkle_manifest": _OP12, "op13_collocations": _OP13}

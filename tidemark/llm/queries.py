@@ -11,6 +11,7 @@ from .chaining import shared_passages
 from .chat import format_chats, varied_records
 from .collocations import collocations
 from .embeddings import embedding_near_duplicates
+from .html_extract import extract_main_text
 from .jaccard import jaccard_join
 from .merkle import fold, merkle_proofs, siblings
 from .mixing import mix_plan
@@ -77,6 +78,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     changed = F.when(tampered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars").cast("decimal(20,0)"))
@@ -89,4 +94,4 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_substring_dedup, op4_pack, op5_quality_rules, op6_toxicity, op7_embedding_dedup, op8_jaccard_join, op9_token_counts, op10_chat_format, op12_merkle_manifest, op13_collocations)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_substring_dedup, op4_pack, op5_quality_rules, op6_toxicity, op7_embedding_dedup, op8_jaccard_join, op9_token_counts, op10_chat_format, op11_html_extract, op12_merkle_manifest, op13_collocations)}
