@@ -116,13 +116,23 @@ def test_no_rows_and_nothing_frequent(spark, docs):
     assert got(collocations(few)) == []
 
 
-def test_a_run_over_many_tasks_is_added_up():
-    """Counts at the borders of tasks are parts that add up to the whole."""
+def test_runs_over_batches_and_parts_over_tasks():
+    """Runs go on over batches; counts of phrases of hot words are parts that add up over tasks."""
     rng = random.Random(3)
-    rows = sorted(" ".join(rng.choice(["a", "a", "b"]) for _ in range(rng.choice([2, 3]))) for _ in range(200))
+    rows = [" ".join(rng.choice(["a", "a", "a", "b", "c"]) for _ in range(rng.choice([2, 3]))) for _ in range(400)]
+    hot = {"a", "b"}
+
+    def n_hot(pointer):
+        words = pointer.split()
+        return next((i for i, w in enumerate(words) if w not in hot), len(words))
+
+    dealt = collections.defaultdict(list)
+    for p in rows:
+        dealt[hash(tuple(p.split()[: n_hot(p) + 1])) % 3].append(p)
     total = collections.Counter()
-    for lo in range(0, 200, 30):
-        batches = [module.pa.RecordBatch.from_arrays([module.pa.array(["en"] * len(x)), module.pa.array(x), module.pa.array([1] * len(x))], names=["lang", "pointer", "n"]) for x in (rows[lo : lo + 11], rows[lo + 11 : lo + 30]) if x]
+    for own in dealt.values():
+        own.sort()
+        batches = [module.pa.RecordBatch.from_arrays([module.pa.array([n_hot(p) for p in x]), module.pa.array(["en"] * len(x)), module.pa.array(x), module.pa.array([1] * len(x))], names=["prefix", "lang", "pointer", "n"]) for x in (own[i : i + 11] for i in range(0, len(own), 11))]
         for b in module._grow(3, 10)(iter(batches)):
             for r in b.to_pylist():
                 total[r["phrase"]] += r["f"]

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .ranking import ranked
 from .staging import cut, written
-from .textops import TextSlice, column_slices
+from .textops import TextSlice, column_slices, mix
 
 #: Text bytes whose pointers are put together before they are shuffled.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -107,17 +107,20 @@ def _bitmap(words: DataFrame, n_bits: int) -> np.ndarray:
     return out
 
 
-def _pointers(filter_of, n_bits: int, max_words: int):
+def _pointers(filter_of, n_bits: int, hot_words: frozenset[tuple[str, str]], max_words: int):
     """mapInArrow function: the occurrence pointers of a slice, each projected to what follows it.
 
     A pointer is a frequent word's place, with the frequent words after it in its piece, max_words in all. Equal ones
-    of a slice are one row with their count; those that no frequent word follows can't grow and are left out."""
+    of a slice are one row with their count; those that no frequent word follows can't grow and are left out. prefix tells
+    tasks apart: it hashes the first word, or, while words are hot, the words up to the first that isn't, and its last
+    four bits say how many words in front are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = filter_of.value
         for lang, part in _slices(batches):
             codes, of, words = _words(part)
-            bit = (_hash(lang, words.to_pylist()) % np.uint64(n_bits)).astype(np.int64)
+            hashes = _hash(lang, words.to_pylist())
+            bit = (hashes % np.uint64(n_bits)).astype(np.int64)
             passing = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             names = words.filter(pa.array(passing))
             word = (np.cumsum(passing) * passing)[codes]  # passing words from 1, 0 for the others
@@ -132,7 +135,16 @@ def _pointers(filter_of, n_bits: int, max_words: int):
             rows, counts = _distinct(columns, len(names) + 1)
             texts = [pc.take(names, pa.array(c - 1, mask=c == 0)) for c in rows]
             pointer = pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string()), null_handling="skip")
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(pointer), pa.string()), pointer.cast(pa.string()), pa.array(counts)], names=["lang", "pointer", "n"])
+            is_hot = np.concatenate([[False], pc.is_in(names, pa.array([w for x, w in hot_words if x == lang], pa.large_string())).to_numpy(zero_copy_only=False)])
+            hashes = np.concatenate([np.zeros(1, dtype=np.uint64), hashes[passing]])
+            prefix, n_hot, ahead = hashes[rows[0]], np.zeros(len(counts), dtype=np.int64), np.ones(len(counts), dtype=bool)
+            for d, c in enumerate(rows):
+                if d:
+                    prefix = np.where(ahead, mix(prefix * np.uint64(0x9E3779B97F4A7C15) ^ hashes[c]), prefix)
+                ahead &= is_hot[c]
+                n_hot += ahead
+            deal = (prefix >> np.uint64(5)).astype(np.int64) * 16 + n_hot
+            yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array([lang] * len(pointer), pa.string()), pointer.cast(pa.string()), pa.array(counts)], names=["prefix", "lang", "pointer", "n"])
 
     return run
 
@@ -156,24 +168,24 @@ class _Growth:
     In that order the pointers of a prefix are one run, and those of each word that extends it one run within that run:
     going through the rows is going through the prefixes depth first. extend() projects the pointers to the runs that
     are frequent and extends those by a further word. The run that is open at a batch's end goes on in the next, so
-    memory doesn't grow with a prefix. The task's first and last run of each length may have rows in other tasks:
-    their counts are parts, given out whatever they are and not pruned by."""
+    memory doesn't grow with a prefix. A prefix of hot words alone has pointers in other tasks too: its count is a
+    part, given out whatever it is and not pruned by."""
 
     def __init__(self, max_words: int, min_count: int) -> None:
         self.max_words, self.min_count = max_words, min_count
-        #: by length: lang, phrase, count and whether it is the task's first run
+        #: by length: lang, phrase, count, and whether the count is a part
         self.open: dict[int, tuple[str, str, int, bool]] = {}
         self.out: list[tuple[str, str, int]] = []
 
-    def close(self, length: int, last: bool = False) -> None:
-        lang, phrase, n, first = self.open.pop(length)
-        if n >= self.min_count or first or last:
+    def close(self, length: int) -> None:
+        lang, phrase, n, part = self.open.pop(length)
+        if n >= self.min_count or part:
             self.out.append((lang, phrase, n))
 
-    def extend(self, langs: np.ndarray, pointers: pa.Array, words: list[np.ndarray], n: np.ndarray, length: int = 2) -> None:
+    def extend(self, langs: np.ndarray, pointers: pa.Array, words: list[np.ndarray], hot: np.ndarray, n: np.ndarray, length: int = 2) -> None:
         """Count the runs of that many words; words has, by place, each pointer's words as numbers, 0 for none."""
         there = words[length - 1] > 0
-        langs, pointers, words, n = langs[there], pointers.filter(pa.array(there)), [w[there] for w in words], n[there]
+        langs, pointers, words, hot, n = langs[there], pointers.filter(pa.array(there)), [w[there] for w in words], hot[there], n[there]
         if not len(n):
             return
         change = np.ones(len(n), dtype=bool)
@@ -181,27 +193,21 @@ class _Growth:
         for w in words[:length]:
             change[1:] |= w[1:] != w[:-1]
         start = np.flatnonzero(change)
-        count = np.add.reduceat(n, start)
+        count, part = np.add.reduceat(n, start), hot[start] >= length
         name = lambda run: (langs[start[run]], " ".join(pointers[int(start[run])].as_py().split(" ", length)[:length]))
-        first, before = length not in self.open, 0
-        if not first:
+        if length in self.open:
             if self.open[length][:2] == name(0):
-                before, first = self.open[length][2:]
-                self.open.pop(length)
+                count[0] += self.open.pop(length)[2]
             else:
                 self.close(length)
-        count[0] += before
-        grows = count >= self.min_count
+        grows = (count >= self.min_count) | part
         for run in np.flatnonzero(grows[:-1]):
             self.out.append((*name(run), int(count[run])))
-        if first and len(count) > 1 and not grows[0]:
-            self.out.append((*name(0), int(count[0])))
-        self.open[length] = (*name(-1), int(count[-1]), first and len(count) == 1)
+        self.open[length] = (*name(-1), int(count[-1]), bool(part[-1]))
         grows[-1] = True
-        grows[0] |= first
         if length < self.max_words:
             rows = np.repeat(grows, np.diff(np.append(start, len(n))))
-            self.extend(langs[rows], pointers.filter(pa.array(rows)), [w[rows] for w in words], n[rows], length + 1)
+            self.extend(langs[rows], pointers.filter(pa.array(rows)), [w[rows] for w in words], hot[rows], n[rows], length + 1)
 
     def taken(self) -> pa.RecordBatch:
         columns = list(zip(*self.out, strict=True)) or [()] * 3
@@ -214,12 +220,13 @@ def _grow(max_words: int, min_count: int):
         growth = _Growth(max_words, min_count)
         for batch in batches:
             if batch.num_rows:
-                parts = pc.split_pattern(batch.column(1), " ")
+                prefix, langs, pointers, n = batch.columns
+                parts = pc.split_pattern(pointers, " ")
                 words = [_numbers(pc.list_element(pc.list_slice(parts, d, d + 1, return_fixed_size_list=True), 0)) for d in range(max_words)]
-                growth.extend(np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1), words, batch.column(2).to_numpy())
+                growth.extend(np.array(langs.to_pylist(), dtype=object), pointers, words, prefix.to_numpy() & 15, n.to_numpy())
                 yield growth.taken()
         for length in sorted(growth.open):
-            growth.close(length, last=True)
+            growth.close(length)
         yield growth.taken()
 
     return run
@@ -235,16 +242,20 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, filt
     """(lang, phrase, words, f) of all phrases of 1 to max_words words with f >= min_count, and (lang, n): each language's words.
 
     Frequent words are counted first. Each frequent word's occurrences are then projected to pointers that hold the
-    frequent words behind it, and dealt to tasks by ranges of their order: the pointers of a prefix meet in one
-    task, in order, where phrases grow to the right depth first; a prefix with more pointers than a task's share is cut over several
-    tasks, whose counts of the phrases at their borders are added up. A filter of filter_bits bits tells tasks which words may be frequent; it
-    only ever lets too many through, more of them as words outnumber its bits."""
+    frequent words behind it, and dealt to tasks by that prefix: its pointers meet in one task, in order, where
+    phrases grow to the right depth first. Hot words, with more occurrences than a quarter of a task's share, are extended by a word before
+    they are dealt out, by two where that one is hot as well, and so on; counts of phrases of hot words alone are added up over tasks.
+    There are no more hot words than four a shuffle partition. A filter of filter_bits bits tells tasks which words may be
+    frequent; it only ever lets too many through, more of them as words outnumber its bits. max_words is 15 at most."""
+    spark = docs.sparkSession
     taken = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words, _ = written(taken.mapInArrow(_count_words, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
     frequent = words.where(F.col("f") >= min_count)
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(frequent, filter_bits))
-    pointers = taken.mapInArrow(_pointers(bitmap, filter_bits, max_words), "lang string, pointer string, n long")
-    dealt = pointers.repartitionByRange("lang", "pointer").sortWithinPartitions("lang", "pointer")
+    share = (words.agg(F.sum("f")).first()[0] or 0) / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = frozenset((r["lang"], r["phrase"]) for r in frequent.where(F.col("f") > share).collect())
+    bitmap = spark.sparkContext.broadcast(_bitmap(frequent, filter_bits))
+    pointers = taken.mapInArrow(_pointers(bitmap, filter_bits, hot, max_words), "prefix long, lang string, pointer string, n long")
+    dealt = pointers.repartition("prefix").sortWithinPartitions("lang", "pointer")
     grown = dealt.mapInArrow(_grow(max_words, min_count), "lang string, phrase string, f long")
     longer = grown.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
     phrases = frequent.unionByName(longer).withColumn("words", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
