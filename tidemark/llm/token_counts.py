@@ -207,20 +207,28 @@ class CountTree:
             here -= len(leaf.pieces[own])
             back -= 1
         kept, kept_counts = leaf.pieces[:own], leaf.counts[:own]
-        # characters from here to the edit stay; take in leaves until the cuts meet
-        last, old, old_counts = first, leaf.pieces[own:], leaf.counts[own:]
+        # characters from here to the edit stay; what the edit deletes isn't looked at
         end = at + delete
+        head, i = "".join(leaf.pieces[own:]), first
+        while here + len(head) < at:
+            i += 1
+            head += "".join(self._leaf(i).pieces)
+        last, begin = self._leaf_of(end)
+        tail, tail_counts = self._leaf(last).pieces, self._leaf(last).counts
+        if last <= first:
+            last, begin, tail, tail_counts = first, here, leaf.pieces[own:], leaf.counts[own:]
+        front, more = head[: at - here] + insert, 1
         while True:
-            whole = "".join(old)
             is_last = last + 1 >= self.root.n
-            if here + len(whole) >= end or is_last:
-                changed = whole[: at - here] + insert + whole[end - here :]
-                fresh, met = self._cut(changed, at - here + len(insert), old, end - here, len(insert) - delete, is_last)
-                if met is not None:
-                    break
-            last += 1
-            old, old_counts = old + self._leaf(last).pieces, old_counts + self._leaf(last).counts
-        new = _leaves(kept + fresh + old[met:], kept_counts + list(map(self.source.count, fresh)) + old_counts[met:])
+            fresh, met = self._cut(front, tail, end - begin, is_last)
+            if met is not None:
+                break
+            # twice as many leaves each time, so that cutting anew adds up to a few times the last cut
+            for _ in range(min(more, self.root.n - 1 - last)):
+                last += 1
+                tail, tail_counts = tail + self._leaf(last).pieces, tail_counts + self._leaf(last).counts
+            more *= 2
+        new = _leaves(kept + fresh + tail[met:], kept_counts + list(map(self.source.count, fresh)) + tail_counts[met:])
         before, rest = split(self.root, first)
         _, after = split(rest, last + 1 - first)
         self.root = merge(merge(before, balanced(new), self.rng), after, self.rng) or Node(Leaf([], [], 0, 0))
@@ -228,19 +236,19 @@ class CountTree:
         self.touched += last + 1 - first
         return len(fresh)
 
-    def _cut(self, text: str, changed_end: int, old: list[str], old_end: int, shift: int, is_last: bool) -> tuple[list[str], int | None]:
-        """Pre-tokens of text up to where they meet old cuts after the edit, and how many of old are behind that."""
+    def _cut(self, front: str, tail: list[str], skip: int, is_last: bool) -> tuple[list[str], int | None]:
+        """Pre-tokens of front and the text of tail from character skip on, up to where they meet a cut of tail, and how many of tail are before that."""
         cuts, place = {}, 0
-        for i, p in enumerate(old):
-            if place >= old_end:
-                cuts[place + shift] = i
+        for i, p in enumerate(tail):
+            if place >= skip:
+                cuts[place - skip + len(front)] = i
             place += len(p)
         fresh: list[str] = []
-        for m in self.source.pattern.finditer(text):
-            if m.start() >= changed_end and m.start() in cuts:
+        for m in self.source.pattern.finditer(front + "".join(tail)[skip:]):
+            if m.start() in cuts:
                 return fresh, cuts[m.start()]
             fresh.append(m.group())
-        return fresh, (len(old) if is_last else None)
+        return fresh, (len(tail) if is_last else None)
 
 
 def _leaves(pieces: list[str], counts: list[int]) -> list[Leaf]:
