@@ -7,6 +7,7 @@ template whose control strings can't occur in any text, and read back from what
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ TURN, END = "<|turn|>", "<|end|>\n"
 #: Every control string starts with one of these characters; & comes first as it starts their stand-ins.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;"))
 _TURNS = "array<struct<role:string,text:string>>"
+#: Entries of an array that are gone through as one.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -109,23 +112,42 @@ def _header(role: Column) -> Column:
     return F.concat(F.lit(TURN), F.replace(escape(role), F.lit("\n"), F.lit("&nl;")), F.lit("\n"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body's lambdas look at it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chunks(items: Column) -> Column:
+    """An array as an array of arrays of CHUNK entries, the last of what is left."""
+    return _let(items, lambda a: F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(1), F.size(a), F.lit(CHUNK)), lambda i: F.slice(a, i, CHUNK))).otherwise(F.slice(F.array(a), 1, 0)))
+
+
+def _running(start: Column, sizes: Column) -> Column:
+    """Where each of sizes begins, the first at start; quadratic in an array's length."""
+    none = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("begins"))
+    return F.aggregate(sizes, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins")), lambda acc: acc["begins"])
+
+
+def begins(sizes: Column) -> Column:
+    """Where each of an array of sizes begins if they stand one after the other: CHUNK entries at a time, then chunk by chunk."""
+    zero = F.lit(0).cast("bigint")
+    total = lambda chunk: F.aggregate(chunk, zero, lambda x, n: x + n)
+    return _let(_chunks(sizes), lambda chunks: F.flatten(F.zip_with(chunks, _running(zero, F.transform(chunks, total)), lambda chunk, at: _running(at, chunk))))
+
+
 def render(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     """turns with formatted (one string) and loss_spans: start (0-based) and length, in code points, of each learnt text.
 
-    Columns of these names give way. A conversation is one string, and so one task's work, up to Spark's 2 GB a value."""
+    Columns of these names give way. A conversation is one string, and so one task's work, up to Spark's 2 GB a value;
+    its time grows with its turns, but for a square of a CHUNK-th of them."""
     parts = F.transform("turns", lambda t: F.struct(_header(t.role).alias("head"), escape(t.text).alias("body"), (t.role == learn).alias("learnt")))
     made_parts = "_".join(["parts", *turns.columns])  # no column's name
     made = turns.withColumn(made_parts, parts)
     formatted = F.array_join(F.transform(made_parts, lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["head"])
-        length = F.length(p["body"]).cast("long")
-        span = F.array(F.struct(start.alias("start"), length.alias("length")))
-        return F.struct((start + length + len(END)).alias("at"), F.when(p["learnt"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return made.withColumns({"formatted": formatted, "loss_spans": F.aggregate(made_parts, none, step, lambda acc: acc["spans"])}).drop(made_parts)
+    size = F.transform(made_parts, lambda p: (F.length(p["head"]) + F.length(p["body"]) + len(END)).cast("bigint"))
+    span = lambda p, at: F.struct((at + F.length(p["head"])).alias("start"), F.length(p["body"]).cast("bigint").alias("length"), p["learnt"].alias("learnt"))
+    learnt = F.filter(F.zip_with(made_parts, begins(size), span), lambda s: s["learnt"])
+    return made.withColumns({"formatted": formatted, "loss_spans": F.transform(learnt, lambda s: F.struct(s["start"], s["length"]))}).drop(made_parts)
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -136,9 +158,15 @@ def read_back(rendered: DataFrame) -> DataFrame:
         body = F.substring(part, F.length(role) + 2, F.length(part) - F.length(role) - 1 - len(END))
         return F.struct(unescape(F.replace(role, F.lit("&nl;"), F.lit("\n"))).alias("role"), unescape(body).alias("text"))
 
+    def learnt(spans: Column) -> Column:
+        # a chunk's stretch of the string is cut out first, as finding a place in a string means counting from its front
+        first, last = F.element_at(spans, 1)["start"], F.element_at(spans, -1)
+        stretch = F.substring(F.col("formatted"), (first + 1).cast("int"), (last["start"] + last["length"] - first).cast("int"))
+        return _let(stretch, lambda text: F.array_join(F.transform(spans, lambda s: unescape(F.substring(text, (s["start"] - first + 1).cast("int"), s["length"].cast("int")))), ""))
+
     parts = F.split("formatted", r"<\|turn\|>")
-    spans = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return rendered.withColumns({"read_turns": F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), turn), "loss_text": F.array_join(spans, "")})
+    loss_text = F.array_join(F.transform(_chunks(F.col("loss_spans")), learnt), "")
+    return rendered.withColumns({"read_turns": F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), turn), "loss_text": loss_text})
 
 
 def _conversations(rows: DataFrame) -> DataFrame:
