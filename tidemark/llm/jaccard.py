@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -21,14 +22,21 @@ def choose_bands(threshold: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-def _signatures(k: int, bands: int, rows: int, seed: int):
+def corpus_secret(docs: DataFrame) -> tuple[int, int]:
+    """Two 64-bit numbers that every text of docs takes part in."""
+    total = docs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("text").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), "text").cast("decimal(38,0)")).alias("b")).first()
+    digest = hashlib.sha256(f"{total['n']}:{total['a']}:{total['b']}".encode()).digest()
+    return int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:16], "little")
+
+
+def _signatures(k: int, bands: int, rows: int, seed: int, secret: tuple[int, int]):
     factors = np.random.default_rng(seed).integers(1, 2**63, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text, row = batch.column(0), batch.column(1), batch.column(2)
             for first, piece in column_slices(text):
-                sets, bounds = shingle_sets(piece, k)
+                sets, bounds = shingle_sets(piece, k, secret)
                 n = piece.n_docs
                 some = np.flatnonzero(np.diff(bounds))
                 out = np.zeros((n, bands), dtype=np.uint64)
@@ -52,11 +60,11 @@ def _signatures(k: int, bands: int, rows: int, seed: int):
     return run
 
 
-def _shingles(k: int):
+def _shingles(k: int, secret: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, piece in column_slices(batch.column(1)):
-                sets, bounds = shingle_sets(piece, k)
+                sets, bounds = shingle_sets(piece, k, secret)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(signed(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, piece.n_docs), lists], names=["node", "shingles"])
 
@@ -124,7 +132,7 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.999, rows: int = 6, tile_rows: int = 512, tile_shingles: int = 1_000_000, seed: int = 7) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.999, rows: int = 6, tile_rows: int = 512, tile_shingles: int = 1_000_000, seed: int = 7, secret: tuple[int, int] | None = None) -> DataFrame:
     """Near-duplicate classes of documents: shingle sets of k words with Jaccard similarity of percent/100 or more.
 
     Takes columns doc_id and text (others are ignored); returns one row per row of docs with
@@ -137,15 +145,18 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
     group all pairs are verified on their full shingle sets in tiles, of which only link counts and
     a spanning forest leave the task. The bands' count follows from the target recall, and pairs
     of a group that share no band are verified too. Tiles hold tile_rows nodes or tile_shingles shingles on average.
+    Shingles are compared by 64-bit hashes with a secret; without one given it follows from the texts of all rows
+    (corpus_secret), so that reruns agree and no one who doesn't know them all can write words that share a hash.
 
     Defined cases: a text of 1 to k-1 words has one shingle, its whole word sequence; a null, empty
     or blank text has none and links with nothing (class_id = doc_id). Null doc_ids take part; a class
     of null ids alone has class_id null and keeps all of them. Repeated rows link with each other and
     are kept or dropped together."""
     bands = choose_bands(percent / 100, recall, rows)
+    secret = secret or corpus_secret(docs)
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed_docs = cut(docs.mapInArrow(_signatures(k, bands, rows, seed), f"doc_id {kind}, row long, f1 long, f2 long, n_shingles long, bands array<long>").withColumn("node", F.xxhash64("f1", "f2", "n_shingles")))
+    signed_docs = cut(docs.mapInArrow(_signatures(k, bands, rows, seed, secret), f"doc_id {kind}, row long, f1 long, f2 long, n_shingles long, bands array<long>").withColumn("node", F.xxhash64("f1", "f2", "n_shingles")))
     some = signed_docs.where("n_shingles > 0")
     nodes = cut(some.groupBy("node").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least"), F.min("row").alias("row"), F.first("bands").alias("bands")))
     buckets = nodes.select("node", F.explode("bands").alias("band"))
@@ -158,7 +169,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
     sizes = chosen.groupBy("component").agg(tiles.cast("int").alias("_tiles"))
     # the text of one row per node: rows of a node have equal sets, so any of them will do
     texts = docs.join(chosen.select("node", "row"), "row").select("node", "text")
-    members = chosen.drop("n_shingles").join(texts.mapInArrow(_shingles(k), "node long, shingles array<long>").dropDuplicates(["node"]), "node")
+    members = chosen.drop("n_shingles").join(texts.mapInArrow(_shingles(k, secret), "node long, shingles array<long>").dropDuplicates(["node"]), "node")
     dealt = tile_pairs(members, ["component"], tile_rows, "node", sizes)
     found = cut(dealt.groupBy("component", "low", "high").applyInPandas(_verify(percent), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("linked"))

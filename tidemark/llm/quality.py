@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import cut
-from .textops import RangeHash, TextSlice, column_slices, gram_hashes, mix
+from .textops import RangeHash, TextSlice, column_slices, word_codes
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -89,19 +89,20 @@ def measure(piece: TextSlice) -> dict[str, np.ndarray]:
         held[name] = total[end] - total[start]
     long = points[end] - points[start]
     out |= {"n_plain": count(held["wordlike"] == 0), "n_capital": count((held["upper"] > 1) & (held["lower"] == 0)), "n_short": count(long <= 3), "n_ends": count(_END[data[end - 1]])}
-    words = hashed.of(start, end)
-    _, one = np.unique(mix(words + mix(docs.astype(np.uint64) + np.uint64(1))), return_index=True)
-    out["n_distinct"] = np.bincount(docs[one], minlength=n)
-    grams, at = gram_hashes(words, docs, 3)
-    keys = mix(grams + mix(docs[at].astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(keys)
-    same = keys[order][1:] == keys[order][:-1]
-    twice = np.zeros(len(keys) + 1, dtype=bool)
+    # words are told apart by their bytes, not by hashes that a text could be written to share
+    words, distinct = word_codes(piece)
+    out["n_distinct"] = np.bincount(np.unique(docs * distinct + words) // distinct, minlength=n)
+    at = np.flatnonzero(docs[: max(0, len(docs) - 2)] == docs[2:])
+    pairs = np.unique(words[at] * distinct + words[at + 1], return_inverse=True)[1] if len(at) else at
+    windows, of = pairs * distinct + words[at + 2], docs[at]
+    order = np.lexsort((windows, of))
+    same = (windows[order][1:] == windows[order][:-1]) & (of[order][1:] == of[order][:-1])
+    twice = np.zeros(len(at), dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
     covered = np.zeros(len(words), dtype=bool)
     for j in range(3):
-        covered[at[twice[:-1]] + j] = True
+        covered[at[twice] + j] = True
     out["n_repeat_words"] = np.bincount(docs, weights=covered, minlength=n).astype(np.int64)
     return {m: out[m].astype(np.int64) for m in MEASURES}
 

@@ -6,6 +6,7 @@ windows are computed over the whole slice at once, so Python touches no single w
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,26 +39,32 @@ LONG = 512
 
 
 class RangeHash:
-    """Hashes of byte ranges of one slice: eight bytes at a time, each step mixed so that no algebra of texts makes equal hashes."""
+    """Hashes of byte ranges of one slice, eight bytes at a time.
 
-    def __init__(self, data: np.ndarray) -> None:
+    Who knows the multiplier and the start can solve for two ranges with one hash. They are constants unless a secret of
+    two 64-bit numbers is given; where equal hashes decide about texts that others wrote, give one, or compare bytes."""
+
+    def __init__(self, data: np.ndarray, secret: tuple[int, int] | None = None) -> None:
+        self._secret = secret
+        self._by, self._start = (np.uint64(secret[0] | 1), np.uint64(secret[1])) if secret else (np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
         self._data = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
         # the eight bytes from every place on
         self._at = np.ndarray((len(data) + 9,), dtype="<u8", buffer=self._data, strides=(1,))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         size = end - start
-        out = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        out = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) ^ self._start)
         live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
         while len(live):
             rest = size[live] - at
             chunk = self._at[start[live] + at]
             short = np.flatnonzero(rest < 8)
             chunk[short] &= (np.uint64(1) << (8 * rest[short]).astype(np.uint64)) - np.uint64(1)
-            out[live] = mix(out[live] * np.uint64(0x9E3779B97F4A7C15) ^ chunk)
+            out[live] = mix(out[live] * self._by ^ chunk)
             live, at = live[rest > 8], at + 8
         for i in np.flatnonzero(size > LONG):
-            out[i] = xxhash.xxh3_64_intdigest(self._data[start[i] : end[i]])
+            long = self._data[start[i] : end[i]]
+            out[i] = int.from_bytes(hashlib.blake2b(long, digest_size=8, key=self._secret[1].to_bytes(8, "little")).digest(), "little") if self._secret else xxhash.xxh3_64_intdigest(long)
         return out
 
     def fixed(self, size: int) -> np.ndarray:
@@ -67,7 +74,7 @@ class RangeHash:
             return np.zeros(0, dtype=np.uint64)
         out = np.full(n, size, dtype=np.uint64)
         for at in range(0, size, 8):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ self._at[at : at + n])
+            out = mix(out * self._by ^ self._at[at : at + n])
         return out
 
 
@@ -158,12 +165,21 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def shingle_sets(piece: TextSlice, k: int) -> tuple[np.ndarray, np.ndarray]:
+def word_codes(piece: TextSlice) -> tuple[np.ndarray, int]:
+    """A number below the second value for each word of a slice, the same for the same bytes and for no others."""
+    start, end, _ = piece.words()
+    offsets = np.concatenate([[0], np.cumsum(end - start)])
+    inside = piece.data[~_SPACE[piece.data]]
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(inside)]).dictionary_encode()
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(words.dictionary))
+
+
+def shingle_sets(piece: TextSlice, k: int, secret: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct k-word shingle hashes of each document, concatenated, and their bounds.
 
     A text of 1 to k-1 words has its whole word sequence as its only shingle; one without words has none."""
     start, end, docs = piece.words()
-    hashes = RangeHash(piece.data).of(start, end)
+    hashes = RangeHash(piece.data, secret).of(start, end)
     grams, at = gram_hashes(hashes, docs, k)
     of = docs[at] if len(at) else at
     bounds, wb = doc_bounds(of, piece.n_docs), doc_bounds(docs, piece.n_docs)
