@@ -10,11 +10,11 @@ from .stats import ladder
 # Tokens of languages and variants, tried in this order.
 LANGUAGE_TOKENS = (("simplified chinese", "zh-Hans"), ("traditional chinese", "zh-Hant"), ("zh-hans", "zh-Hans"), ("zh-hant", "zh-Hant"), ("japanese", "ja"), ("english", "en"), ("chinese", "zh-Hans"), ("jp", "ja"), ("ja", "ja"), ("en", "en"))
 VARIANT_TOKENS = ((r"reverse[_\s-]?holo", "reverse_holo"), ("holofoil", "holofoil"), ("holo", "holofoil"), (r"alt[_\s-]?art", "alt_art"), (r"first[_\s-]?edition", "first_edition"), ("promo", "promo"), ("normal", "normal"))
-# Formats of keys.
+# Formats of keys and of collector numbers.
 EVENT_TYPE = r"^[a-z][a-z0-9]*(\.[a-z][a-z0-9_]*)+$"
 METRIC_KEY = r"^[a-z][a-z0-9]*(\.[a-z][a-z0-9_]*)*$"
 IDEMPOTENCY_KEY = r"^[A-Za-z0-9_.:-]+$"
-COLLECTOR = r"(?i)\b((?:tg)?\d{1,3}/(?:tg)?\d{1,3}|p-\d{1,4}|\d{2,4})\b"
+COLLECTOR = r"(?i)\b((?:tg)?\d{1,3}/(?:tg)?\d{1,3}|\d{1,4}/\d{1,4}|p-\d{1,4}|\d{2,4})\b"
 ENTITY_TYPES = ("company", "product", "person", "place", "topic", "instrument")
 SUBSCRIPTION = ("trialing", "active", "past_due", "canceled", "incomplete", "unpaid", "paused")
 PRESET_DAYS = {"24h": 1, "7d": 7, "30d": 30, "90d": 90, "1y": 365}

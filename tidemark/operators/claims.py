@@ -47,16 +47,21 @@ def horizon(text: Column) -> Column:
     return ladder([(text.rlike("(?i)" + p), code) for code, p in HORIZONS.items()], "unspecified")
 
 
+#: Days of the longest horizon that is taken for one.
+MOST_DAYS = 3650
+
+
 def horizon_days(text: Column, code: Column) -> Column:
-    """Days of a horizon code; of a custom one, the number in the text, else two weeks."""
+    """Days of a horizon code; of a custom one, the number in the text, else two weeks. Null for a number beyond MOST_DAYS, however long it is."""
     number = F.regexp_extract(text, DAYS, 1)
-    custom = F.when(number != "", number.cast("int")).when(text.rlike(TWO_WEEKS), 14)
+    days = F.when(F.length(F.ltrim(number, F.lit("0"))) <= 9, number.try_cast("int"))
+    custom = F.when(number != "", F.when(days <= MOST_DAYS, days)).when(text.rlike(TWO_WEEKS), 14)
     return F.when(code == "custom", custom).when(code != "unspecified", F.regexp_extract(code, CODE_DAYS, 1).try_cast("int"))
 
 
 def _number(text: Column, pattern: str) -> Column:
     found = F.regexp_extract(text, pattern, 1)
-    return F.when(found != "", found.cast("double"))
+    return F.when(found != "", found.try_cast("double"))
 
 
 def target_price(text: Column) -> Column:
@@ -76,7 +81,7 @@ def outcome(claims: DataFrame, trades: DataFrame, asof: Column) -> DataFrame:
     """claims with status, ending_price, ret, verdict, target_hit, mfe and mae.
 
     claims: id, instrument, at, direction, start_price, days, target_price. Later trades within the horizon are
-    joined on the instrument and month; each claim keeps its row, equal ones as well."""
+    looked up by instrument and time; each claim keeps its row, equal ones as well."""
     end = F.col("at") + F.col("days").cast("long") * DAY
     joined = window_join(claims, trades, "instrument", F.col("at"), end, 30 * DAY)
     found = window_values(joined, claims.columns, [F.max_by("f_price", F.struct("f_at", "f_id")).alias("ending_price"), F.max("f_price").alias("_high"), F.min("f_price").alias("_low")])

@@ -41,35 +41,56 @@ def redact(text: Column, pattern: str = SECRET) -> Column:
     return F.regexp_replace(text, pattern, "[redacted]")
 
 
+def _counted(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Equal rows once, with _copies: replays of one record are combined before they are shuffled, however many there are."""
+    return rows.groupBy(*columns).agg(F.count("*").alias("_copies"))
+
+
+def _each(rows: DataFrame, name: str, first: Column, others: Column) -> DataFrame:
+    """rows as often as _copies says, with a column name that is first for the first copy and others for the rest."""
+    every = F.concat(F.array(first), F.array_repeat(others, (F.col("_copies") - 1).cast("int")))
+    return rows.withColumn(name, F.explode(every)).drop("_copies")
+
+
 def dedup_conflicts(rows: DataFrame, key: Sequence[str], fingerprint: str, order: Sequence[str]) -> DataFrame:
-    """rows with verdict: new (the first of its key), duplicate (same fingerprint as the first) or conflict.
+    """rows with verdict: new (the first of its key to arrive), duplicate (same fingerprint as the first) or conflict.
 
-    The first row of each key is a grouped minimum, joined back."""
-    first = rows.groupBy(*key).agg(F.min(F.struct(*order, fingerprint)).alias("_first"))
-    joined = rows.join(first, list(key))
+    order is the order of arrival, ties by the fingerprint. Of rows equal in everything one is new and the others are
+    duplicates. A null is a key like any other. The first row of a key is a grouped minimum, joined back."""
+    counted = _counted(rows, rows.columns)
     own = F.struct(*order, fingerprint)
-    return joined.withColumn("verdict", F.when(own == F.col("_first"), "new").when(F.col(fingerprint) == F.col(f"_first.{fingerprint}"), "duplicate").otherwise("conflict")).drop("_first")
+    first = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(own).alias("_first"))
+    met = counted.join(first, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]))
+    is_first = own.eqNullSafe(F.col("_first"))
+    same = F.when(F.col(fingerprint).eqNullSafe(F.col("_first")[fingerprint]), "duplicate").otherwise("conflict")
+    return _each(met, "verdict", F.when(is_first, "new").otherwise(same), same).select(*rows.columns, "verdict")
 
 
 def record_states(records: DataFrame, catalog: DataFrame, key: Sequence[str], fingerprint: str, order: Sequence[str], attributes: Sequence[str], needed: Sequence[str]) -> DataFrame:
     """records with state, reason and target, as a provider's feed is taken in.
 
-    A key seen before is a duplicate if its fingerprint is the same and a revision, never applied, if not. New
-    records are quarantined where they name no external id and lack one of the needed attributes (concept_only),
-    or meet no entry (not_found) or several (ambiguous) of the catalog; the rest are processed with their target.
+    A record that names no external id and lacks one of the needed attributes (concept_only), or meets no entry
+    (not_found) or several (ambiguous) of the catalog, is quarantined until one of its key has been processed. The
+    first that can be is processed, with its target; of those that arrive after it, ones with its fingerprint are
+    duplicates and all others revisions, which are never applied. order is the order of arrival, ties by the fingerprint; of rows
+    equal in everything one at most is processed. A null is a key like any other.
     catalog has target, external and the attributes, and is counted by them first, so that no record meets many entries."""
-    seen = dedup_conflicts(records, key, fingerprint, order)
     named = catalog.groupBy("external").agg(F.count("*").alias("_n_named"), F.min("target").alias("_named"))
     alike = catalog.groupBy(*attributes).agg(F.count("*").alias("_n_alike"), F.min("target").alias("_alike"))
-    met = seen.join(named, "external", "left").join(alike, list(attributes), "left")
+    met = _counted(records, records.columns).join(named, "external", "left").join(alike, list(attributes), "left")
     has_id = F.col("external").isNotNull()
     n = F.coalesce(F.when(has_id, F.col("_n_named")).otherwise(F.col("_n_alike")), F.lit(0))
     lacking = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in needed])
-    reason = F.when(F.col("verdict") != "new", None).when(~has_id & lacking, "concept_only").when(n == 0, "not_found").when(n > 1, "ambiguous")
-    met = met.withColumn("reason", reason)
-    state = F.when(F.col("verdict") == "conflict", "revision").when(F.col("verdict") == "duplicate", "duplicate").when(F.col("reason").isNull(), "processed").otherwise("quarantined")
-    met = met.withColumn("state", state)
-    return met.withColumn("target", F.when(F.col("state") == "processed", F.when(has_id, F.col("_named")).otherwise(F.col("_alike")))).select(*records.columns, "state", "reason", "target")
+    reason = F.when(~has_id & lacking, "concept_only").when(n == 0, "not_found").when(n > 1, "ambiguous")
+    met = met.select(*records.columns, "_copies", reason.alias("_reason"), F.when(has_id, F.col("_named")).otherwise(F.col("_alike")).alias("_met"))
+    own = F.struct(*order, fingerprint)
+    first = met.where("_reason is null").groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(own).alias("_first"))
+    met = met.join(first, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]), "left")
+    early = F.col("_first").isNull() | (own < F.col("_first"))
+    later = F.when(F.col(fingerprint).eqNullSafe(F.col("_first")[fingerprint]), "duplicate").otherwise("revision")
+    later = F.when(early, "quarantined").otherwise(later)
+    stated = _each(met, "state", F.when(own.eqNullSafe(F.col("_first")), "processed").otherwise(later), later)
+    return stated.select(*records.columns, "state", F.when(F.col("state") == "quarantined", F.col("_reason")).alias("reason"), F.when(F.col("state") == "processed", F.col("_met")).alias("target"))
 
 
 def unpivot_metrics(rows: DataFrame, keys: Sequence[str], metrics: Sequence[tuple[str, Column, str, Column]]) -> DataFrame:

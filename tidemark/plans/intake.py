@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import fingerprint, joined, normalized_name
+from ..functions.keys import fingerprint, normalized_name
 from ..operators import accounts, ingest
 from ..sources.tables import events, table
 from ..streaming import ingest as streaming
 from .catalog import query
+from .operations import FEED, feed
 
-_RECORDS = """r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, sha256(concat_ws('|', l_partkey, l_suppkey, l_quantity::INT)) AS fp, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE p_brand END AS brand, CASE WHEN l_partkey % 9 = 0 THEN 'NONE' ELSE p_type END AS kind, p_size AS size, CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE 'en' END AS language, CASE WHEN l_orderkey % 6 = 0 THEN 'x' || CASE WHEN l_orderkey % 12 = 0 THEN l_partkey + 1000000000 ELSE l_partkey END END AS external FROM lineitem JOIN part ON p_partkey = l_partkey),
-m AS (SELECT l_orderkey, l_linenumber, min((l_partkey, l_suppkey, l_quantity, fp)) AS first FROM r GROUP BY ALL),
-v AS (SELECT r.*, CASE WHEN (l_partkey, l_suppkey, l_quantity, fp) = first THEN 'new' WHEN fp = first[4] THEN 'duplicate' ELSE 'conflict' END AS verdict FROM r JOIN m USING (l_orderkey, l_linenumber)),
+_RECORDS = FEED + """,
+r AS (SELECT feed.*, CASE WHEN l_linenumber % 5 = 0 AND seq < 2 THEN NULL ELSE p_brand END AS brand, CASE WHEN l_partkey % 9 = 0 THEN 'NONE' ELSE p_type END AS kind, p_size AS size, CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE 'en' END AS language, CASE WHEN l_orderkey % 6 = 0 THEN 'x' || CASE WHEN l_orderkey % 12 = 0 THEN l_partkey + 1000000000 ELSE l_partkey END END AS external FROM feed JOIN part ON p_partkey = l_partkey),
 k AS (SELECT p_brand, p_type, p_size, count(*) AS n, min(p_partkey) AS target FROM part GROUP BY ALL),
-s AS (SELECT v.*, CASE WHEN verdict <> 'new' THEN NULL WHEN external IS NULL AND (brand IS NULL OR language IS NULL) THEN 'concept_only' WHEN external IS NOT NULL AND e.p_partkey IS NULL THEN 'not_found' WHEN external IS NULL AND k.n IS NULL THEN 'not_found' WHEN external IS NULL AND k.n > 1 THEN 'ambiguous' END AS reason, coalesce(e.p_partkey, k.target) AS found
- FROM v LEFT JOIN part e ON external = 'x' || e.p_partkey LEFT JOIN k ON k.p_brand = v.brand AND k.p_type = v.kind AND k.p_size = v.size)"""
+s AS (SELECT r.*, CASE WHEN external IS NULL AND (brand IS NULL OR language IS NULL) THEN 'concept_only' WHEN external IS NOT NULL AND e.p_partkey IS NULL THEN 'not_found' WHEN external IS NULL AND k.n IS NULL THEN 'not_found' WHEN external IS NULL AND k.n > 1 THEN 'ambiguous' END AS reason, coalesce(e.p_partkey, k.target) AS found
+ FROM r LEFT JOIN part e ON external = 'x' || e.p_partkey LEFT JOIN k ON k.p_brand = r.brand AND k.p_type = r.kind AND k.p_size = r.size),
+o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY seq, fp, reason NULLS FIRST) AS pos FROM s),
+q AS (SELECT *, min(CASE WHEN reason IS NULL THEN pos END) OVER w AS first_pos, arg_min(fp, CASE WHEN reason IS NULL THEN pos END) OVER w AS first_fp FROM o WINDOW w AS (PARTITION BY l_orderkey, l_linenumber))"""
 
 
-@query(f"WITH {_RECORDS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE verdict WHEN 'conflict' THEN 'revision' WHEN 'duplicate' THEN 'duplicate' ELSE CASE WHEN reason IS NULL THEN 'processed' ELSE 'quarantined' END END AS state, reason, CASE WHEN verdict = 'new' AND reason IS NULL THEN found END AS target FROM s")
+@query(f"""WITH {_RECORDS}, z AS (SELECT *, CASE WHEN first_pos IS NULL OR pos < first_pos THEN 'quarantined' WHEN pos = first_pos THEN 'processed' WHEN fp = first_fp THEN 'duplicate' ELSE 'revision' END AS state FROM q)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, seq, state, CASE WHEN state = 'quarantined' THEN reason END AS reason, CASE WHEN state = 'processed' THEN found END AS target FROM z""")
 def ingest_market_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as provider records, parts as the catalog."""
+    """A feed of line items as provider records, parts as the catalog. What comes again may say what was lacking before."""
     c, parts = F.col, table(spark, sf, "part")
-    rows = table(spark, sf, "lineitem").join(parts, c("l_partkey") == c("p_partkey")).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.sha2(joined(c("l_partkey"), c("l_suppkey"), c("l_quantity").cast("int")), 256).alias("fp"), F.when(c("l_linenumber") % 5 != 0, c("p_brand")).alias("brand"), F.when(c("l_partkey") % 9 == 0, "NONE").otherwise(c("p_type")).alias("kind"), c("p_size").alias("size"),
+    rows = feed(spark, sf).join(parts, c("l_partkey") == c("p_partkey")).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "seq", "fp", F.when((c("l_linenumber") % 5 != 0) | (c("seq") >= 2), c("p_brand")).alias("brand"), F.when(c("l_partkey") % 9 == 0, "NONE").otherwise(c("p_type")).alias("kind"), c("p_size").alias("size"),
         F.when(c("l_suppkey") % 8 != 0, "en").alias("language"), F.when(c("l_orderkey") % 6 == 0, F.concat(F.lit("x"), F.when(c("l_orderkey") % 12 == 0, c("l_partkey") + 1000000000).otherwise(c("l_partkey")))).alias("external"),
     )
     catalog = parts.select(c("p_partkey").alias("target"), c("p_brand").alias("brand"), c("p_type").alias("kind"), c("p_size").alias("size"), F.concat(F.lit("x"), "p_partkey").alias("external"))
-    states = ingest.record_states(rows, catalog, ["l_orderkey", "l_linenumber"], "fp", ["l_partkey", "l_suppkey", "l_quantity"], ["brand", "kind", "size"], ["brand", "language"])
-    return states.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "state", "reason", "target")
+    states = ingest.record_states(rows, catalog, ["l_orderkey", "l_linenumber"], "fp", ["seq"], ["brand", "kind", "size"], ["brand", "language"])
+    return states.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "seq", "state", "reason", "target")
 
 
 _SECRETS = "coalesce(text, '') || CASE conv_id % 5 WHEN 0 THEN ' use sk_live or API-key' WHEN 1 THEN ' Bearer abc123 Password' ELSE '' END"

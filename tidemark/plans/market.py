@@ -133,6 +133,7 @@ def index_benchmark_resolve(spark: SparkSession, sf: str) -> DataFrame:
 SENTENCES = [
     (1, "I would buy this now, target $100 in 30 days"), (2, "overpriced, sell now"), (3, "stay away from it for a week"), (4, "keep an eye on it"), (5, "i pulled a great one, buy"), (6, "price is $40 today"),
     (7, "Undervalued! 25% upside within 6 months, 80% sure"), (8, "going down 10 % in two weeks"), (9, "nothing to say"), (10, "buy, hold 45 days"), (11, "TARGET 55.5 within a year, 120% confident"), (12, "will drop; watch it"), (13, ""), (14, "just a pull"), (15, "upbuying and reselling words are no calls"), (16, "avoid. 1 month"), (17, "これは上がる 90d"), (18, "売る $12"),
+    (19, "buy, hold 99999999999 days"), (20, "buy, hold 4000 days"), (21, "hold 0000000000000045 days, target $" + "9" * 400), (22, "sell, " + "1" * 60 + " days, " + "7" * 50 + "% sure"),
 ]
 SENTENCES_SQL = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SENTENCES) + ") v(id, text) UNION ALL SELECT 1000 + 100 * conv_id + turn, text FROM conversations)"
 
@@ -156,7 +157,7 @@ _HORIZON = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{c}'"
 
 
 @query(rf"""WITH {SENTENCES_SQL}, h AS (SELECT *, {_HORIZON} AS horizon FROM s)
-SELECT id, horizon, CASE WHEN horizon = 'custom' THEN coalesce(nullif(regexp_extract(text, '(?i)\b(\d+)\s*days?\b', 1), '')::INT, CASE WHEN regexp_matches(text, '(?i)two weeks') THEN 14 END) WHEN horizon <> 'unspecified' THEN regexp_extract(horizon, '(\d+)', 1)::INT END AS days,
+SELECT id, horizon, CASE WHEN horizon = 'custom' THEN CASE WHEN regexp_matches(text, '(?i)\b(\d+)\s*days?\b') THEN (SELECT CASE WHEN n <= 3650 THEN n::INT END FROM (SELECT try_cast(regexp_extract(text, '(?i)\b(\d+)\s*days?\b', 1) AS HUGEINT) AS n)) WHEN regexp_matches(text, '(?i)two weeks') THEN 14 END WHEN horizon <> 'unspecified' THEN regexp_extract(horizon, '(\d+)', 1)::INT END AS days,
 coalesce(nullif(regexp_extract(text, '(?i)target\s*\$?\s*([0-9]+(?:\.[0-9]+)?)', 1), '')::DOUBLE, nullif(regexp_extract(text, '\$\s*([0-9]+(?:\.[0-9]+)?)', 1), '')::DOUBLE) AS target_price, nullif(regexp_extract(text, '([0-9]+(?:\.[0-9]+)?)\s*%', 1), '')::DOUBLE AS target_percent,
 CASE WHEN nullif(regexp_extract(text, '(?i)\b([0-9]{{1,3}})\s*%\s*(?:sure|confident)', 1), '')::DOUBLE / 100 <= 1 THEN nullif(regexp_extract(text, '(?i)\b([0-9]{{1,3}})\s*%\s*(?:sure|confident)', 1), '')::DOUBLE / 100 END AS confidence FROM h""")
 def claim_extract_horizon_target(spark: SparkSession, sf: str) -> DataFrame:

@@ -138,11 +138,25 @@ def kernel_normalize_counts(spark: SparkSession, sf: str) -> DataFrame:
 _FP = "sha256(concat_ws('|', l_partkey, l_suppkey, l_quantity::INT))"
 
 
-@query(f"""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, {_FP} AS fp FROM lineitem), m AS (SELECT l_orderkey, l_linenumber, min((l_partkey, l_suppkey, l_quantity, fp)) AS first FROM f GROUP BY ALL)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN (l_partkey, l_suppkey, l_quantity, fp) = first THEN 'new' WHEN fp = first[4] THEN 'duplicate' ELSE 'conflict' END AS verdict FROM f JOIN m USING (l_orderkey, l_linenumber)""")
+#: Line items as a feed: some arrive again as they are, some a second time at the same place, some changed; some have no key.
+FEED = f"""f AS (SELECT CASE WHEN l_orderkey % 50 = 0 THEN NULL ELSE l_orderkey END AS l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 0 AS seq FROM lineitem),
+g AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE l_suppkey % 10 = 0 UNION ALL SELECT * REPLACE (1 AS seq) FROM f WHERE l_partkey % 4 = 0 UNION ALL SELECT * REPLACE (2 AS seq, l_quantity + 1 AS l_quantity) FROM f WHERE l_partkey % 6 = 0 UNION ALL SELECT * REPLACE (3 AS seq) FROM f WHERE l_partkey % 12 = 0),
+feed AS (SELECT *, {_FP} AS fp FROM g)"""
+
+
+def feed(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    rows = table(spark, sf, "lineitem").select(F.when(c("l_orderkey") % 50 != 0, c("l_orderkey")).alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    # 0: first arrival; 1: as it was; 2: changed; 3: as it was once more
+    seqs = F.concat(F.when(c("l_suppkey") % 10 == 0, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0))), *[F.when(c("l_partkey") % n == 0, F.array(F.lit(i))).otherwise(F.array().cast("array<int>")) for i, n in ((1, 4), (2, 6), (3, 12))])
+    rows = rows.withColumn("seq", F.explode(seqs)).withColumn("l_quantity", F.when(c("seq") == 2, c("l_quantity") + 1).otherwise(c("l_quantity")))
+    return rows.withColumn("fp", F.sha2(joined(c("l_partkey"), c("l_suppkey"), c("l_quantity").cast("int")), 256))
+
+
+@query(f"""WITH {FEED}, n AS (SELECT *, row_number() OVER w AS r, first_value(fp) OVER w AS first FROM feed WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY seq, fp ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, seq, CASE WHEN r = 1 THEN 'new' WHEN fp = first THEN 'duplicate' ELSE 'conflict' END AS verdict FROM n""")
 def ingest_dedup_conflict(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.sha2(joined(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("int")), 256).alias("fp"))
-    return ingest.dedup_conflicts(rows, ["l_orderkey", "l_linenumber"], "fp", ["l_partkey", "l_suppkey", "l_quantity"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "verdict")
+    return ingest.dedup_conflicts(feed(spark, sf), ["l_orderkey", "l_linenumber"], "fp", ["seq"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "seq", "verdict")
 
 
 _CUR = "CASE (props->>'$.k')::BIGINT % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'usd' ELSE 'JPY' END"

@@ -15,7 +15,7 @@ from .catalog import ASOF, query
 from .features import A
 from .market import SENTENCES_SQL, _any, sentences
 
-SIGNALS = [(1, "Falcon 214/167 japanese reverse holo", ""), (2, "first edition promo P-001 English", "ja"), (3, "alt-art TG05/TG30 zh-hant", " "), (4, "plain words", None), (5, "HOLO in simplified chinese, 031", ""), (6, "normal jp", "en")]
+SIGNALS = [(1, "Falcon 214/167 japanese reverse holo", ""), (2, "first edition promo P-001 English", "ja"), (3, "alt-art TG05/TG30 zh-hant", " "), (4, "plain words", None), (5, "HOLO in simplified chinese, 031", ""), (6, "normal jp", "en"), (7, "falcon 1234/2000 ja", None), (8, "no. 12/2000", None)]
 _SIG = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {'NULL' if e is None else repr(e)})" for i, t, e in SIGNALS) + ") v(id, text, given) UNION ALL SELECT 1000 + 100 * conv_id + turn, text, role FROM conversations WHERE role IS NULL OR role <> 'system')"
 
 
