@@ -35,6 +35,11 @@ def supply(quotes: DataFrame, asof: Column) -> DataFrame:
     return top.groupBy("instrument").agg(pick("listing_count", 1).alias("listing_count"), pick("listing_count", 2).alias("listing_prev"), pick("low_price", 1).alias("low_now"), pick("low_price", 2).alias("low_prev"))
 
 
+def source_composition(counts: DataFrame) -> DataFrame:
+    """counts (instrument, source, n) as one map of counts by source for each instrument; it holds a source once."""
+    return counts.groupBy("instrument").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("source_composition"))
+
+
 def feature_vector(trades: DataFrame, quotes: DataFrame, asof: Column, include_outliers: bool = False, benchmark_30d: Column | None = None) -> DataFrame:
     """One row per instrument that traded or was quoted by asof.
 

@@ -70,13 +70,19 @@ def daily_close(trades: DataFrame, key: str = "instrument") -> DataFrame:
     return close.withColumn("_b", before).withColumn("ret", F.when(F.col("_b") > 0, F.col("close") / F.col("_b") - 1)).drop("_b")
 
 
-def outlier_flags(trades: DataFrame, key: str = "instrument", prior: int = 7, least: int = 3, factor: float = 5.0) -> DataFrame:
-    """trades with median_before (of up to prior trades before) and outlier: beyond factor times it either way.
+# Bounds of an outlier, as parts of the median of the prices before it.
+HIGH, LOW = 5.0, 0.2
 
-    Arrival order is taken to be (at, id); earlier outliers count among the trades before."""
+
+def outlier_flags(trades: DataFrame, key: str = "instrument", prior: int = 7, least: int = 3, high: float = HIGH, low: float = LOW) -> DataFrame:
+    """trades with median_before (of up to prior trades before) and outlier: above high or below low times it.
+
+    Order is (at, id); earlier outliers count among the trades before. A median that isn't positive flags nothing.
+    streaming.arrivals has the same by order of arrival."""
     before = F.collect_list("price").over(sequence(key).rowsBetween(-prior, -1))
     m = F.when(F.size("_p") >= least, array_median(F.col("_p")))
-    flagged = (F.col("price") > factor * F.col("median_before")) | (F.col("price") < F.col("median_before") / factor)
+    before_it, price = F.col("median_before"), F.col("price")
+    flagged = (before_it > 0) & ((price > before_it * high) | (price < before_it * low))
     return trades.withColumn("_p", before).withColumn("median_before", m).withColumn("outlier", F.coalesce(flagged, F.lit(False))).drop("_p")
 
 
@@ -86,5 +92,7 @@ def sparkline(values: Column, width: float = 160.0, height: float = 36.0) -> Col
     spread = F.array_max(values) - low
     span = F.when(spread == 0, 1.0).otherwise(spread)
     x = lambda i: F.when(n == 1, 0.0).otherwise(i / F.greatest(n - 1, F.lit(1)) * width)
-    point = lambda v, i: F.concat(F.when(i == 0, "M").otherwise("L"), F.format_string("%.1f,%.1f", x(i), height - (v - low) / span * height))
+    tenths = lambda v: F.floor(v * 10 + 0.5)
+    text = lambda v: F.concat(F.floor(tenths(v) / 10).cast("string"), F.lit("."), F.pmod(tenths(v), F.lit(10)).cast("string"))
+    point = lambda v, i: F.concat(F.when(i == 0, "M").otherwise("L"), text(x(i)), F.lit(","), text(height - (v - low) / span * height))
     return F.array_join(F.transform(values, point), " ")

@@ -42,14 +42,13 @@ def agg_supply_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("instrument", "listing_count", (F.col("listing_count") - F.col("listing_prev")).alias("listing_change"), F.round(F.when(F.col("n7") > 0, F.col("listing_count") / F.col("n7")), 6).alias("listing_sale_ratio"), F.round(F.when(F.col("listing_count") > 0, F.col("n7") / F.col("listing_count")), 6).alias("absorption"))
 
 
-@query("SELECT l_partkey AS instrument, l_suppkey AS source, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("SELECT instrument, sum(n)::BIGINT AS n, string_agg(source || ':' || n, ',' ORDER BY source) AS composition FROM (SELECT l_partkey AS instrument, l_suppkey AS source, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1")
 def agg_source_composition(spark: SparkSession, sf: str) -> DataFrame:
-    """The map of counts by source, as rows; source_composition() keeps it as a map."""
-    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("instrument"), F.col("l_suppkey").alias("source")).agg(F.count("*").alias("n"))
-
-
-def source_composition(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("instrument").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("source_composition"))
+    """Each instrument's map of counts by source, shown in order of source."""
+    counts = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("instrument"), F.col("l_suppkey").alias("source")).agg(F.count("*").alias("n"))
+    entries = F.array_sort(F.map_entries("source_composition"))
+    shown = F.array_join(F.transform(entries, lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    return features.source_composition(counts).select("instrument", F.aggregate(F.map_values("source_composition"), F.lit(0).cast("long"), lambda a, n: a + n).alias("n"), shown.alias("composition"))
 
 
 CLICKS = "c AS (SELECT event_id AS id, ts, user_id AS instrument, value, (props->>'$.k')::BIGINT AS k FROM events WHERE event_type = 'click')"
@@ -205,7 +204,7 @@ v AS (SELECT *, coalesce(listing_change < 0 AND abs(listing_change) >= 0.5 * lis
   CASE WHEN outlier_driven AND n < 5 THEN 'outlier_dependent' WHEN staleness_hours > 720 AND n > 0 THEN 'stale' WHEN n >= 8 AND ok_periods >= 3 THEN 'complete' WHEN n >= 2 THEN 'partial' ELSE 'insufficient_data' END AS quality FROM v0)"""
 
 
-FLAGGED = f"{TRADES}, fm AS (SELECT id, ts, instrument, price, CASE WHEN count(*) OVER w >= 3 THEN median(price) OVER w END AS m FROM t WINDOW w AS (PARTITION BY instrument ORDER BY ts, id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)), x AS (SELECT id, ts, instrument, price, coalesce(price > 5 * m OR price < m / 5, false) AS outlier FROM fm WHERE ts <= {A})"
+FLAGGED = f"{TRADES}, fm AS (SELECT id, ts, instrument, price, CASE WHEN count(*) OVER w >= 3 THEN median(price) OVER w END AS m FROM t WINDOW w AS (PARTITION BY instrument ORDER BY ts, id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)), x AS (SELECT id, ts, instrument, price, coalesce(m > 0 AND (price > m * 5 OR price < m * 0.2::DOUBLE), false) AS outlier FROM fm WHERE ts <= {A})"
 VECTOR = _vector_sql(FLAGGED, QUOTES, ASOF)
 LONG_VECTOR = _vector_sql(f"{DAILY}, x AS (SELECT epoch_us(ts) AS id, ts, instrument, price, false AS outlier FROM l WHERE ts <= TIMESTAMP '{LONG_ASOF}')", "q AS (SELECT 0::BIGINT AS id, TIMESTAMP '1990-01-01' AS ts, 0::BIGINT AS instrument, 0.0::DOUBLE AS low_price, 0::BIGINT AS listing_count WHERE false)", LONG_ASOF)
 

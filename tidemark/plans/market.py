@@ -422,7 +422,7 @@ def _evaluate(forecasts: DataFrame, spark: SparkSession, sf: str, days: int) ->
 
 
 def _evaluated_sql(name: str, asof: str) -> str:
-    return f"""e_{name} AS (SELECT fc.instrument, fc.last_price, expected, low, high, p_up, arg_max(y.price, (y.ts, y.id)) / fc.last_price - 1 AS actual, max(y.price) / fc.last_price - 1 AS top, min(y.price) / fc.last_price - 1 AS bottom FROM fc LEFT JOIN (SELECT * FROM (SELECT id, ts, instrument, price, coalesce(price > 5 * m OR price < m / 5, false) AS outlier FROM fm) WHERE NOT outlier) y ON y.instrument = fc.instrument AND y.ts > TIMESTAMP '{asof}' AND y.ts <= TIMESTAMP '{asof}' + INTERVAL 7 DAY GROUP BY fc.instrument, fc.last_price, expected, low, high, p_up)"""
+    return f"""e_{name} AS (SELECT fc.instrument, fc.last_price, expected, low, high, p_up, arg_max(y.price, (y.ts, y.id)) / fc.last_price - 1 AS actual, max(y.price) / fc.last_price - 1 AS top, min(y.price) / fc.last_price - 1 AS bottom FROM fc LEFT JOIN (SELECT * FROM (SELECT id, ts, instrument, price, coalesce(m > 0 AND (price > m * 5 OR price < m * 0.2::DOUBLE), false) AS outlier FROM fm) WHERE NOT outlier) y ON y.instrument = fc.instrument AND y.ts > TIMESTAMP '{asof}' AND y.ts <= TIMESTAMP '{asof}' + INTERVAL 7 DAY GROUP BY fc.instrument, fc.last_price, expected, low, high, p_up)"""
 
 
 @query(f"WITH {_forecast_sql(_vector_at(_ISSUED), '7')}, {_evaluated_sql('a', _ISSUED)} SELECT instrument, round(actual, 5) AS actual, round(actual - expected, 5) AS error, (p_up >= 0.5) = (actual > 0) AS direction_correct, actual BETWEEN low AND high AS range_hit, round((p_up - (actual > 0)::INT) ** 2, 5) AS brier, round(CASE WHEN top > 0 THEN (top - actual) / (1 + top) WHEN bottom IS NOT NULL THEN abs(least(bottom, 0)) ELSE 0 END, 5) AS drawdown FROM e_a")

@@ -95,13 +95,26 @@ def pit_valid_at(spark: SparkSession, sf: str) -> DataFrame:
     return pit.valid_at(intervals, instant("1998-06-30 00:00:00")).select("instrument", "id")
 
 
-@query("SELECT instrument, difference FROM (SELECT 0 AS instrument, '' AS difference) WHERE false")
+_GUARD = "2024-01-15 00:00:00"
+
+
+@query(f"""WITH {TRADES}, {QUOTES}, s AS (SELECT * FROM t WHERE ts <= TIMESTAMP '{_GUARD}'), p AS (SELECT * FROM q WHERE ts <= TIMESTAMP '{_GUARD}'), l AS (SELECT instrument, arg_max(price, (ts, id)) AS price FROM s GROUP BY 1),
+v AS (SELECT instrument, arg_max(low_price, (ts, id)) AS price FROM p GROUP BY 1), e AS (SELECT instrument, arg_max(id, (ts, id)) AS id, arg_max(price, (ts, id)) AS price FROM s WHERE ts >= TIMESTAMP '{_GUARD}' - INTERVAL '151200 seconds' GROUP BY 1),
+b AS (SELECT instrument, arg_max(id, (ts, id)) AS id, arg_max(price, (ts, id)) AS price FROM s WHERE ts BETWEEN TIMESTAMP '{_GUARD}' - INTERVAL 7 DAY - INTERVAL '151200 seconds' AND TIMESTAMP '{_GUARD}' - INTERVAL 7 DAY GROUP BY 1)
+SELECT 'latest' AS operator, count(*) AS n, round(sum(price), 3) AS total FROM l UNION ALL SELECT 'preference', count(coalesce(v.price, l.price)), round(sum(coalesce(v.price, l.price)), 3) FROM l FULL JOIN v USING (instrument)
+UNION ALL SELECT 'returns', count(*), round(sum(e.price / b.price - 1), 3) FROM e JOIN b USING (instrument) WHERE e.id <> b.id AND b.price > 0 UNION ALL SELECT 'counts', count(*), sum(n) FROM (SELECT instrument, count(*) AS n FROM s WHERE ts > TIMESTAMP '{_GUARD}' - INTERVAL 7 DAY GROUP BY 1)""")
 def pit_no_lookahead_guard(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows in which as-of results over all facts and over facts cut at the instant differ: none."""
-    asof = instant("2024-01-15 00:00:00")
-    whole = trades(spark, sf)
-    a, b = (pit.period_returns(t, ["instrument"], asof, SHORT) for t in (whole, whole.where(F.col("at") <= asof)))
-    return a.exceptAll(b).select(F.col("instrument").cast("int").alias("instrument"), F.lit("later facts seen").alias("difference"))
+    """As-of operators over facts of which those after the instant have been made absurd, against SQL that never sees them."""
+    asof, c = instant(_GUARD), F.col
+    poisoned = lambda rows, price: rows.withColumn(price, F.when(c("at") > asof, c(price) * 1000 + 1).otherwise(c(price)))
+    sold, quoted = poisoned(trades(spark, sf), "price"), poisoned(quotes(spark, sf), "low_price")
+    total = lambda rows, name, value: rows.agg(F.lit(name).alias("operator"), F.count(value).alias("n"), F.round(F.sum(value).cast("double"), 3).alias("total"))
+    latest = pit.latest_asof(sold, ["instrument"], asof, ["price"])
+    both = sold.select("id", "at", "instrument", "price", F.lit(2).alias("kind")).unionByName(quoted.select("id", "at", "instrument", c("low_price").alias("price"), F.lit(1).alias("kind")))
+    preferred = pit.by_preference(both, ["instrument"], asof, [c("kind") == 1, c("kind") == 2], "price")
+    returns = pit.period_returns(sold, ["instrument"], asof, [7])
+    counts = sold.where(trailing(c("at"), asof, 7)).groupBy("instrument").agg(F.count("*").alias("n"))
+    return total(latest, "latest", "price").unionByName(total(preferred, "preference", "price")).unionByName(total(returns, "returns", "ret_7d")).unionByName(total(counts, "counts", "n"))
 
 
 @query(f"WITH {TRADES}, r AS (SELECT id, instrument, price, lag(price) OVER (PARTITION BY instrument ORDER BY ts, id) AS b FROM t) SELECT id, instrument, round(price / b - 1, 6) AS ret FROM r WHERE b > 0")
@@ -177,17 +190,15 @@ def series_last_two(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {TRADES}, m AS (SELECT id, instrument, price, CASE WHEN count(*) OVER w >= 3 THEN median(price) OVER w END AS m FROM t WINDOW w AS (PARTITION BY instrument ORDER BY ts, id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
-SELECT id, instrument, round(m, 6) AS median_before, coalesce(price > 5 * m OR price < m / 5, false) AS outlier FROM m""")
+SELECT id, instrument, round(m, 6) AS median_before, coalesce(m > 0 AND (price > m * 5 OR price < m * 0.2::DOUBLE), false) AS outlier FROM m""")
 def series_outlier_flag_prior7(spark: SparkSession, sf: str) -> DataFrame:
     return series.outlier_flags(trades(spark, sf)).select("id", "instrument", r6("median_before"), "outlier")
 
 
-@query(f"""WITH {TRADES}, v AS (SELECT instrument, price, row_number() OVER (PARTITION BY instrument ORDER BY ts, id) - 1 AS i, count(*) OVER (PARTITION BY instrument) AS n, min(price) OVER (PARTITION BY instrument) AS lo, max(price) OVER (PARTITION BY instrument) AS hi FROM t)
-SELECT instrument, count(*) AS points, string_agg(CASE WHEN i = 0 THEN 'M' ELSE 'L' END, '' ORDER BY i) AS commands, round(sum(CASE WHEN n = 1 THEN 0 ELSE i / (n - 1)::DOUBLE * 160 END), 3) AS sum_x, round(sum(36 - (price - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END * 36), 0) AS sum_y FROM v GROUP BY instrument""")
+@query(f"""WITH {TRADES}, v AS (SELECT instrument, price, row_number() OVER (PARTITION BY instrument ORDER BY ts, id) - 1 AS i, count(*) OVER (PARTITION BY instrument) AS n, min(price) OVER (PARTITION BY instrument) AS lo, max(price) OVER (PARTITION BY instrument) AS hi FROM t),
+xy AS (SELECT *, floor(CASE WHEN n = 1 THEN 0.0::DOUBLE ELSE i / (n - 1)::DOUBLE * 160.0::DOUBLE END * 10 + 0.5::DOUBLE)::BIGINT AS x, floor((36.0::DOUBLE - (price - lo) / CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE hi - lo END * 36.0::DOUBLE) * 10 + 0.5::DOUBLE)::BIGINT AS y FROM v)
+SELECT instrument, count(*) AS points, string_agg(CASE WHEN i = 0 THEN 'M' ELSE 'L' END || (x // 10) || '.' || (x % 10) || ',' || (y // 10) || '.' || (y % 10), ' ' ORDER BY i) AS path FROM xy GROUP BY instrument""")
 def series_sparkline_path(spark: SparkSession, sf: str) -> DataFrame:
-    """The path is text of one decimal, which engines round apart; its shape and sums are compared."""
-    found = trades(spark, sf).groupBy("instrument").agg(series.ordered("price").alias("p")).select("instrument", F.size("p").alias("n"), "p", series.sparkline(F.col("p")).alias("path"))
-    low, high = F.array_min("p"), F.array_max("p")
-    y = F.aggregate("p", F.lit(0.0), lambda acc, v: acc + 36.0 - (v - low) / F.when(high == low, 1.0).otherwise(high - low) * 36.0)
-    x = F.when(F.col("n") == 1, 0.0).otherwise(F.col("n") / 2.0 * 160.0)
-    return found.select("instrument", F.col("n").cast("long").alias("points"), F.regexp_replace("path", "[^ML]", "").alias("commands"), F.round(x, 3).alias("sum_x"), F.round(y, 0).alias("sum_y"))
+    """The whole path, of as many points as the instrument has trades: the drawing is the gathered history."""
+    found = trades(spark, sf).groupBy("instrument").agg(series.ordered("price").alias("p"))
+    return found.select("instrument", F.size("p").cast("long").alias("points"), series.sparkline(F.col("p")).alias("path"))

@@ -68,10 +68,20 @@ def source_subscription_events(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("organization", records.subscription_status(F.col("status")).alias("status"), F.when(paid, F.col("plan")).otherwise("free").alias("effective_plan"))
 
 
-@query("SELECT count(*) AS n, sum(v) AS total, count(*) FILTER (WHERE v IS NULL) AS unpriced FROM (VALUES (40.0::DOUBLE), (42.0), (41.0), (95.0), (28.0)) t(v)")
+@query("""SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'fixture' ELSE 'manual' END AS provider, count(*) AS n, round(sum(CASE WHEN l_linenumber <> 5 THEN l_extendedprice END), 2) AS total, count(*) FILTER (WHERE l_linenumber = 5) AS unpriced
+FROM lineitem WHERE l_partkey % 3 = 0 AND l_returnflag = 'R' GROUP BY 1""")
 def source_fixture_provider(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fixtures.market_records(spark, provider="fixture", language="en", kind="sold")
-    return rows.agg(F.count("*").alias("n"), F.sum("price").alias("total"), F.count_if(F.col("price").isNull()).alias("unpriced"))
+    """Line items as the records of two providers in three languages; one language and kind of each is asked for."""
+    c = F.col
+    language = F.when(c("l_partkey") % 3 == 0, "en").when(c("l_partkey") % 3 == 1, "ja").otherwise("zh-Hans")
+    kind = F.when(c("l_returnflag") == "R", "sold").when(c("l_returnflag") == "N", "listing").otherwise("reference")
+    rows = table(spark, sf, "lineitem").select(F.when(c("l_suppkey") % 2 == 0, "fixture").otherwise("manual").alias("provider"), language.alias("language"), kind.alias("kind"), F.when(c("l_linenumber") != 5, c("l_extendedprice")).alias("price"))
+    asked = None
+    for provider in ("fixture", "manual"):
+        found = fixtures.market_records(rows, provider=provider, language="en", kind="sold")
+        part = found.agg(F.lit(provider).alias("provider"), F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"), F.count_if(c("price").isNull()).alias("unpriced"))
+        asked = part if asked is None else asked.unionByName(part)
+    return asked
 
 
 _KEY = "CASE WHEN event_id % 10 = 0 THEN 'short' WHEN event_id % 10 = 1 THEN 'bad key!!' ELSE 'event:' || (10000000 + event_id) END"

@@ -1,31 +1,15 @@
-"""In-memory catalogs and providers as DataFrames, for seeds and tests."""
+"""Providers of records and of billing events as DataFrames."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import UNSET, conjunction
 
-MARKET_RECORD = "id string, provider string, language string, variant string, condition string, kind string, price double, listing_count int, day int"
-# Market records of one instrument family in three languages.
-MARKET_RECORDS = [
-    ("sold_en_1", "fixture", "en", "normal", "nm", "sold", 40.0, None, 1),
-    ("sold_en_2", "fixture", "en", "normal", "nm", "sold", 42.0, None, 2),
-    ("sold_en_3", "fixture", "en", "normal", "nm", "sold", 41.0, None, 3),
-    ("sold_ja_1", "fixture", "ja", "normal", "nm", "sold", 8000.0, None, 2),
-    ("sold_zh_1", "fixture", "zh-Hans", "normal", "nm", "sold", 280.0, None, 2),
-    ("sold_en_holo_1", "fixture", "en", "holofoil", "nm", "sold", 95.0, None, 2),
-    ("sold_en_lp_1", "fixture", "en", "normal", "lp", "sold", 28.0, None, 2),
-    ("list_en_1", "manual", "en", "normal", "nm", "listing", 39.0, 12, 4),
-    ("volume_en_1", "manual", "en", "normal", "nm", "sold", None, None, 5),
-    ("reference_en_1", "manual", "en", "normal", "nm", "reference", 43.0, None, 4),
-]
-
-
-def market_records(spark: SparkSession, provider: object = UNSET, language: object = UNSET, kind: object = UNSET) -> DataFrame:
-    """Fixture records of a provider, language and kind; what isn't given is free."""
-    return spark.createDataFrame(MARKET_RECORDS, MARKET_RECORD).where(conjunction(provider=provider, language=language, kind=kind))
+def market_records(records: DataFrame, provider: object = UNSET, language: object = UNSET, kind: object = UNSET) -> DataFrame:
+    """The records (with provider, language, kind) that one asks a provider for; what isn't given is free, and the conditions reach the scan."""
+    return records.where(conjunction(provider=provider, language=language, kind=kind))
 
 
 def subscriptions(events: DataFrame) -> DataFrame:
