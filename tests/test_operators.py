@@ -185,3 +185,42 @@ def test_volatility_gathers_recent_trades_only(spark):
     found = point_in_time._near_trades(spark.createDataFrame(rows, "id long, at long, instrument long, price double"), F.lit(asof)).collect()
     ids = {r.instrument: [x.id for x in r.h] for r in found}
     assert ids == {1: list(range(931, 990)), 2: list(range(2488, 2500)), 4: [3001]}
+
+
+def test_mentions_resolve_over_the_whole_catalog(spark):
+    """The cases that a resolver must tell apart: typos alone, typos with fields, ids that contradict, nothing given."""
+    entry = "target string, concept string, names array<string>, game string, set_key string, number string, language string, variant string, rarity string, finish string, promo boolean, external string"
+    rows = [(f"g_{lang}_{v}", "greninja", ["greninja", "gekkouga"], "pokemon", "twm", "214/167", lang, v, "sr", None, False, f"tcc_{lang}_{v}") for lang in ("en", "ja") for v in ("normal", "holo")]
+    rows += [("c_en", "charizard", ["charizard"], "pokemon", "sv1", "006", "en", "normal", None, None, False, None), ("l_en", "luffy", ["luffy"], "onepiece", "op01", "001", "en", "normal", None, None, True, "tcc_luffy")]
+    catalog = spark.createDataFrame(rows, entry)
+    full = {"game": "pokemon", "set_key": "twm", "number": "214/167", "language": "en", "variant": "normal"}
+    cases = {
+        "typo": ({"game": "pokemon", "name": "grennja"}, "probable", None, "greninja"), "typo alone": ({"name": "grennja"}, "probable", None, "greninja"), "typo full": ({**full, "name": "grennja"}, "exact", "g_en_normal", "greninja"), "typo high": ({**full, "game": None, "name": "grennja"}, "high_confidence", "g_en_normal", "greninja"),
+        "name": ({"name": "greninja"}, "ambiguous", None, "greninja"), "no variant": ({**full, "variant": None}, "ambiguous", None, "greninja"), "full": (full, "exact", "g_en_normal", "greninja"), "empty": ({}, "unresolved", None, None), "unknown": ({"name": "pikachu"}, "unresolved", None, None),
+        "conflict": ({"language": "en", "external": "tcc_ja_normal"}, "conflict", None, "greninja"), "id": ({"external": "tcc_ja_normal"}, "exact", "g_ja_normal", "greninja"), "id of another game": ({"game": "pokemon", "external": "tcc_luffy"}, "ambiguous", None, None), "language alone": ({"language": "en"}, "ambiguous", None, None),
+        "typo and language": ({"name": "charizrd", "language": "en"}, "high_confidence", "c_en", "charizard"), "wrong finish": ({**full, "finish": "matte"}, "exact", "g_en_normal", "greninja"),
+    }
+    names = ["name", "game", "set_key", "number", "language", "variant", "rarity", "finish", "external", "content_language"]
+    mentions = spark.createDataFrame([(k, *[g.get(n) for n in names], None, None) for k, (g, *_) in cases.items()], "id string, " + ", ".join(f"{n} string" for n in names) + ", promo boolean, context boolean")
+    got = {r["id"]: (r.status, r.target, r.concept) for r in resolve.statuses(mentions, catalog).collect()}
+    assert got == {k: tuple(v[1:]) for k, v in cases.items()}
+
+
+def test_replays_are_duplicates_and_null_keys_stay(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "x", 1), ("a", "x", 2), ("a", "y", 3), (None, "x", 1), (None, "x", 2)], "key string, fp string, seq int")
+    got = sorted((r.key or "", r.seq, r.verdict) for r in ingest.dedup_conflicts(rows, ["key"], "fp", ["seq"]).collect())
+    assert got == [("", 1, "new"), ("", 2, "duplicate"), ("a", 1, "duplicate"), ("a", 1, "new"), ("a", 2, "duplicate"), ("a", 3, "conflict")]
+
+
+def test_states_of_replayed_records(spark):
+    catalog = spark.createDataFrame([(1, "b", "e1")], "target int, brand string, external string")
+    rows = [(0, "q", None, "f0"), (0, "q", None, "f0"), (1, "q", "b", "f1"), (2, "q", "b", "f1"), (3, "q", None, "f0"), (4, "q", "b", "f2"), (0, "r", None, "f"), (1, "r", None, "f")]
+    feed = spark.createDataFrame([(s, k, b, fp, None) for s, k, b, fp in rows], "seq int, key string, brand string, fp string, external string")
+    got = sorted((r.key, r.seq, r.state, r.reason, r.target) for r in ingest.record_states(feed, catalog, ["key"], "fp", ["seq"], ["brand"], ["brand"]).collect())
+    quarantined = ("quarantined", "concept_only", None)
+    assert got == [("q", 0, *quarantined), ("q", 0, *quarantined), ("q", 1, "processed", None, 1), ("q", 2, "duplicate", None, None), ("q", 3, "revision", None, None), ("q", 4, "revision", None, None), ("r", 0, *quarantined), ("r", 1, *quarantined)]
+
+
+def test_a_median_of_zero_flags_nothing(spark):
+    rows = spark.createDataFrame([(i, i, 1, p) for i, p in enumerate([0.0, 0.0, 0.0, 5.0])], "id long, at long, instrument int, price double")
+    assert not any(r.outlier for r in series.outlier_flags(rows).collect())

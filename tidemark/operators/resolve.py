@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import ladder
+from .similar import dice, edit_similarity, name_similarity, similar_names
+
+__all__ = ["decide", "dice", "edit_similarity", "exact", "fuzzy_candidates", "name_similarity", "statuses"]
 
 
 def exact(mentions: DataFrame, catalog: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
@@ -25,22 +29,6 @@ def exact(mentions: DataFrame, catalog: DataFrame, keys: Sequence[str], target:
     return out.withColumn("status", status).withColumn(target, F.when(F.col("status") == "exact", F.col("_t"))).drop("_t")
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(0.0)
-
-
-def dice(a: Column, b: Column) -> Column:
-    """Overlap of two texts' token sets."""
-    x, y = (F.array_distinct(F.filter(F.split(t, " "), lambda w: w != "")) for t in (a, b))
-    total = F.size(x) + F.size(y)
-    return F.when(total > 0, 2.0 * F.size(F.array_intersect(x, y)) / total).otherwise(0.0)
-
-
-def name_similarity(a: Column, b: Column) -> Column:
-    return F.greatest(edit_similarity(a, b), dice(a, b))
-
-
 def fuzzy_candidates(mentions: DataFrame, catalog: DataFrame, block: Column, target: str, least: float = 0.5, keep: int = 12) -> DataFrame:
     """Ranked candidates (id, target, score, rank) of each mention: names alike, within its block, the best keep of them.
 
@@ -62,68 +50,120 @@ def decide(candidates: DataFrame, target: str) -> DataFrame:
 
 
 # Points of what a mention and a catalog entry have in common, and the bounds of names alike.
-IDENTITY = ("game", "set_key", "number", "language")
-POINTS = {"external": 100, "game": 20, "set_key": 40, "number": 40, "language": 40, "name_exact": 25, "name_fuzzy": 15, "content_language": 8}
+HARD = ("game", "set_key", "number", "language", "variant")
+SOFT = ("rarity", "finish", "promo")
+POINTS = {"external": 100, "game": 20, "set_key": 40, "number": 40, "language": 40, "variant": 30, "rarity": 8, "finish": 8, "promo": 5, "name_exact": 25, "name_fuzzy": 15, "content_language": 8, "context": 4}
 CONFLICT = -80
 ALIKE, CLOSE, CLEAR = 0.78, 0.85, 20
-
-
-def _shape(given: Sequence[str], name: Column | None) -> Column:
-    parts = [F.coalesce(F.col(a).cast("string"), F.lit("*")) if a in given else F.lit("*") for a in IDENTITY]
-    return F.concat_ws("|", *parts, F.lit("*") if name is None else name)
+#: Attributes that place an entry among few.
+ANCHORS = ("set_key", "number")
+_ENTRY = ("concept", "names", *HARD, *SOFT)
+
+
+def _shape(given: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(a).cast("string"), F.lit("*")) if a in given else F.lit("*") for a in HARD])
+
+
+def _subsets(attributes: Sequence[str]) -> list[tuple[str, ...]]:
+    return [tuple(a for i, a in enumerate(attributes) if bits >> i & 1) for bits in range(1 << len(attributes))]
+
+
+def _agree(mention: str, entry: str, attributes: Sequence[str]) -> Column:
+    """Whether an entry has every one of the attributes that a mention gives."""
+    return reduce(lambda x, y: x & y, [F.col(f"{mention}.{a}").isNull() | (F.col(f"{mention}.{a}") == F.col(f"{entry}.{a}")) for a in attributes])
+
+
+def _met(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Mentions (as _m) with the entries in question (as _e) and how many entries each stands for.
+
+    A mention with an anchor meets the entries equal in all hard attributes given, by a key of those. One without
+    stands before much of the catalog, which it meets as groups of entries that differ in anchors alone: those whose names are alike, by
+    similar_names; and, where it gives anything hard at all, groups by attributes alone, which tell how many entries are in
+    question where no name is alike. Its external id brings the entry that has it."""
+    c, m = F.col, F.struct(*mentions.columns).alias("_m")
+    entry = F.struct("target", *_ENTRY).alias("_e")
+    row = lambda rows, kind: rows.select("_m", "_e", "_n", F.lit(kind).alias("_kind"))
+    anchored = reduce(lambda x, y: x | y, [c(a).isNotNull() for a in ANCHORS])
+    shapes = F.array(*[_shape(x) for x in _subsets(HARD) if set(x) & set(ANCHORS)])
+    entries = catalog.select(entry, F.lit(1).cast("long").alias("_n"), F.explode(F.array_distinct(shapes)).alias("_key"))
+    near = mentions.where(anchored).select(m, _shape(HARD).alias("_key")).join(entries, "_key")
+    far = mentions.where(~anchored)
+    loose = [a for a in (*HARD, *SOFT) if a not in ANCHORS]
+    empty = [F.lit(None).cast(catalog.schema[a].dataType).alias(a) for a in ANCHORS]
+    groups = catalog.groupBy("concept", "names", *loose).agg(F.min("target").alias("target"), F.count("*").alias("_n"))
+    groups = groups.select("target", "concept", "names", *loose, *empty, "_n")
+    pairs = similar_names(far.select("name"), groups.select(F.explode("names").alias("other")), ALIKE)
+    owners = pairs.join(groups.select(F.struct("target", *_ENTRY).alias("_e"), "_n", F.explode(F.array_distinct("names")).alias("other")), "other").select("name", "_e", "_n").distinct()
+    named = far.select("name", m).join(owners, "name").where(_agree("_m", "_e", ("game", "language", "variant")))
+    kinds = catalog.groupBy(*loose).agg(F.min("target").alias("target"), F.count("*").alias("_n"), F.min("concept").alias("concept"), F.max("concept").alias("_other"))
+    # a group of several concepts has none
+    kinds = kinds.withColumn("concept", F.when(c("concept") == c("_other"), c("concept"))).withColumn("names", F.array().cast(catalog.schema["names"].dataType)).select("*", *empty)
+    by_kind = kinds.select(entry, "_n", F.explode(F.array(*[_shape(x) for x in _subsets(("game", "language", "variant"))])).alias("_key"))
+    stated = c("language").isNotNull() | c("variant").isNotNull() | c("external").isNotNull()
+    rest = far.where(stated).select(m, _shape(("game", "language", "variant")).alias("_key")).join(by_kind, "_key")
+    outright = mentions.select("external", m).join(catalog.select("external", entry), "external").where(_agree("_m", "_e", ("game",))).withColumn("_n", F.lit(1).cast("long"))
+    return row(near, "entry").unionByName(row(named, "named")).unionByName(row(rest, "kind")).unionByName(row(outright, "external"))
 
 
 def statuses(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """mentions (each with its id) with status, target, points (of the best entry) and pool (entries in question).
-
-    mentions: id, name, external, content_language and the IDENTITY attributes, all but id nullable. catalog: target,
-    concept, names (aliases among them), external and the attributes. A mention's pool are the entries equal in
-    every attribute given, met by a key of those attributes; one that gives neither set_key nor number meets
-    entries of its very name only, as anything else would pair it with much of the catalog. An external id
-    names an entry outright: conflict if an attribute given contradicts it, else exact. Names alike narrow
-    the pool. Only exact and high_confidence bind a target; mentions without any entry are unresolved."""
-    anchors = ("set_key", "number")
-    subsets = [tuple(a for i, a in enumerate(IDENTITY) if bits >> i & 1) for bits in range(1 << len(IDENTITY))]
-    by_attributes = F.array(*[_shape(s, None) for s in subsets if set(s) & set(anchors)])
-    by_name = F.flatten(F.transform("names", lambda n: F.array(*[_shape(s, n) for s in subsets if not set(s) & set(anchors)])))
-    entries = catalog.select("target", F.struct("target", "concept", "names", *IDENTITY).alias("_entry"), F.explode(F.array_union(by_attributes, by_name)).alias("_shape"))
-    anchored = F.col("set_key").isNotNull() | F.col("number").isNotNull()
-    keyed = mentions.withColumn("_shape", F.when(anchored, _shape(IDENTITY, None)).otherwise(_shape(IDENTITY, F.col("name"))))
-    pooled = keyed.join(entries.drop("target"), "_shape").drop("_shape").withColumn("_external", F.lit(False))
-    named = mentions.join(catalog.select("external", F.struct("target", "concept", "names", *IDENTITY).alias("_entry")), "external")
-    both = pooled.unionByName(named.withColumn("_external", F.lit(True))).withColumns({"_target": F.col("_entry.target"), "_concept": F.col("_entry.concept"), "_language": F.col("_entry.language")})
-    alike = F.array_max(F.transform("_entry.names", lambda n: F.when(n == F.col("name"), 1.0).otherwise(name_similarity(n, F.col("name")))))
-    conflicts = sum((F.coalesce((F.col(a) != F.col(f"_entry.{a}")).cast("int"), F.lit(0)) for a in IDENTITY), F.lit(0))
-    points = sum((F.when(F.col(a) == F.col(f"_entry.{a}"), POINTS[a]).when(F.col(a) != F.col(f"_entry.{a}"), CONFLICT).otherwise(0) for a in IDENTITY), F.lit(0))
-    scored = both.withColumns({"_sim": F.coalesce(alike, F.lit(0.0)), "_conflicts": conflicts})
-    name_points = F.when(F.col("_sim") == 1, float(POINTS["name_exact"])).when(F.col("_sim") >= ALIKE, POINTS["name_fuzzy"] * F.col("_sim")).otherwise(0.0)
-    hint = F.when(F.col("content_language") == F.col("_language"), POINTS["content_language"]).otherwise(0)
-    scored = scored.withColumn("_base", points + name_points + hint)
-    # an entry met both ways counts once, as named outright
-    once = scored.groupBy("id", "_target").agg(F.bool_or("_external").alias("_external"), *[F.first(c).alias(c) for c in ("_concept", "_language", "_sim", "_conflicts", "_base")])
-    once = once.withColumn("_points", F.col("_base") + F.when(F.col("_external") & (F.col("_conflicts") == 0), POINTS["external"]).otherwise(0))
-    is_alike = (F.col("_sim") >= ALIKE).cast("int")
-    narrowed = F.max(F.when(F.col("_conflicts") == 0, is_alike).otherwise(0)).over(W.partitionBy("id"))
-    ranked = once.withColumn("_pooled", (F.col("_conflicts") == 0) & (narrowed == is_alike))
-    ranked = ranked.withColumn("_rank", F.row_number().over(W.partitionBy("id", "_pooled").orderBy(F.desc("_points"), "_target")))
-    inside = lambda c, more=None: F.max(F.when(F.col("_pooled") if more is None else F.col("_pooled") & more, F.col(c)))
-    least = lambda c: F.min(F.when(F.col("_pooled"), F.col(c)))
-    first, next_ = F.col("_rank") == 1, F.col("_rank") == 2
+    """mentions with status, target, concept, points (of the best entry) and pool (entries in question).
+
+    mentions: id, name, external, content_language, context (whether there is a text around it) and the HARD and SOFT
+    attributes, all but id nullable. catalog: target, concept, names (aliases among them), external and the attributes.
+    An entry is in question if it has every hard attribute that the mention gives; where names of some are alike, those
+    alone are. A mention that gives nothing hard has no entry in question but by its name. An external id names an entry of the
+    mention's game outright: conflict if an attribute given contradicts it, else exact if it is in question. Soft attributes count points or a
+    conflict. Only exact and high_confidence bind a target; probable binds a concept; a mention without entries is unresolved.
+
+    No mention is paired with the catalog: see _met. Names are joined without losing a pair."""
+    c = F.col
+    met = _met(mentions, catalog)
+    met = met.withColumn("_own", c("_kind") == "external")
+    alike = F.array_max(F.transform("_e.names", lambda n: F.when(n == c("_m.name"), 1.0).otherwise(name_similarity(n, c("_m.name")))))
+    unlike = lambda attributes: sum((F.coalesce((c(f"_m.{a}") != c(f"_e.{a}")).cast("int"), F.when(c(f"_m.{a}").isNotNull() & c(f"_e.{a}").isNull(), 1), F.lit(0)) for a in attributes), F.lit(0))
+    scored = met.withColumns({"_sim": F.coalesce(alike, F.lit(0.0)), "_hard": unlike(HARD), "_soft": unlike(SOFT)})
+    # groups stand for entries that have the anchors that the mention doesn't give
+    scored = scored.withColumn("_hard", F.when(c("_own") | (c("_kind") == "entry"), c("_hard")).otherwise(0))
+    attribute = sum((F.when(c(f"_m.{a}") == c(f"_e.{a}"), POINTS[a]).otherwise(0) for a in (*HARD, *SOFT)), F.lit(0)) + CONFLICT * (c("_hard") + c("_soft"))
+    name = F.when(c("_sim") == 1, float(POINTS["name_exact"])).when(c("_sim") >= ALIKE, POINTS["name_fuzzy"] * c("_sim")).otherwise(0.0)
+    hint = F.when(c("_m.content_language") == c("_e.language"), POINTS["content_language"]).otherwise(0)
+    clue = F.when(c("_m.context") & reduce(lambda x, y: x | y, [F.coalesce(c(f"_m.{a}") == c(f"_e.{a}"), F.lit(False)) for a in ANCHORS]), POINTS["context"]).otherwise(0)
+    scored = scored.select(c("_m.id").alias("id"), c("_e.target").alias("_target"), c("_e.concept").alias("_concept"), c("_e.language").alias("_language"), c("_e.variant").alias("_variant"), "_kind", "_own", "_n", "_sim", "_hard", "_soft", (attribute + name + hint + F.coalesce(clue, F.lit(0))).alias("_base"))
+    # an entry met in two ways counts once; groups by attributes count where no name is alike
+    entry = F.when(c("_kind") == "kind", F.lit("kind")).otherwise(F.lit("entry"))
+    once = scored.groupBy("id", "_target", entry.alias("_as"), "_concept", "_language", "_variant", "_soft", "_sim", "_hard", "_base").agg(F.bool_or("_own").alias("_own"), F.max("_n").alias("_n"), F.bool_or(c("_kind") != "external").alias("_shown"))
+    once = once.withColumn("_points", c("_base") + F.when(c("_own") & (c("_hard") + c("_soft") == 0), POINTS["external"]).otherwise(0))
+    is_alike = (c("_sim") >= ALIKE).cast("int")
+    shown = c("_shown") & (c("_hard") == 0)
+    narrowed = F.max(F.when(shown, is_alike).otherwise(0)).over(W.partitionBy("id"))
+    # with nothing alike, an unanchored mention's entries are its groups by attributes; an external entry among them is in one of those
+    ranked = once.withColumn("_pooled", shown & (narrowed == is_alike)).withColumn("_alone", narrowed == 0)
+    order = W.partitionBy("id", c("_pooled") & (c("_soft") == 0)).orderBy(F.desc("_points"), "_target")
+    ranked = ranked.withColumns({"_rank": F.row_number().over(order)})
+    held = lambda x, more=None: F.when(c("_pooled") if more is None else c("_pooled") & more, x)
+    clean = c("_soft") == 0
     found = ranked.groupBy("id").agg(
-        F.bool_or(F.col("_external") & (F.col("_conflicts") > 0)).alias("_clash"), F.bool_or(F.col("_external") & (F.col("_conflicts") == 0)).alias("_found"), F.max(F.when(F.col("_external"), F.col("_target"))).alias("_named"), F.count_if("_pooled").alias("pool"),
-        (least("_concept") == inside("_concept")).alias("_one"), (least("_language") != inside("_language")).alias("_languages"), inside("_sim").alias("_best"), inside("_sim", first).alias("_sim"), inside("_target", first).alias("_target"), inside("_points", first).alias("points"), inside("_points", next_).alias("_second"),
+        F.bool_or(c("_own") & ((c("_hard") > 0) | (c("_soft") > 0))).alias("_clash"), F.bool_or(c("_own") & (c("_hard") + c("_soft") == 0) & (c("_pooled") | c("_alone") | (is_alike == 1))).alias("_found"), F.max(F.when(c("_own"), c("_target"))).alias("_named"), F.max(F.when(c("_own"), c("_concept"))).alias("_named_concept"), F.max(F.when(c("_own"), c("_points"))).alias("_named_points"),
+        F.coalesce(F.sum(held(c("_n"))), F.lit(0)).alias("pool"), (F.min(held(c("_concept"))).eqNullSafe(F.max(held(c("_concept")))) & ~F.coalesce(F.bool_or(held(c("_concept").isNull())), F.lit(True))).alias("_one"), F.min(held(c("_concept"))).alias("_concept"),
+        (F.min(held(c("_language"))) != F.max(held(c("_language")))).alias("_languages"), (F.min(held(c("_variant"))) != F.max(held(c("_variant")))).alias("_variants"), F.max(held(c("_sim"))).alias("_best"), F.max(held(c("_target"))).alias("_any"), F.max(held(c("_points"))).alias("_most"),
+        F.count_if(c("_pooled") & clean).alias("_clean"), F.max(held(c("_sim"), clean & (c("_rank") == 1))).alias("_sim"), F.max(held(c("_target"), clean & (c("_rank") == 1))).alias("_target"), F.max(held(c("_concept"), clean & (c("_rank") == 1))).alias("_top_concept"), F.max(held(c("_points"), clean & (c("_rank") == 1))).alias("_points"), F.max(held(c("_n"), clean & (c("_rank") == 1))).alias("_top_n"), F.max(held(c("_points"), clean & (c("_rank") == 2))).alias("_second"),
     )
-    out, c = mentions.join(found, "id", "left").withColumn("pool", F.coalesce("pool", F.lit(0))), F.col
-    unanchored = ~anchored & c("language").isNull() & c("external").isNull()
-    whole = c("game").isNotNull() & c("set_key").isNotNull() & c("number").isNotNull() & c("language").isNotNull()
-    fuzzy = c("name").isNotNull() & (c("_sim") < 1) & (c("_sim") >= CLOSE)
-    clear = c("points") - F.coalesce("_second", F.lit(0)) >= CLEAR
+    out = mentions.join(found, "id", "left").withColumns({"pool": F.coalesce("pool", F.lit(0)), "points": F.when(c("_found"), c("_named_points")).otherwise(F.coalesce("_points", "_most"))})
+    nothing_hard = reduce(lambda x, y: x & y, [c(a).isNull() for a in ("set_key", "number", "language", "variant", "external")])
+    whole = reduce(lambda x, y: x & y, [c(a).isNotNull() for a in HARD])
+    fuzzy = lambda sim: c("name").isNotNull() & (sim < 1) & (sim >= CLOSE)
+    second = F.when(c("_top_n") > 1, c("_points")).otherwise(F.coalesce("_second", F.lit(0.0)))
     status = ladder(
         [
-            (c("_clash"), "conflict"), (c("_found"), "exact"), (c("pool") == 0, "unresolved"), (unanchored & c("_one") & (c("_best") < 1) & (c("_best") >= ALIKE), "probable"), (unanchored & c("_one"), "ambiguous"), (c("language").isNull() & c("_languages"), "ambiguous"), ((c("pool") == 1) & whole, "exact"), ((c("pool") == 1) & fuzzy, "high_confidence"),
-            (c("pool") == 1, "exact"), (fuzzy & clear & c("language").isNotNull() & ~whole, "high_confidence"), ((c("_sim") >= ALIKE) & (c("_sim") < 1) & c("set_key").isNull(), "probable"),
+            (c("_clash"), "conflict"), (c("_found"), "exact"), (c("pool") == 0, "unresolved"), (nothing_hard & c("_one") & (c("_best") < 1) & (c("_best") >= ALIKE), "probable"), (nothing_hard & c("_one"), "ambiguous"),
+            (c("language").isNull() & c("_languages"), "ambiguous"), (c("variant").isNull() & c("_variants"), "ambiguous"), ((c("pool") == 1) & whole, "exact"), ((c("pool") == 1) & fuzzy(c("_best")), "high_confidence"), (c("pool") == 1, "exact"), (c("_clean") == 0, "unresolved"),
+            (fuzzy(c("_sim")) & (c("_points") - second >= CLEAR) & c("language").isNotNull() & c("variant").isNotNull() & ~whole, "high_confidence"), ((c("_sim") >= ALIKE) & (c("_sim") < 1) & c("set_key").isNull(), "probable"),
         ],
         "ambiguous",
     )
     out = out.withColumn("status", status)
-    return out.withColumn("target", F.when(c("status").isin("exact", "high_confidence"), F.when(c("_found"), c("_named")).otherwise(c("_target")))).select(*mentions.columns, "status", "target", "points", "pool")
+    single = F.when(c("pool") == 1, c("_any")).otherwise(c("_target"))
+    target = F.when(c("status").isin("exact", "high_confidence"), F.when(c("_found"), c("_named")).otherwise(single))
+    one = F.when(c("_one"), c("_concept"))
+    concept = F.when(c("_clash") | c("_found"), c("_named_concept")).when(c("status") == "probable", F.coalesce(one, c("_top_concept"))).when(c("status") == "high_confidence", F.coalesce(F.when(c("pool") == 1, one), c("_top_concept"))).otherwise(one)
+    return out.withColumns({"target": target, "concept": concept}).select(*mentions.columns, "status", "target", "concept", "points", "pool")

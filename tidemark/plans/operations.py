@@ -76,36 +76,47 @@ def resolve_decide(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.decide(_fuzzy(spark, sf), "target")
 
 
-_CATALOG = "c AS (SELECT p_partkey AS target, p_name AS concept, CASE WHEN p_partkey % 4 = 0 THEN [p_name, p_name || ' xl'] ELSE [p_name] END AS names, p_type AS game, p_brand AS set_key, p_size AS number, CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'ja' END AS language, 'x' || p_partkey AS external FROM part)"
-_MENTIONS = """m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 19 <> 0 THEN CASE WHEN p_partkey % 8 = 0 THEN p_name || ' xl' ELSE replace(p_name, 'e', CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE 'e' END) END END AS name, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS game, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS set_key,
- CASE WHEN p_partkey % 17 = 0 THEN -1 WHEN p_partkey % 4 <> 0 THEN p_size END AS number, CASE WHEN p_partkey % 6 >= 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'ja' END END AS language, CASE p_partkey % 13 WHEN 0 THEN 'x' || p_partkey WHEN 1 THEN 'x' || (p_partkey + 1) END AS external, CASE WHEN p_partkey % 7 = 0 THEN 'ja' END AS content_language FROM part)"""
-_SAME = " AND ".join(f"(m.{a} IS NULL OR m.{a} = c.{a})" for a in resolve.IDENTITY)
-_UNLIKE = " + ".join(f"coalesce((m.{a} <> c.{a})::INT, 0)" for a in resolve.IDENTITY)
-_ATTRIBUTE_POINTS = " + ".join(f"CASE WHEN m.{a} = c.{a} THEN {resolve.POINTS[a]} WHEN m.{a} <> c.{a} THEN {resolve.CONFLICT} ELSE 0 END" for a in resolve.IDENTITY)
+_CATALOG = """c AS (SELECT p_partkey AS target, p_name AS concept, CASE WHEN p_partkey % 4 = 0 THEN [p_name, p_name || ' xl'] ELSE [p_name] END AS names, p_type AS game, p_brand AS set_key, p_size AS number, CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'ja' END AS language,
+ CASE WHEN p_partkey % 11 < 2 THEN 'holo' ELSE 'normal' END AS variant, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'rare' ELSE 'common' END AS rarity, CASE WHEN p_partkey % 7 < 3 THEN 'matte' ELSE 'gloss' END AS finish, p_partkey % 10 = 0 AS promo, 'x' || p_partkey AS external FROM part)"""
+_MENTIONS = """m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 19 <> 0 THEN CASE WHEN p_partkey % 8 = 0 THEN p_name || ' xl' WHEN p_partkey % 9 = 1 THEN p_name[:2] || p_name[4:] WHEN p_partkey % 29 = 1 THEN 'nothing alike ' || p_partkey ELSE replace(p_name, 'e', CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE 'e' END) END END AS name, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS game,
+ CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 3 THEN p_brand END AS set_key, CASE WHEN p_partkey % 7 = 3 THEN NULL WHEN p_partkey % 17 = 0 THEN -1 WHEN p_partkey % 4 <> 0 THEN p_size END AS number, CASE WHEN p_partkey % 6 >= 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'ja' END END AS language,
+ CASE WHEN p_partkey % 4 = 1 THEN CASE WHEN p_partkey % 11 < 2 THEN 'holo' ELSE 'normal' END END AS variant, CASE WHEN p_partkey % 31 = 0 THEN 'rare' END AS rarity, CASE WHEN p_partkey % 23 = 0 THEN 'matte' END AS finish, CASE WHEN p_partkey % 37 = 0 THEN true END AS promo, p_partkey % 2 = 1 AS context,
+ CASE p_partkey % 13 WHEN 0 THEN 'x' || p_partkey WHEN 1 THEN 'x' || (p_partkey + 1) WHEN 2 THEN 'none' END AS external, CASE WHEN p_partkey % 7 = 0 THEN 'ja' END AS content_language FROM part)"""
+_OK = {a: f"coalesce(m.{a} = c.{a}, false)" for a in (*resolve.HARD, *resolve.SOFT)}
+_BAD = {a: f"(m.{a} IS NOT NULL AND m.{a} IS DISTINCT FROM c.{a})" for a in _OK}
 _NAME_SQL = "list_max(list_transform(c.names, lambda n: CASE WHEN n = m.name THEN 1.0::DOUBLE ELSE greatest(1 - levenshtein(n, m.name) / greatest(length(n), length(m.name)), 2.0::DOUBLE * len(list_intersect(list_distinct(string_split(n, ' ')), list_distinct(string_split(m.name, ' ')))) / (len(list_distinct(string_split(n, ' '))) + len(list_distinct(string_split(m.name, ' '))))) END))"
 
 
-@query(f"""WITH {_CATALOG}, {_MENTIONS}, x AS (SELECT m.id, m.external IS NOT NULL AND m.external = c.external AS by_external, {_UNLIKE} AS conflicts, c.target, c.concept, c.language AS lang, coalesce({_NAME_SQL}, 0) AS sim, {_ATTRIBUTE_POINTS} AS attributes, coalesce(m.content_language = c.language, false) AS hinted
- FROM m JOIN c ON ({_SAME} AND (m.set_key IS NOT NULL OR m.number IS NOT NULL OR list_contains(c.names, m.name))) OR m.external = c.external),
-y AS (SELECT *, attributes + CASE WHEN sim = 1 THEN 25 WHEN sim >= 0.78 THEN 15 * sim ELSE 0 END + CASE WHEN hinted THEN 8 ELSE 0 END + CASE WHEN by_external AND conflicts = 0 THEN 100 ELSE 0 END AS points, conflicts = 0 AND max((sim >= 0.78 AND conflicts = 0)::INT) OVER (PARTITION BY id) = (sim >= 0.78)::INT AS pooled FROM x),
-r AS (SELECT *, row_number() OVER (PARTITION BY id, pooled ORDER BY points DESC, target) AS rank FROM y),
-g AS (SELECT id, bool_or(by_external AND conflicts > 0) AS clash, bool_or(by_external AND conflicts = 0) AS found, max(target) FILTER (WHERE by_external) AS external_target, count(*) FILTER (WHERE pooled) AS n, min(concept) FILTER (WHERE pooled) = max(concept) FILTER (WHERE pooled) AS one_concept, min(lang) FILTER (WHERE pooled) <> max(lang) FILTER (WHERE pooled) AS languages,
- max(sim) FILTER (WHERE pooled) AS best_name, max(sim) FILTER (WHERE pooled AND rank = 1) AS sim, max(target) FILTER (WHERE pooled AND rank = 1) AS target, max(points) FILTER (WHERE pooled AND rank = 1) AS points, max(points) FILTER (WHERE pooled AND rank = 2) AS second FROM r GROUP BY id),
-s AS (SELECT m.id, g.*, CASE WHEN clash THEN 'conflict' WHEN found THEN 'exact' WHEN coalesce(n, 0) = 0 THEN 'unresolved' WHEN m.set_key IS NULL AND m.number IS NULL AND m.language IS NULL AND m.external IS NULL AND one_concept AND best_name < 1 AND best_name >= 0.78 THEN 'probable' WHEN m.set_key IS NULL AND m.number IS NULL AND m.language IS NULL AND m.external IS NULL AND one_concept THEN 'ambiguous'
- WHEN m.language IS NULL AND languages THEN 'ambiguous' WHEN n = 1 AND m.game IS NOT NULL AND m.set_key IS NOT NULL AND m.number IS NOT NULL AND m.language IS NOT NULL THEN 'exact' WHEN n = 1 AND m.name IS NOT NULL AND sim < 1 AND sim >= 0.85 THEN 'high_confidence' WHEN n = 1 THEN 'exact'
- WHEN m.name IS NOT NULL AND sim < 1 AND sim >= 0.85 AND points - coalesce(second, 0) >= 20 AND m.language IS NOT NULL AND NOT (m.game IS NOT NULL AND m.set_key IS NOT NULL AND m.number IS NOT NULL) THEN 'high_confidence' WHEN sim >= 0.78 AND sim < 1 AND m.set_key IS NULL THEN 'probable' ELSE 'ambiguous' END AS status FROM m LEFT JOIN g ON g.id = m.id)
-SELECT id, status, CASE WHEN status IN ('exact', 'high_confidence') THEN CASE WHEN found THEN external_target ELSE target END END AS target, round(points, 4) AS points, coalesce(n, 0) AS pool FROM s""")
+@query(f"""WITH {_CATALOG}, {_MENTIONS}, sims AS (SELECT m.name, c.names, coalesce({_NAME_SQL}, 0) AS sim FROM (SELECT DISTINCT name FROM m) m CROSS JOIN (SELECT DISTINCT names FROM c) c),
+x AS (SELECT m.id, coalesce(m.external = c.external, false) AS own, {' + '.join(f'{_BAD[a]}::INT' for a in resolve.HARD)} AS hard, {' + '.join(f'{_BAD[a]}::INT' for a in resolve.SOFT)} AS soft, c.target, c.concept, c.language AS lang, c.variant AS var, s.sim,
+ {' + '.join(f'CASE WHEN {_OK[a]} THEN {resolve.POINTS[a]} WHEN {_BAD[a]} THEN {resolve.CONFLICT} ELSE 0 END' for a in _OK)} + CASE WHEN s.sim = 1 THEN 25 WHEN s.sim >= 0.78 THEN 15 * s.sim ELSE 0 END + CASE WHEN coalesce(m.content_language = c.language, false) THEN 8 ELSE 0 END + CASE WHEN m.context AND ({_OK['set_key']} OR {_OK['number']}) THEN 4 ELSE 0 END AS base,
+ m.set_key IS NULL AND m.number IS NULL AND m.language IS NULL AND m.variant IS NULL AND m.external IS NULL AS nothing_hard
+ FROM m JOIN c ON m.game IS NULL OR m.game = c.game JOIN sims s ON s.name IS NOT DISTINCT FROM m.name AND s.names = c.names),
+y AS (SELECT *, base + CASE WHEN own AND hard + soft = 0 THEN 100 ELSE 0 END AS points, max(CASE WHEN hard = 0 THEN (sim >= 0.78)::INT ELSE 0 END) OVER (PARTITION BY id) AS narrowed FROM x WHERE hard = 0 OR own),
+z AS (SELECT *, hard = 0 AND (sim >= 0.78)::INT = narrowed AND NOT (nothing_hard AND narrowed = 0) AS pooled FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, pooled AND soft = 0 ORDER BY points DESC, target) AS rank FROM z),
+g AS (SELECT id, bool_or(own AND hard + soft > 0) AS clash, bool_or(own AND pooled AND hard + soft = 0) AS found, max(target) FILTER (WHERE own) AS own_target, max(concept) FILTER (WHERE own) AS own_concept, count(*) FILTER (WHERE pooled) AS n, count(DISTINCT concept) FILTER (WHERE pooled) = 1 AS one_concept, min(concept) FILTER (WHERE pooled) AS a_concept, count(DISTINCT lang) FILTER (WHERE pooled) > 1 AS languages, count(DISTINCT var) FILTER (WHERE pooled) > 1 AS variants,
+ max(sim) FILTER (WHERE pooled) AS best, max(target) FILTER (WHERE pooled) AS any_target, max(points) FILTER (WHERE pooled) AS most, count(*) FILTER (WHERE pooled AND soft = 0) AS clean, {', '.join(f'max({v}) FILTER (WHERE pooled AND soft = 0 AND rank = {k}) AS {v}{k}' for v, k in (('sim', 1), ('target', 1), ('concept', 1), ('points', 1), ('points', 2)))} FROM r GROUP BY id),
+s AS (SELECT m.id, g.* EXCLUDE (id), CASE WHEN clash THEN 'conflict' WHEN found THEN 'exact' WHEN coalesce(n, 0) = 0 THEN 'unresolved' WHEN nh AND one_concept AND best < 1 AND best >= 0.78 THEN 'probable' WHEN nh AND one_concept THEN 'ambiguous' WHEN m.language IS NULL AND languages THEN 'ambiguous' WHEN m.variant IS NULL AND variants THEN 'ambiguous'
+ WHEN n = 1 AND whole THEN 'exact' WHEN n = 1 AND m.name IS NOT NULL AND best < 1 AND best >= 0.85 THEN 'high_confidence' WHEN n = 1 THEN 'exact' WHEN clean = 0 THEN 'unresolved' WHEN m.name IS NOT NULL AND sim1 < 1 AND sim1 >= 0.85 AND points1 - coalesce(points2, 0) >= 20 AND m.language IS NOT NULL AND m.variant IS NOT NULL AND NOT whole THEN 'high_confidence'
+ WHEN sim1 >= 0.78 AND sim1 < 1 AND m.set_key IS NULL THEN 'probable' ELSE 'ambiguous' END AS status
+ FROM (SELECT *, set_key IS NULL AND number IS NULL AND language IS NULL AND variant IS NULL AND external IS NULL AS nh, game IS NOT NULL AND set_key IS NOT NULL AND number IS NOT NULL AND language IS NOT NULL AND variant IS NOT NULL AS whole FROM m) m LEFT JOIN g ON g.id = m.id)
+SELECT id, status, CASE WHEN status IN ('exact', 'high_confidence') THEN CASE WHEN found THEN own_target WHEN n = 1 THEN any_target ELSE target1 END END AS target,
+ CASE WHEN clash OR found THEN own_concept WHEN status = 'probable' AND NOT one_concept THEN concept1 WHEN status = 'high_confidence' AND n > 1 THEN concept1 WHEN one_concept THEN a_concept END AS concept, round(coalesce(points1, most), 4) AS points, coalesce(n, 0) AS pool FROM s""")
 def resolve_entity_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as the catalog and, with attributes left out, names misspelt and ids of others, as the mentions; SQL meets all pairs."""
     parts, k, name = table(spark, sf, "part"), F.col("p_partkey"), F.col("p_name")
-    language = F.when(k % 2 == 0, "en").otherwise("ja")
-    other = F.concat(name, F.lit(" xl"))
-    catalog = parts.select(k.alias("target"), name.alias("concept"), F.when(k % 4 == 0, F.array(name, other)).otherwise(F.array(name)).alias("names"), F.col("p_type").alias("game"), F.col("p_brand").alias("set_key"), F.col("p_size").alias("number"), language.alias("language"), F.concat(F.lit("x"), k).alias("external"))
-    wrong = F.when(k % 8 == 0, other).otherwise(F.replace(name, F.lit("e"), F.when(k % 3 == 0, "a").otherwise("e")))
+    language, other, variant = F.when(k % 2 == 0, "en").otherwise("ja"), F.concat(name, F.lit(" xl")), F.when(k % 11 < 2, "holo").otherwise("normal")
+    catalog = parts.select(
+        k.alias("target"), name.alias("concept"), F.when(k % 4 == 0, F.array(name, other)).otherwise(F.array(name)).alias("names"), F.col("p_type").alias("game"), F.col("p_brand").alias("set_key"), F.col("p_size").alias("number"), language.alias("language"), variant.alias("variant"),
+        F.when(k % 5 == 1, "rare").when(k % 5 > 1, "common").alias("rarity"), F.when(k % 7 < 3, "matte").otherwise("gloss").alias("finish"), (k % 10 == 0).alias("promo"), F.concat(F.lit("x"), k).alias("external"),
+    )
+    wrong = F.when(k % 8 == 0, other).when(k % 9 == 1, F.concat(F.substring(name, 1, 2), F.substring(name, 4, 1000))).when(k % 29 == 1, F.concat(F.lit("nothing alike "), k)).otherwise(F.replace(name, F.lit("e"), F.when(k % 3 == 0, "a").otherwise("e")))
     mentions = parts.select(
-        k.alias("id"), F.when(k % 19 != 0, wrong).alias("name"), F.when(k % 3 != 0, F.col("p_type")).alias("game"), F.when(k % 5 != 0, F.col("p_brand")).alias("set_key"), F.when(k % 17 == 0, -1).when(k % 4 != 0, F.col("p_size")).alias("number"),
-        F.when(k % 6 >= 2, language).alias("language"), F.when(k % 13 == 0, F.concat(F.lit("x"), k)).when(k % 13 == 1, F.concat(F.lit("x"), k + 1)).alias("external"), F.when(k % 7 == 0, "ja").alias("content_language"),
+        k.alias("id"), F.when(k % 19 != 0, wrong).alias("name"), F.when(k % 3 != 0, F.col("p_type")).alias("game"), F.when((k % 5 != 0) & (k % 7 != 3), F.col("p_brand")).alias("set_key"), F.when(k % 7 == 3, None).when(k % 17 == 0, -1).when(k % 4 != 0, F.col("p_size")).alias("number"), F.when(k % 6 >= 2, language).alias("language"), F.when(k % 4 == 1, variant).alias("variant"),
+        F.when(k % 31 == 0, "rare").alias("rarity"), F.when(k % 23 == 0, "matte").alias("finish"), F.when(k % 37 == 0, True).alias("promo"), (k % 2 == 1).alias("context"), F.when(k % 13 == 0, F.concat(F.lit("x"), k)).when(k % 13 == 1, F.concat(F.lit("x"), k + 1)).when(k % 13 == 2, "none").alias("external"), F.when(k % 7 == 0, "ja").alias("content_language"),
     )
-    return resolve.statuses(mentions, catalog).select("id", "status", "target", F.round("points", 4).alias("points"), "pool")
+    return resolve.statuses(mentions, catalog).select("id", "status", "target", "concept", F.round("points", 4).alias("points"), "pool")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, metric_key, value, unit FROM (
