@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import authority_score, authority_weight, beta_mean, half_life, trust_state, wilson_high, wilson_low
 from ..functions.times import DAY
+from .selection import GATHER, group_medians
 
 SLICE = ("game", "language", "set_key", "tier", "horizon")
 
@@ -18,16 +20,22 @@ def latest_trust(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by("state", F.struct("at", "id")).alias("trust"))
 
 
-def slices(calls: DataFrame, trust: DataFrame, key: str, asof: Column, by: Sequence[str] = SLICE) -> DataFrame:
+def sliced(calls: DataFrame, by: Sequence[str] = SLICE) -> DataFrame:
+    """Each call once for each of its slices: the whole, game and language, and the full slice."""
+    rows = calls.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by})
+    levels = [(), tuple(by[:2]), tuple(by)]
+    each = F.array(*[F.struct(*[(F.col(c) if c in level else F.lit("*")).alias(c) for c in by]) for level in levels])
+    return rows.withColumn("_slice", F.explode(each)).drop(*by).select("*", "_slice.*")
+
+
+def slices(calls: DataFrame, trust: DataFrame, key: str, asof: Column, by: Sequence[str] = SLICE, gather: int = GATHER) -> DataFrame:
     """A record for each forecaster's calls as a whole, by game and language, and by the full slice.
 
     calls: key, at, the columns of by, verdict (correct, incorrect or else), ret, relative, confidence (stated or null).
     trust: key and trust, where excluded wins over the record. One pass: every call goes to its three slices,
-    which are combined before the shuffle. A slice's absent columns are '*'; of calls that lack them they are ''."""
-    rows = calls.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by})
-    levels = [(), tuple(by[:2]), tuple(by)]
-    each = F.array(*[F.struct(*[(F.col(c) if c in level else F.lit("*")).alias(c) for c in by]) for level in levels])
-    rows = rows.withColumn("_slice", F.explode(each)).drop(*by).select("*", "_slice.*")
+    which are combined before the shuffle; the exact median of their returns comes from rounds of selection, so that no
+    slice is gathered. A slice's absent columns are '*'; of calls that lack them they are ''."""
+    rows = sliced(calls, by)
     hit = (F.col("verdict") == "correct").cast("int")
     directional = F.col("verdict").isin("correct", "incorrect")
     weight = half_life((asof - F.col("at")) / DAY)
@@ -39,5 +47,8 @@ def slices(calls: DataFrame, trust: DataFrame, key: str, asof: Column, by: Seque
     n, k = F.col("n"), F.col("k")
     some = lambda c: F.when(n > 0, c)
     low = wilson_low(k, n)
+    medians = group_medians(rows, [key, *by], "ret", "median_return", gather)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (key, *by)])
+    found = found.join(medians.select(*[F.col(k).alias(f"_{k}") for k in (key, *by)], "median_return"), same).select(*found.columns, "median_return")
     found = found.join(trust, key, "left").withColumn("state", trust_state(n, low, F.coalesce(F.col("trust") == "excluded", F.lit(False)))).drop("trust")
     return found.withColumns({"accuracy": some(k / n), "wilson_low": some(low), "wilson_high": some(wilson_high(k, n)), "bayes_mean": some(beta_mean(k, n)), "score": authority_score(n, low, F.col("mean_return")), "weight": authority_weight(n, low, F.col("state"))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import half_life
 from ..functions.times import DAY, instant, trailing
-from ..operators import features, series
+from ..operators import features, selection, series
 from ..sources.tables import claims, daily_trades, events, quotes, table, trades
 from .catalog import ASOF, DAILY, LONG_ASOF, QUOTES, TRADES, query
 
@@ -51,6 +51,14 @@ def agg_source_composition(spark: SparkSession, sf: str) -> DataFrame:
     return features.source_composition(counts).select("instrument", F.aggregate(F.map_values("source_composition"), F.lit(0).cast("long"), lambda a, n: a + n).alias("n"), shown.alias("composition"))
 
 
+@query("""WITH l AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_extendedprice AS price FROM lineitem), m AS (SELECT flag, status, median(price) AS median FROM l GROUP BY ALL)
+SELECT flag, status, median, median(abs(price - median)) AS mad FROM l JOIN m USING (flag, status) GROUP BY ALL""")
+def agg_exact_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact medians and median deviations of a few groups that hold all line items between them."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("price"))
+    return selection.group_mads(rows, ["flag", "status"], "price")
+
+
 CLICKS = "c AS (SELECT event_id AS id, ts, user_id AS instrument, value, (props->>'$.k')::BIGINT AS k FROM events WHERE event_type = 'click')"
 
 

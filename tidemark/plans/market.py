@@ -236,7 +236,7 @@ def authority_trust_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _AUTHORITY = ("calls", "n", "k", "state")
-_AUTHORITY_ROUNDED = ("mean_return", "mean_relative", "recency_accuracy", "calibration", "accuracy", "wilson_low", "wilson_high", "bayes_mean", "score")
+_AUTHORITY_ROUNDED = ("mean_return", "median_return", "mean_relative", "recency_accuracy", "calibration", "accuracy", "wilson_low", "wilson_high", "bayes_mean", "score")
 _Z2 = "1.96 * 1.96"
 
 
@@ -248,7 +248,7 @@ def _wilson_sql(sign: str, none: int) -> str:
  o_orderstatus = 'F' AS hit, o_orderstatus IN ('F', 'O') AS directional, (o_totalprice - 250000) / 500000 AS ret, CASE WHEN o_orderkey % 3 = 0 THEN (o_totalprice - 250000) / 500000 - 0.05 END AS relative, CASE WHEN o_orderkey % 5 = 0 THEN (o_orderkey % 100) / 100.0::DOUBLE END AS confidence FROM orders),
 x AS (SELECT * FROM c UNION ALL SELECT * REPLACE ('*' AS set_key, '*' AS tier, '*' AS horizon) FROM c UNION ALL SELECT * REPLACE ('*' AS game, '*' AS language, '*' AS set_key, '*' AS tier, '*' AS horizon) FROM c),
 y AS (SELECT *, pow(0.5::DOUBLE, epoch(TIMESTAMP '{LONG_ASOF}' - ts) / 86400.0 / 180.0) AS w FROM x),
-a AS (SELECT forecaster, game, language, set_key, tier, horizon, count(*) AS calls, count(*) FILTER (WHERE directional) AS n, count(*) FILTER (WHERE hit) AS k, avg(ret) AS mean_return, avg(relative) AS mean_relative, sum(w * hit::INT) FILTER (WHERE directional) / sum(w) FILTER (WHERE directional) AS recency_accuracy, avg((confidence - hit::INT) ** 2) FILTER (WHERE directional AND confidence IS NOT NULL) AS calibration FROM y GROUP BY ALL),
+a AS (SELECT forecaster, game, language, set_key, tier, horizon, count(*) AS calls, count(*) FILTER (WHERE directional) AS n, count(*) FILTER (WHERE hit) AS k, avg(ret) AS mean_return, median(ret) AS median_return, avg(relative) AS mean_relative, sum(w * hit::INT) FILTER (WHERE directional) / sum(w) FILTER (WHERE directional) AS recency_accuracy, avg((confidence - hit::INT) ** 2) FILTER (WHERE directional AND confidence IS NOT NULL) AS calibration FROM y GROUP BY ALL),
 t AS (SELECT user_id AS forecaster, arg_max((props->>'$.k')::BIGINT % 10 = 0, (ts, event_id)) AS excluded FROM events WHERE event_type = 'error' GROUP BY 1),
 l AS (SELECT a.*, {_wilson_sql('-', 0)} AS low, {_wilson_sql('+', 1)} AS high, coalesce(excluded, false) AS excluded FROM a LEFT JOIN t ON t.forecaster = a.forecaster),
 s AS (SELECT *, CASE WHEN excluded THEN 'excluded' WHEN n < 5 THEN 'low_confidence' WHEN low < 0.35 AND n >= 8 THEN 'unreliable' WHEN n < 20 THEN 'developing' WHEN n >= 50 AND low >= 0.62 THEN 'trusted' WHEN low >= 0.5 THEN 'reliable' ELSE 'developing' END AS state,

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, instant, trailing
-from ..operators import pit, series
+from ..operators import pit, selection, series
+from ..session import materialised
 from ..sources.tables import claims, daily_trades, events, quotes, trades
 from .catalog import ASOF, DAILY, LONG_ASOF, QUOTES, TRADES, query
 
@@ -124,7 +125,8 @@ def series_trade_returns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TRADES}, g AS (SELECT instrument, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY instrument ORDER BY ts, id) AS gap FROM t) SELECT instrument, count(gap) AS n, median(gap) AS median_us FROM g WHERE gap IS NOT NULL GROUP BY instrument")
 def series_intersale_median(spark: SparkSession, sf: str) -> DataFrame:
-    return series.gaps(trades(spark, sf)).groupBy("instrument").agg(F.count("*").alias("n"), F.median("gap").alias("median_us"))
+    gaps = materialised(series.gaps(trades(spark, sf)))
+    return gaps.groupBy("instrument").agg(F.count("*").alias("n")).join(selection.group_medians(gaps, ["instrument"], "gap", "median_us"), "instrument")
 
 
 def _month(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +146,7 @@ def series_ema_30d(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {W30} SELECT instrument, round(median(price), 6) AS rolling_median FROM w GROUP BY instrument")
 def series_rolling_median_30d(spark: SparkSession, sf: str) -> DataFrame:
-    return _month(spark, sf).groupBy("instrument").agg(F.round(F.median("price"), 6).alias("rolling_median"))
+    return selection.group_medians(_month(spark, sf), ["instrument"], "price").select("instrument", F.round("median", 6).alias("rolling_median"))
 
 
 def _near_trades(rows: DataFrame, asof: Column) -> DataFrame:
