@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ladder
 from ..functions.times import DAY
-from .pit import asof_join, window_join, window_values
+from .pit import asof_join
+from .windows import window_extremes
 
 # Phrases of each direction, tried in this order.
 BULLISH = ("will go up", "going up", "i would buy", r"\bbuy\b", "undervalued", r"target\s*\$", "上がる", "買う")
@@ -83,8 +84,9 @@ def outcome(claims: DataFrame, trades: DataFrame, asof: Column) -> DataFrame:
     claims: id, instrument, at, direction, start_price, days, target_price. Later trades within the horizon are
     looked up by instrument and time; each claim keeps its row, equal ones as well."""
     end = F.col("at") + F.col("days").cast("long") * DAY
-    joined = window_join(claims, trades, "instrument", F.col("at"), end, 30 * DAY)
-    found = window_values(joined, claims.columns, [F.max_by("f_price", F.struct("f_at", "f_id")).alias("ending_price"), F.max("f_price").alias("_high"), F.min("f_price").alias("_low")])
+    held = claims.select(F.struct(*claims.columns).alias("_claim"), "instrument", F.col("at").alias("_from"), end.alias("_to"))  # so that no column of claims can clash
+    met = window_extremes(held, trades, "instrument", F.col("_from"), F.col("_to"))
+    found = met.select("_claim.*", F.col("last").alias("ending_price"), F.col("high").alias("_high"), F.col("low").alias("_low"))
     missing = F.col("instrument").isNull() | F.col("start_price").isNull() | F.col("days").isNull()
     status = ladder([(missing, "insufficient_data"), (end > asof, "pending"), (F.col("ending_price").isNull(), "missing_market_data")], "evaluated")
     done = F.col("status") == "evaluated"
@@ -98,9 +100,9 @@ def outcome(claims: DataFrame, trades: DataFrame, asof: Column) -> DataFrame:
 
 def early_score(claims: DataFrame, trades: DataFrame, days: int = 7) -> DataFrame:
     """claims with pre_move: from the first trade of the days before the claim to its start price, and early = ret - pre_move."""
-    joined = window_join(claims, trades, "instrument", F.col("at") - days * DAY, F.col("at"), days * DAY)
-    first = F.min_by("f_price", F.when(F.col("f_at").isNotNull(), F.struct("f_at", "f_id")))
-    found = window_values(joined, claims.columns, [first.alias("_first")])
+    held = claims.select(F.struct(*claims.columns).alias("_claim"), "instrument", F.col("at").alias("_to"))
+    met = window_extremes(held, trades, "instrument", F.col("_to") - days * DAY, F.col("_to"))
+    found = met.select("_claim.*", F.col("first").alias("_first"))
     pre = F.when(F.col("_first") > 0, (F.col("start_price") - F.col("_first")) / F.col("_first"))
     return found.withColumn("pre_move", pre).withColumn("early", F.col("ret") - F.col("pre_move")).drop("_first")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import authority_score, authority_weight, beta_mean, price_tier, shrink, trust_state, wilson_high, wilson_low
 from ..functions.times import DAY, instant, micros
 from ..operators import claims as claim_ops
-from ..operators import authority, forecast, indices, pit, scoring, series
+from ..operators import authority, forecast, indices, pit, scoring, series, windows
 from ..session import materialised
 from ..sources.tables import claims, daily_trades, events, quotes, table, trades
 from .catalog import ASOF, DAILY, LONG_ASOF, QUOTES, TRADES, query
@@ -416,9 +416,10 @@ def _evaluate(forecasts: DataFrame, spark: SparkSession, sf: str, days: int) ->
     """Forecasts (instrument, at, last_price, ...) against the unflagged trades of the days after their issue."""
     clean = series.outlier_flags(trades(spark, sf)).where("not outlier")
     keyed = forecasts.withColumn("id", F.xxhash64("instrument", "at"))
-    found = pit.forward_window(keyed, clean, "instrument", days * DAY, [F.max_by("f_price", F.struct("f_at", "f_id")).alias("_last"), F.max("f_price").alias("_peak"), F.min("f_price").alias("_low")])
-    c = F.col
-    return found.withColumns(forecast.evaluation(c("last_price"), c("_last"), c("_peak"), c("_low"), c("expected"), c("low"), c("high"), c("p_up")))
+    held = keyed.select(F.struct(*keyed.columns).alias("_f"), "instrument", F.col("at").alias("_at"))  # forecasts have a low and a high of their own
+    met = windows.window_extremes(held, clean, "instrument", F.col("_at"), F.col("_at") + days * DAY)
+    found, c = met.select("_f.*", F.col("last").alias("_last"), F.col("high").alias("_peak"), F.col("low").alias("_trough")), F.col
+    return found.withColumns(forecast.evaluation(c("last_price"), c("_last"), c("_peak"), c("_trough"), c("expected"), c("low"), c("high"), c("p_up")))
 
 
 def _evaluated_sql(name: str, asof: str) -> str:

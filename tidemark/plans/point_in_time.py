@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, instant, trailing
-from ..operators import pit, selection, series
+from ..operators import pit, selection, series, windows
 from ..session import materialised
 from ..sources.tables import claims, daily_trades, events, quotes, trades
 from .catalog import ASOF, DAILY, LONG_ASOF, QUOTES, TRADES, query
@@ -83,8 +83,9 @@ f AS (SELECT c.id, c.instrument, c.start_price, t.price / nullif(c.start_price,
 SELECT id, instrument, count(price) AS n, round(arg_max(r, (ts, tid)), 6) AS ret, round(greatest(max(r), 0), 6) AS mfe, round(least(min(r), 0), 6) AS mae FROM f GROUP BY id, instrument""")
 def pit_forward_window_mfe_mae(spark: SparkSession, sf: str) -> DataFrame:
     probes = events(spark, sf, "click").where(F.col("at") <= instant("2024-01-20 00:00:00")).select("id", "instrument", "at", F.col("price").alias("start_price"))
-    r = F.col("f_price") / F.nullif(F.col("start_price"), F.lit(0.0)) - 1
-    found = pit.forward_window(probes, trades(spark, sf), "instrument", 7 * DAY, [F.count("f_price").alias("n"), F.max_by(r, F.struct("f_at", "f_id")).alias("ret"), F.max(r).alias("high"), F.min(r).alias("low")])
+    met = windows.window_extremes(probes, trades(spark, sf), "instrument", F.col("at"), F.col("at") + 7 * DAY)
+    r = lambda c: F.col(c) / F.nullif(F.col("start_price"), F.lit(0.0)) - 1
+    found = met.select("id", "instrument", "n", r("last").alias("ret"), r("high").alias("high"), r("low").alias("low"))
     zero = lambda f, c: F.when(F.col(c).isNotNull(), f(F.col(c), F.lit(0.0))).otherwise(F.lit(0.0))
     return found.select("id", "instrument", "n", r6("ret"), F.round(zero(F.greatest, "high"), 6).alias("mfe"), F.round(zero(F.least, "low"), 6).alias("mae"))
 
