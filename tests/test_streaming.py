@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.streaming import arrivals
 from tidemark.streaming import ingest as streaming
 
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -42,3 +43,31 @@ def test_no_files_give_an_empty_table(spark, tmp_path):
     (tmp_path / "none").mkdir()
     out = streaming.run_to_table(streaming.month_meter(stream(spark, tmp_path / "none"), "user_id", "value"), "update", ["user_id", "month"], "quantity")
     assert out.count() == 0
+
+
+RECORD = "key string, seq long, id long, at long, price double, quantity long"
+
+
+def record_stream(spark, folder):
+    return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_outliers_in_order_of_arrival_over_batches_and_replays(spark, tmp_path):
+    """Later arrivals of earlier times count; a replay is flagged as before and not counted; a restart goes on with the state."""
+    day = 86_400_000_000
+    first = [("k", 1, 1, 10 * day, 40.0, 1), ("k", 2, 2, 11 * day, 42.0, 1), ("k", 3, 3, 9 * day, 41.0, 1), ("k", 4, 4, 12 * day, 400.0, 1), ("j", 5, 5, day, 1.0, 2000)]
+    second = [("k", 6, 4, 12 * day, 400.0, 1), ("k", 7, 6, 8 * day, 7.0, 1), ("k", 8, 7, 13 * day, None, None), ("z", 9, 8, day, 0.0, 1)]
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def run():
+        flags = arrivals.outlier_flags(record_stream(spark, folder), "key")
+        with arrivals.state_in_rocksdb(spark):
+            flags.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.id, r.median_before, r.outlier, r.reason) for r in spark.read.parquet(out).collect())
+
+    spark.createDataFrame(first, RECORD).coalesce(1).write.mode("append").parquet(str(folder))
+    expected = [(1, None, False, None), (2, None, False, None), (3, None, False, None), (4, 41.0, True, "outside_rolling_median"), (5, None, True, "extreme_quantity")]
+    assert run() == expected
+    spark.createDataFrame(second, RECORD).coalesce(1).write.mode("append").parquet(str(folder))
+    more = [(4, 41.0, True, "outside_rolling_median"), (6, 41.5, True, "outside_rolling_median"), (7, 41.0, False, None), (8, None, False, None)]
+    assert sorted(run(), key=repr) == sorted(expected + more, key=repr)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming import arrivals
 from ..streaming import ingest as streaming
 from .catalog import query
 
@@ -42,3 +43,15 @@ def stream_dedup_keys(spark: SparkSession, sf: str) -> DataFrame:
 def stream_month_meter(spark: SparkSession, sf: str) -> DataFrame:
     rows = _stream(spark, sf).where("event_type = 'signup'").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return streaming.run_to_table(streaming.month_meter(rows, "user_id", "k"), "update", ["user_id", "month"], "quantity")
+
+
+@query("""WITH t AS (SELECT event_id AS id, ts, user_id AS instrument, value AS price, (props->>'$.k')::BIGINT * 11 AS quantity, (event_id * 7919) % 100003 AS seq FROM events WHERE event_type = 'purchase'),
+m AS (SELECT t.*, (SELECT CASE WHEN count(price) >= 3 THEN median(price) END FROM (SELECT price FROM t p WHERE p.instrument = t.instrument AND p.seq < t.seq ORDER BY p.ts DESC, p.id DESC LIMIT 7)) AS m FROM t)
+SELECT id, round(m, 6) AS median_before, quantity > 1000 OR coalesce(m > 0 AND (price > m * 5 OR price < m * 0.2::DOUBLE), false) AS outlier, CASE WHEN quantity > 1000 THEN 'extreme_quantity' WHEN m > 0 AND (price > m * 5 OR price < m * 0.2::DOUBLE) THEN 'outside_rolling_median' END AS reason FROM m""")
+def stream_outlier_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases that arrive in another order than they were made, each flagged by what had arrived before it."""
+    c = F.col
+    rows = _stream(spark, sf).where("event_type = 'purchase'")
+    records = rows.select(c("user_id").alias("instrument"), (c("event_id") * 7919 % 100003).alias("seq"), c("event_id").alias("id"), F.unix_micros("ts").alias("at"), c("value").alias("price"), (F.get_json_object("props", "$.k").cast("long") * 11).alias("quantity"))
+    with arrivals.state_in_rocksdb(spark):
+        return streaming.run_to_table(arrivals.outlier_flags(records, "instrument"), "append").withColumn("median_before", F.round("median_before", 6))
