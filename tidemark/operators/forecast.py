@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import clamp
@@ -54,3 +56,27 @@ def evaluation(start: Column, last: Column, peak: Column, trough: Column, expect
         "brier": (p_up - (actual > 0).cast("int")) * (p_up - (actual > 0).cast("int")),
         "drawdown": F.when(top > 0, (top - actual) / (1 + top)).otherwise(F.abs(F.least(bottom, F.lit(0.0)))),
     }
+
+
+def after_calibration(dates: Sequence[str], end: str | None) -> list[str]:
+    """The issue dates that a backtest may use: those after the end of what the model was calibrated on."""
+    return [d for d in dates if end is None or d > end]
+
+
+def backtest_metrics(evaluated: DataFrame, by: str) -> DataFrame:
+    """One row per model: n, direction_accuracy, mae, rmse, range_coverage and mean_brier over its evaluated forecasts.
+
+    evaluated: by, expected, low, high, p_up and actual, none of them null. Sums alone, combined before the shuffle."""
+    error, up = F.col("actual") - F.col("expected"), F.col("actual") > 0
+    return evaluated.groupBy(by).agg(
+        F.count("*").alias("n"), F.avg(((F.col("p_up") >= 0.5) == up).cast("int")).alias("direction_accuracy"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
+        F.avg(F.col("actual").between(F.col("low"), F.col("high")).cast("int")).alias("range_coverage"), F.avg((F.col("p_up") - up.cast("int")) * (F.col("p_up") - up.cast("int"))).alias("mean_brier"),
+    )
+
+
+def calibration(evaluated: DataFrame, by: str, buckets: int = 5) -> DataFrame:
+    """by, bucket, n, mean_p and mean_y: stated probabilities and how often they came true, for every bucket of each model."""
+    bucket = F.least(F.floor(F.col("p_up") * buckets), F.lit(buckets - 1)).cast("int")
+    counted = evaluated.groupBy(by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("p_up").alias("mean_p"), F.avg((F.col("actual") > 0).cast("int")).alias("mean_y"))
+    every = counted.select(by).distinct().withColumn("bucket", F.explode(F.array(*[F.lit(i) for i in range(buckets)])))
+    return every.join(counted, [by, "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import authority_score, authority_weight, beta_mean, price_tier, shrink, trust_state, wilson_high, wilson_low
 from ..functions.times import DAY, instant, micros
 from ..operators import claims as claim_ops
-from ..operators import authority, forecast, indices, pit, scoring, series, windows
+from ..operators import authority, features, forecast, indices, pit, scoring, series, windows
 from ..session import materialised
 from ..sources.tables import claims, daily_trades, events, quotes, table, trades
 from .catalog import ASOF, DAILY, LONG_ASOF, QUOTES, TRADES, query
@@ -412,9 +412,9 @@ def _vector_at(asof: str) -> str:
     return _vector_sql(FLAGGED.replace(f"ts <= {A}", f"ts <= TIMESTAMP '{asof}'"), QUOTES, asof)
 
 
-def _evaluate(forecasts: DataFrame, spark: SparkSession, sf: str, days: int) -> DataFrame:
+def _evaluate(forecasts: DataFrame, flagged: DataFrame, days: int) -> DataFrame:
     """Forecasts (instrument, at, last_price, ...) against the unflagged trades of the days after their issue."""
-    clean = series.outlier_flags(trades(spark, sf)).where("not outlier")
+    clean = flagged.where("not outlier")
     keyed = forecasts.withColumn("id", F.xxhash64("instrument", "at"))
     held = keyed.select(F.struct(*keyed.columns).alias("_f"), "instrument", F.col("at").alias("_at"))  # forecasts have a low and a high of their own
     met = windows.window_extremes(held, clean, "instrument", F.col("_at"), F.col("_at") + days * DAY)
@@ -429,7 +429,7 @@ def _evaluated_sql(name: str, asof: str) -> str:
 @query(f"WITH {_forecast_sql(_vector_at(_ISSUED), '7')}, {_evaluated_sql('a', _ISSUED)} SELECT instrument, round(actual, 5) AS actual, round(actual - expected, 5) AS error, (p_up >= 0.5) = (actual > 0) AS direction_correct, actual BETWEEN low AND high AS range_hit, round((p_up - (actual > 0)::INT) ** 2, 5) AS brier, round(CASE WHEN top > 0 THEN (top - actual) / (1 + top) WHEN bottom IS NOT NULL THEN abs(least(bottom, 0)) ELSE 0 END, 5) AS drawdown FROM e_a")
 def forecast_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     issued = _model(_features_at(spark, sf, _ISSUED), 7).withColumn("at", instant(_ISSUED))
-    return _evaluate(issued, spark, sf, 7).select("instrument", *[F.round(x, 5).alias(x) for x in ("actual", "error")], "direction_correct", "range_hit", F.round("brier", 5).alias("brier"), F.round("drawdown", 5).alias("drawdown"))
+    return _evaluate(issued, series.outlier_flags(trades(spark, sf)), 7).select("instrument", *[F.round(x, 5).alias(x) for x in ("actual", "error")], "direction_correct", "range_hit", F.round("brier", 5).alias("brier"), F.round("drawdown", 5).alias("drawdown"))
 
 
 WALK = ("2024-01-12 00:00:00", "2024-01-16 00:00:00", "2024-01-20 00:00:00")
@@ -445,9 +445,51 @@ def _walk_sql() -> str:
 @query(_walk_sql())
 def forecast_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     """Issue at each date, evaluate a week later, and report by date."""
-    issued = None
+    flagged, issued = materialised(series.outlier_flags(trades(spark, sf))), None
     for d in WALK:
-        rows = _model(_features_at(spark, sf, d), 7).withColumns({"at": instant(d), "issued": F.lit(d[:10])})
+        rows = _model(features.feature_vector(flagged, quotes(spark, sf), instant(d)), 7).withColumns({"at": instant(d), "issued": F.lit(d[:10])})
         issued = rows if issued is None else issued.unionByName(rows)
     c = F.col
-    return _evaluate(issued, spark, sf, 7).groupBy("issued").agg(F.count("actual").alias("n"), F.round(F.avg(F.abs("error")), 5).alias("mae"), F.round(F.avg(c("direction_correct").cast("int")), 5).alias("direction"), F.round(F.avg(c("range_hit").cast("int")), 5).alias("coverage"), F.round(F.avg("brier"), 5).alias("brier"))
+    return _evaluate(issued, flagged, 7).groupBy("issued").agg(F.count("actual").alias("n"), F.round(F.avg(F.abs("error")), 5).alias("mae"), F.round(F.avg(c("direction_correct").cast("int")), 5).alias("direction"), F.round(F.avg(c("range_hit").cast("int")), 5).alias("coverage"), F.round(F.avg("brier"), 5).alias("brier"))
+
+
+_CALIBRATED_UNTIL = WALK[0]
+
+
+def _backtest_sql() -> str:
+    """Every model's forecasts of the dates after calibration, with what came of them."""
+    logistic = "CASE WHEN {0} IS NULL THEN 0.5 ELSE least(greatest(1 / (1 + exp(-({0}) / 0.08)), 0.05), 0.95) END"
+    parts = []
+    for d in WALK:
+        if d > _CALIBRATED_UNTIL:
+            parts.append(f"""SELECT '{d[:10]}' AS issued, model, m.expected, m.low, m.high, m.p_up, actual FROM (WITH {_forecast_sql(_vector_at(d), '7')}, {_evaluated_sql('w', d)},
+mm AS (SELECT instrument, 'stats' AS model, expected, low, high, p_up FROM fc UNION ALL SELECT instrument, 'no_change', 0.0, -0.05, 0.05, 0.5 FROM fc UNION ALL SELECT instrument, 'momentum', x, x - w, x + w, {logistic.format('x')} FROM (SELECT instrument, ret_7d AS x, coalesce(volatility, 0.12) * 1.5 * sqrt(7 / 30.0) AS w FROM v))
+SELECT mm.*, e_w.actual FROM mm JOIN e_w USING (instrument)) m""")
+    return f"b AS ({' UNION ALL '.join(parts)}), z AS (SELECT * FROM b WHERE actual IS NOT NULL AND expected IS NOT NULL)"
+
+
+def _backtest(spark: SparkSession, sf: str) -> DataFrame:
+    flagged, c, days = materialised(series.outlier_flags(trades(spark, sf))), F.col, F.lit(7.0)
+    issued = None
+    for d in forecast.after_calibration(WALK, _CALIBRATED_UNTIL):
+        rows = features.feature_vector(flagged, quotes(spark, sf), instant(d))
+        made = {"stats": forecast.stats_baseline(days, c("ret_30d"), c("ret_7d"), c("volatility"), c("n"), c("quality"), c("last_price")), "no_change": forecast.no_change(c("quality"), c("last_price")), "momentum": forecast.momentum(days, c("ret_7d"), c("volatility"), c("n"), c("quality"), c("last_price"))}
+        models = F.array(*[F.struct(F.lit(m).alias("model"), *[x[k].cast("double").alias(k) for k in ("expected", "low", "high", "p_up")]) for m, x in made.items()])
+        part = rows.select("instrument", "last_price", instant(d).alias("at"), F.lit(d[:10]).alias("issued"), models.alias("models"))
+        issued = part if issued is None else issued.unionByName(part)
+    # a window is looked up once for all models
+    opened = issued.withColumns({k: F.lit(None).cast("double") for k in ("expected", "low", "high", "p_up")})
+    met = _evaluate(opened, flagged, 7).select("instrument", "issued", "actual", F.explode("models").alias("m")).select("instrument", "issued", "actual", "m.*")
+    return met.where("actual is not null and expected is not null")
+
+
+@query(f"WITH {_backtest_sql()} SELECT model, count(*) AS n, round(avg(((p_up >= 0.5) = (actual > 0))::INT), 5) AS direction_accuracy, round(avg(abs(actual - expected)), 5) AS mae, round(sqrt(avg((actual - expected) ** 2)), 5) AS rmse, round(avg((actual BETWEEN low AND high)::INT), 5) AS range_coverage, round(avg((p_up - (actual > 0)::INT) ** 2), 5) AS mean_brier FROM z GROUP BY model")
+def forecast_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """The model and its baselines over the dates after the calibration's end."""
+    return forecast.backtest_metrics(_backtest(spark, sf), "model").select("model", "n", *[F.round(x, 5).alias(x) for x in ("direction_accuracy", "mae", "rmse", "range_coverage", "mean_brier")])
+
+
+@query(f"WITH {_backtest_sql()}, k AS (SELECT *, least(floor(p_up * 5), 4)::INT AS bucket FROM z) SELECT m.model, r.bucket::INT AS bucket, count(k.p_up) AS n, round(avg(k.p_up), 5) AS mean_p, round(avg((k.actual > 0)::INT), 5) AS mean_y FROM (SELECT DISTINCT model FROM z) m CROSS JOIN range(5) r(bucket) LEFT JOIN k ON k.model = m.model AND k.bucket = r.bucket GROUP BY ALL")
+def forecast_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """How often prices rose where a model gave a probability, in five buckets; empty ones are shown."""
+    return forecast.calibration(_backtest(spark, sf), "model").select("model", "bucket", "n", F.round("mean_p", 5).alias("mean_p"), F.round("mean_y", 5).alias("mean_y"))
