@@ -20,8 +20,17 @@ SUBSCRIPTION = ("trialing", "active", "past_due", "canceled", "incomplete", "unp
 PRESET_DAYS = {"24h": 1, "7d": 7, "30d": 30, "90d": 90, "1y": 365}
 
 
+#: Where a run of ASCII letters, digits and underscores begins or ends.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with \\b between ASCII words and all else, accented letters included, as most engines have it; Java's takes those for word characters."""
+    return pattern.replace(r"\b", EDGE)
+
+
 def _first_token(text: Column, tokens: tuple[tuple[str, str], ...]) -> Column:
-    return ladder([(text.rlike(rf"(?i)\b{p}\b"), code) for p, code in tokens], None)
+    return ladder([(text.rlike(ascii_edges(rf"(?i)\b{p}\b")), code) for p, code in tokens], None)
 
 
 def language(text: Column) -> Column:
@@ -33,7 +42,7 @@ def variant(text: Column) -> Column:
 
 
 def collector_number(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, COLLECTOR, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, ascii_edges(COLLECTOR), 1), F.lit(""))
 
 
 def explicit_or(explicit: Column, inferred: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.records import ascii_edges
 from ..functions.stats import ladder
 from ..functions.times import DAY
 from .pit import asof_join
@@ -39,13 +40,13 @@ def any_of(phrases: tuple[str, ...]) -> str:
 
 def direction(text: Column) -> Column:
     """Direction of the first list with a hit; null for what is no claim."""
-    hit = lambda phrases: text.rlike(any_of(phrases))
+    hit = lambda phrases: text.rlike(ascii_edges(any_of(phrases)))
     found = ladder([(hit(BULLISH), "bullish"), (hit(BEARISH), "bearish"), (hit(AVOID), "avoid"), (hit(WATCH), "watch")], None)
     return F.when(~hit(NON_CLAIM), found)
 
 
 def horizon(text: Column) -> Column:
-    return ladder([(text.rlike("(?i)" + p), code) for code, p in HORIZONS.items()], "unspecified")
+    return ladder([(text.rlike(ascii_edges("(?i)" + p)), code) for code, p in HORIZONS.items()], "unspecified")
 
 
 #: Days of the longest horizon that is taken for one.
@@ -54,14 +55,14 @@ MOST_DAYS = 3650
 
 def horizon_days(text: Column, code: Column) -> Column:
     """Days of a horizon code; of a custom one, the number in the text, else two weeks. Null for a number beyond MOST_DAYS, however long it is."""
-    number = F.regexp_extract(text, DAYS, 1)
+    number = F.regexp_extract(text, ascii_edges(DAYS), 1)
     days = F.when(F.length(F.ltrim(number, F.lit("0"))) <= 9, number.try_cast("int"))
     custom = F.when(number != "", F.when(days <= MOST_DAYS, days)).when(text.rlike(TWO_WEEKS), 14)
     return F.when(code == "custom", custom).when(code != "unspecified", F.regexp_extract(code, CODE_DAYS, 1).try_cast("int"))
 
 
 def _number(text: Column, pattern: str) -> Column:
-    found = F.regexp_extract(text, pattern, 1)
+    found = F.regexp_extract(text, ascii_edges(pattern), 1)
     return F.when(found != "", found.try_cast("double"))
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import records
 from ..functions.times import instant, micros
 from ..operators import claims as claim_ops
-from ..operators import ingest, relational
+from ..operators import ingest, relational, signals
 from ..sources import fixtures
 from ..sources.tables import claims, events, table
 from .catalog import ASOF, query
@@ -30,6 +31,30 @@ def text_infer_signals(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", records.explicit_or(F.col("given"), records.language(text)).alias("language"), records.variant(text).alias("variant"), records.collector_number(text).alias("collector"))
 
 
+_SETS_SQL = "sets AS (SELECT row_number() OVER (ORDER BY b) AS place, lower(replace(b, 'Brand#', 'bd')) AS key, b AS name FROM (SELECT DISTINCT p_brand AS b FROM part))"
+_SAID_SQL = "said AS (SELECT 1000 + 100 * conv_id + turn AS id, coalesce(text, '') || CASE conv_id % 4 WHEN 0 THEN ' Japanese bRAND#' || (conv_id % 25 + 1) || ' Falcon 214/167 reverse holo' WHEN 1 THEN ' BD' || (conv_id % 25 + 1) || ' promo jp xbd2' ELSE '' END AS text FROM conversations UNION ALL SELECT -doc_id - 1, text FROM documents)"
+_VARIANT_WORDS = "|".join(p for p, _ in records.VARIANT_TOKENS if "edition" not in p)
+
+
+@query(rf"""WITH {_SETS_SQL}, {_SAID_SQL}, hit AS (SELECT id, text, list({{'p': place, 'k': key, 'n': name}} ORDER BY place) FILTER (WHERE place IS NOT NULL) AS hits FROM said LEFT JOIN sets ON contains(lower(text), lower(name)) OR contains(lower(text), key) GROUP BY ALL),
+a AS (SELECT id, hits, regexp_replace(text, '{records.COLLECTOR}', ' ') AS t0 FROM hit),
+b AS (SELECT id, hits, CASE WHEN hits IS NULL THEN t0 ELSE list_reduce(list_prepend({{'p': 0::BIGINT, 'k': '', 'n': t0}}, hits), lambda x, y: {{'p': 0::BIGINT, 'k': '', 'n': regexp_replace(regexp_replace(x.n, '(?i)' || y.n, ' ', 'g'), '(?i)\b' || y.k || '\b', ' ', 'g')}}).n END AS t1 FROM a)
+SELECT id, hits[1].k AS set_key, coalesce(len(hits), 0) AS n_sets, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t1, '{signals.LANGUAGE_WORDS}', ' ', 'g'), '{signals.LANGUAGE_SIGNS}', ' ', 'g'), '(?i)\b({_VARIANT_WORDS})\b', ' ', 'g'), '\s+', ' ', 'g'))) AS residual_sha256 FROM b""")
+def text_sets_and_residual(spark: SparkSession, sf: str) -> DataFrame:
+    """The sets (brands of parts) named in all conversations and documents, and a digest of what is left of each text."""
+    c = F.col
+    brands = table(spark, sf, "part").select(c("p_brand").alias("name")).distinct()
+    place = F.row_number().over(W.orderBy("name")).cast("long")  # a catalog's sets: a bounded dimension
+    sets = brands.select(place.alias("place"), F.lower(F.replace("name", F.lit("Brand#"), F.lit("bd"))).alias("set_key"), "name")
+    i = c("conv_id")
+    number = (i % 25 + 1).cast("string")
+    planted = F.when(i % 4 == 0, F.concat(F.lit(" Japanese bRAND#"), number, F.lit(" Falcon 214/167 reverse holo"))).when(i % 4 == 1, F.concat(F.lit(" BD"), number, F.lit(" promo jp xbd2"))).otherwise("")
+    said = table(spark, sf, "conversations").select((1000 + 100 * i + c("turn")).alias("id"), F.concat(F.coalesce("text", F.lit("")), planted).alias("text"))
+    said = said.unionByName(table(spark, sf, "documents").select((-c("doc_id") - 1).alias("id"), "text"))
+    found = signals.sets_in_texts(said, sets)
+    return found.select("id", F.get("sets", F.lit(0))["set_key"].alias("set_key"), F.size("sets").cast("long").alias("n_sets"), F.sha2(signals.residual_name(c("text"), c("sets")), 256).alias("residual_sha256"))
+
+
 _MT = "CASE l_returnflag WHEN 'N' THEN 'marketplace_listing' WHEN 'R' THEN 'market_price' ELSE CASE WHEN l_linestatus = 'F' THEN 'marketplace_sold' ELSE 'other' END END"
 
 
