@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys, stats
 from tidemark.functions.times import DAY
-from tidemark.operators import accounts, claims, features, indices, ingest, pit, relational, resolve, scoring, series
+from tidemark.operators import accounts, claims, content, features, indices, ingest, pit, relational, resolve, scoring, series
 from tidemark.plans import point_in_time
 from tidemark.streaming import ingest as streaming
 
@@ -224,3 +224,24 @@ def test_states_of_replayed_records(spark):
 def test_a_median_of_zero_flags_nothing(spark):
     rows = spark.createDataFrame([(i, i, 1, p) for i, p in enumerate([0.0, 0.0, 0.0, 5.0])], "id long, at long, instrument int, price double")
     assert not any(r.outlier for r in series.outlier_flags(rows).collect())
+
+
+def test_drafts_are_checked_against_their_own_evidence(spark):
+    source = "array<struct<type:string,id:string>>"
+    evidence = spark.createDataFrame([(1, "en", "en", "k-en-1", False, False, [("a", "s1"), ("b", "s2")]), (2, "ja", "en", "k-en-2", False, True, [("a", "s3")]), (3, None, None, None, None, False, [])], f"evidence int, language string, identity_language string, identity_key string, comparative boolean, thin boolean, sources {source}")
+    rows = [(10, 1, "email", "v1", "x" * 120, "<p>"), (11, 1, "card_analysis", " ", "x" * 399, "<p><script>"), (12, 2, "email", "v1", "short", None), (13, 3, "email", "v1", None, "<p>"), (14, 9, "email", "v1", "x", "<p>")]
+    drafts = spark.createDataFrame(rows, "draft int, evidence int, output_type string, generator_version string, body_text string, body_html string")
+    claims_ = spark.createDataFrame([(10, "a", "s1"), (10, "b", "s2"), (11, "b", "s3"), (11, "a", None), (12, "a", "s3"), (77, "a", "s1")], "draft int, claim_key string, source_id string")
+    got = {r.draft: (r.failures, r.passed) for r in content.draft_failures(drafts, claims_, evidence).collect()}
+    assert got == {
+        10: ([], True), 11: (["model_version_missing", "min_substance", "unresolved_claim:a", "unresolved_claim:b", "unsafe_html", "min_substance"], False), 12: (["stub_too_short", "language_mismatch", "cross_language_merge"], False),
+        13: (["min_substance", "numeric_claims_missing"], False), 14: (["evidence_missing"], False),
+    }
+
+
+def test_a_text_of_a_long_number_ends_no_job(spark):
+    texts = ["buy, hold 99999999999 days", "hold 45 days", "hold 0000000045 days", "hold 4000 days", "target $" + "9" * 400, "two weeks, " + "1" * 80 + "% sure"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    text = F.col("text")
+    got = rows.select(claims.horizon_days(text, claims.horizon(text)).alias("d"), claims.target_price(text).alias("p"), claims.stated_confidence(text).alias("c")).collect()
+    assert [r.d for r in got] == [None, 45, 45, None, None, None]

@@ -63,6 +63,11 @@ def level(members: DataFrame) -> DataFrame:
     return found.select("index_key", "members", "priced", F.when(F.col("priced") > 0, 100 * F.col("_r") / F.col("_w")).otherwise(100.0).alias("level"), coverage.alias("coverage"), quality.alias("quality"))
 
 
+def inception(memberships: DataFrame) -> DataFrame:
+    """index_key, inception (the first effective_from of any member) and instruments, the number of members over all time."""
+    return memberships.groupBy("index_key").agg(F.min("effective_from").alias("inception"), F.countDistinct("instrument").alias("instruments"))
+
+
 def first_match(rows: DataFrame, candidates: DataFrame, key: str, rank: str = "prio", tie: str = "index_key") -> DataFrame:
     """rows with the best of their candidates by rank and tie; rows without any stay, with nulls."""
     best = candidates.groupBy(key).agg(F.min_by(F.struct(tie, rank), F.struct(rank, tie)).alias("_b"))

@@ -62,10 +62,10 @@ def agg_exact_medians(spark: SparkSession, sf: str) -> DataFrame:
 CLICKS = "c AS (SELECT event_id AS id, ts, user_id AS instrument, value, (props->>'$.k')::BIGINT AS k FROM events WHERE event_type = 'click')"
 
 
-@query(f"WITH {CLICKS} SELECT instrument, count(*) AS mentions, count(DISTINCT k) AS contents, round(count(*) / 7.0, 6) AS per_day FROM c WHERE {_in(7)} GROUP BY instrument")
+@query(f"WITH {CLICKS} SELECT instrument, count(*) AS mentions, count(DISTINCT k) AS contents, count(DISTINCT CASE WHEN k % 6 <> 0 THEN k % 10 END) AS accounts, round(count(*) / 7.0, 6) AS per_day FROM c WHERE {_in(7)} GROUP BY instrument")
 def agg_mention_velocity(spark: SparkSession, sf: str) -> DataFrame:
     seen = events(spark, sf, "click").where(trailing(F.col("at"), instant(ASOF), 7))
-    return seen.groupBy("instrument").agg(F.count("*").alias("mentions"), F.countDistinct("k").alias("contents"), F.round(F.count("*") / 7.0, 6).alias("per_day"))
+    return seen.groupBy("instrument").agg(F.count("*").alias("mentions"), F.countDistinct("k").alias("contents"), F.countDistinct(F.when(F.col("k") % 6 != 0, F.col("k") % 10)).alias("accounts"), F.round(F.count("*") / 7.0, 6).alias("per_day"))
 
 
 @query(f"""WITH {CLICKS}, r AS (SELECT * FROM c WHERE {_in(7)}), e AS (SELECT (props->>'$.k')::BIGINT AS k, value FROM events WHERE event_type = 'view' AND {_in(7)})

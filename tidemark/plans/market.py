@@ -91,6 +91,12 @@ def index_rebalance_timeline(spark: SparkSession, sf: str) -> DataFrame:
     return _timeline(spark, sf)
 
 
+@query(f"{_TIMELINE_SQL} SELECT index_key, epoch_us(min(f)) AS inception, count(DISTINCT instrument) AS instruments FROM timeline GROUP BY 1")
+def index_inception(spark: SparkSession, sf: str) -> DataFrame:
+    """When each index had its first member, and how many instruments it has held."""
+    return indices.inception(_timeline(spark, sf))
+
+
 def _level_sql(asof: str, n: str) -> str:
     return f"""lm_{n} AS (SELECT index_key, weight, b.price AS base, c.price AS cur FROM timeline t ASOF LEFT JOIN l b ON t.instrument = b.instrument AND t.f >= b.ts LEFT JOIN (SELECT instrument, arg_max(price, ts) AS price FROM l WHERE ts <= TIMESTAMP '{asof}' GROUP BY 1) c ON c.instrument = t.instrument WHERE t.f <= TIMESTAMP '{asof}' AND (t.e IS NULL OR t.e > TIMESTAMP '{asof}')),
 lv_{n} AS (SELECT index_key, count(*) AS members, count(*) FILTER (WHERE base > 0 AND cur IS NOT NULL) AS priced, coalesce(100 * sum(weight * cur / base) FILTER (WHERE base > 0 AND cur IS NOT NULL) / sum(weight) FILTER (WHERE base > 0 AND cur IS NOT NULL), 100) AS level FROM lm_{n} GROUP BY 1)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import records
 from ..functions.times import instant, micros
 from ..operators import claims as claim_ops
-from ..operators import ingest, relational, signals
+from ..operators import accounts, content, ingest, relational, signals
 from ..sources import fixtures
 from ..sources.tables import claims, events, table
 from .catalog import ASOF, query
@@ -266,3 +266,56 @@ def filter_visibility(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that are published, to tenants who are entitled and have the feature on."""
     tenants = table(spark, sf, "customer").where(F.col("c_mktsegment").isin("BUILDING", "FURNITURE") & (F.col("c_acctbal") > 0)).select(F.col("c_custkey").alias("forecaster"))
     return claims(spark, sf).where("status = 'F'").join(tenants, "forecaster", "left_semi").select("id")
+
+
+_EVIDENCE_SQL = f"""s AS (SELECT user_id AS instrument, arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS sold, arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type = 'view' AND (props->>'$.k')::BIGINT > 40) AS score, count(*) FILTER (WHERE event_type = 'purchase') AS n FROM events WHERE ts <= {A} GROUP BY 1),
+k AS (SELECT instrument, list('creator_call:' || id ORDER BY r) AS calls FROM (SELECT user_id AS instrument, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'click' AND ts <= {A} AND value > 60) WHERE r <= 3 GROUP BY 1),
+ev AS (SELECT instrument, n, sold, score, list_concat(list_filter(['market_snapshot:' || sold, 'score_snapshot:' || score, CASE WHEN n >= 9 THEN 'feature_snapshot:f' || instrument END], lambda x: x IS NOT NULL), coalesce(calls, [])) AS sources FROM s LEFT JOIN k USING (instrument)),
+e AS (SELECT *, n < 5 OR (sold IS NULL AND score IS NULL) OR len(sources) < 2 OR (n >= 9)::INT + (score IS NOT NULL)::INT < 1 AS thin, CASE WHEN instrument % 7 = 0 THEN 'ja' ELSE 'en' END AS language, CASE WHEN instrument % 11 <> 0 THEN 'en' END AS identity_language, CASE WHEN instrument % 5 <> 0 THEN 'pk-en-' || instrument END AS identity_key, instrument % 13 = 0 AS comparative FROM ev)"""
+
+
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    c, rows = F.col, events(spark, sf).where(F.col("at") <= instant(ASOF))
+    newest = lambda where: F.max_by("id", F.when(where, F.struct("at", "id")))
+    sold = c("event_type") == "purchase"
+    found = rows.groupBy("instrument").agg(newest(sold).alias("sold"), newest((c("event_type") == "view") & (c("k") > 40)).alias("score"), F.count_if(sold).alias("n"))
+    calls = content.newest_calls(rows.where("event_type = 'click' and price > 60"), "instrument")
+    found = found.join(calls, "instrument", "left")
+    i = c("instrument")
+    found = found.withColumn("sources", content.sources({"market_snapshot": c("sold"), "score_snapshot": c("score"), "feature_snapshot": F.when(c("n") >= 9, F.concat(F.lit("f"), i))}, c("calls")))
+    signals_ = (c("n") >= 9).cast("int") + c("score").isNotNull().cast("int")
+    thin = accounts.thin_evidence(F.lit(True), c("sold").isNotNull(), c("score").isNotNull(), F.when(c("n") < 5, "insufficient_data").otherwise("buy"), F.size("sources"), signals_, F.lit(1), 2, 1)
+    return found.select("instrument", "sources", thin.alias("thin"), F.when(i % 7 == 0, "ja").otherwise("en").alias("language"), F.when(i % 11 != 0, "en").alias("identity_language"), F.when(i % 5 != 0, F.concat(F.lit("pk-en-"), i)).alias("identity_key"), (i % 13 == 0).alias("comparative"))
+
+
+@query(f"WITH {_EVIDENCE_SQL} SELECT instrument, array_to_string(sources, ',') AS sources, thin FROM e")
+def content_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """What may be written about each instrument: its newest snapshots and its three newest calls as one list."""
+    shown = F.array_join(F.transform("sources", lambda s: F.concat(s["type"], F.lit(":"), s["id"])), ",")
+    return _evidence(spark, sf).select("instrument", shown.alias("sources"), "thin")
+
+
+_KINDS = tuple(content.LEAST_CHARS)
+
+
+@query(f"""WITH {_EVIDENCE_SQL}, kinds AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', {n})" for i, (k, n) in enumerate(content.LEAST_CHARS.items()))}) v(i, output_type, least)),
+d AS (SELECT doc_id AS draft, doc_id % 160 AS instrument, output_type, least, CASE WHEN doc_id % 23 = 0 THEN ' ' ELSE 'v1' END AS version, coalesce(text, '') AS body, doc_id % 17 = 0 AS script FROM documents JOIN kinds ON i = doc_id % 9),
+c AS (SELECT draft, 'c' || j AS key, CASE WHEN draft % 5 = 0 AND j = 1 THEN 'none' WHEN j = 2 THEN (e.score)::VARCHAR ELSE e.sold::VARCHAR END AS source, e.sources FROM d JOIN e USING (instrument), range(3) r(j) WHERE j < draft % 4),
+u AS (SELECT draft, count(*) AS n, list('unresolved_claim:' || key ORDER BY key) FILTER (WHERE source IS NULL OR NOT list_contains(list_transform(sources, lambda x: split_part(x, ':', 2)), source)) AS bad FROM c GROUP BY draft)
+SELECT draft, array_to_string(CASE WHEN e.instrument IS NULL THEN ['evidence_missing'] ELSE list_concat(list_filter([CASE WHEN trim(version) = '' THEN 'model_version_missing' END, CASE WHEN NOT thin AND length(body) < least THEN 'min_substance' END, CASE WHEN thin AND length(body) < 40 THEN 'stub_too_short' END, CASE WHEN identity_language IS NOT NULL AND identity_language <> language THEN 'language_mismatch' END,
+ CASE WHEN NOT comparative AND identity_key IS NOT NULL AND NOT contains(identity_key, language) THEN 'cross_language_merge' END], lambda x: x IS NOT NULL), coalesce(u.bad, []), list_filter([CASE WHEN NOT thin AND coalesce(u.n, 0) = 0 THEN 'numeric_claims_missing' END, CASE WHEN script THEN 'unsafe_html' END, CASE WHEN NOT thin AND output_type = 'card_analysis' AND length(body) < 400 THEN 'min_substance' END], lambda x: x IS NOT NULL)) END, ',') AS failures
+FROM d LEFT JOIN e USING (instrument) LEFT JOIN u USING (draft)""")
+def content_draft_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as drafts about instruments, with claims of which some name no source of their evidence."""
+    c = F.col
+    found = _evidence(spark, sf).withColumnRenamed("instrument", "evidence")
+    i = c("doc_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (i % 9 + 1).cast("int"))
+    drafts = table(spark, sf, "documents").select(i.alias("draft"), (i % 160).alias("evidence"), kind.alias("output_type"), F.when(i % 23 == 0, " ").otherwise("v1").alias("generator_version"), c("text").alias("body_text"), F.when(i % 17 == 0, F.concat(F.lit("<p><script"), i)).otherwise("<p>").alias("body_html"))
+    of = lambda kind: F.get(F.filter("sources", lambda s: s["type"] == kind), F.lit(0))["id"]
+    known = found.select("evidence", of("market_snapshot").alias("sold"), of("score_snapshot").alias("score"))
+    j = c("j")
+    claims = drafts.select("draft", "evidence").join(known, "evidence").withColumn("j", F.explode(F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda x: x < c("draft") % 4)))
+    source = F.when((c("draft") % 5 == 0) & (j == 1), "none").when(j == 2, c("score")).otherwise(c("sold"))
+    claims = claims.select("draft", F.concat(F.lit("c"), j).alias("claim_key"), source.alias("source_id"))
+    return content.draft_failures(drafts, claims, found).select("draft", F.array_join("failures", ",").alias("failures"))
