@@ -36,7 +36,7 @@ GRAM = 16
 TAIL = 57
 TIER = 16
 #: Bytes of text for which the arrays of one step are made.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
