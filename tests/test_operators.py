@@ -245,3 +245,32 @@ def test_a_text_of_a_long_number_ends_no_job(spark):
     text = F.col("text")
     got = rows.select(claims.horizon_days(text, claims.horizon(text)).alias("d"), claims.target_price(text).alias("p"), claims.stated_confidence(text).alias("c")).collect()
     assert [r.d for r in got] == [None, 45, 45, None, None, None]
+
+
+def test_a_mention_meets_groups_of_entries_and_not_each(spark):
+    """What mentions meet doesn't grow with entries that they can't tell apart; pools still count every entry, and ids still name their own."""
+    entry = "target int, concept string, names array<string>, game string, set_key string, number int, language string, variant string, rarity string, finish string, promo boolean, external string"
+    same = [(i, "ring", ["red ring"], "g", "s", i % 40, "en", "normal", "rare", "matte" if i % 2 else "gloss", False, f"x{i}") for i in range(400)]
+    catalog = spark.createDataFrame([*same, (400, "ring", ["red ring"], "g", None, 7, "en", "normal", None, None, None, None), (401, None, ["bolt"], None, "s", 1, None, None, None, None, None, "x401")], entry)
+    none = {k: None for k in ("name", "external", "content_language", "context", *resolve.HARD, *resolve.SOFT)}
+    given = [{"name": "red rng", "set_key": "s"}, {"name": "red rng", "number": 7, "game": "g"}, {"set_key": "s", "language": "en", "external": "x9"}, {"name": "red rng", "set_key": "s", "number": 7, "finish": "matte"}, {"set_key": "s", "number": 1}]
+    mentions = spark.createDataFrame([{"id": i, **none, **g} for i, g in enumerate(given)], "id int, name string, external string, content_language string, context boolean, game string, set_key string, number int, language string, variant string, rarity string, finish string, promo boolean")
+    assert resolve._met(mentions, catalog).count() <= 20
+    got = {r["id"]: (r.status, r.target, r.concept, r.pool) for r in resolve.statuses(mentions, catalog).collect()}
+    assert got == {0: ("ambiguous", None, "ring", 400), 1: ("probable", None, "ring", 11), 2: ("exact", 9, "ring", 400), 3: ("ambiguous", None, "ring", 10), 4: ("ambiguous", None, None, 11)}
+
+
+def test_equal_names_of_a_block_are_compared_once(spark):
+    """Ranks over many equal candidates, against all pairs: by score, ties by target, nulls nowhere."""
+    names = ["red ring", "red rang", "ring red", "blue bolt", None]
+    rows = [(i, i % 2, names[i % 5]) for i in range(150)]
+    catalog = spark.createDataFrame(rows, "target int, block int, candidate string")
+    mentions = spark.createDataFrame([*rows, (900, None, "red ring")], "id int, block int, name string")
+    pairs = mentions.join(catalog, "block").withColumn("score", resolve.name_similarity(F.col("name"), F.col("candidate"))).where("score >= 0.5").collect()
+    expected = set()
+    for i in {p["id"] for p in pairs}:
+        best = sorted((-p.score, p.target) for p in pairs if p["id"] == i)[:12]
+        expected |= {(i, t, -s, r) for r, (s, t) in enumerate(best, 1)}
+    found = resolve.fuzzy_candidates(mentions, catalog, ["block"], "target")
+    assert {tuple(r) for r in found.collect()} == expected
+    assert len(expected) == 120 * 12

@@ -58,9 +58,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, target)
 def _fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part")
     wrong = F.when(F.col("p_partkey") % 3 == 0, "a").otherwise("e")
-    mentions = parts.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("_b"), F.col("p_type").alias("_t"), F.col("p_size").alias("_s"), F.replace(F.col("p_name"), F.lit("e"), wrong).alias("name"))
-    catalog = parts.select(F.col("p_partkey").alias("target"), "p_brand", "p_type", "p_size", F.col("p_name").alias("candidate"))
-    block = (F.col("_b") == F.col("p_brand")) & (F.col("_t") == F.col("p_type")) & (F.col("_s") == F.col("p_size"))
+    block = ["p_brand", "p_type", "p_size"]
+    mentions = parts.select(F.col("p_partkey").alias("id"), *block, F.replace(F.col("p_name"), F.lit("e"), wrong).alias("name"))
+    catalog = parts.select(F.col("p_partkey").alias("target"), *block, F.col("p_name").alias("candidate"))
     return resolve.fuzzy_candidates(mentions, catalog, block, "target")
 
 
