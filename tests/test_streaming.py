@@ -71,3 +71,12 @@ def test_outliers_in_order_of_arrival_over_batches_and_replays(spark, tmp_path):
     spark.createDataFrame(second, RECORD).coalesce(1).write.mode("append").parquet(str(folder))
     more = [(4, 41.0, True, "outside_rolling_median"), (6, 41.5, True, "outside_rolling_median"), (7, 41.0, False, None), (8, None, False, None)]
     assert sorted(run(), key=repr) == sorted(expected + more, key=repr)
+
+
+def test_records_that_arrive_at_once_are_not_before_each_other(spark, tmp_path):
+    day = 86_400_000_000
+    rows = [("k", seq, i, i * day, price, 1) for i, (seq, price) in enumerate([(1, 10.0), (1, 12.0), (1, 500.0), (2, 14.0), (2, 1.0), (3, 2.0)], 1)]
+    spark.createDataFrame(rows, RECORD).coalesce(1).write.parquet(str(tmp_path / "in"))
+    with arrivals.state_in_rocksdb(spark):
+        out = streaming.run_to_table(arrivals.outlier_flags(record_stream(spark, tmp_path / "in"), "key"), "append")
+    assert sorted((r.id, r.median_before, r.outlier) for r in out.collect()) == [(1, None, False), (2, None, False), (3, None, False), (4, 12.0, False), (5, 12.0, True), (6, 12.0, True)]

@@ -49,6 +49,11 @@ def _number(x: object) -> float | None:
     return None if pd.isna(x) else float(x)
 
 
+def _newest(known: list[tuple], more: list[tuple]) -> list[tuple]:
+    """The PRIOR newest of records (at, id, price) by their own time."""
+    return sorted([*known, *more], key=lambda x: x[:2], reverse=True)[:PRIOR]
+
+
 class OutlierFlags(StatefulProcessor):
     """Flags each record of a key by the PRIOR records newest by their own time among those that arrived before it.
 
@@ -66,13 +71,16 @@ class OutlierFlags(StatefulProcessor):
         arrived = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         newest = [tuple(x) for x in self._newest.get()] if self._newest.exists() else []
         given = {x[1]: tuple(x) for x in self._given.get()} if self._given.exists() else {}
-        out = []
-        for at, i, price, quantity in zip(arrived["at"], arrived["id"], arrived["price"], arrived["quantity"], strict=True):
+        out, together, last = [], [], None
+        for seq, at, i, price, quantity in zip(arrived["seq"], arrived["at"], arrived["id"], arrived["price"], arrived["quantity"], strict=True):
             at, i, price = int(at), int(i), _number(price)
+            if seq != last:  # those of one seq arrive at once: none is before another
+                newest, together, last = _newest(newest, together), [], seq
             if i not in given:
                 given[i] = (at, i, *flagged(price, _number(quantity), [p for _, _, p in newest if not pd.isna(p)]))
-                newest = sorted([*newest, (at, i, price)], key=lambda x: x[:2], reverse=True)[:PRIOR]
+                together = _newest(together, [(at, i, price)])
             out.append((i, *given[i][2:]))
+        newest = _newest(newest, together)
         self._newest.put(newest)
         self._given.put([x for x in given.values() if x[0] >= newest[0][0] - self._keep])
         yield pd.DataFrame(out, columns=["id", "median_before", "outlier", "reason"]).astype({"median_before": "float64", "outlier": "bool"})
@@ -84,7 +92,7 @@ class OutlierFlags(StatefulProcessor):
 def outlier_flags(records: DataFrame, key: str, keep_days: int = 7) -> DataFrame:
     """id, median_before, outlier and reason of each record of a stream, in order of arrival.
 
-    records: key, seq (order of arrival within a batch), id, at (microseconds of the record's own time), price and
+    records: key, seq (order of arrival within a batch; records of one seq arrive at once), id, at (microseconds of the record's own time), price and
     quantity, both nullable. A key's records of one batch are sorted together, so a batch's files bound what one task holds;
     across batches its state of a few prices, and of the flags of keep_days, goes on. Run it with state_in_rocksdb."""
     rows = records.select(key, "seq", "id", "at", "price", "quantity")
