@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys, stats
 from tidemark.functions.times import DAY
-from tidemark.operators import accounts, claims, content, features, indices, ingest, pit, relational, resolve, scoring, series
+from tidemark.operators import accounts, claims, content, features, forecast, indices, ingest, pit, relational, resolve, scoring, series
 from tidemark.plans import point_in_time
 from tidemark.streaming import ingest as streaming
 
@@ -274,3 +274,20 @@ def test_equal_names_of_a_block_are_compared_once(spark):
     found = resolve.fuzzy_candidates(mentions, catalog, ["block"], "target")
     assert {tuple(r) for r in found.collect()} == expected
     assert len(expected) == 120 * 12
+
+
+def test_returns_on_a_close_of_zero(spark):
+    """As SQL divides: infinite on 0, NaN from 0 to 0, null on no price."""
+    prices = [0.0, 5.0, 0.0, 0.0, None, 2.0, 4.0]
+    rows = spark.createDataFrame([(i, i * DAY, 1, p) for i, p in enumerate(prices)], TRADE)
+    got = [r.ret for r in series.daily_close(rows).orderBy("day").collect()]
+    assert [str(x) for x in got] == ["None", "inf", "-1.0", "nan", "None", "None", "1.0"]
+
+
+def test_forecasts_from_a_price_of_zero_are_evaluated(spark):
+    rows = spark.createDataFrame([(0.0, 3.0, 4.0, 2.0), (0.0, 0.0, 0.0, 0.0), (2.0, 3.0, 4.0, 1.0), (2.0, None, None, None), (None, 3.0, 4.0, 2.0)], "start double, last double, peak double, trough double")
+    c = F.col
+    made = forecast.evaluation(c("start"), c("last"), c("peak"), c("trough"), F.lit(0.1), F.lit(0.0), F.lit(1.0), F.lit(0.6))
+    got = rows.select(*[x.alias(k) for k, x in made.items()]).collect()
+    assert [str(r.actual) for r in got] == ["inf", "nan", "0.5", "None", "None"]
+    assert [r.direction_correct for r in got] == [True, True, True, None, None] and [r.range_hit for r in got] == [False, False, True, None, None]
