@@ -291,3 +291,9 @@ def test_forecasts_from_a_price_of_zero_are_evaluated(spark):
     got = rows.select(*[x.alias(k) for k, x in made.items()]).collect()
     assert [str(r.actual) for r in got] == ["inf", "nan", "0.5", "None", "None"]
     assert [r.direction_correct for r in got] == [True, True, True, None, None] and [r.range_hit for r in got] == [False, False, True, None, None]
+
+
+def test_weights_add_up_exactly(spark):
+    """0.1 + 0.2 is 0.3: scores that are all 65 have a mean of 65 and stay within a bound of 65."""
+    weights = {"a": 0.1, "b": 0.2, "c": 0.7}
+    assert one(spark, scoring.combine(scoring.parts(weights, {"a": F.lit(65.0), "b": F.lit(65.0), "c": F.lit(None)}))) == 65.0
