@@ -297,3 +297,10 @@ def test_weights_add_up_exactly(spark):
     """0.1 + 0.2 is 0.3: scores that are all 65 have a mean of 65 and stay within a bound of 65."""
     weights = {"a": 0.1, "b": 0.2, "c": 0.7}
     assert one(spark, scoring.combine(scoring.parts(weights, {"a": F.lit(65.0), "b": F.lit(65.0), "c": F.lit(None)}))) == 65.0
+
+
+def test_used_units_do_not_hang_on_the_order_of_rows(spark):
+    amounts = [0.1, 0.2, 0.3, 98.9, 1e9, -1e9]
+    rows = [(k, x) for k, order in enumerate([amounts, amounts[::-1], amounts[2:] + amounts[:2]]) for x in order] + [(9, 99.49), (8, None)]
+    found = accounts.used_units(spark.createDataFrame(rows, "k int, x double").coalesce(1), "k", "x")
+    assert {r.k: r.used for r in found.collect()} == {0: 1, 1: 1, 2: 1, 9: 0, 8: None}

@@ -95,6 +95,14 @@ def entitled(rows: DataFrame, plan_table: DataFrame, overrides: DataFrame) -> Da
     return joined.withColumn("requests", F.coalesce("_own", "_plan")).drop("_own", "_plan")
 
 
+def used_units(rows: DataFrame, key: str, amount: str, unit: int = 100) -> DataFrame:
+    """key and used: whole units in the sum of each key's amounts, which is rounded to a whole number (halves up) before.
+
+    Amounts are added as decimals of 6 places: a sum of doubles hangs on the order of rows, and 99.50 may then fall short of 100."""
+    total = F.round(F.sum(F.col(amount).cast("decimal(28,6)")))
+    return rows.groupBy(key).agg(F.floor(total / unit).cast("long").alias("used"))
+
+
 def quota(used: Column, limit: Column) -> dict[str, Column]:
     return {"exceeded": used >= limit, "remaining": F.greatest(limit - used, F.lit(0))}
 

@@ -263,7 +263,7 @@ SELECT e.organization, effective_plan, CASE WHEN e.organization % 10 = 0 THEN 50
 def quota_entitlements(spark: SparkSession, sf: str) -> DataFrame:
     rows = _organizations(spark, sf)
     overrides = rows.where("organization % 10 = 0").select("organization", F.lit(5000).cast("long").alias("requests"))
-    used = claims(spark, sf).groupBy(F.col("forecaster").alias("organization")).agg(F.floor(F.round(F.sum("price")).cast("long") / 100).alias("used"))
+    used = accounts.used_units(claims(spark, sf).select(F.col("forecaster").alias("organization"), "price"), "organization", "price")
     found = accounts.entitled(rows, accounts.plans(spark), overrides).join(used, "organization", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     q = accounts.quota(F.col("used"), F.col("requests"))
     return found.select("organization", "effective_plan", "requests", "depth_days", q["exceeded"].alias("exceeded"), q["remaining"].alias("remaining"))
