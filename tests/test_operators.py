@@ -304,3 +304,17 @@ def test_used_units_do_not_hang_on_the_order_of_rows(spark):
     rows = [(k, x) for k, order in enumerate([amounts, amounts[::-1], amounts[2:] + amounts[:2]]) for x in order] + [(9, 99.49), (8, None)]
     found = accounts.used_units(spark.createDataFrame(rows, "k int, x double").coalesce(1), "k", "x")
     assert {r.k: r.used for r in found.collect()} == {0: 1, 1: 1, 2: 1, 9: 0, 8: None}
+
+
+def test_records_are_shuffled_by_their_key_alone(spark, capsys):
+    """Each side of the join deals its rows out once, by the key; counting and the join shuffle nothing more."""
+    rows = spark.range(100).selectExpr("id % 10 key", "cast(id as string) fp", "id % 3 seq")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ingest.dedup_conflicts(rows, ["key"], "fp", ["seq"]).explain()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert 1 <= plan.count("Exchange hashpartitioning") <= 2

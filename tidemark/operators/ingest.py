@@ -41,9 +41,12 @@ def redact(text: Column, pattern: str = SECRET) -> Column:
     return F.regexp_replace(text, pattern, "[redacted]")
 
 
-def _counted(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Equal rows once, with _copies: replays of one record are combined before they are shuffled, however many there are."""
-    return rows.groupBy(*columns).agg(F.count("*").alias("_copies"))
+def _counted(rows: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """Equal rows once, with _copies and _key, dealt out by their key, so that what follows by _key shuffles nothing more.
+
+    _key holds nulls as values: a null is a key like any other."""
+    held = rows.withColumn("_key", F.struct(*[F.col(k) for k in key])).repartition("_key")
+    return held.groupBy("_key", *columns).agg(F.count("*").alias("_copies"))
 
 
 def _each(rows: DataFrame, name: str, first: Column, others: Column) -> DataFrame:
@@ -57,10 +60,9 @@ def dedup_conflicts(rows: DataFrame, key: Sequence[str], fingerprint: str, order
 
     order is the order of arrival, ties by the fingerprint. Of rows equal in everything one is new and the others are
     duplicates. A null is a key like any other. The first row of a key is a grouped minimum, joined back."""
-    counted = _counted(rows, rows.columns)
+    counted = _counted(rows, rows.columns, key)
     own = F.struct(*order, fingerprint)
-    first = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(own).alias("_first"))
-    met = counted.join(first, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]))
+    met = counted.join(counted.groupBy("_key").agg(F.min(own).alias("_first")), "_key")
     is_first = own.eqNullSafe(F.col("_first"))
     same = F.when(F.col(fingerprint).eqNullSafe(F.col("_first")[fingerprint]), "duplicate").otherwise("conflict")
     return _each(met, "verdict", F.when(is_first, "new").otherwise(same), same).select(*rows.columns, "verdict")
@@ -77,15 +79,15 @@ def record_states(records: DataFrame, catalog: DataFrame, key: Sequence[str], fi
     catalog has target, external and the attributes, and is counted by them first, so that no record meets many entries."""
     named = catalog.groupBy("external").agg(F.count("*").alias("_n_named"), F.min("target").alias("_named"))
     alike = catalog.groupBy(*attributes).agg(F.count("*").alias("_n_alike"), F.min("target").alias("_alike"))
-    met = _counted(records, records.columns).join(named, "external", "left").join(alike, list(attributes), "left")
+    met = records.join(named, "external", "left").join(alike, list(attributes), "left")
     has_id = F.col("external").isNotNull()
     n = F.coalesce(F.when(has_id, F.col("_n_named")).otherwise(F.col("_n_alike")), F.lit(0))
     lacking = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in needed])
     reason = F.when(~has_id & lacking, "concept_only").when(n == 0, "not_found").when(n > 1, "ambiguous")
-    met = met.select(*records.columns, "_copies", reason.alias("_reason"), F.when(has_id, F.col("_named")).otherwise(F.col("_alike")).alias("_met"))
+    met = met.select(*records.columns, reason.alias("_reason"), F.when(has_id, F.col("_named")).otherwise(F.col("_alike")).alias("_met"))
     own = F.struct(*order, fingerprint)
-    first = met.where("_reason is null").groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(own).alias("_first"))
-    met = met.join(first, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]), "left")
+    met = _counted(met, met.columns, key)
+    met = met.join(met.groupBy("_key").agg(F.min(F.when(F.col("_reason").isNull(), own)).alias("_first")), "_key")
     early = F.col("_first").isNull() | (own < F.col("_first"))
     later = F.when(F.col(fingerprint).eqNullSafe(F.col("_first")[fingerprint]), "duplicate").otherwise("revision")
     later = F.when(early, "quarantined").otherwise(later)
