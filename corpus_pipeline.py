@@ -9,7 +9,7 @@ from tidemark.llm.chaining import remove_shared_passages
 from tidemark.llm.jaccard import jaccard_join
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack
-from tidemark.llm.staging import table, written
+from tidemark.llm.staging import cut, table, written
 from tidemark.llm.toxicity import toxicity
 
 
@@ -27,7 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one row of each class of near duplicates, that of the least doc_id; of repeated rows one stays."""
     found = jaccard_join(docs).groupBy("row").agg(F.count("*").alias("n"), F.first("class_row").alias("class_row"))
-    firsts = _with_row(docs).join(found.where("row = class_row").select("row", "n"), "row")
+    # cut, as both branches read it: the driver plans the whole join once
+    kept = cut(found.where("row = class_row").select("row", "n"))
+    firsts = _with_row(docs).join(kept, "row")
     again = firsts.where("n > 1").dropDuplicates(["row"])
     return firsts.where("n = 1").unionByName(again).select("doc.*")
 

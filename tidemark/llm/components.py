@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import cut
+from .staging import cut, release
 
 
 def _closest(edges: DataFrame) -> DataFrame:
@@ -17,28 +17,32 @@ def _closest(edges: DataFrame) -> DataFrame:
     return edges.join(low, "u")
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node u has one neighbour v, which has none itself: then v is the least node of its component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("down")).where("ups > 1 or ups > 0 and down = 0").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges; component is its smallest node.
 
-    Alternating large-star and small-star rounds: the number of rounds grows with the logarithm
-    of the component's size. Self loops are kept as components of one node."""
+    Alternating large-star and small-star rounds until stars are left: the number of rounds grows with the logarithm
+    of the component's size. Self loops are kept as components of one node. What the driver holds of a round's
+    plans and shuffles is released before the next."""
     loops = edges.select(F.col(a).alias("node")).where(F.col(a) == F.col(b))
     now = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = state(now)
-    for _ in range(max_rounds):
+    rounds = 0
+    while not _is_forest(now):
+        if rounds == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        rounds += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _closest(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = cut(large.where("u <> v").distinct())  # read twice
         small = _closest(large)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = cut(small.where("u <> v").distinct())
-        after = state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        release(edges.sparkSession)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     return out.unionByName(loops.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, tile_pairs
-from .staging import cut
+from .staging import cut, release
 from .textops import column_slices, mix, shingle_sets, signed
 
 
@@ -172,9 +172,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
     members = chosen.drop("n_shingles").join(texts.mapInArrow(_shingles(k, secret), "node long, shingles array<long>").dropDuplicates(["node"]), "node")
     dealt = tile_pairs(members, ["component"], tile_rows, "node", sizes)
     found = cut(dealt.groupBy("component", "low", "high").applyInPandas(_verify(percent), "node long, links long, root long"))
+    release(docs.sparkSession)
     links = found.groupBy("node").agg(F.sum("links").alias("linked"))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    resolved = nodes.select("node", "copies", "least").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # cut, as it is read twice: the driver plans it once
+    resolved = cut(nodes.select("node", "copies", "least").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node")))
     named = resolved.join(resolved.groupBy("component").agg(F.min("least").alias("first")), "component").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row"))
     out = signed_docs.select("doc_id", "row", "n_shingles", "node").join(named, "node", "left")
     blank = F.col("n_shingles") == 0
