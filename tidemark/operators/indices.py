@@ -53,14 +53,14 @@ def timeline(dated: DataFrame, dates: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(start), "first").join(F.broadcast(end), "next", "left").select("index_key", "instrument", "weight", "effective_from", "effective_to")  # one row per date
 
 
-def level(members: DataFrame) -> DataFrame:
-    """Level of each index from members with weight, base and current price: base 100, weights renormalised over what is priced."""
+def level(members: DataFrame, by: Sequence[str] = ("index_key",)) -> DataFrame:
+    """Level of each index (by) from members with weight, base and current price: base 100, weights renormalised over what is priced."""
     priced = F.col("base").isNotNull() & F.col("current").isNotNull() & (F.col("base") > 0)
     relative = F.when(priced, F.col("weight") * F.col("current") / F.col("base"))
-    found = members.groupBy("index_key").agg(F.count("*").alias("members"), F.count_if(priced).alias("priced"), F.sum(relative).alias("_r"), F.sum(F.when(priced, F.col("weight"))).alias("_w"))
+    found = members.groupBy(*by).agg(F.count("*").alias("members"), F.count_if(priced).alias("priced"), F.sum(relative).alias("_r"), F.sum(F.when(priced, F.col("weight"))).alias("_w"))
     coverage = F.col("priced") / F.col("members")
     quality = F.when(F.col("priced") == 0, "insufficient_data").when(coverage >= 0.8, "complete").otherwise("partial")
-    return found.select("index_key", "members", "priced", F.when(F.col("priced") > 0, 100 * F.col("_r") / F.col("_w")).otherwise(100.0).alias("level"), coverage.alias("coverage"), quality.alias("quality"))
+    return found.select(*by, "members", "priced", F.when(F.col("priced") > 0, 100 * F.col("_r") / F.col("_w")).otherwise(100.0).alias("level"), coverage.alias("coverage"), quality.alias("quality"))
 
 
 def inception(memberships: DataFrame) -> DataFrame:
