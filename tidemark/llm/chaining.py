@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .staging import drop_table, written
 from .suffix_dedup import sliding_min
-from .textops import RangeHash, column_slices, doc_bounds, flat_lists, gram_hashes, mix, signed
+from .textops import RangeHash, column_slices, doc_bounds, flat_lists, gram_hashes, mix, run_hashes, signed
 
 #: Consecutive k-word seeds of which at least one is kept.
 WINDOW = 16
@@ -56,26 +56,39 @@ def _reach(a: np.ndarray, b: np.ndarray, drop: int = 6) -> np.ndarray:
     on either side, words were put in, left out or replaced there, and the end is open."""
     a, b = a.view(np.uint64), b.view(np.uint64)
     n = np.minimum(a >> np.uint64(CONTEXT), b >> np.uint64(CONTEXT)).astype(np.int64)
-    unlike = a ^ b
-    score, best, at = (np.zeros(len(a), dtype=np.int64) for _ in range(3))
-    live = np.arange(len(a))
-    for i in range(CONTEXT):
-        live = live[(n[live] > i) & (score[live] >= best[live] - drop)]
-        if not len(live):
-            break
-        score[live] += np.where((unlike[live] >> np.uint64(i)) & np.uint64(1), -2, 1)
-        better = live[score[live] > best[live]]
-        best[better], at[better] = score[better], i + 1
-    at[live[score[live] >= best[live] - drop]] = CONTEXT
-    first = unlike | (np.uint64(1) << n.astype(np.uint64))
+    first = (a ^ b) | (np.uint64(1) << n.astype(np.uint64))
     first &= ~first + np.uint64(1)
-    run = np.frexp(first.astype(np.float64))[1].astype(np.uint64) - np.uint64(1)
+    run = np.frexp(first.astype(np.float64))[1].astype(np.int64) - 1
+    at = run.copy()  # all that there is, where no word is unlike
+    some = np.flatnonzero(run < n)
+    at[some] = _scored_reach(a[some] ^ b[some], n[some], drop)
+    open_ = np.flatnonzero((run + 1 + SHIFTED <= n) & (at < CONTEXT))
+    a, b, n, run = a[open_], b[open_], n[open_], run[open_].astype(np.uint64)
     low = np.uint64((1 << SHIFTED) - 1)
+    later = [[x >> (run + np.uint64(i)) for i in range(4)] for x in (a, b)]
     for i in range(4):
         for j in range(4):
             if i or j:
-                alike = ((a >> (run + np.uint64(i))) ^ (b >> (run + np.uint64(j)))) & low == 0
-                at[alike & (run.astype(np.int64) + max(i, j) + SHIFTED <= n)] = CONTEXT
+                alike = (later[0][i] ^ later[1][j]) & low == 0
+                at[open_[alike & (run.astype(np.int64) + max(i, j) + SHIFTED <= n)]] = CONTEXT
+    return at
+
+
+def _scored_reach(unlike: np.ndarray, n: np.ndarray, drop: int) -> np.ndarray:
+    """The place of the best score along each row's n bits, +1 for 0 and -2 for 1, before it falls by more than drop; CONTEXT if it doesn't."""
+    bits = np.unpackbits(np.ascontiguousarray(unlike, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, count=CONTEXT, bitorder="little").T
+    steps = 1 - 3 * np.ascontiguousarray(bits).astype(np.int8)
+    n = n.astype(np.int8)
+    score, best, at = (np.zeros(len(unlike), dtype=np.int8) for _ in range(3))
+    live = np.ones(len(unlike), dtype=bool)
+    for i in range(CONTEXT):
+        live &= (n > i) & (score >= best - np.int8(drop))
+        if not live.any():
+            break
+        score += steps[i] * live
+        better = live & (score > best)
+        best[better], at[better] = score[better], i + 1
+    at[live & (score >= best - np.int8(drop))] = CONTEXT
     return at
 
 
@@ -122,8 +135,10 @@ def _seeds(k: int):
                 of = docs[at]
                 low = _least(grams)
                 whole = of[: len(low)] == of[WINDOW - 1 :]  # windows of one document
-                chosen = np.unique(low[whole])
-                first, stop = (np.searchsorted(docs, of[chosen], side=side) for side in ("left", "right"))
+                chosen = low[whole]  # in order, as windows are
+                chosen = chosen[np.append(True, chosen[1:] != chosen[:-1])[: len(chosen)]]
+                bounds = doc_bounds(docs, piece.n_docs)
+                first, stop = bounds[of[chosen]], bounds[of[chosen] + 1]
                 contexts = _contexts(hashes, at[chosen], k, first, stop)
                 seeds, again = grams[chosen], _repeats(grams[chosen], of[chosen])
                 later = np.flatnonzero(again)
@@ -159,16 +174,15 @@ def _windows(k: int, min_words: int):
                 bounds = doc_bounds(docs, piece.n_docs)
                 placed = bounds[of_row[mine] - row] + words[mine]
                 keys, anchor, scale = [], [], []
-                own = placed[is_open[mine]]
+                own, of = placed[is_open[mine]], of_row[mine][is_open[mine]] - row
+                begin, stop = bounds[of], bounds[of + 1]
                 for n in SCALES:
-                    runs, first = gram_hashes(hashes, docs, n)
+                    runs = run_hashes(hashes, n) if len(hashes) >= n else hashes[:0]
                     for back in (0, n - k):  # the seed begins the run, or ends it
-                        where = np.searchsorted(first, own - back)
-                        where = np.minimum(where, len(first) - 1)
-                        hit = first[where] == own - back if len(first) else np.zeros(len(own), dtype=bool)
-                        keys.append(mix(runs[where[hit]] + np.uint64(2 * n + bool(back))))
-                        anchor.append(own[hit])
-                        scale.append(np.full(hit.sum(), n))
+                        hit = own[(own - back >= begin) & (own - back + n <= stop)]
+                        keys.append(mix(runs[hit - back] + np.uint64(2 * n + bool(back))))
+                        anchor.append(hit)
+                        scale.append(np.full(len(hit), n))
                 whole, first = gram_hashes(hashes, docs, min_words)
                 if len(whole):
                     listed = np.zeros(len(hashes), dtype=bool)
@@ -243,28 +257,30 @@ def chains(found: np.ndarray) -> list[list[int]]:
     start, end, other = found[:, 0], found[:, 1], found[:, 2]
     other_end = other + end - start
     places = np.unique(other_end)
-    rank = np.searchsorted(places, other_end)
-    reach = np.searchsorted(places, other, side="right") - 1
-    tree, score, before = Fenwick(len(places)), (end - start).astype(float), np.full(n, -1)
-    by_end, done = np.argsort(end, kind="stable"), 0
+    rank = np.searchsorted(places, other_end).tolist()
+    reach = (np.searchsorted(places, other, side="right") - 1).tolist()
+    tree, score, before = Fenwick(len(places)), (end - start).astype(float).tolist(), [-1] * n
+    by_end, done = np.argsort(end, kind="stable").tolist(), 0
+    put, take = (GAP_COST * (end + other_end)).tolist(), (GAP_COST * (start + other)).tolist()
+    start, end = start.tolist(), end.tolist()
     for i in range(n):
         while done < n and end[by_end[done]] <= start[i]:
-            j = int(by_end[done])
-            tree.put(int(rank[j]), (score[j] + GAP_COST * (end[j] + other_end[j]), j))
+            j = by_end[done]
+            tree.put(rank[j], (score[j] + put[j], j))
             done += 1
-        if reach[i] >= 0:
-            best, j = tree.upto(int(reach[i]))
-            gain = best - GAP_COST * (start[i] + other[i])
+        if done and reach[i] >= 0:
+            best, j = tree.upto(reach[i])
+            gain = best - take[i]
             if j >= 0 and gain > 0:
                 score[i] += gain
                 before[i] = j
-    used, out = np.zeros(n, dtype=bool), []
-    for i in np.lexsort((np.arange(n), -score)):
-        own, j = [], int(i)
+    used, out = [False] * n, []
+    for i in sorted(range(n), key=lambda i: -score[i]):
+        own, j = [], i
         while j >= 0 and not used[j]:
             used[j] = True
             own.append(j)
-            j = int(before[j])
+            j = before[j]
         if own:
             out.append(own[::-1])
     return out
@@ -293,12 +309,12 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield table, begins(table)
 
 
-def _ends(found: np.ndarray, word: np.ndarray, other: np.ndarray, left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _ends(found: np.ndarray, word: np.ndarray, other: np.ndarray, left: np.ndarray, right: np.ndarray, k: int) -> tuple[list[int], list[int]]:
     """The words from and to which each anchor extends at most, by the contexts of its outermost seeds."""
     reach = {(w, o): (x, y) for w, o, x, y in zip(word.tolist(), other.tolist(), left.tolist(), right.tolist(), strict=True)}
     low = [start - reach[start, at][0] for start, _, at in found.tolist()]
     high = [end + reach[end - k, at + end - k - start][1] for start, end, at in found.tolist()]
-    return np.array(low), np.array(high)
+    return low, high
 
 
 def _chained(k: int, min_words: int):
@@ -326,7 +342,7 @@ def _chained(k: int, min_words: int):
                 own = slice(first[i], last[i] + 1)
                 joined = anchors(word[own], other[own], k)
                 low, high = _ends(joined, word[own], other[own], left[own], right[own], k)
-                kept = [joined[c] for c in chains(joined) if high[c].max() - low[c].min() >= min_words]
+                kept = [joined[c] for c in chains(joined) if max(high[j] for j in c) - min(low[j] for j in c) >= min_words]
                 for region in regions(kept):
                     of.append(first[i : i + 1])
                     found.append(region)
@@ -342,12 +358,12 @@ def _chained(k: int, min_words: int):
 def regions(found: list[np.ndarray], near: int = 64) -> list[np.ndarray]:
     """Anchors of chains that lie near each other in both documents, together, each set in order of place."""
     boxes: list[list] = []
-    for own in sorted(found, key=lambda c: (c[0, 0], c[0, 2])):
-        box = [own[0, 0], own[:, 1].max(), own[:, 2].min(), (own[:, 2] + own[:, 1] - own[:, 0]).max(), [own]]
+    for rows, own in sorted(((c.tolist(), c) for c in found), key=lambda c: (c[0][0][0], c[0][0][2])):
+        box = [rows[0][0], max(r[1] for r in rows), min(r[2] for r in rows), max(r[2] + r[1] - r[0] for r in rows), [own]]
         if boxes:
             last = boxes[-1]
             if box[0] <= last[1] + near and box[2] <= last[3] + near and last[2] <= box[3] + near:
-                boxes[-1] = [last[0], max(last[1], box[1]), min(last[2], box[2]), max(last[3], box[3]), last[4] + [own]]
+                boxes[-1] = [last[0], max(last[1], box[1]), min(last[2], box[2]), max(last[3], box[3]), [*last[4], own]]
                 continue
         boxes.append(box)
     joined = [np.concatenate(b[4]) for b in boxes]
@@ -452,8 +468,11 @@ class Pairs:
         if len(runs) == 1:
             start, end, other = runs[0].tolist()
             return [(start, end, other, other + end - start, 1.0)] if end - start >= min_words else []
-        out, k = [], self.k
+        out, k, places = [], self.k, runs.tolist()
         for chain in chains(runs):
+            first, last = places[chain[0]], places[chain[-1]]
+            if min(last[1] - first[0], last[2] + last[1] - last[0] - first[2]) < min_words:
+                continue  # nor is any part long enough
             start, end, other = runs[chain].T
             if any(p[0] <= start[0] and end[-1] <= p[1] for p in out):
                 continue

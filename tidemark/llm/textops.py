@@ -22,11 +22,12 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every bit depends on every bit."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    x = x ^ (x >> np.uint64(31))  # the caller's stay as they are
+    x *= np.uint64(0x7FB5D329728EA185)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x81DADEF4BC2DD44D)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,10 +134,10 @@ def gram_hashes(words: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     at = np.flatnonzero(docs[:n] == docs[k - 1 :])
-    return _runs(words, k)[at], at
+    return run_hashes(words, k)[at], at
 
 
-def _runs(words: np.ndarray, k: int) -> np.ndarray:
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words, joined from runs whose lengths are powers of two."""
     n = len(words) - k + 1
     out, done, power, size = None, 0, words, 1
@@ -187,7 +188,7 @@ def shingle_sets(piece: TextSlice, k: int, secret: tuple[int, int] | None = None
     for d in range(piece.n_docs):
         own = grams[bounds[d] : bounds[d + 1]]
         if not len(own) and wb[d + 1] > wb[d]:
-            own = _runs(hashes[wb[d] : wb[d + 1]], int(wb[d + 1] - wb[d]))
+            own = run_hashes(hashes[wb[d] : wb[d + 1]], int(wb[d + 1] - wb[d]))
         own = np.unique(own)
         out.append(own)
         lens[d + 1] = len(own)
