@@ -20,7 +20,8 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the rows that toxicity predicts as toxic; rows that share a doc_id are judged by their own texts."""
-    rejected = toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("row").distinct()
+    # cut, so that the driver doesn't hold the model's examples while the next stages run
+    rejected = cut(toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("row").distinct())
     return _with_row(docs).join(rejected, "row", "left_anti").select("doc.*")
 
 

@@ -61,6 +61,12 @@ def test_empty_documents(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_model_is_let_go_before_the_next_stage(spark, corpus):
+    """What drop_toxic returns holds verdicts, not the scoring with its examples."""
+    out = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{corpus}/documents.parquet"), corpus)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+
+
 def test_rows_are_judged_by_themselves(spark, corpus, tmp_path):
     """Rows that share a doc_id or lack one, repeated rows, and columns of their own."""
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
