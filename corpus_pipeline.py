@@ -9,7 +9,7 @@ from tidemark.llm.chaining import remove_shared_passages
 from tidemark.llm.jaccard import jaccard_join
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack
-from tidemark.llm.staging import cut, table, written
+from tidemark.llm.staging import cut, release, table, written
 from tidemark.llm.toxicity import toxicity
 
 
@@ -22,6 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the rows that toxicity predicts as toxic; rows that share a doc_id are judged by their own texts."""
     # cut, so that the driver doesn't hold the model's examples while the next stages run
     rejected = cut(toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("row").distinct())
+    release(spark)
     return _with_row(docs).join(rejected, "row", "left_anti").select("doc.*")
 
 
@@ -30,6 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard_join(docs).groupBy("row").agg(F.count("*").alias("n"), F.first("class_row").alias("class_row"))
     # cut, as both branches read it: the driver plans the whole join once
     kept = cut(found.where("row = class_row").select("row", "n"))
+    release(spark)
     firsts = _with_row(docs).join(kept, "row")
     again = firsts.where("n > 1").dropDuplicates(["row"])
     return firsts.where("n = 1").unionByName(again).select("doc.*")
@@ -42,7 +44,9 @@ def drop_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs as often as their source's target weight takes them."""
-    return mix_sources(docs)
+    mixed = mix_sources(docs)
+    release(spark)
+    return mixed
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

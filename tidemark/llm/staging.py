@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +39,32 @@ def written(df: DataFrame, compression: str | None = None) -> tuple[DataFrame, s
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs.
+    """Let Spark's cleaner delete the shuffle files of finished jobs, and give back what the driver has freed.
 
     It does so when the driver's JVM has collected what refers to them; left to chance they pile up over
-    the steps of one query."""
+    the steps of one query. So does memory that the compiler, codecs and numpy have freed: the C library keeps it."""
     for _ in range(2):  # what the first collection finalises goes with the second
         gc.collect()
         spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    c = ctypes.CDLL(None)
+    if hasattr(c, "malloc_trim"):  # glibc
+        c.malloc_trim(0)
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """What jcmd's System.trim_native_heap does, for the driver's JVM, where that has it."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    args = array(jvm.Object, 4)
+    for i, x in enumerate((command, "systemTrimNativeHeap", array(jvm.Object, 0), array(jvm.String, 0))):
+        args[i] = x
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    try:  # by name, as Py4J sees the server's class alone, which its module hides
+        jvm.org.apache.commons.lang3.reflect.MethodUtils.invokeMethod(server, "invoke", args)
+    except Py4JJavaError:  # another JVM or system
+        return
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
